@@ -20,6 +20,9 @@ ORDERS, BITS = (3, 4, 5), 20
 #: Labelled documents of each class that the model is fitted on at most, and n-grams that it keeps.
 PER_CLASS, FEATURES = 10_000, 16_384
 
+#: Bytes of text in one numpy step: each makes about 60 times as much of n-grams.
+STEP_BYTES = 512 << 10
+
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
@@ -58,7 +61,7 @@ def _counts(sample: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, 1 << BITS), np.int64)
-        for part in steps(batches, text):
+        for part in steps(batches, text, STEP_BYTES):
             rows, ids = ngrams(*flat(part.column(text)))
             y = part.column("y").to_numpy()[rows]
             for k in (0, 1):
@@ -107,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     place[ids] = np.arange(len(ids))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text):
+        for part in steps(batches, text, STEP_BYTES):
             rows, grams = ngrams(*flat(part.column(text)), keep)
             at = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(at, place[grams])], ["y", "at"])
@@ -127,7 +130,7 @@ def score(docs: DataFrame, model: LinearModel, text: str = "text", name: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercept = sent.value
         keep = weights != 0
-        for part in steps(batches, text):
+        for part in steps(batches, text, STEP_BYTES):
             rows, grams = ngrams(*flat(part.column(text)), keep)
             sums = np.bincount(rows, weights[grams], part.num_rows) + intercept
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))], [*part.schema.names, name])
