@@ -2,10 +2,12 @@
 
 Texts with equal shingle sets form a class; all further work is on one representative of each. Banded
 signatures put representatives into buckets. First every bucket's members meet its smallest one (a
-star, not all pairs); what that links is one component. Then only buckets that still hold several
-components are compared across components. In both rounds a pair's signatures are compared a batch
-at a time, and the pair is dropped as soon as the posterior probability that its similarity reaches
-the threshold is below the chosen miss probability; survivors are confirmed on their full sets.
+star, not all pairs), and each representative's best pair is confirmed; what that links is one
+component. Then only buckets that still hold several components are compared across components:
+first the likeliest pairs that would join them, as a spanning tree, then all pairs that are left. In
+every round a pair's signatures are compared a batch at a time, and the pair is dropped as soon as
+the posterior probability that its similarity reaches the threshold is below the chosen miss
+probability; survivors are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ from stratum.llm.shingles import shingle_sets
 from stratum.llm.tables import components, grouped, only
 
 #: Signature values, values compared at once, and the probability that verification may miss a true pair.
-HASHES, BATCH, MISS = 200, 32, 1e-6
+HASHES, BATCH, MISS = 200, 32, 1e-5
 #: Members of a bucket that one task compares with as many others at once.
 CHUNK = 512
 
 
 def bands(percent: int) -> tuple[int, int]:
-    """Number of bands and values of each: the longest bands that miss a pair at the threshold with at most MISS."""
+    """Number of bands and values of each: the longest bands that miss a pair at the threshold with at most a tenth of MISS."""
     for rows in range(20, 0, -1):
-        if (1 - (percent / 100) ** rows) ** (HASHES // rows) <= MISS:
+        if (1 - (percent / 100) ** rows) ** (HASHES // rows) <= MISS / 10:
             return HASHES // rows, rows
     return HASHES, 1
 
@@ -56,8 +58,8 @@ def fewest_matches(percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def surviving(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Numbers of the pairs of sketches (n rows each) that every batch's bound leaves."""
+def surviving(left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and matches of the pairs of sketches (n rows each) that every batch's bound leaves."""
     alive = np.arange(len(left))
     matches, done = np.zeros(len(left), np.int32), 0
     for n, least in fewest_matches(percent):
@@ -66,7 +68,7 @@ def surviving(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
         alive, matches, done = alive[keep], matches[keep], n
         if not len(alive):
             break
-    return alive
+    return alive, matches
 
 
 def _signatures(docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
@@ -117,24 +119,44 @@ def _matrix(column: pa.Array, width: int, dtype: type) -> np.ndarray:
 
 
 def _star(members: DataFrame, firsts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every representative b with one smallest member a of its buckets that the Bayesian bound leaves."""
+    """(a, b): every representative b with the likest of the smallest members a of its buckets, of those that the bound leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                alive = surviving(_matrix(batch.column("sa"), HASHES, np.uint8), _matrix(batch.column("sb"), HASHES, np.uint8), percent)
-                yield batch.select(["a", "b"]).take(pa.array(alive))
+                alive, matches = surviving(_matrix(batch.column("sa"), HASHES, np.uint8), _matrix(batch.column("sb"), HASHES, np.uint8), percent)
+                left = batch.select(["a", "b"]).take(pa.array(alive))
+                yield pa.RecordBatch.from_arrays([*left.columns, pa.array(matches, pa.int32())], ["a", "b", "matches"])
 
     pairs = members.join(firsts, "key").filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    able = pairs.join(side("b"), "b").join(side("a"), "a").filter(close).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-    return able.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    able = pairs.join(side("b"), "b").join(side("a"), "a").filter(close).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches int")
+    return able.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
 
 
-def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _spanning(left: np.ndarray, right: np.ndarray, matches: np.ndarray) -> list[int]:
+    """Numbers of the pairs that join two sets not joined yet, likest first."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i in np.argsort(-matches, kind="stable").tolist():
+        a, b = top(int(left[i])), top(int(right[i]))
+        if a != b:
+            parent[a] = b
+            out.append(i)
+    return out
+
+
+def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, tree: bool) -> DataFrame:
     """(a, b): pairs of different components that share a bucket and that the Bayesian bound leaves.
 
+    With ``tree``, only those of a spanning tree of the components that meet in a task's cell.
     A large bucket is dealt out as pairs of chunks, so that no task holds more than two chunks at once.
     """
 
@@ -144,16 +166,22 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
             side = group.column("side").to_numpy()
             sketch = _matrix(group.column("sketch"), HASHES, np.uint8)
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a in range(0, len(left), CHUNK):  # one step unless hashing has made a chunk uneven
                 i, j = (x.ravel() for x in np.meshgrid(left[a : a + CHUNK], right, indexing="ij"))
                 keep = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & ((side[i] != side[j]) | (ids[i] < ids[j]))
                 i, j = i[keep], j[keep]
                 for b in range(0, len(i), 1 << 17):
                     x, y = i[b : b + (1 << 17)], j[b : b + (1 << 17)]
-                    alive = surviving(sketch[x], sketch[y], percent)
-                    if len(alive):
-                        x, y = ids[x[alive]], ids[y[alive]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    alive, matches = surviving(sketch[x], sketch[y], percent)
+                    found.append((x[alive], y[alive], matches))
+            if found:
+                x, y, matches = (np.concatenate(z) for z in zip(*found, strict=True))
+                if tree:
+                    chosen = np.array(_spanning(label[x], label[y], matches), np.int64)
+                    x, y = x[chosen], y[chosen]
+                x, y = ids[x], ids[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     marked = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x <> y").select("key", F.ceil(F.col("size") / CHUNK).alias("chunks"))
@@ -184,7 +212,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, perce
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     own = only(docs.select(F.col("doc_id").cast("long"), text), ids, "doc_id").mapInArrow(sets, "id long, members binary").dropDuplicates(["id"])
     own = own.persist()
     side = lambda x: own.select(F.col("id").alias(x), F.col("members").alias(f"m{x}"))
@@ -208,12 +236,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     firsts = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("key", "first")
     firsts = cut(firsts)
     members = cut(rows.join(firsts, "key", "left_semi"))
-    found = _confirmed(cut(_star(members, firsts, reps, percent)), docs, text, shingle, percent)
-    labels = cut(components(found).select(F.col("node").alias("id"), F.col("component").alias("label")))
-    more = cut(_across(members, labels, reps, percent))
-    if more.take(1):
-        found = found.union(_confirmed(more, docs, text, shingle, percent))
-        labels = cut(components(found).select(F.col("node").alias("id"), F.col("component").alias("label")))
-    named = base.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(labels, "id", "left")
+    tried = cut(_star(members, firsts, reps, percent))
+    found = _confirmed(tried, docs, text, shingle, percent)
+    named = lambda links: cut(components(links).select(F.col("node").alias("id"), F.col("component").alias("label")))
+    labels = named(found)
+    for tree in (True, False):
+        more = cut(_across(members, labels, reps, percent, tree).join(tried, ["a", "b"], "left_anti"))
+        if more.take(1):
+            found, tried = found.union(_confirmed(more, docs, text, shingle, percent)), tried.union(more)
+            labels = named(found)
+    rows = base.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(labels, "id", "left")
     component = F.when(F.col("n") > 0, F.coalesce("label", "id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
