@@ -34,6 +34,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), new_folder(spark, "token-files"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm.repeats import repeat_spans
+
+    return repeat_spans(table(spark, sf_dir, "documents"), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratum.llm.packing import pack
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_media_columns": op8_media_columns,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
