@@ -34,6 +34,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), new_folder(spark, "token-files"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratum.llm.repeats import repeat_spans
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_media_columns": op8_media_columns,

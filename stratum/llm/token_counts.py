@@ -119,4 +119,4 @@ def token_counts(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
     """
     names = write_token_files(docs, folder, text)
     counted = separator_scan(names.select("file").distinct().join(token_files(docs.sparkSession, folder), "file") if names.take(1) else docs.sparkSession.createDataFrame([], "file string, n_bytes long"), folder)
-    return names.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    return names.hint("merge").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
