@@ -1,23 +1,69 @@
-"""The corpus pipeline: documents through the stages below, each written as Parquet and read again."""
+"""The corpus pipeline: documents through the stages below, each written as Parquet and read again.
+
+A stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
+return the columns of ``documents``; where a stage changes texts, ``n_chars`` follows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratum.llm import toxicity as toxic
+from stratum.llm.labels import remainder
+from stratum.llm.line_dedup import remove_later_lines
+from stratum.llm.near_duplicates import near_duplicates
 from stratum.llm.packing import pack
+from stratum.llm.repeats import remove_repeats
 from stratum.llm.shared import new_folder
+from stratum.llm.tables import only
+
+#: Documents that score as much or more go.
+TOXIC = 0.7
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier calls toxic; it learns from the labels that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 3) != 1)
+    scored = toxic.score(docs, toxic.fit(docs, labels), name="_toxicity")
+    return scored.filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines that a similar line precedes, in this document or another; every document stays."""
+    return _recounted(remove_later_lines(docs))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return only(docs, gone, "doc_id", "left_anti")
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the bytes of strings of 400 that start elsewhere too; every document stays."""
+    return _recounted(remove_repeats(docs, 400))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
     return pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
     ("best_fit_packing", best_fit_packing),
 ]
-#: SQL can't express the stages; the tests hold run() against brute force.
+#: SQL can't express the stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 

@@ -287,6 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> Da
 
     Where a cut parts a character, its remaining bytes go too. Rows stay, even where nothing is left.
     """
+    names = docs.columns
     spans = repeat_spans(docs, length, text).filter("n_removed > 0").select("t1", "t2", "spans").dropDuplicates(["t1", "t2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> Da
                         at = span["end"]
                     x = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
                 out.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else part.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else part.column(c) for c in names], names)
 
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn("_t1", F.xxhash64(F.lit(1), whole)).withColumn("_t2", F.xxhash64(F.lit(2), whole))

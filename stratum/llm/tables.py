@@ -15,10 +15,10 @@ from stratum.llm.shared import cut
 BROADCAST_IDS = 500_000
 
 
-def only(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids``. Broadcasts the ids if their count is within ``bound``, else shuffles both sides."""
+def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", bound: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (``left_anti``: is not). Broadcasts the ids if their count is within ``bound``, else shuffles both sides."""
     small = ids.limit(bound + 1).count() <= bound
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, key, how)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
