@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def _bases(docs: DataFrame, text: str, length: int) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """One row per chunk of candidate texts: their bytes end to end, where each starts, and the positions whose strings may repeat."""
+    """One row per chunk of candidate texts: their bytes end to end (compressed), where each starts, and the positions whose strings may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -112,7 +113,7 @@ def _chunks(docs: DataFrame, text: str, length: int) -> DataFrame:
                 continue
             spans = np.stack([np.concatenate(starts), np.concatenate(ends)], 1).astype("<i8")
             keys = np.stack([part.column("t1").to_numpy(), part.column("t2").to_numpy()], 1).astype("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), pa.array([keys.tobytes()]), pa.array([data.tobytes()]), pa.array([offsets.astype("<i8").tobytes()]), pa.array([spans.tobytes()]), pa.array([int((spans[:, 1] - spans[:, 0]).sum())], pa.int64())], ["chunk", "keys", "data", "offsets", "spans", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), pa.array([keys.tobytes()]), pa.array([zstandard.compress(data.tobytes(), 1)]), pa.array([offsets.astype("<i8").tobytes()]), pa.array([spans.tobytes()]), pa.array([int((spans[:, 1] - spans[:, 0]).sum())], pa.int64())], ["chunk", "keys", "data", "offsets", "spans", "n"])
             number += 1
 
     return docs.mapInArrow(run, "chunk long, keys binary, data binary, offsets binary, spans binary, n long")
@@ -124,7 +125,7 @@ class _Chunk:
     def __init__(self, row: dict, length: int):
         self.length = length
         self.keys = np.frombuffer(row["keys"], "<i8").reshape(-1, 2)
-        self.data = np.frombuffer(row["data"], np.uint8)
+        self.data = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
         self.offsets = np.frombuffer(row["offsets"], "<i8")
         spans = np.frombuffer(row["spans"], "<i8").reshape(-1, 2)
         sizes = spans[:, 1] - spans[:, 0]
