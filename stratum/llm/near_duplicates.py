@@ -26,18 +26,18 @@ from stratum.llm.shared import cut
 from stratum.llm.shingles import shingle_sets
 from stratum.llm.tables import components, grouped, only
 
-#: Signature values, values compared at once, and the probability that verification may miss a true pair.
-HASHES, BATCH, MISS = 200, 32, 1e-5
-#: Members of a bucket that one task compares with as many others at once.
-CHUNK = 512
+#: Signature values, those that bands may use, values compared at once, and the probability that verification may miss a true pair.
+HASHES, BANDED, BATCH, MISS = 384, 200, 32, 1e-4
+#: Members of a bucket that one task compares with as many others at once, and documents whose sets it holds.
+CHUNK, SETS = 512, 2000
 
 
 def bands(percent: int) -> tuple[int, int]:
-    """Number of bands and values of each: the longest bands that miss a pair at the threshold with at most a tenth of MISS."""
+    """Number of bands and values of each: the longest bands that miss a pair at the threshold with at most MISS / 100."""
     for rows in range(20, 0, -1):
-        if (1 - (percent / 100) ** rows) ** (HASHES // rows) <= MISS / 10:
-            return HASHES // rows, rows
-    return HASHES, 1
+        if (1 - (percent / 100) ** rows) ** (BANDED // rows) <= MISS / 100:
+            return BANDED // rows, rows
+    return BANDED, 1
 
 
 @lru_cache
@@ -103,15 +103,16 @@ def _signatures(docs: DataFrame, text: str, shingle: int, percent: int) -> DataF
 
 
 def _bucket_rows(reps: DataFrame) -> DataFrame:
-    """key, id: a row for each band of each representative."""
+    """key, band, id: a row for each band of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = np.frombuffer(flat(batch.column("keys"))[0].tobytes(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("id").to_numpy(), len(keys) // batch.num_rows))], ["key", "id"])
+                n = len(keys) // batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(batch.column("id").to_numpy(), n))], ["key", "band", "id"])
 
-    return reps.select("keys", "id").mapInArrow(run, "key long, id long")
+    return reps.select("keys", "id").mapInArrow(run, "key long, band int, id long")
 
 
 def _matrix(column: pa.Array, width: int, dtype: type) -> np.ndarray:
@@ -135,20 +136,31 @@ def _star(members: DataFrame, firsts: DataFrame, reps: DataFrame, percent: int)
     return able.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
 
 
-def _spanning(left: np.ndarray, right: np.ndarray, matches: np.ndarray) -> list[int]:
-    """Numbers of the pairs that join two sets not joined yet, likest first."""
-    parent: dict[int, int] = {}
+class _Sets:
+    """Disjoint sets of a task's ids."""
 
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
         return x
 
-    out = []
+    def joined(self, x: int, y: int) -> bool:
+        return self.top(x) == self.top(y)
+
+    def join(self, x: int, y: int) -> None:
+        self.parent[self.top(x)] = self.top(y)
+
+
+def _spanning(left: np.ndarray, right: np.ndarray, matches: np.ndarray) -> list[int]:
+    """Numbers of the pairs that join two sets not joined yet, likest first."""
+    sets, out = _Sets(), []
     for i in np.argsort(-matches, kind="stable").tolist():
-        a, b = top(int(left[i])), top(int(right[i]))
-        if a != b:
-            parent[a] = b
+        a, b = int(left[i]), int(right[i])
+        if not sets.joined(a, b):
+            sets.join(a, b)
             out.append(i)
     return out
 
@@ -164,7 +176,8 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
         for group in grouped(batches, "cell"):
             label, ids, n = (group.column(c).to_numpy() for c in ("label", "id", "n"))
             side = group.column("side").to_numpy()
-            sketch = _matrix(group.column("sketch"), HASHES, np.uint8)
+            sketch, band = _matrix(group.column("sketch"), HASHES, np.uint8), group.column("band").to_numpy()
+            bands_of = _matrix(group.column("keys"), n_bands, np.uint64)
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a in range(0, len(left), CHUNK):  # one step unless hashing has made a chunk uneven
@@ -174,7 +187,10 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
                 for b in range(0, len(i), 1 << 17):
                     x, y = i[b : b + (1 << 17)], j[b : b + (1 << 17)]
                     alive, matches = surviving(sketch[x], sketch[y], percent)
-                    found.append((x[alive], y[alive], matches))
+                    x, y = x[alive], y[alive]
+                    # A pair that meets in several bands is told in the first of them alone.
+                    once = (bands_of[x] == bands_of[y]).argmax(1) == band[x]
+                    found.append((x[once], y[once], matches[once]))
             if found:
                 x, y, matches = (np.concatenate(z) for z in zip(*found, strict=True))
                 if tree:
@@ -183,14 +199,15 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
                 x, y = ids[x], ids[y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    marked = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    n_bands, _ = bands(percent)
+    marked = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("label", "id").alias("label"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x <> y").select("key", F.ceil(F.col("size") / CHUNK).alias("chunks"))
     dealt = marked.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     # Chunk c meets every chunk d: the cell is (min, max), and side tells which of the two the member is in (2: both).
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cells = cells.select("id", "label", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
-    full = cells.join(reps.select("id", "n", "sketch"), "id").repartition("cell").sortWithinPartitions("cell")
-    return full.select("cell", "id", "label", "n", "side", "sketch").mapInArrow(run, "a long, b long").distinct()
+    cells = cells.select("id", "label", "band", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
+    full = cells.join(reps.select("id", "n", "sketch", "keys"), "id").repartition("cell").sortWithinPartitions("cell")
+    return full.select("cell", "id", "label", "n", "side", "band", "sketch", "keys").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
@@ -198,27 +215,35 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, perce
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*flat(part.column(text)), shingle)], pa.binary())], ["id", "members"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*flat(part.column(text)), shingle)], pa.binary())], ["a", "members"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("ma", "mb"))
-                both = np.concatenate([x, y])
+        for group in grouped(batches, "cell"):
+            first, second = group.column("a").to_pylist(), group.column("b").to_pylist()
+            own = {x: np.frombuffer(group.column("members")[i].as_buffer(), np.uint64) for i, (x, y) in enumerate(zip(first, second, strict=True)) if y is None}
+            links = _Sets()
+            out = []
+            for x, y in zip(first, second, strict=True):
+                # What is connected already needs no further link.
+                if y is None or x not in own or y not in own or links.joined(x, y):
+                    continue
+                both = np.concatenate([own[x], own[y]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                    links.join(x, y)
+                    out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
+    # Documents are dealt into parts; a pair goes to the cell of its two parts, and a document's set to each cell that has a pair of it, once.
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    own = only(docs.select(F.col("doc_id").cast("long"), text), ids, "doc_id").mapInArrow(sets, "id long, members binary").dropDuplicates(["id"])
-    own = own.persist()
-    side = lambda x: own.select(F.col("id").alias(x), F.col("members").alias(f"m{x}"))
-    out = cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long"))
-    own.unpersist()
-    return out
+    parts = max(1, -(-ids.count() // SETS))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    celled = pairs.select(F.xxhash64(part("a"), part("b")).alias("cell"), "a", "b")
+    own = only(docs.select(F.col("doc_id").cast("long"), text), ids, "doc_id").mapInArrow(sets, "a long, members binary").dropDuplicates(["a"])
+    sent = celled.select("cell", "a").union(celled.select("cell", "b")).distinct().join(own, "a").select("cell", "a", F.lit(None).cast("long").alias("b"), "members")
+    rows = sent.union(celled.select("cell", "a", "b", F.lit(None).cast("binary").alias("members")))
+    return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
