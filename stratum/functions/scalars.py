@@ -172,7 +172,7 @@ def or_bucket(c: str | Column, bucket) -> Column:
 
 def is_present(c: str | Column) -> Column:
     """Neither null nor empty."""
-    return col(c).isNotNull() & (col(c) != "")
+    return col(c).isNotNull() & (col(c).cast("string") != "")
 
 
 def concat_key(*cols: str | Column) -> Column:

@@ -88,7 +88,7 @@ def purchase_orders(frames: Frames, tolerance_days: int = 2) -> DataFrame:
         .withColumn("delivery_status", status)
         .withColumn("received_quantity", there)
         .withColumn("reversed_quantity", F.coalesce("reversed_quantity", F.lit(0.0)))
-        .withColumn("received_value", F.round(there * F.col("unit_price"), 2))
+        .withColumn("received_value", there * F.col("unit_price"))
     )
 
 
