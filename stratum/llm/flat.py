@@ -104,12 +104,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     change = inside[1:] != inside[:-1]
     starts, ends = np.flatnonzero(change & inside[1:]), np.flatnonzero(change & ~inside[1:])
     # A word never runs across a row's end: cut those that do.
-    cuts = np.unique(offsets[1:-1])
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data)) & (cuts != offsets[:-2])]
     if len(cuts):
         cuts = cuts[inside[cuts] & inside[cuts + 1]]
-        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
-    rows = np.searchsorted(offsets, starts, side="right") - 1
+        if len(cuts):
+            starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     return starts, ends, rows
 
 

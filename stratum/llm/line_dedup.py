@@ -19,13 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.flat import flat, mix, steps, word_hashes, words
-from stratum.llm.shared import cut
-from stratum.llm.tables import grouped, only
+from stratum.llm.shared import cut, written
+from stratum.llm.tables import grouped
 
-#: Most frequent words whose counts are broadcast (16 bytes each); all others count as rare.
+#: A word is frequent if it makes up one of so many of all words that occur again: there can't be more
+#: such words than this. Their counts are broadcast (16 bytes each); all others count as rare.
 FREQUENT_WORDS = 65_536
 #: Classes that meet in a token all at once, and prefix tokens of which a bucket holds about as many.
-SMALL_GROUP, BUCKET_TOKENS = 8, 1 << 20
+SMALL_GROUP, BUCKET_TOKENS = 8, 1 << 18
+#: Bytes of text in one numpy step, and word counts that a task holds before it sends them.
+STEP_BYTES, HELD_WORDS = 1 << 20, 1_000_000
+#: Numbers of lines that are broadcast at most (4 bytes each).
+WANTED = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,19 +56,23 @@ def _tokens(hashes: np.ndarray, line: np.ndarray, ranks: np.ndarray, shingle: in
     n = np.bincount(line, minlength=int(line[-1]) + 1 if len(line) else 0)
     token, rank = hashes.copy(), ranks.astype(np.int64)
     for j in range(1, shingle):
-        more = np.zeros(len(hashes), bool)
-        more[: len(hashes) - j] = line[j:] == line[: len(line) - j]
-        at = np.flatnonzero(more)
-        token[at] = mix(token[at] * _STEP + hashes[at + j])
-        rank[at] += ranks[at + j]
+        more, rest = line[j:] == line[: len(line) - j], len(hashes) - j
+        token[:rest] = np.where(more, token[:rest] * _STEP + hashes[j:], token[:rest])
+        rank[:rest] += np.where(more, ranks[j:], 0)
     # A line of fewer words is one token, that of its first word; of more, those that have all their words.
     first = np.cumsum(n) - n
     place = np.arange(len(line)) - first[line]
     keep = place <= np.maximum(n[line] - shingle, 0)
-    token, rank, line = token[keep], rank[keep], line[keep]
-    key = np.minimum(rank, 255).astype(np.uint64) << np.uint64(56) | token >> np.uint64(8)
-    order = np.lexsort((key, line))
+    line = line[keep]
+    key = np.minimum(rank[keep], 255).astype(np.uint64) << np.uint64(56) | mix(token[keep]) >> np.uint64(8)
+    # One sort by line and the key's upper bits; where those agree (once in 2**40), a second by all.
+    bits = np.uint64(max(1, int(line[-1]).bit_length() if len(line) else 1))
+    both = line.astype(np.uint64) << (np.uint64(64) - bits) | key >> bits
+    order = np.argsort(both)
     line, key = line[order], key[order]
+    if ((key[1:] < key[:-1]) & (line[1:] == line[:-1])).any():
+        order = np.lexsort((key, line))
+        line, key = line[order], key[order]
     once = np.ones(len(key), bool)
     once[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
     line, key = line[once], key[once]
@@ -74,18 +83,21 @@ def _tokens(hashes: np.ndarray, line: np.ndarray, ranks: np.ndarray, shingle: in
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (hash) and n over all lines of all texts; each task adds up its own words first."""
 
+    def merged(held: list) -> pa.RecordBatch:
+        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64))], ["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for part in steps(batches, text):
+        held: list = []
+        for part in steps(batches, text, STEP_BYTES):
             data, offsets = flat(part.column(text))
             starts, ends, _ = words(data, offsets)
-            own, count = np.unique(word_hashes(data, starts, ends), return_counts=True)
-            keys, back = np.unique(np.concatenate([held[0], own]), return_inverse=True)
-            held = keys, np.bincount(back, np.concatenate([held[1], count]), len(keys)).astype(np.int64)
-            if len(keys) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], ["word", "n"])
-                held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], ["word", "n"])
+            held.append(np.unique(word_hashes(data, starts, ends), return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD_WORDS:
+                yield merged(held)
+                held = []
+        if held:
+            yield merged(held)
 
     return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -109,18 +121,35 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, in as few each as their range needs: the least value, the width, the differences."""
+    if x.dtype == np.uint64:
+        return x.tobytes()
+    low = int(x.min())
+    width = next(w for w in (1, 2, 4, 8) if int(x.max()) - low < 1 << 8 * w or w == 8)
+    return low.to_bytes(8, "little", signed=True) + bytes([width]) + (x.astype(np.int64) - low).astype(f"<u{width}").tobytes()
+
+
+def _large(raw, dtype: str) -> np.ndarray:
+    """The numbers of :func:`_small`."""
+    if dtype == "<u8":
+        return np.frombuffer(raw, dtype)
+    head = bytes(raw[:9])
+    return np.frombuffer(raw, f"<u{head[8]}", offset=9).astype(np.int64) + int.from_bytes(head[:8], "little", signed=True)
+
+
 def _index(docs: DataFrame, rarity, text: str, shingle: int, percent: int, buckets: int) -> DataFrame:
     """A task's lines (kind 0, bucket by class) and prefix tokens (kind 1, bucket by token), packed by bucket."""
 
     def packed(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-        cells = [[c[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c in columns]
+        cells = [[_small(c[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c in columns]
         names = bucket[order][cuts[:-1]] * 2 + kind
         return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "token", "cls", "doc", "line", "n", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text):
+        for part in steps(batches, text, STEP_BYTES):
             data, offsets = flat(part.column(text))
             if not len(data):
                 continue
@@ -167,7 +196,7 @@ def _meet(index: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "bucket"):
-            x = {c: np.concatenate([np.frombuffer(group.column(c)[i].as_buffer(), t) for i in range(group.num_rows)]) for c, t in types.items()}
+            x = {c: np.concatenate([_large(group.column(c)[i].as_buffer(), t) for i in range(group.num_rows)]).astype(t) for c, t in types.items()}
             order = np.lexsort((x["line"], x["doc"], x["cls"], x["token"]))
             x = {c: v[order] for c, v in x.items()}
             new = np.ones(len(order), bool)
@@ -209,7 +238,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percen
     """doc, line of the pairs' first ends whose Jaccard similarity with the other end reaches the threshold."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text):
+        for part in steps(batches, text, STEP_BYTES):
             data, offsets = flat(part.column(text))
             if not len(data):
                 continue
@@ -243,11 +272,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percen
 
     ends = pairs.select("doc", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted"))
     ends = cut(ends)
-    own = only(docs.select(F.col("doc_id").cast("long").alias("doc"), text), ends.select("doc"), "doc").join(ends, "doc").select("doc", "wanted", text).mapInArrow(sets, "doc long, line int, members binary").dropDuplicates(["doc", "line"]).persist()
+    few = (ends.agg(F.sum(F.size("wanted") + 4)).first()[0] or 0) <= WANTED  # a checked size: broadcast, else both sides are shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text).join(F.broadcast(ends) if few else ends, "doc")
+    own = written(texts.select("doc", "wanted", text).mapInArrow(sets, "doc long, line int, members binary").dropDuplicates(["doc", "line"]))
     right = own.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("members").alias("my"))
-    out = cut(pairs.join(own.withColumnRenamed("members", "mx"), ["doc", "line"]).join(right, ["other_doc", "other_line"]).select("doc", "line", "mx", "my").mapInArrow(run, "doc long, line int").distinct())
-    own.unpersist()
-    return out
+    return cut(pairs.join(own.withColumnRenamed("members", "mx"), ["doc", "line"]).join(right, ["other_doc", "other_line"]).select("doc", "line", "mx", "my").mapInArrow(run, "doc long, line int").distinct())
 
 
 def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", frequent: int = FREQUENT_WORDS) -> DataFrame:
@@ -259,24 +288,29 @@ def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     """
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     spark = docs.sparkSession
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    total = int(top["n"].sum())
+    counts = written(word_counts(docs, text).filter("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.filter(F.col("n") >= max(2, total / frequent)).toPandas()
     rarity = spark.sparkContext.broadcast(_Rarity(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
 
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4 // BUCKET_TOKENS)
-    found = cut(_meet(_index(docs, rarity, text, shingle, percent, buckets), percent))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 5 // BUCKET_TOKENS)
+    found = written(_meet(_index(docs, rarity, text, shingle, percent, buckets), percent))
     copies = found.filter("kind = 0").select("doc", "line")
-    pairs = cut(found.filter("kind = 1").select("doc", "line", "other_doc", "other_line").distinct())
-    gone = _verified(pairs, docs, text, shingle, percent)
-    # Second round: of the large groups, the classes that the earliest has not removed meet all earlier ones.
+    ends = ["doc", "line", "other_doc", "other_line"]
+    pairs = written(found.filter("kind = 1").groupBy(*ends).agg(F.count("*").alias("shared")))
+    # First round: each line with the one that it shares most prefix tokens with. One similar earlier line is enough.
+    best = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "other_doc", "other_line")).alias("best")).select("doc", "line", "best.other_doc", "best.other_line")
+    best = cut(best)
+    gone = _verified(best, docs, text, shingle, percent)
+    # Second round: lines that are left meet all others, and in the large groups all earlier ones.
     groups = found.filter("kind = 2").select("token", "doc", "line", "n", "at")
     late = groups.join(gone, ["doc", "line"], "left_anti")
     early = groups.toDF("token", "other_doc", "other_line", "n2", "at2")
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
     able = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (1 + F.least("at", "at2") + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1) >= need)
     earlier = F.struct("other_doc", "other_line") < F.struct("doc", "line")
-    more = late.join(early, "token").filter(able & earlier).select("doc", "line", "other_doc", "other_line").distinct().join(pairs, ["doc", "line", "other_doc", "other_line"], "left_anti")
-    more = cut(more)
+    more = late.join(early, "token").filter(able & earlier).select(*ends)
+    more = cut(more.union(pairs.select(*ends).join(gone, ["doc", "line"], "left_anti")).distinct().join(best, ends, "left_anti"))
     if more.take(1):
         gone = gone.union(_verified(more, docs, text, shingle, percent))
     return copies.union(gone).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed"))

@@ -28,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from there: a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, as a compressed table below the shared folder: for wide or many rows."""
+    df.write.parquet(path := new_folder(df.sparkSession, "table"))
+    return df.sparkSession.read.parquet(path)
