@@ -7,6 +7,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+# Python workers are reused for hours: freed buffers must go back to the system, not into a pool.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that one numpy step works on; longer texts form a step of their own.
 STEP_BYTES = 2 << 20
 

@@ -17,7 +17,7 @@ from stratum.llm.flat import word_hashes, words
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words that a Python worker remembers (about 40 bytes each) before it starts anew.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 500_000
 #: New words that wait before they are merged into the sorted cache.
 RECENT_WORDS = 60_000
 #: Below this character, NFC changes nothing and lower case goes character by character.

@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
     Where a class has no documents, the model gives everything the share of class 1 (0.5 without labels).
     """
+    from pyspark.ml.classification import LogisticRegression  # here, so that workers that only score don't load it
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
     sample = sample_labelled(docs, labels, label, per_class, text)
     counts = _counts(sample, text).persist()
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
