@@ -25,7 +25,7 @@ def json_rows(df: DataFrame, c: str, schema: str, position: str = "pos", element
 
 def list_values(c: str | Column) -> Column:
     """A comma list's values, trimmed and lower-cased."""
-    return F.transform(F.split(F.lower(col(c)), ","), F.trim)
+    return F.transform(F.split(F.lower(col(c)), ","), lambda x: F.trim(x))
 
 
 def list_has(c: str | Column, x: str | Column) -> Column:
@@ -40,4 +40,4 @@ def to_payload(*cols: str) -> Column:
 
 def list_rows(df: DataFrame, c: str, name: str = "item") -> DataFrame:
     """A row for each value of a comma list, trimmed; empty values go."""
-    return df.select("*", F.explode(F.transform(F.split(F.col(c), ","), F.trim)).alias(name)).filter(F.col(name) != "")
+    return df.select("*", F.explode(F.transform(F.split(F.col(c), ","), lambda x: F.trim(x))).alias(name)).filter(F.col(name) != "")

@@ -187,7 +187,7 @@ def strip_prefix(c: str | Column, prefix: str) -> Column:
 
 def format_kpi(value: str | Column, unit: str, state: str | Column, digits: int = 1) -> Column:
     """Value, unit and health in brackets, such as ``91.9% [GREEN]``."""
-    return F.concat(F.format_number(col(value), f"0.{'0' * digits}"), F.lit(f"{unit} ["), col(state), F.lit("]"))
+    return F.concat(F.format_string(f"%.{digits}f", col(value).cast("double")), F.lit(f"{unit} ["), col(state), F.lit("]"))
 
 
 _DATE_NAME = re.compile(r"(_date|_at|_ts|_utc|date)$|^[A-Z]*(DAT|DT|DATE)[A-Z0-9]?$")

@@ -26,7 +26,7 @@ def supersede(evidence: DataFrame, new: DataFrame) -> DataFrame:
     first = new.groupBy("analysis_type", "source_tables").agg(F.min("id").alias("_by"))
     old = evidence.join(first, ["analysis_type", "source_tables"], "left")
     hit = F.col("superseded_by").isNull() & F.col("_by").isNotNull()
-    old = old.withColumn("superseded_by", F.when(hit, F.col("_by")).otherwise(F.col("superseded_by"))).withColumn("status", F.when(hit, "superseded").otherwise(F.col("status")))
+    old = old.withColumns({"superseded_by": F.when(hit, F.col("_by")).otherwise(F.col("superseded_by")), "status": F.when(hit, "superseded").otherwise(F.col("status"))})
     return append_evidence(old.select(evidence.columns), new)
 
 
@@ -94,7 +94,7 @@ def resolve_scope(sources: Sequence[tuple[str, DataFrame]], live: DataFrame) ->
 def sweep_orphans(runs: DataFrame, ttl_hours: int, as_of: str) -> DataFrame:
     """Runs in progress for longer than the time to live become failed, with the reason."""
     old = (F.col("status") == "in_progress") & (F.col("started_at_utc") < F.lit(as_of).cast("timestamp") - F.expr(f"interval {int(ttl_hours)} hours"))
-    return runs.withColumn("error_message", F.when(old, F.lit(f"orphaned: in progress for over {ttl_hours} hours")).otherwise(F.col("error_message"))).withColumn("status", F.when(old, "failed").otherwise(F.col("status")))
+    return runs.withColumns({"error_message": F.when(old, F.lit(f"orphaned: in progress for over {ttl_hours} hours")).otherwise(F.col("error_message")), "status": F.when(old, "failed").otherwise(F.col("status"))})
 
 
 def merge_join_keys(declared: DataFrame, found: DataFrame, least: float = 0.95) -> DataFrame:

@@ -122,7 +122,7 @@ def source_quality(frames: Mapping[str, DataFrame]) -> DataFrame:
 def freshness_state(facts: DataFrame, tables: Sequence[str], as_of: str, ts: str = "last_source_ingestion_at", table: str = "source_tables", green: int = 3, yellow: int = 14) -> DataFrame:
     """Age in days of the newest row of each table: green, yellow, red or no_baseline; writes are blocked on the last two."""
     wanted = facts.sparkSession.createDataFrame([(t,) for t in tables], "source_table string")
-    known = facts.select(F.explode(F.transform(F.split(table, ","), F.trim)).alias("source_table"), ts).groupBy("source_table").agg(F.max(ts).alias("newest"))
+    known = facts.select(F.explode(F.transform(F.split(table, ","), lambda x: F.trim(x))).alias("source_table"), ts).groupBy("source_table").agg(F.max(ts).alias("newest"))
     out = wanted.join(known, "source_table", "left").withColumn("age_days", F.datediff(F.lit(as_of).cast("date"), F.col("newest").cast("date")))
     state = F.when(F.col("age_days").isNull(), "no_baseline").when(F.col("age_days") <= green, "green").when(F.col("age_days") <= yellow, "yellow").otherwise("red")
     return out.withColumn("state", state).withColumn("write_blocked", F.col("state").isin("red", "no_baseline"))
