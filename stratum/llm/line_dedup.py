@@ -5,8 +5,8 @@ from the counts of their words over all lines), so that a line's prefix, the few
 similar line must share one, holds its rarest. Prefix tokens are dealt out to buckets; a bucket sorts
 them and finds, for every token, the lines that meet there. Lines with equal sets are one class.
 Length and positional filters drop pairs that can't reach the threshold, and the others are verified
-on their full sets. Where many classes meet, each first meets the earliest only; those that it does
-not remove then meet all.
+on their full sets. Where many classes meet, each first meets the likest or the earliest only; those
+that this does not remove then meet all, in prefixes of exact rarity.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm.flat import flat, mix, steps, word_hashes, words
@@ -234,8 +234,8 @@ def _meet(index: DataFrame, percent: int) -> DataFrame:
     return index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PAIRS)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
-    """doc, line of the pairs' first ends whose Jaccard similarity with the other end reaches the threshold."""
+def _token_sets(lines: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """doc, line, members (packed tokens) of the lines that are asked for."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text, STEP_BYTES):
@@ -259,6 +259,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percen
                         members.append(token[cuts[at] : cuts[at + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(lines_, pa.int32()), pa.array(members, pa.binary())], ["doc", "line", "members"])
 
+    ends = cut(lines.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
+    few = (ends.agg(F.sum(F.size("wanted") + 4)).first()[0] or 0) <= WANTED  # a checked size: broadcast, else both sides are shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text).join(F.broadcast(ends) if few else ends, "doc")
+    return written(texts.select("doc", "wanted", text).mapInArrow(sets, "doc long, line int, members binary").dropDuplicates(["doc", "line"]))
+
+
+def _verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """doc, line of the pairs' first ends whose Jaccard similarity with the other end reaches the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -270,15 +279,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percen
                     keep.append(i)
             yield batch.select(["doc", "line"]).take(pa.array(keep, pa.int64()))
 
-    ends = pairs.select("doc", "line").union(pairs.select("other_doc", "other_line")).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted"))
-    ends = cut(ends)
-    few = (ends.agg(F.sum(F.size("wanted") + 4)).first()[0] or 0) <= WANTED  # a checked size: broadcast, else both sides are shuffled
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text).join(F.broadcast(ends) if few else ends, "doc")
-    own = written(texts.select("doc", "wanted", text).mapInArrow(sets, "doc long, line int, members binary").dropDuplicates(["doc", "line"]))
     right = own.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("members").alias("my"))
     return cut(pairs.join(own.withColumnRenamed("members", "mx"), ["doc", "line"]).join(right, ["other_doc", "other_line"]).select("doc", "line", "mx", "my").mapInArrow(run, "doc long, line int").distinct())
 
 
+def _rarest(own: DataFrame, percent: int) -> DataFrame:
+    """token, doc, line, n, at: the prefixes of lines whose tokens are ordered by their exact counts among these lines.
+
+    Tokens of one line alone come first and can't be shared, so they are counted and not sent on.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw, offsets = flat(batch.column("members"))
+                n = np.diff(offsets) // 8
+                columns = [pa.array(np.frombuffer(raw.tobytes(), np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("doc", "line")), pa.array(np.repeat(n, n).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "doc", "line", "n"])
+
+    tokens = own.mapInArrow(explode, "token long, doc long, line int, n int")
+    shared = tokens.withColumn("count", F.count("*").over(Window.partitionBy("token"))).filter("count > 1")
+    in_line = Window.partitionBy("doc", "line")
+    placed = shared.withColumn("at", F.row_number().over(in_line.orderBy("count", "token")) - 1 + F.col("n") - F.count("*").over(in_line))
+    return placed.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "doc", "line", "n", "at")
+
+
 def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", frequent: int = FREQUENT_WORDS) -> DataFrame:
     """doc_id and removed (sorted line numbers, from 0) of every document that has lines to remove.
 
@@ -301,9 +326,13 @@ def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     # First round: each line with the one that it shares most prefix tokens with. One similar earlier line is enough.
     best = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "other_doc", "other_line")).alias("best")).select("doc", "line", "best.other_doc", "best.other_line")
     best = cut(best)
-    gone = _verified(best, docs, text, shingle, percent)
-    # Second round: lines that are left meet all others, and in the large groups all earlier ones.
-    groups = found.filter("kind = 2").select("token", "doc", "line", "n", "at")
+    both = lambda x: x.select("doc", "line").union(x.select("other_doc", "other_line"))
+    own = _token_sets(both(pairs).union(found.filter("kind = 2").select("doc", "line")), docs, text, shingle)
+    gone = _verified(best, own, percent)
+    # Second round: lines that are left meet all others. For the lines of large groups the tokens are ordered anew, by
+    # their exact counts among these lines, so that a passage that many different lines share brings none of them together.
+    large = found.filter("kind = 2").select("doc", "line").distinct()
+    groups = written(_rarest(own.join(large, ["doc", "line"], "left_semi"), percent))
     late = groups.join(gone, ["doc", "line"], "left_anti")
     early = groups.toDF("token", "other_doc", "other_line", "n2", "at2")
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
@@ -312,7 +341,7 @@ def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     more = late.join(early, "token").filter(able & earlier).select(*ends)
     more = cut(more.union(pairs.select(*ends).join(gone, ["doc", "line"], "left_anti")).distinct().join(best, ends, "left_anti"))
     if more.take(1):
-        gone = gone.union(_verified(more, docs, text, shingle, percent))
+        gone = gone.union(_verified(more, own, percent))
     return copies.union(gone).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
