@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.flat import flat, mix, steps
-from stratum.llm.shared import cut
+from stratum.llm.shared import cut, written
 from stratum.llm.shingles import shingle_sets
 from stratum.llm.tables import components, grouped, only
 
 #: Signature values, those that bands may use, values compared at once, and the probability that verification may miss a true pair.
 HASHES, BANDED, BATCH, MISS = 384, 200, 32, 1e-4
 #: Members of a bucket that one task compares with as many others at once, and documents whose sets it holds.
-CHUNK, SETS = 512, 2000
+CHUNK, SETS = 1024, 2000
 
 
 def bands(percent: int) -> tuple[int, int]:
@@ -95,7 +95,7 @@ def _signatures(docs: DataFrame, text: str, shingle: int, percent: int) -> DataF
             keys = mix((mix(wide + np.uint64(1)) * weights).sum(2, dtype=np.uint64) ^ salts)
             sketch = (signature >> np.uint32(7)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([x.tobytes() for x in (keys >> np.uint64(32)).astype(np.uint32)], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())],
                 ["doc_id", "n", "d1", "d2", "keys", "sketch"],
             )
 
@@ -108,8 +108,9 @@ def _bucket_rows(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = np.frombuffer(flat(batch.column("keys"))[0].tobytes(), np.int64)
+                keys = np.frombuffer(flat(batch.column("keys"))[0].tobytes(), np.uint32)
                 n = len(keys) // batch.num_rows
+                keys = np.tile(np.arange(n, dtype=np.int64), batch.num_rows) << 32 | keys.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(batch.column("id").to_numpy(), n))], ["key", "band", "id"])
 
     return reps.select("keys", "id").mapInArrow(run, "key long, band int, id long")
@@ -177,7 +178,7 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
             label, ids, n = (group.column(c).to_numpy() for c in ("label", "id", "n"))
             side = group.column("side").to_numpy()
             sketch, band = _matrix(group.column("sketch"), HASHES, np.uint8), group.column("band").to_numpy()
-            bands_of = _matrix(group.column("keys"), n_bands, np.uint64)
+            bands_of = _matrix(group.column("keys"), n_bands, np.uint32)
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a in range(0, len(left), CHUNK):  # one step unless hashing has made a chunk uneven
@@ -253,14 +254,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     component_id is the smallest doc_id reachable, and kept marks it. Null and empty texts are linked
     with nothing. Rows that share a doc_id are one document; rows with a null doc_id are left out.
     """
-    base = cut(_signatures(docs.filter("doc_id is not null"), text, shingle, percent))
-    classes = base.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    reps = base.filter("n > 0").join(classes.select(F.col("id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
-    reps = cut(reps.select(F.col("doc_id").alias("id"), "n", "keys", "sketch"))
+    base = written(_signatures(docs.filter("doc_id is not null"), text, shingle, percent))
+    full = base.filter("n > 0")
+    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
+    copies = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).filter("doc_id <> id").select("doc_id").distinct())
+    reps = only(full, copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "keys", "sketch")
     rows = _bucket_rows(reps)
     firsts = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("key", "first")
     firsts = cut(firsts)
-    members = cut(rows.join(firsts, "key", "left_semi"))
+    members = written(rows.join(firsts, "key", "left_semi"))
     tried = cut(_star(members, firsts, reps, percent))
     found = _confirmed(tried, docs, text, shingle, percent)
     named = lambda links: cut(components(links).select(F.col("node").alias("id"), F.col("component").alias("label")))
