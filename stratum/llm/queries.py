@@ -52,6 +52,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm.sentencepiece_lattice import decode, encode
+
+    out = decode(encode(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratum.llm.media import media_features, with_container
 
@@ -84,6 +91,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_media_columns": op8_media_columns,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
