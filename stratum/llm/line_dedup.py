@@ -336,9 +336,13 @@ def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     late = groups.join(gone, ["doc", "line"], "left_anti")
     early = groups.toDF("token", "other_doc", "other_line", "n2", "at2")
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    able = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (1 + F.least("at", "at2") + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1) >= need)
+    alike = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     earlier = F.struct("other_doc", "other_line") < F.struct("doc", "line")
-    more = late.join(early, "token").filter(able & earlier).select(*ends)
+    # Of two prefixes, all that the one which ends first shares with the other line lies in both: the overlap is at
+    # most the tokens that the prefixes share and what is left of that line.
+    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    met = late.join(early, "token").filter(alike & earlier).groupBy(*ends).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    more = met.filter(F.col("shared") + F.greatest(rest("n"), rest("n2")) >= need).select(*ends)
     more = cut(more.union(pairs.select(*ends).join(gone, ["doc", "line"], "left_anti")).distinct().join(best, ends, "left_anti"))
     if more.take(1):
         gone = gone.union(_verified(more, own, percent))
