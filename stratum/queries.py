@@ -134,7 +134,10 @@ l AS (SELECT hk_customer, c_custkey, c_name, c_nationkey, c_mktsegment AS seg, '
 h AS (SELECT *, {_HASH.format("c_name, CAST(c_nationkey AS VARCHAR), seg")} AS hashdiff FROM l),
 sat AS (SELECT hk_customer, c_name AS customer_name, seg AS segment, hashdiff, min(load_date) AS load_date FROM h GROUP BY ALL)
 """
-_AS_TEXT = {"load_date": F.date_format("load_date", "yyyy-MM-dd HH:mm:ss")}
+
+
+def _times_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("load_date", F.date_format("load_date", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("b_stage_orders", """SELECT md5(CAST(o_orderkey AS VARCHAR)) AS hk_order, md5(CAST(o_custkey AS VARCHAR)) AS hk_customer, o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice,
@@ -170,7 +173,7 @@ def _(t):
     spec = vault.HubSpec("hk_customer", {"c_custkey": "customer_id"})
     one, two = _customer_loads(t)
     hub = vault.load_hub(one, None, spec)
-    return hub.union(vault.load_hub(two, hub, spec)).withColumns(_AS_TEXT)
+    return _times_as_text(hub.union(vault.load_hub(two, hub, spec)))
 
 
 @query("c_link_order_customer", "SELECT md5(concat_ws('||', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR))) AS hk_order_customer, md5(CAST(o_orderkey AS VARCHAR)) AS hk_order, md5(CAST(o_custkey AS VARCHAR)) AS hk_customer FROM orders WHERE o_orderstatus <> 'P'")
@@ -182,12 +185,12 @@ def _(t):
 
 @query("c_sat_customer_history", f"{_SAT_SQL} SELECT * FROM sat")
 def _(t):
-    return _customer_sat(t).drop("record_source").withColumns(_AS_TEXT)
+    return _times_as_text(_customer_sat(t).drop("record_source"))
 
 
 @query("c_current_by_max", f"{_SAT_SQL} SELECT hk_customer, segment, load_date FROM sat QUALIFY rank() OVER (PARTITION BY hk_customer ORDER BY load_date DESC) = 1")
 def _(t):
-    return vault.current_by_max(_customer_sat(t), "hk_customer").select("hk_customer", "segment", "load_date").withColumns(_AS_TEXT)
+    return _times_as_text(vault.current_by_max(_customer_sat(t), "hk_customer").select("hk_customer", "segment", "load_date"))
 
 
 @query("c_latest_snapshot", f"{_SAT_SQL} SELECT hk_customer, segment FROM sat WHERE load_date = (SELECT max(load_date) FROM sat)")
