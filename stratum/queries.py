@@ -492,3 +492,50 @@ def _(t):
 def _(t):
     a = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).selectExpr("o_orderkey", "c_nationkey AS k")
     return derive.round_robin_pair(a, t["supplier"].selectExpr("s_suppkey", "s_nationkey AS k"), "k", "o_orderkey", "s_suppkey").select("o_orderkey", "s_suppkey")
+
+
+# --- more profiling and gates over the driver's tables ------------------------------------------------
+@query("j_sum_match", "SELECT count(*) AS compared, count(*) FILTER (CAST(o_totalprice AS DECIMAL(18,2)) = s) AS matched FROM orders JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def _(t):
+    money = lambda df, k, c: df.select(F.col(k).alias("k"), F.col(c).cast("decimal(18,2)").alias("m"))
+    return profile.sum_match_exact(money(t["orders"], "o_orderkey", "o_totalprice"), money(t["lineitem"], "l_orderkey", "l_extendedprice"), "k", "m")
+
+
+@query("j_bridge_fanout", """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(avg(CASE WHEN n > 0 THEN CAST(n AS DOUBLE) END), 6) AS avg_fanout, CAST(max(n) AS BIGINT) AS max_fanout, round(stddev_pop(CASE WHEN n > 0 THEN CAST(n AS DOUBLE) END), 6) AS stddev_fanout, count(*) < 500 AS sample_saturated
+FROM (SELECT k, coalesce(n, 0) AS n FROM (SELECT DISTINCT c_custkey AS k FROM customer ORDER BY md5(CAST(k AS VARCHAR)), k LIMIT 500) LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) USING (k))""")
+def _(t):
+    return profile.measure_bridge(t["customer"].withColumnRenamed("c_custkey", "k"), t["orders"].selectExpr("o_custkey AS k", "o_orderkey AS j"), t["lineitem"].withColumnRenamed("l_orderkey", "j"), "k", "j")
+
+
+@query("j_month_gaps", "SELECT CAST(m AS DATE) AS month FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders WHERE month(o_orderdate) <> 2) WHERE m NOT IN (SELECT date_trunc('month', o_orderdate) FROM orders WHERE month(o_orderdate) <> 2)")
+def _(t):
+    return profile.month_gaps(t["orders"].filter("month(o_orderdate) <> 2"), "o_orderdate")
+
+
+@query("k_contracts", f"WITH o AS ({_NULLED}) SELECT 'orders' AS source_table, 80.0::DOUBLE AS completeness_threshold_pct, round(100 - 100.0::DOUBLE * greatest(count(*) - count(o_orderstatus), count(*) - count(o_custkey)) / count(*), 6) AS min_completeness_pct, CASE WHEN 100 - 100.0 * greatest(count(*) - count(o_orderstatus), count(*) - count(o_custkey)) / count(*) >= 80 THEN 'PASS' ELSE 'BREACH' END AS verdict FROM o UNION ALL SELECT 'absent', 80, NULL, 'UNKNOWN'")
+def _(t):
+    contracts = t.spark.createDataFrame([("orders", 80.0), ("absent", 80.0)], "source_table string, completeness_threshold_pct double")
+    return quality.check_contracts({"orders": _nulled(t)}, contracts).select("source_table", "completeness_threshold_pct", "min_completeness_pct", "verdict")
+
+
+@query("k_stale_in_state", "SELECT event_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 24 HOUR")
+def _(t):
+    return quality.stale_in_state(t["events"], "event_type", "signup", "ts", 24, "2024-01-05 00:00:00").select("event_id")
+
+
+@query("k_staging_parity", "SELECT count(*) AS raw_rows, count(*) FILTER (o_orderkey % 11 <> 0) AS staged_rows, CASE WHEN count(*) = count(*) FILTER (o_orderkey % 11 <> 0) THEN 'pass' ELSE 'fail' END AS status FROM orders")
+def _(t):
+    return quality.staging_parity(t["orders"], t["orders"].filter("o_orderkey % 11 <> 0"))
+
+
+@query("o_stock_and_journal", f"{FRAMES_SQL} SELECT side, account, count(*) AS n, CAST(sum(CASE WHEN amount > 0 THEN CAST(amount AS DECIMAL(18,2)) ELSE 1 END) AS DOUBLE) AS total FROM (SELECT quantity AS amount FROM movements), (VALUES ('S', 'stock'), ('H', 'clearing')) v(side, account) GROUP BY 1, 2")
+def _(t):
+    lines = derive.journal_from_movements(frames(t.spark, t.sf_dir)["movements"].withColumnRenamed("quantity", "amount"))
+    return lines.groupBy("side", "account").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query("l_supersede", "SELECT conv_id, CAST(turn AS INTEGER) AS version, turn = max(turn) OVER (PARTITION BY conv_id) AS is_current FROM conversations")
+def _(t):
+    c = t["conversations"].select("conv_id", F.col("turn").cast("int").alias("version"), F.col("turn").alias("load_date"))
+    newest = vault.current_by_max(c, "conv_id").select("conv_id", "version", F.lit(True).alias("is_current"))
+    return c.join(newest, ["conv_id", "version"], "left").select("conv_id", "version", F.coalesce("is_current", F.lit(False)).alias("is_current"))
