@@ -11,7 +11,7 @@ import pyarrow as pa
 pa.set_memory_pool(pa.system_memory_pool())
 
 #: Bytes of text that one numpy step works on; longer texts form a step of their own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1_000_000
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

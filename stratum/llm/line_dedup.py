@@ -28,7 +28,7 @@ FREQUENT_WORDS = 65_536
 #: Classes that meet in a token all at once, and prefix tokens of which a bucket holds about as many.
 SMALL_GROUP, BUCKET_TOKENS = 8, 1 << 18
 #: Bytes of text in one numpy step, and word counts that a task holds before it sends them.
-STEP_BYTES, HELD_WORDS = 1 << 20, 1_000_000
+STEP_BYTES, HELD_WORDS = 1_000_000, 700_000
 #: Numbers of lines that are broadcast at most (4 bytes each).
 WANTED = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)

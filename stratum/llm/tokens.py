@@ -118,11 +118,6 @@ class WordEncoder:
         return ids, np.concatenate([[0], cum])[at]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def word_encoder(name: str = WORD_TOKENIZER) -> WordEncoder:
-    """The worker's encoder; reused by later tasks of the same worker."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = WordEncoder(name)
-    return _ENCODERS[name]
+    """A task's encoder. It goes with the task: workers are reused, and what they keep adds up."""
+    return WordEncoder(name)
