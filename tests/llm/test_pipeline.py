@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     rows += [(200 + i, prose(1, 60) if i < 3 else prose(900 + i, 80) + " " + prose(77, 120) + " " + prose(950 + i, 60)) for i in range(9)]
     rows += [(300 + i, " ".join(f"edit{i}" if j == 7 * i else w for j, w in enumerate(prose(66, 150).split()))) for i in range(8)] + [(400, ""), (401, None)]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i < 160 and i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
