@@ -474,9 +474,9 @@ def _(t):
     return derive.stock_from_movements(metrics.goods_movements(frames(t.spark, t.sf_dir)))
 
 
-@query("o_journal_billing", "SELECT document_id, line_no, side, account, CAST(amount AS DOUBLE) AS amount FROM (SELECT o_orderkey AS document_id, CAST(o_totalprice AS DECIMAL(18,2)) AS a, CAST(round(o_totalprice * 0.19, 2) AS DECIMAL(18,2)) AS x FROM orders WHERE o_orderstatus <> 'P'), LATERAL (SELECT 1 AS line_no, 'S' AS side, 'receivable' AS account, a + x AS amount UNION ALL SELECT 2, 'H', 'revenue', a UNION ALL SELECT 3, 'H', 'tax', x)")
+@query("o_journal_billing", "SELECT document_id, line_no, side, account, CAST(amount AS DOUBLE) AS amount FROM (SELECT o_orderkey AS document_id, CAST(o_totalprice AS DECIMAL(18,2)) AS a, CAST(CAST(o_totalprice AS DECIMAL(15,2)) * CAST(0.19 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS x FROM orders WHERE o_orderstatus <> 'P'), LATERAL (SELECT 1 AS line_no, 'S' AS side, 'receivable' AS account, a + x AS amount UNION ALL SELECT 2, 'H', 'revenue', a UNION ALL SELECT 3, 'H', 'tax', x)")
 def _(t):
-    heads = t["orders"].selectExpr("o_orderkey AS document_id", "cast(o_totalprice AS decimal(18,2)) AS net", "cast(round(o_totalprice * 0.19D, 2) AS decimal(18,2)) AS tax", "o_orderstatus = 'P' AS cancelled")
+    heads = t["orders"].selectExpr("o_orderkey AS document_id", "cast(o_totalprice AS decimal(18,2)) AS net", "cast(cast(o_totalprice AS decimal(15,2)) * cast(0.19 AS decimal(3,2)) AS decimal(18,2)) AS tax", "o_orderstatus = 'P' AS cancelled")
     return derive.journal_from_billing(heads).withColumn("amount", F.col("amount").cast("double"))
 
 
