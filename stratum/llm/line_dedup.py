@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm.flat import flat, mix, steps, word_hashes, words
 from stratum.llm.shared import cut, written
-from stratum.llm.tables import grouped
+from stratum.llm.tables import grouped, only
 
 #: A word is frequent if it makes up one of so many of all words that occur again: there can't be more
 #: such words than this. Their counts are broadcast (16 bytes each); all others count as rare.
@@ -138,6 +138,25 @@ def _large(raw, dtype: str) -> np.ndarray:
     return np.frombuffer(raw, f"<u{head[8]}", offset=9).astype(np.int64) + int.from_bytes(head[:8], "little", signed=True)
 
 
+def _numbered(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``_base``, the number of a row's first line among the lines of its doc_id: 0, but where a doc_id
+    has several texts, these follow each other in the order of their hashes. Rows of equal doc_id and text share it."""
+    doc, key = F.col("doc_id").cast("long"), F.xxhash64(text)
+    rows = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(doc.alias("_id"), key.alias("_key"), text)
+    several = cut(rows.groupBy("_id").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).filter("a <> b").select("_id"))
+    if not several.take(1):
+        return docs.withColumn("_base", F.lit(0))
+    own = only(rows, several, "_id").groupBy("_id", "_key").agg(F.max(_n_lines(text)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_id").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1))
+    bases = own.select("_id", "_key", F.coalesce(before, F.lit(0)).cast("int").alias("_base"))
+    out = docs.withColumn("_key", key).join(bases.withColumnRenamed("_key", "_key2"), (doc == F.col("_id")) & (F.col("_key") == F.col("_key2")), "left")
+    return out.select(*docs.columns, F.coalesce("_base", F.lit(0)).alias("_base"))
+
+
+def _n_lines(text: str) -> Column:
+    return F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long")
+
+
 def _index(docs: DataFrame, rarity, text: str, shingle: int, percent: int, buckets: int) -> DataFrame:
     """A task's lines (kind 0, bucket by class) and prefix tokens (kind 1, bucket by token), packed by bucket."""
 
@@ -165,7 +184,7 @@ def _index(docs: DataFrame, rarity, text: str, shingle: int, percent: int, bucke
             cls[full] = mix(np.add.reduceat(mix(token), begin[full]) + n[full].astype(np.uint64))
             owner = np.repeat(np.arange(part.num_rows), np.diff(first))
             doc = part.column("doc_id").to_numpy()[owner].astype(np.int64)
-            number = (np.arange(len(n)) - first[owner]).astype(np.int32)
+            number = (np.arange(len(n)) - first[owner] + part.column("_base").to_numpy()[owner]).astype(np.int32)
             empty = np.zeros(len(full), np.int32)
             of = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             yield packed(0, of(cls[full]), cls[full], cls[full], doc[full], number[full], empty, empty)
@@ -173,7 +192,7 @@ def _index(docs: DataFrame, rarity, text: str, shingle: int, percent: int, bucke
             line, token, at = line[keep], token[keep], at[keep]
             yield packed(1, of(mix(token)), token, cls[line], doc[line], number[line], n[line].astype(np.int32), at.astype(np.int32))
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "bucket long, token binary, cls binary, doc binary, line binary, n binary, at binary")
+    return docs.select(F.col("doc_id").cast("long"), text, "_base").mapInArrow(run, "bucket long, token binary, cls binary, doc binary, line binary, n binary, at binary")
 
 
 _PAIRS = "kind int, doc long, line int, other_doc long, other_line int, token long, n int, at int"
@@ -202,7 +221,10 @@ def _meet(index: DataFrame, percent: int) -> DataFrame:
             new = np.ones(len(order), bool)
             new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["cls"][1:] != x["cls"][:-1])
             if group.column("bucket")[0].as_py() % 2 == 0:
-                yield out(0, x["doc"][~new], x["line"][~new])
+                # A row that stands again sends the same lines: those are no copies of themselves.
+                other = np.ones(len(order), bool)
+                other[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["line"][1:] != x["line"][:-1])
+                yield out(0, x["doc"][~new & other], x["line"][~new & other])
                 continue
             # Every line of a class has the same prefix: the first here is its first of all.
             x = {c: v[new] for c, v in x.items()}
@@ -248,12 +270,12 @@ def _token_sets(lines: DataFrame, docs: DataFrame, text: str, shingle: int) -> D
                 continue
             line, token, _ = _tokens(hashes, line, np.zeros(len(hashes), np.int64), shingle)
             cuts = np.searchsorted(line, np.arange(len(starts)))
-            wanted = part.column("wanted").to_pylist()
+            wanted, base = part.column("wanted").to_pylist(), part.column("_base").to_pylist()
             docs_, lines_, members = [], [], []
             for i, (doc, asked) in enumerate(zip(part.column("doc").to_pylist(), wanted, strict=True)):
                 for k in asked:
-                    at = first[i] + k
-                    if at < first[i + 1]:
+                    at = first[i] + k - base[i]
+                    if first[i] <= at < first[i + 1]:
                         docs_.append(doc)
                         lines_.append(k)
                         members.append(token[cuts[at] : cuts[at + 1]].tobytes())
@@ -261,8 +283,8 @@ def _token_sets(lines: DataFrame, docs: DataFrame, text: str, shingle: int) -> D
 
     ends = cut(lines.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
     few = (ends.agg(F.sum(F.size("wanted") + 4)).first()[0] or 0) <= WANTED  # a checked size: broadcast, else both sides are shuffled
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text).join(F.broadcast(ends) if few else ends, "doc")
-    return written(texts.select("doc", "wanted", text).mapInArrow(sets, "doc long, line int, members binary").dropDuplicates(["doc", "line"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text, "_base").join(F.broadcast(ends) if few else ends, "doc")
+    return written(texts.select("doc", "wanted", text, "_base").mapInArrow(sets, "doc long, line int, members binary").dropDuplicates(["doc", "line"]))
 
 
 def _verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -309,8 +331,15 @@ def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
 
     A line goes if an earlier one, by doc_id and line number, has a Jaccard similarity of percent / 100
     or more; lines are judged on the input. Lines without words stay and match nothing. Rows with a
-    null doc_id or text have no lines; rows that share a doc_id should have equal texts, as lines are named by it.
+    null doc_id or text have no lines. Rows of equal doc_id and text are one document: a line of theirs goes from
+    all of them or from none. Different texts of one doc_id count as parts of it in the order of their hashes, and
+    the line numbers run on from one to the next.
     """
+    return _later(_numbered(docs, text), shingle, percent, text, frequent)
+
+
+def _later(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", frequent: int = FREQUENT_WORDS) -> DataFrame:
+    """:func:`later_lines` of documents that :func:`_numbered` has numbered."""
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     spark = docs.sparkSession
     counts = written(word_counts(docs, text).filter("n > 1"))
@@ -350,17 +379,20 @@ def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
 
 
 def line_report(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_removed, removed (line numbers). A null text has no lines."""
-    removed = later_lines(docs, text=text, **options)
-    n_lines = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long")
-    out = docs.select(F.col("doc_id").cast("long"), n_lines.alias("n_lines")).join(removed, "doc_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    """One row per row of ``docs``: doc_id, n_lines, n_removed, removed (line numbers in the row's text). A null text has no lines."""
+    docs = _numbered(docs, text)
+    removed = _later(docs, text=text, **options)
+    out = docs.select(F.col("doc_id").cast("long"), _n_lines(text).alias("n_lines"), "_base").join(removed, "doc_id", "left")
+    own = F.transform(F.filter("removed", lambda x: (x >= F.col("_base")) & (x < F.col("_base") + F.col("n_lines"))), lambda x: x - F.col("_base"))
+    own = F.coalesce(own, F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", F.size(own).cast("long").alias("n_removed"), own.alias("removed"))
 
 
 def remove_later_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the lines that :func:`later_lines` names; rows and other columns stay."""
-    removed = later_lines(docs, text=text, **options).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    joined = docs.join(removed, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    rows = _numbered(docs, text)
+    removed = _later(rows, text=text, **options).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
+    joined = rows.join(removed, F.col("doc_id").cast("long") == F.col("_doc"), "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_removed"), i + F.col("_base"))), "\n")
     return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)).select(docs.columns)

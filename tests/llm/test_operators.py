@@ -140,6 +140,16 @@ def test_op4_lines_against_brute_force(spark, docs, texts, empty):
     assert line_dedup.line_report(empty).count() == 0 and line_dedup.remove_later_lines(empty).count() == 0
 
 
+def test_op4_rows_that_share_a_doc_id(spark):
+    a, b, c, d = (prose(200 + i, 30) for i in range(4))
+    rows = [(1, a + "\n" + b), (1, a + "\n" + b), (2, c), (2, a + "\n" + d), (3, b), (3, b), (4, d + "\n" + c), (5, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sorted(map(tuple, line_dedup.remove_later_lines(df).collect()))
+    assert out == sorted([rows[0], rows[1], (2, c), (2, d), (3, ""), (3, ""), (4, ""), (5, "")])
+    report = sorted((r.doc_id, r.n_lines, r.n_removed, r.removed) for r in line_dedup.line_report(df).collect())
+    assert report == [(1, 2, 0, []), (1, 2, 0, []), (2, 1, 0, []), (2, 2, 1, [0]), (3, 1, 1, [0]), (3, 1, 1, [0]), (4, 2, 2, [0, 1]), (5, 1, 1, [0])]
+
+
 def brute_repeats(texts, n=400):
     raw = {i: (t or "").encode() for i, t in texts}
     count = {}
