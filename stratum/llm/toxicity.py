@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.flat import flat, steps
-from stratum.llm.labels import sample_labelled
+from stratum.llm.labels import class_weights, sample_labelled
 
 #: Lengths of the n-grams in bytes, and the bits of the hash that names them.
 ORDERS, BITS = (3, 4, 5), 20
@@ -70,16 +70,16 @@ def _counts(sample: DataFrame, text: str) -> DataFrame:
     return sample.mapInArrow(run, "id long, p long, q long").groupBy("id").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
-def _chosen(counts: DataFrame, n1: int, n0: int, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that tell the classes apart best (log-likelihood ratio), and their log-count ratios."""
+def _chosen(counts: DataFrame, n1: int, n0: int, features: int, w1: float = 1.0, w0: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that tell the classes apart best (log-likelihood ratio), and their log-count ratios; a document of a class counts w1 or w0 times."""
 
     def part(seen: str, total: int, rate) -> F.Column:
         miss = F.lit(total) - F.col(seen)
         there = F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / total / rate)).otherwise(0.0)
         return there + F.when(miss > 0, miss * F.log(miss / total / (1 - rate))).otherwise(0.0)
 
-    rate = (F.col("p") + F.col("q")) / (n1 + n0)
-    gain = F.when(rate < 1, part("p", n1, rate) + part("q", n0, rate)).otherwise(0.0)
+    rate = (F.col("p") * w1 + F.col("q") * w0) / (n1 * w1 + n0 * w0)
+    gain = F.when(F.col("p") + F.col("q") < n1 + n0, part("p", n1, rate) * w1 + part("q", n0, rate) * w0).otherwise(0.0)
     ratio = F.log((F.col("p") + 1) / (n1 + 2)) - F.log((F.col("q") + 1) / (n0 + 2))
     best = counts.filter("p + q >= 3").select("id", gain.alias("gain"), ratio.alias("ratio")).orderBy(F.desc("gain"), "id").limit(features).toPandas()
     order = np.argsort(best["id"].to_numpy())
@@ -89,6 +89,7 @@ def _chosen(counts: DataFrame, n1: int, n0: int, features: int) -> tuple[np.ndar
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", per_class: int = PER_CLASS, features: int = FEATURES) -> LinearModel:
     """Fit on a bounded sample of ``labels`` (rows that may be learned from).
 
+    Where a class is over the bound, its documents weigh more, so that the classes keep the shares that they have in ``labels``.
     Where a class has no documents, the model gives everything the share of class 1 (0.5 without labels).
     """
     from pyspark.ml.classification import LogisticRegression  # here, so that workers that only score don't load it
@@ -101,10 +102,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not (n1 and n0):
         return LinearModel(weights, 0.0 if n1 == n0 else 12.0 if n1 else -12.0)
-    ids, ratios = _chosen(counts, n1, n0, features)
+    w0, w1 = class_weights(labels, label, per_class)
+    ids, ratios = _chosen(counts, n1, n0, features, w1, w0)
     counts.unpersist()
     if not len(ids):
-        return LinearModel(weights, float(np.log(n1 / n0)))
+        return LinearModel(weights, float(np.log(n1 * w1 / (n0 * w0))))
     keep = np.zeros(1 << BITS, bool)
     keep[ids] = True
     place = np.zeros(1 << BITS, np.int32)
@@ -117,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
             yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(at, place[grams])], ["y", "at"])
 
     vector = F.udf(lambda at: Vectors.sparse(len(ratios), at, ratios[at]) if at else Vectors.sparse(len(ratios), [], []), VectorUDT())
-    train = sample.mapInArrow(found, "y int, at array<int>").select(F.col("y").cast("double").alias("label"), vector("at").alias("features")).persist()
-    model = LogisticRegression(maxIter=60, regParam=0.002, elasticNetParam=0.0, standardization=False).fit(train)
+    train = sample.mapInArrow(found, "y int, at array<int>").select(F.col("y").cast("double").alias("label"), vector("at").alias("features"), F.when(F.col("y") == 1, w1).otherwise(w0).alias("weight")).persist()
+    model = LogisticRegression(maxIter=60, regParam=0.002, elasticNetParam=0.0, standardization=False, weightCol="weight").fit(train)
     train.unpersist()
     weights[ids] = model.coefficients.toArray() * ratios
     return LinearModel(weights, float(model.intercept))

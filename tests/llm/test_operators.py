@@ -98,6 +98,22 @@ def test_op2_and_op10_learn_held_out_rows(spark):
         assert module.score(docs, module.fit(docs, labels.limit(0), label)).agg(F.max("score")).first()[0] == pytest.approx(0.5)
 
 
+def test_op2_capped_and_whole_fits_give_like_scores(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(6000):
+        toxic = int(i % 20 == 0)
+        mark = r.random() < (0.7 if toxic else 0.1)
+        rows.append((i, toxic, " ".join([*r.choice(WORDS, 4), *(["idiot"] if mark else [])])))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, toxic int")
+    whole, capped, both = ([x.score for x in toxicity.score(docs, toxicity.fit(docs, labels, per_class=n, features=200)).orderBy("doc_id").collect()] for n in (10_000, 300, 200))
+    logit = lambda p: np.log(np.array(p) / (1 - np.array(p)))
+    for other in (capped, both):
+        assert abs((logit(other) - logit(whole)).mean()) < 0.5
+        assert abs(np.mean(other) - 0.05) < 0.02
+
+
 def test_op3_counts_across_blocks(spark, docs, texts, empty):
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, new_folder(spark, "t")).collect()}
     assert got == {i: len([x for x in ids_of(t) if x != token_counts.END_ID]) for i, t in texts}
