@@ -29,6 +29,7 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "stock": part.selectExpr("p_partkey AS material_id", "cast(p_partkey % 5 AS int) AS plant", "p_brand AS location", "cast(greatest(p_size - 25, 0) AS double) AS unrestricted", "0.0D AS inspection", "CASE WHEN p_size % 7 = 0 THEN 1.0D ELSE 0.0D END AS blocked"),
         "invoices": orders.filter("o_orderstatus <> 'P'").selectExpr("o_orderkey AS invoice_id", "o_orderkey AS po_number", "o_totalprice AS amount", "cast(date_add(cast(o_orderdate AS date), 30) AS date) AS invoice_date").join(billed, "po_number", "left"),
         "device_events": t["events"].selectExpr("event_id", "user_id AS device_id", "CASE event_type WHEN 'signup' THEN 'EDEL' WHEN 'purchase' THEN 'INST' WHEN 'error' THEN 'RETN' WHEN 'click' THEN 'RTVN' ELSE 'NONE' END AS status", "cast(ts AS date) AS status_date", "cast(user_id % 3 AS int) AS category"),
+        "devices": t["events"].selectExpr("user_id AS device_id", "user_id % 40 + 1 AS material_id").distinct(),
         "billing": line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("cast(l_partkey % 4 AS int) AS plan_id", "cast(trunc(o_orderdate, 'MM') AS date) AS start_month", "cast(trunc(l_shipdate, 'MM') AS date) AS bill_month", "l_extendedprice AS revenue", "CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(5,2)) AS cost", "o_custkey AS customer_id"),
         "shop_orders": orders.join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).selectExpr("o_orderkey AS order_id", "o_custkey AS person_id", "CASE o_orderstatus WHEN 'P' THEN 'canceled' ELSE 'delivered' END AS status", "cast(o_orderdate AS date) AS purchased_at", "date_add(cast(o_orderdate AS date), cast(o_orderkey % 20 AS int)) AS delivered_at", "date_add(cast(o_orderdate AS date), 15) AS estimated_at", "c_nationkey AS group_id"),
         "shop_items": line.selectExpr("l_orderkey AS order_id", "l_linenumber AS item_id", "l_partkey AS product_id", "l_suppkey AS seller_id", "l_extendedprice AS price", "CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_tax AS DECIMAL(5,2)) AS freight"),

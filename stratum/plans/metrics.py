@@ -6,7 +6,7 @@ scheduled_date), receipts (document_id, po_number, po_item, movement_type, quant
 requisitions (po_number, requisition_date), movements (document_id, material_id, plant, movement_type,
 quantity, posting_date), stock (material_id, plant, location, unrestricted, inspection, blocked),
 invoices (invoice_id, po_number, vendor_id, amount, quantity, invoice_date), vendors, materials,
-customers, device_events (device_id, status, status_date), and for the shop orders (order_id,
+customers, devices (device_id, material_id), device_events (device_id, status, status_date), and for the shop orders (order_id,
 customer_id, person_id, status, purchased_at, delivered_at, estimated_at), order_items (order_id,
 item_id, product_id, seller_id, price, freight), products, sellers.
 """
@@ -26,6 +26,8 @@ Frames = Mapping[str, DataFrame]
 RECEIPT, REVERSAL = "101", "102"
 INBOUND, OUTBOUND = ("101", "561"), ("102", "122", "161", "201", "261", "601")
 DEVICE_STATES = {"EDEL": "received", "INST": "deployed", "RETN": "returned", "RTVN": "returned_to_vendor"}
+EQUIPMENT_STATES = {"INST": "deployed", "AVLB": "in_stock", "RET": "returned", "DLFL": "defective"}
+EQUIPMENT_CATEGORIES = {"CPE-RTR": "Router", "CPE-ONT": "ONT", "CPE-STB": "Set-Top Box", "CPE-SWT": "Switch", "CPE-MDM": "Modem"}
 
 
 def money(c: str | Column) -> Column:
@@ -188,12 +190,30 @@ def vendor_performance(frames: Frames) -> DataFrame:
 
 
 def lifecycle_metrics(frames: Frames) -> DataFrame:
-    """Devices by state with rates of deployment and return."""
+    """Devices by state with rates of deployment and return, in one row; :func:`lifecycle_by_group` is N27."""
     now = equipment_lifecycle(frames).filter("is_current")
     out = now.agg(F.count("*").alias("devices"), F.count_if(F.col("lifecycle_status") == "deployed").alias("deployed"), F.count_if(F.col("lifecycle_status").isin("returned", "returned_to_vendor")).alias("returned"))
     return out.withColumn("deployment_rate", pct("deployed", "devices")).withColumn("return_rate", pct("returned", "devices")).withColumn("return_state", health("return_rate", 5, 10, False))
 
 
+def lifecycle_by_group(frames: Frames, states: Mapping[str, str] = EQUIPMENT_STATES, categories: Mapping[str, str] = EQUIPMENT_CATEGORIES) -> DataFrame:
+    """Per material group, devices by newest state with rates and their health; devices without events count too."""
+    newest = Window.partitionBy("device_id").orderBy(F.desc("status_date"), F.desc("status"))
+    now = frames["device_events"].withColumn("_r", F.row_number().over(newest)).filter("_r = 1").select("device_id", decode("status", states, "unknown").alias("_state"))
+    devices = frames["devices"].select("device_id", "material_id").join(now, "device_id", "left")
+    counts = [F.count_if(F.col("_state") == s).alias(s) for s in ("deployed", "in_stock", "returned", "defective")]
+    out = devices.join(frames["materials"].select("material_id", "material_group"), "material_id", "left").groupBy("material_group").agg(F.count("*").alias("total_devices"), *counts)
+    share = lambda c: F.lit(100.0) * F.col(c) / F.col("total_devices")
+    return (
+        out.withColumn("equipment_category", decode("material_group", categories, "Other"))
+        .withColumn("deployment_rate_pct", pct("deployed", "total_devices", 1))
+        .withColumn("defect_rate_pct", pct("defective", "total_devices"))
+        .withColumn("return_rate_pct", pct("returned", "total_devices"))
+        .withColumn("defect_health", health(share("defective"), 3, 5, False))
+        .withColumn("return_health", health(share("returned"), 5, 10, False))
+    )
+
+
 def inventory_alerts(frames: Frames) -> DataFrame:
     """Locations without stock or with blocked stock."""
     s = inventory(frames).filter("is_zero_stock or has_blocked_stock")

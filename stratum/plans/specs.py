@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.functions.scalars import hash_key
 from stratum.operators.vault import HubSpec, LinkSpec, SatSpec, StagingSpec, load_hub, load_link, load_sat, stage
 
 # Names of source columns and what they are called.
@@ -157,9 +158,16 @@ def build_hubs(staged: Mapping[str, DataFrame], existing: Mapping[str, DataFrame
     return {n: load_hub(staged[table], (existing or {}).get(n), spec) for n, (table, spec) in HUBS.items() if table in staged}
 
 
+def _keyed(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the hash keys that their table doesn't stage, by the recipe of the link or hub that they name."""
+    recipes = {spec.key: STAGING[table].keys[spec.key] for table, spec in HUBS.values() if spec.key in STAGING[table].keys}
+    recipes |= {spec.key: [c.split(".")[-1] for c in spec.recipe] for _, spec in LINKS.values() if spec.recipe}
+    return rows.withColumns({k: hash_key(*recipes[k]) for k in keys if k not in rows.columns})
+
+
 def build_links(staged: Mapping[str, DataFrame], existing: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """New rows of every link of one table; :func:`build_joined_links` has the others."""
-    return {n: load_link(staged[table], (existing or {}).get(n), spec) for n, (table, spec) in LINKS.items() if "ON" not in table and table in staged}
+    return {n: load_link(_keyed(staged[table], *spec.parents), (existing or {}).get(n), spec) for n, (table, spec) in LINKS.items() if "ON" not in table and table in staged}
 
 
 def build_joined_links(staged: Mapping[str, DataFrame], existing: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -191,6 +199,6 @@ def build_joined_links(staged: Mapping[str, DataFrame], existing: Mapping[str, D
     return out
 
 
-def build_sats(staged: Mapping[str, DataFrame], existing: Mapping[str, DataFrame] | None = None, links: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """New rows of every satellite whose table is staged and carries its parent's key."""
-    return {n: load_sat(staged[table], (existing or {}).get(n), spec) for n, (table, spec) in SATS.items() if table in staged and spec.key in staged[table].columns}
+def build_sats(staged: Mapping[str, DataFrame], existing: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """New rows of every satellite whose table is staged."""
+    return {n: load_sat(_keyed(staged[table], spec.key), (existing or {}).get(n), spec) for n, (table, spec) in SATS.items() if table in staged}

@@ -76,6 +76,18 @@ metric("vendor_performance", "SELECT *, CASE WHEN on_time_pct >= 95 THEN 'A' WHE
 metric("procurement_health", "SELECT *, CASE WHEN on_time_pct >= 90 THEN 'GREEN' WHEN on_time_pct >= 80 THEN 'YELLOW' ELSE 'RED' END AS on_time_state, CASE WHEN avg_lead_time <= 30 THEN 'GREEN' WHEN avg_lead_time <= 60 THEN 'YELLOW' ELSE 'RED' END AS lead_time_state FROM (SELECT count(*) AS po_items, round(avg(lead_time_days), 2) AS avg_lead_time, round(100 * avg(CASE WHEN is_on_time THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS on_time_pct FROM purchase_orders), (SELECT count(*) FILTER (is_zero_stock) AS zero_stock_locations FROM inventory)")
 metric("lifecycle_metrics", "SELECT *, round(100.0::DOUBLE * deployed / devices, 2) AS deployment_rate, round(100.0::DOUBLE * returned / devices, 2) AS return_rate, CASE WHEN 100.0 * returned / devices <= 5 THEN 'GREEN' WHEN 100.0 * returned / devices <= 10 THEN 'YELLOW' ELSE 'RED' END AS return_state FROM (SELECT count(*) AS devices, count(*) FILTER (lifecycle_status = 'deployed') AS deployed, count(*) FILTER (lifecycle_status IN ('returned', 'returned_to_vendor')) AS returned FROM lifecycle WHERE is_current)")
 metric("inventory_alerts", "SELECT *, CASE WHEN is_zero_stock THEN 'zero_stock' ELSE 'blocked_stock' END AS alert FROM inventory WHERE is_zero_stock OR has_blocked_stock")
+_SHARE = "100.0::DOUBLE * {0} / total_devices"
+metric(
+    "lifecycle_by_group",
+    f"""SELECT *, 'Other' AS equipment_category, round({_SHARE.format("deployed")}, 1) AS deployment_rate_pct, round({_SHARE.format("defective")}, 2) AS defect_rate_pct, round({_SHARE.format("returned")}, 2) AS return_rate_pct,
+        CASE WHEN {_SHARE.format("defective")} > 5 THEN 'RED' WHEN {_SHARE.format("defective")} > 3 THEN 'YELLOW' ELSE 'GREEN' END AS defect_health,
+        CASE WHEN {_SHARE.format("returned")} > 10 THEN 'RED' WHEN {_SHARE.format("returned")} > 5 THEN 'YELLOW' ELSE 'GREEN' END AS return_health
+    FROM (
+        SELECT material_group, count(*) AS total_devices, count(*) FILTER (status = 'INST') AS deployed, count(*) FILTER (status = 'EDEL') AS in_stock, count(*) FILTER (status = 'RETN') AS returned, count(*) FILTER (status = 'RTVN') AS defective
+        FROM (SELECT DISTINCT user_id AS device_id, user_id % 40 + 1 AS material_id FROM events) d LEFT JOIN (SELECT device_id, status FROM lifecycle WHERE is_current) USING (device_id) LEFT JOIN materials USING (material_id)
+        GROUP BY 1)""",
+    states={"INST": "deployed", "EDEL": "in_stock", "RETN": "returned", "RTVN": "defective"},
+)
 metric("active_devices", "SELECT count(DISTINCT device_id) AS active_devices FROM lifecycle WHERE is_current AND lifecycle_status = 'deployed'")
 metric("days_of_stock", "SELECT material_id, stock, issued, round(stock / nullif(issued / 30, 0), 2) AS days_of_stock FROM (SELECT material_id, sum(unrestricted) AS stock FROM stock GROUP BY 1) LEFT JOIN (SELECT material_id, sum(quantity) AS issued FROM movements WHERE direction = 'outbound' AND posting_date > DATE '1998-12-31' - 30 AND posting_date <= DATE '1998-12-31' GROUP BY 1) USING (material_id)", as_of="1998-12-31")
 metric("inventory_turnover", """SELECT material_group, quarter, issued, round(avg_stock, 4) AS avg_stock, round(issued / nullif(avg_stock, 0), 4) AS turnover FROM (
