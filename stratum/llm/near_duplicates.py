@@ -45,13 +45,13 @@ def fewest_matches(percent: int) -> list[tuple[int, int]]:
     """(values compared, fewest matches that keep a pair) after each batch.
 
     The prior of the similarity is uniform, so after m matches of n its posterior is Beta(m + 1, n - m + 1).
-    Sketches keep 8 bits of a value, which match by chance once in 256.
+    Sketches keep 8 bits of a value, which match by chance once in 256. Each batch may miss its share of MISS, so that all together keep it.
     """
     rate = percent / 100 + (1 - percent / 100) / 256
     out = []
     for n in range(BATCH, HASHES - HASHES % BATCH + 1, BATCH):
         tail, m = 0.0, -1
-        while tail < MISS and m < n:  # P(rate >= threshold | m of n) = P(Binomial(n + 1, threshold) <= m)
+        while tail < MISS / (HASHES // BATCH) and m < n:  # P(rate >= threshold | m of n) = P(Binomial(n + 1, threshold) <= m)
             m += 1
             tail += math.comb(n + 1, m) * rate**m * (1 - rate) ** (n + 1 - m)
         out.append((n, m))

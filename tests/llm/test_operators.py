@@ -269,6 +269,19 @@ def test_bayesian_bounds_never_drop_what_can_reach_the_threshold():
     assert set(near_duplicates.surviving(same, other, 85)[0]) == {0, 1}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_op9_all_batches_together_keep_the_miss_probability(percent):
+    rate = percent / 100 + (1 - percent / 100) / 256
+    alive, done, dropped = np.ones(1), 0, 0.0
+    for n, least in near_duplicates.fewest_matches(percent):
+        for _ in range(n - done):
+            alive = np.append(alive * (1 - rate), 0) + np.append(0, alive * rate)
+        dropped += alive[:least].sum()
+        alive[:least] = 0
+        done = n
+    assert 0 < dropped <= near_duplicates.MISS
+
+
 def test_words_stop_at_row_ends():
     import pyarrow as pa
 
