@@ -254,14 +254,16 @@ def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text") -> Data
         raise ValueError(f"length must be {2 * ANCHOR} at least")
     keyed = _keyed(docs, text)
     base = cut(_bases(keyed, text, length))
-    classes = base.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    # Which row stands for its text: any will do, and a row without an id has its key for one.
+    row = F.coalesce("doc_id", "t1")
+    classes = base.groupBy("t1", "t2").agg(F.min(row).alias("row"), F.count("*").alias("copies"))
     # Exact copies need no ranks: every byte of theirs repeats. One of them stands for all in what follows.
-    reps = base.join(classes.select("t1", "t2", "doc_id"), ["t1", "t2", "doc_id"], "left_semi").dropDuplicates(["t1", "t2"]).select("doc_id", "t1", "t2", "names", "twice")
-    names = reps.select("t1", "t2", "doc_id", F.explode("names").alias("name"))
+    reps = base.withColumn("row", row).join(classes.select("t1", "t2", "row"), ["t1", "t2", "row"], "left_semi").dropDuplicates(["t1", "t2"]).select("row", "t1", "t2", "names", "twice")
+    names = reps.select("t1", "t2", "row", F.explode("names").alias("name"))
     shared = names.groupBy("name").agg(F.count("*").alias("texts")).filter("texts > 1").select("name")
     shared = cut(shared.union(reps.select(F.explode("twice").alias("name"))).distinct())
-    candidates = cut(names.join(shared, "name", "left_semi").groupBy("doc_id", "t1", "t2").agg(F.collect_list("name").alias("names")))
-    texts = only(keyed, candidates.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "t1", "t2"]).join(candidates, ["doc_id", "t1", "t2"])
+    candidates = cut(names.join(shared, "name", "left_semi").groupBy("row", "t1", "t2").agg(F.collect_list("name").alias("names")))
+    texts = only(keyed.withColumn("row", row), candidates.select("row").distinct(), "row").dropDuplicates(["row", "t1", "t2"]).join(candidates, ["row", "t1", "t2"])
     chunks = cut(_chunks(texts.select("t1", "t2", "names", text), text, length))
     ranks = chunks.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranks // BUCKET_RANKS))

@@ -191,6 +191,16 @@ def test_op5_repeats_against_brute_force(docs, texts, empty):
     assert repeats.repeat_spans(empty).count() == 0 and repeats.remove_repeats(empty).count() == 0
 
 
+def test_op5_null_doc_ids_take_part(spark):
+    shared = prose(70, 120)
+    rows = [(None, prose(71, 50) + shared), (1, prose(72, 60) + shared), (None, prose(73, 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: x for i, x in brute_repeats(list(enumerate(t for _, t in rows))).items()}
+    assert want[0][1] >= 400 and want[1][1] >= 400
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeat_spans(df).collect())
+    assert got == sorted(want.values())
+
+
 @pytest.mark.parametrize("group", [50_000, 4])
 def test_op6_packs_every_piece_once(docs, texts, empty, group):
     rows = packing.pack(docs, group_bins=group).collect()
