@@ -1,12 +1,14 @@
 """Near-duplicate lines by an exact set-similarity join with prefix, positional and length filters.
 
-A line's tokens are its distinct word shingles. They are ordered by rarity (the estimated frequency
-from the counts of their words over all lines), so that a line's prefix, the few tokens of which a
-similar line must share one, holds its rarest. Prefix tokens are dealt out to buckets; a bucket sorts
-them and finds, for every token, the lines that meet there. Lines with equal sets are one class.
-Length and positional filters drop pairs that can't reach the threshold, and the others are verified
-on their full sets. Where many classes meet, each first meets the likest or the earliest only; those
-that this does not remove then meet all, in prefixes of exact rarity.
+A line's tokens are its distinct word shingles, and lines with equal sets are one class. Texts are
+gathered in chunks. Every chunk tells which tokens it holds, packed and dealt out by the tokens'
+leading bits; a bucket sorts them and sends back how many chunks hold each, which is the tokens'
+rarity. Ordered by it, a line's prefix holds its rarest tokens, one of which any similar line must
+share, and most lines end here: their prefixes hold nothing that occurs again. The classes that are
+left meet in the tokens of their prefixes. Length and positional filters drop pairs that can't reach
+the threshold, and the others are verified on their full sets. Where many classes meet, each first
+meets the earliest; those that this does not remove then meet the others in blocks of bounded size,
+which tell at most one similar line of each.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +26,14 @@ from stratum.llm.flat import flat, mix, steps, word_hashes, words
 from stratum.llm.shared import cut, written
 from stratum.llm.tables import grouped, only
 
-#: A word is frequent if it makes up one of so many of all words that occur again: there can't be more
-#: such words than this. Their counts are broadcast (16 bytes each); all others count as rare.
-FREQUENT_WORDS = 65_536
-#: Classes that meet in a token all at once, and prefix tokens of which a bucket holds about as many.
-SMALL_GROUP, BUCKET_TOKENS = 8, 1 << 18
-#: Bytes of text in one numpy step, and word counts that a task holds before it sends them.
-STEP_BYTES, HELD_WORDS = 1_000_000, 700_000
-#: Numbers of lines that are broadcast at most (4 bytes each).
-WANTED = 4_000_000
+#: Bits of a token's hash, and of a line's number within its chunk where both are sorted as one number.
+TOKEN_BITS, LINE_BITS = 50, 14
+#: Bytes of text of a chunk, and tokens of which a bucket holds about as many.
+CHUNK_BYTES, BUCKET_TOKENS = 4_000_000, 1 << 20
+#: Classes that meet in a token all at once; tokens and lines of one side of a block where more do.
+SMALL_GROUP, BLOCK_TOKENS, BLOCK_LINES = 8, 1 << 16, 1 << 10
+#: Lines of a block that must share a token for it to be counted by a matrix product.
+COMMON = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,97 +48,36 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.append(starts[order], len(data)), first
 
 
-def _word_rows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes and the line of each; empty lines have none."""
+def _tokens(data: np.ndarray, starts: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, line) of all lines, each once, sorted by token; lines without words have none."""
     begin, end, line = words(data, starts)
-    return word_hashes(data, begin, end), line
-
-
-def _tokens(hashes: np.ndarray, line: np.ndarray, ranks: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all lines as (line, token), each once a line, rarest first in its line, and where each token stands in it."""
-    n = np.bincount(line, minlength=int(line[-1]) + 1 if len(line) else 0)
-    token, rank = hashes.copy(), ranks.astype(np.int64)
+    hashes = word_hashes(data, begin, end)
+    token = hashes.copy()
     for j in range(1, shingle):
-        more, rest = line[j:] == line[: len(line) - j], len(hashes) - j
-        token[:rest] = np.where(more, token[:rest] * _STEP + hashes[j:], token[:rest])
-        rank[:rest] += np.where(more, ranks[j:], 0)
+        rest = max(len(hashes) - j, 0)
+        same = line[j:] == line[:rest]
+        token[:rest] = np.where(same, token[:rest] * _STEP + hashes[j:], token[:rest])
     # A line of fewer words is one token, that of its first word; of more, those that have all their words.
-    first = np.cumsum(n) - n
-    place = np.arange(len(line)) - first[line]
+    n = np.bincount(line, minlength=len(starts) - 1)
+    place = np.arange(len(line)) - (np.cumsum(n) - n)[line]
     keep = place <= np.maximum(n[line] - shingle, 0)
-    line = line[keep]
-    key = np.minimum(rank[keep], 255).astype(np.uint64) << np.uint64(56) | mix(token[keep]) >> np.uint64(8)
-    # One sort by line and the key's upper bits; where those agree (once in 2**40), a second by all.
-    bits = np.uint64(max(1, int(line[-1]).bit_length() if len(line) else 1))
-    both = line.astype(np.uint64) << (np.uint64(64) - bits) | key >> bits
-    order = np.argsort(both)
-    line, key = line[order], key[order]
-    if ((key[1:] < key[:-1]) & (line[1:] == line[:-1])).any():
-        order = np.lexsort((key, line))
-        line, key = line[order], key[order]
-    once = np.ones(len(key), bool)
-    once[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    line, key = line[once], key[once]
-    n = np.bincount(line, minlength=len(n))
-    return line, key, np.arange(len(line)) - (np.cumsum(n) - n)[line]
-
-
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word (hash) and n over all lines of all texts; each task adds up its own words first."""
-
-    def merged(held: list) -> pa.RecordBatch:
-        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64))], ["word", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for part in steps(batches, text, STEP_BYTES):
-            data, offsets = flat(part.column(text))
-            starts, ends, _ = words(data, offsets)
-            held.append(np.unique(word_hashes(data, starts, ends), return_counts=True))
-            if sum(len(k) for k, _ in held) > HELD_WORDS:
-                yield merged(held)
-                held = []
-        if held:
-            yield merged(held)
-
-    return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class _Rarity:
-    """Whole powers of two of the counts of the frequent words; 0 for all others."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.rank = keys[order], np.log2(np.maximum(counts[order], 1)).astype(np.int64)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.rank[at], 0)
+    line, token = line[keep], mix(token[keep]) >> np.uint64(64 - TOKEN_BITS)
+    if len(starts) <= 1 << LINE_BITS:
+        both = token << np.uint64(LINE_BITS) | line.astype(np.uint64)
+        both.sort()
+        both = both[_heads(both)]
+        return both >> np.uint64(LINE_BITS), (both & np.uint64((1 << LINE_BITS) - 1)).astype(np.int64)
+    order = np.lexsort((line, token))
+    token, line = token[order], line[order]
+    once = _heads(token) | _heads(line)
+    return token[once], line[once]
 
 
-def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    """Tokens of which a line with n must share one with any line that reaches the threshold."""
-    return n - -(-n * percent // 100) + 1
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Whole numbers as bytes, in as few each as their range needs: the least value, the width, the differences."""
-    if x.dtype == np.uint64:
-        return x.tobytes()
-    low = int(x.min())
-    width = next(w for w in (1, 2, 4, 8) if int(x.max()) - low < 1 << 8 * w or w == 8)
-    return low.to_bytes(8, "little", signed=True) + bytes([width]) + (x.astype(np.int64) - low).astype(f"<u{width}").tobytes()
-
-
-def _large(raw, dtype: str) -> np.ndarray:
-    """The numbers of :func:`_small`."""
-    if dtype == "<u8":
-        return np.frombuffer(raw, dtype)
-    head = bytes(raw[:9])
-    return np.frombuffer(raw, f"<u{head[8]}", offset=9).astype(np.int64) + int.from_bytes(head[:8], "little", signed=True)
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    head = np.ones(len(values), bool)
+    head[1:] = values[1:] != values[:-1]
+    return head
 
 
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
@@ -157,134 +99,202 @@ def _n_lines(text: str) -> Column:
     return F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long")
 
 
-def _index(docs: DataFrame, rarity, text: str, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """A task's lines (kind 0, bucket by class) and prefix tokens (kind 1, bucket by token), packed by bucket."""
+class _Chunk:
+    """The classes of lines of a chunk of texts, computed alike in every round.
 
-    def packed(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-        cells = [[_small(c[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for c in columns]
-        names = bucket[order][cuts[:-1]] * 2 + kind
-        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "token", "cls", "doc", "line", "n", "at"])
+    doc, number and cls are those of all lines with words; token and line (numbers among those lines) are
+    those of each class's first line only. distinct holds the tokens once, count the classes of each, and
+    at the place of each pair's token in it.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, base: np.ndarray, shingle: int):
+        starts, first = _lines(data, offsets)
+        token, line = _tokens(data, starts, shingle)
+        n = np.bincount(line, minlength=len(starts) - 1)
+        mixed = mix(token + np.uint64(1))
+        low, high = (np.bincount(line, x.astype(np.float64), len(n)).astype(np.uint64) for x in (mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32)))
+        full = np.flatnonzero(n)
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))[full]
+        self.n = n[full]
+        self.cls = mix(low[full] * _STEP + mix(high[full])) + self.n.astype(np.uint64)
+        self.doc, self.number = doc[owner], (full - first[owner] + base[owner]).astype(np.int32)
+        place = np.zeros(len(n), np.int64)
+        place[full] = np.arange(len(full))
+        order = np.lexsort((self.number, self.doc, self.cls))
+        leads = np.zeros(len(full), bool)
+        leads[order[_heads(self.cls[order])]] = True
+        line = place[line]
+        keep = leads[line]
+        self.token, self.line = token[keep], line[keep]
+        head = _heads(self.token)
+        self.at = np.cumsum(head) - 1
+        self.distinct, self.count = self.token[head], np.bincount(self.at, minlength=int(head.sum()))
+
+    @staticmethod
+    def of(row: dict, shingle: int) -> _Chunk:
+        data = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
+        return _Chunk(data, *(np.frombuffer(row[c], "<i8") for c in ("offsets", "docs", "bases")), shingle)
+
+
+def _chunks(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """One row per chunk: its texts (compressed), where each starts, their doc_ids and bases, and every line's doc, number and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, STEP_BYTES):
+        task, number = TaskContext.get().partitionId(), 0
+        for part in steps(batches, text, CHUNK_BYTES):
             data, offsets = flat(part.column(text))
-            if not len(data):
-                continue
-            starts, first = _lines(data, offsets)
-            hashes, line = _word_rows(data, starts)
-            if not len(hashes):
+            doc, base = part.column("doc_id").to_numpy(), part.column("_base").to_numpy().astype(np.int64)
+            chunk = _Chunk(data, offsets, doc, base, shingle)
+            if not len(chunk.doc):
                 continue
-            line, token, at = _tokens(hashes, line, rarity.value(hashes), shingle)
-            n = np.bincount(line, minlength=len(starts) - 1)
-            begin = np.cumsum(n) - n
-            full = np.flatnonzero(n)
-            cls = np.zeros(len(n), np.uint64)
-            cls[full] = mix(np.add.reduceat(mix(token), begin[full]) + n[full].astype(np.uint64))
-            owner = np.repeat(np.arange(part.num_rows), np.diff(first))
-            doc = part.column("doc_id").to_numpy()[owner].astype(np.int64)
-            number = (np.arange(len(n)) - first[owner] + part.column("_base").to_numpy()[owner]).astype(np.int32)
-            empty = np.zeros(len(full), np.int32)
-            of = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            yield packed(0, of(cls[full]), cls[full], cls[full], doc[full], number[full], empty, empty)
-            keep = at < _prefix(n, percent)[line]
-            line, token, at = line[keep], token[keep], at[keep]
-            yield packed(1, of(mix(token)), token, cls[line], doc[line], number[line], n[line].astype(np.int32), at.astype(np.int32))
-
-    return docs.select(F.col("doc_id").cast("long"), text, "_base").mapInArrow(run, "bucket long, token binary, cls binary, doc binary, line binary, n binary, at binary")
-
-
-_PAIRS = "kind int, doc long, line int, other_doc long, other_line int, token long, n int, at int"
-
-
-def _meet(index: DataFrame, percent: int) -> DataFrame:
-    """What a bucket finds. kind 0: a line whose class stands earlier. kind 1: a class's first line and
-    an earlier one to verify it with. kind 2: a class in a large group (token, n, at), for the second round."""
-    types = {"token": "<u8", "cls": "<u8", "doc": "<i8", "line": "<i4", "n": "<i4", "at": "<i4"}
-
-    def out(kind: int, doc, line, other_doc=None, other_line=None, token=None, n=None, at=None) -> pa.RecordBatch:
-        size = len(doc)
-        zero = lambda x, t: pa.array(x if x is not None else np.zeros(size, t), pa.from_numpy_dtype(t))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(doc), pa.array(line), zero(other_doc, np.int64), zero(other_line, np.int32), zero(token, np.int64), zero(n, np.int32), zero(at, np.int32)], [x.split()[0] for x in _PAIRS.split(", ")])
-
-    def able(n1, n2, a1, a2):
-        """Length and positional filters: the tokens from the shared one on must be able to make up the overlap."""
-        need = -(-(n1 + n2).astype(np.int64) * percent // (100 + percent))
-        return (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2).astype(np.int64) * percent) & (1 + np.minimum(a1, a2) + np.minimum(n1 - a1 - 1, n2 - a2 - 1) >= need)
+            packed = [zstandard.compress(data.tobytes(), 3), offsets.astype("<i8").tobytes(), doc.astype("<i8").tobytes(), base.astype("<i8").tobytes(), chunk.doc.astype("<i8").tobytes(), chunk.number.astype("<i4").tobytes(), chunk.cls.astype("<u8").tobytes()]
+            names = ["data", "offsets", "docs", "bases", "doc", "number", "cls"]
+            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([len(chunk.distinct)], pa.int64())], ["chunk", *names, "n"])
+            number += 1
+
+    return docs.select(F.col("doc_id").cast("long"), text, "_base").mapInArrow(run, "chunk long, data binary, offsets binary, docs binary, bases binary, doc binary, number binary, cls binary, n long")
+
+
+def _all_lines(chunks: DataFrame) -> DataFrame:
+    """cls, doc, line of every line with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], t)) for c, t in (("cls", "<i8"), ("doc", "<i8"), ("number", "<i4"))], ["cls", "doc", "line"])
+
+    return chunks.select("cls", "doc", "number").mapInArrow(run, "cls long, doc long, line int")
+
+
+def _dealt(token: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each token by its leading bits, and 32 bits of what follows them; sorted tokens give sorted pairs."""
+    half = np.uint64(TOKEN_BITS // 2)
+    low = (token & np.uint64((1 << TOKEN_BITS // 2) - 1)) * np.uint64(buckets)
+    high = (token >> half) * np.uint64(buckets) + (low >> half)
+    rest = (high & np.uint64((1 << TOKEN_BITS // 2) - 1)) << half | low & np.uint64((1 << TOKEN_BITS // 2) - 1)
+    return (high >> half).astype(np.int64), (rest >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32)
+
+
+def _pack(sorted_values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as their differences, of 3 bytes each if those fit."""
+    steps_ = np.diff(sorted_values, prepend=np.uint32(0)).astype("<u4")
+    raw = steps_.view(np.uint8).reshape(-1, 4)
+    return raw[:, :3].tobytes() if not raw[:, 3].any() else raw.tobytes()
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return np.cumsum(wide.view("<u4").ravel(), dtype=np.uint32)
+
+
+def _rarity(holders: np.ndarray) -> np.ndarray:
+    """Chunks that hold a token as a byte that grows with their number; 0 is one chunk alone."""
+    return np.where(holders <= 64, holders - 1, np.minimum(255, 64 + 8 * np.log2(np.maximum(holders, 64) / 64))).astype(np.uint8)
+
+
+def _rarities(chunks: DataFrame, shingle: int, buckets: int) -> DataFrame:
+    """chunk, marks: for every bucket the rarity of each of the chunk's tokens there, in order."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                bucket, rest = _dealt(_Chunk.of(row, shingle).distinct, buckets)
+                cuts = np.append(np.flatnonzero(_heads(bucket)), len(bucket))
+                cells = [_pack(rest[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(cells), row["chunk"])), pa.array(np.diff(cuts)), pa.array(cells, pa.binary())], ["bucket", "chunk", "n", "tokens"])
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "bucket"):
-            x = {c: np.concatenate([_large(group.column(c)[i].as_buffer(), t) for i in range(group.num_rows)]).astype(t) for c, t in types.items()}
-            order = np.lexsort((x["line"], x["doc"], x["cls"], x["token"]))
-            x = {c: v[order] for c, v in x.items()}
-            new = np.ones(len(order), bool)
-            new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["cls"][1:] != x["cls"][:-1])
-            if group.column("bucket")[0].as_py() % 2 == 0:
-                # A row that stands again sends the same lines: those are no copies of themselves.
-                other = np.ones(len(order), bool)
-                other[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["line"][1:] != x["line"][:-1])
-                yield out(0, x["doc"][~new & other], x["line"][~new & other])
-                continue
-            # Every line of a class has the same prefix: the first here is its first of all.
-            x = {c: v[new] for c, v in x.items()}
-            head = np.ones(len(x["token"]), bool)
-            head[1:] = x["token"][1:] != x["token"][:-1]
-            number = np.cumsum(head) - 1
-            size = np.bincount(number)[number]
-            x = {c: v[size > 1] for c, v in x.items()} | {"size": size[size > 1]}
-            if not len(x["token"]):
-                continue
-            order = np.lexsort((x["line"], x["doc"], x["token"]))  # earliest first within a token
-            x = {c: v[order] for c, v in x.items()}
-            head = np.ones(len(x["token"]), bool)
-            head[1:] = x["token"][1:] != x["token"][:-1]
-            start = np.flatnonzero(head)[np.cumsum(head) - 1]
-            pairs = []
-            for lag in range(1, SMALL_GROUP):
-                i = np.flatnonzero((x["size"][lag:] <= SMALL_GROUP) & (x["token"][lag:] == x["token"][:-lag])) + lag
-                pairs.append((i, i - lag))
-            large = np.flatnonzero((x["size"] > SMALL_GROUP) & ~head)
-            pairs.append((large, start[large]))
-            i, j = (np.concatenate(z) for z in zip(*pairs, strict=True))
-            good = able(x["n"][i], x["n"][j], x["at"][i], x["at"][j])
-            i, j = i[good], j[good]
-            yield out(1, x["doc"][i], x["line"][i], x["doc"][j], x["line"][j])
-            large = np.flatnonzero(x["size"] > SMALL_GROUP)
-            yield out(2, x["doc"][large], x["line"][large], None, None, x["token"][large].view(np.int64), x["n"][large], x["at"][large])
+            cells = [_unpack(raw, n) for raw, n in zip(group.column("tokens").to_pylist(), group.column("n").to_pylist(), strict=True)]
+            every = np.concatenate(cells)
+            every.sort()
+            first = np.flatnonzero(_heads(every))
+            known, mark = every[first], _rarity(np.diff(np.append(first, len(every))))
+            marks = [zstandard.compress(mark[np.searchsorted(known, x)].tobytes(), 1) for x in cells]
+            yield pa.RecordBatch.from_arrays([group.column("chunk"), group.column("bucket"), pa.array(marks, pa.binary())], ["chunk", "bucket", "marks"])
 
-    return index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PAIRS)
+    sent = chunks.select("chunk", "data", "offsets", "docs", "bases").mapInArrow(send, "bucket long, chunk long, n long, tokens binary")
+    back = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "chunk long, bucket long, marks binary")
+    return back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias("marks"))
 
 
-def _token_sets(lines: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """doc, line, members (packed tokens) of the lines that are asked for."""
+def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens of which a line with n must share one with any line that reaches the threshold."""
+    return n - -(-n * percent // 100) + 1
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, STEP_BYTES):
-            data, offsets = flat(part.column(text))
-            if not len(data):
-                continue
-            starts, first = _lines(data, offsets)
-            hashes, line = _word_rows(data, starts)
-            if not len(hashes):
-                continue
-            line, token, _ = _tokens(hashes, line, np.zeros(len(hashes), np.int64), shingle)
-            cuts = np.searchsorted(line, np.arange(len(starts)))
-            wanted, base = part.column("wanted").to_pylist(), part.column("_base").to_pylist()
-            docs_, lines_, members = [], [], []
-            for i, (doc, asked) in enumerate(zip(part.column("doc").to_pylist(), wanted, strict=True)):
-                for k in asked:
-                    at = first[i] + k - base[i]
-                    if first[i] <= at < first[i + 1]:
-                        docs_.append(doc)
-                        lines_.append(k)
-                        members.append(token[cuts[at] : cuts[at + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(lines_, pa.int32()), pa.array(members, pa.binary())], ["doc", "line", "members"])
-
-    ends = cut(lines.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
-    few = (ends.agg(F.sum(F.size("wanted") + 4)).first()[0] or 0) <= WANTED  # a checked size: broadcast, else both sides are shuffled
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text, "_base").join(F.broadcast(ends) if few else ends, "doc")
-    return written(texts.select("doc", "wanted", text, "_base").mapInArrow(sets, "doc long, line int, members binary").dropDuplicates(["doc", "line"]))
+def _likely(chunks: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """cls, doc, line, n, alone, members of the classes whose prefixes hold tokens that occur again.
+
+    members are all n tokens, the rarest first; the first ``alone`` of them occur nowhere else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                x = _Chunk.of(row, shingle)
+                mark = np.frombuffer(b"".join([zstandard.decompress(m["marks"]) for m in row["marks"]]), np.uint8)
+                mark = np.where((mark == 0) & (x.count > 1), 1, mark)[x.at]
+                alone = np.bincount(x.line[mark == 0], minlength=len(x.n))
+                leads = np.zeros(len(x.n), bool)
+                leads[x.line] = True
+                chosen = leads & (alone < _prefix(x.n, percent)) & (alone < x.n)
+                keep = chosen[x.line]
+                token, line, mark = x.token[keep], x.line[keep], mark[keep]
+                order = np.lexsort((token, mark, line))
+                raw, which = token[order].astype("<u8").tobytes(), np.flatnonzero(chosen)
+                ends = np.concatenate([[0], np.cumsum(x.n[which])]) * 8
+                members = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(x.cls[which].view(np.int64)), pa.array(x.doc[which]), pa.array(x.number[which]), pa.array(x.n[which].astype(np.int32)), pa.array(alone[which].astype(np.int32)), members], ["cls", "doc", "line", "n", "alone", "members"])
+
+    return chunks.mapInArrow(run, "cls long, doc long, line int, n int, alone int, members binary")
+
+
+def _prefix_tokens(own: DataFrame, percent: int) -> DataFrame:
+    """token, doc, line, n, at: the prefix tokens that occur again, and how many such tokens stand before each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw, offsets = flat(batch.column("members"))
+                n, alone = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "alone"))
+                size = _prefix(n, percent) - alone
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                token = np.frombuffer(raw.tobytes(), np.int64)[at + np.repeat(offsets[:-1] // 8 + alone, size)]
+                columns = [pa.array(token), *(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("doc", "line")), pa.array(np.repeat(n - alone, size).astype(np.int32)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "doc", "line", "again", "n", "at"])
+
+    return own.select("doc", "line", "n", "alone", "members").mapInArrow(run, "token long, doc long, line int, again int, n int, at int")
+
+
+def _able(percent: int, again1, again2, n1, n2, a1, a2, least, greatest, ceil):
+    """Length and positional filters: the tokens from a shared one on, and those before it that occur again, must be able to make up the overlap."""
+    need = ceil((n1 + n2) * percent / (100 + percent))
+    return (least(n1, n2) * 100 >= greatest(n1, n2) * percent) & (1 + least(a1, a2) + least(again1 - a1 - 1, again2 - a2 - 1) >= need)
+
+
+def _small_groups(index: DataFrame, percent: int) -> DataFrame:
+    """doc, line, other_doc, other_line: able pairs of tokens that few lines hold, the later line first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "doc", "line", "again", "n", "at")
+        held = {c: np.zeros(0, np.int64) for c in names}
+        for batch in [*batches, None]:
+            if batch is not None:
+                held = {c: np.concatenate([held[c], batch.column(c).to_numpy().astype(np.int64)]) for c in names}
+            end = len(held["token"]) if batch is None else int(np.searchsorted(held["token"], held["token"][-1])) if len(held["token"]) else 0
+            x, held = {c: v[:end] for c, v in held.items()}, {c: v[end:] for c, v in held.items()}
+            for lag in range(1, SMALL_GROUP):
+                i = np.flatnonzero(x["token"][lag:] == x["token"][:-lag]) + lag
+                j = i - lag
+                good = _able(percent, *(x[c][k] for c in ("again", "n", "at") for k in (i, j)), np.minimum, np.maximum, np.ceil)
+                i, j = i[good], j[good]
+                yield pa.RecordBatch.from_arrays([pa.array(x["doc"][i]), pa.array(x["line"][i].astype(np.int32)), pa.array(x["doc"][j]), pa.array(x["line"][j].astype(np.int32))], ["doc", "line", "other_doc", "other_line"])
+
+    return index.repartition("token").sortWithinPartitions("token", "doc", "line").mapInArrow(run, "doc long, line int, other_doc long, other_line int")
 
 
 def _verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -295,38 +305,94 @@ def _verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 both = np.concatenate([np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("mx", "my")])
-                both.sort(kind="stable")
+                both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
                     keep.append(i)
             yield batch.select(["doc", "line"]).take(pa.array(keep, pa.int64()))
 
+    left = own.select("doc", "line", F.col("members").alias("mx"))
     right = own.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("members").alias("my"))
-    return cut(pairs.join(own.withColumnRenamed("members", "mx"), ["doc", "line"]).join(right, ["other_doc", "other_line"]).select("doc", "line", "mx", "my").mapInArrow(run, "doc long, line int").distinct())
-
-
-def _rarest(own: DataFrame, percent: int) -> DataFrame:
-    """token, doc, line, n, at: the prefixes of lines whose tokens are ordered by their exact counts among these lines.
-
-    Tokens of one line alone come first and can't be shared, so they are counted and not sent on.
+    return cut(pairs.join(left, ["doc", "line"]).join(right, ["other_doc", "other_line"]).select("doc", "line", "mx", "my").mapInArrow(run, "doc long, line int").distinct())
+
+
+class _Block:
+    """Lines of one side of a block, ready to count what others share with them."""
+
+    def __init__(self, doc: np.ndarray, line: np.ndarray, members: list[np.ndarray]):
+        self.doc, self.line, self.n = doc, line, np.array([len(x) for x in members], np.int64)
+        token, row = np.concatenate(members), np.repeat(np.arange(len(members)), self.n)
+        order = np.argsort(token)
+        self.rows = row[order]
+        self.start = np.flatnonzero(_heads(token[order]))
+        self.known, self.size = token[order][self.start], np.diff(np.append(self.start, len(token)))
+        common = np.flatnonzero(self.size > COMMON)
+        self.column = np.full(len(self.known), -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(members), len(common)), np.float32)
+        where = np.repeat(self.column, self.size)
+        self.dense[self.rows[where >= 0], where[where >= 0]] = 1
+
+    def shared(self, members: list[np.ndarray]) -> np.ndarray:
+        """How many tokens each of ``members`` shares with each line."""
+        token, row = np.concatenate(members), np.repeat(np.arange(len(members)), [len(x) for x in members])
+        at = np.minimum(np.searchsorted(self.known, token), len(self.known) - 1)
+        hit = self.known[at] == token
+        at, row = at[hit], row[hit]
+        dense = np.zeros((len(members), self.dense.shape[1]), np.float32)
+        column = self.column[at]
+        dense[row[column >= 0], column[column >= 0]] = 1
+        at, row = at[column < 0], row[column < 0]
+        size = self.size[at]
+        rows = self.rows[np.arange(size.sum()) + np.repeat(self.start[at] - (np.cumsum(size) - size), size)]
+        rare = np.bincount(np.repeat(row, size) * len(self.n) + rows, minlength=len(members) * len(self.n))
+        return rare.reshape(len(members), -1) + np.rint(dense @ self.dense.T).astype(np.int64)
+
+
+def _large_groups(index: DataFrame, large: DataFrame, gone: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """doc, line of the lines that are left in tokens that many lines hold and that are similar to an earlier one there.
+
+    A token's lines are dealt into blocks; a line that is left goes to each block of its token and stands for
+    itself there, so that a block tells as many lines at most as came to it.
     """
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, early, block = None, [], None
         for batch in batches:
-            if batch.num_rows:
-                raw, offsets = flat(batch.column("members"))
-                n = np.diff(offsets) // 8
-                columns = [pa.array(np.frombuffer(raw.tobytes(), np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("doc", "line")), pa.array(np.repeat(n, n).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "doc", "line", "n"])
-
-    tokens = own.mapInArrow(explode, "token long, doc long, line int, n int")
-    shared = tokens.withColumn("count", F.count("*").over(Window.partitionBy("token"))).filter("count > 1")
-    in_line = Window.partitionBy("doc", "line")
-    placed = shared.withColumn("at", F.row_number().over(in_line.orderBy("count", "token")) - 1 + F.col("n") - F.count("*").over(in_line))
-    return placed.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "doc", "line", "n", "at")
-
-
-def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", frequent: int = FREQUENT_WORDS) -> DataFrame:
+            cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+            members = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
+            doc, line = batch.column("doc").to_numpy(), batch.column("line").to_numpy()
+            cuts = np.append(np.flatnonzero(_heads(cells) | _heads(sides)), len(cells)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if cells[a] != cell:
+                    cell, early, block = cells[a], [], None
+                if sides[a] == 0:
+                    early.append((doc[a:b], line[a:b], members[a:b]))
+                    continue
+                if block is None and early:
+                    block = _Block(np.concatenate([x[0] for x in early]), np.concatenate([x[1] for x in early]), [m for x in early for m in x[2]])
+                while block is not None and a < b:
+                    size = np.cumsum([len(m) for m in members[a:b]])
+                    c = a + max(1, min(int(np.searchsorted(size, BLOCK_TOKENS)), BLOCK_LINES))
+                    common = block.shared(members[a:c])
+                    n = np.array([len(m) for m in members[a:c]])[:, None]
+                    before = (block.doc[None] < doc[a:c, None]) | ((block.doc[None] == doc[a:c, None]) & (block.line[None] < line[a:c, None]))
+                    found = np.flatnonzero((before & (100 * common >= percent * (n + block.n[None] - common))).any(axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[a:c][found]), pa.array(line[a:c][found])], ["doc", "line"])
+                    a = c
+
+    left = cut(index.join(large.select("token"), "token", "left_semi").select("token", "doc", "line", "n").join(gone, ["doc", "line"], "left_anti"))
+    tokens = left.groupBy("token").agg(F.count("*").alias("late"))
+    blocks = index.join(tokens, "token", "left_semi").groupBy("token").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_LINES)).alias("blocks"))
+    blocks = cut(blocks)
+    cell = lambda block: F.xxhash64("token", block).alias("cell")
+    early = index.join(blocks, "token").select(cell(F.pmod(F.xxhash64("doc", "line"), F.col("blocks"))), F.lit(0).alias("side"), "doc", "line")
+    late = left.join(blocks, "token").select("token", "doc", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(cell(F.col("block")), F.lit(1).alias("side"), "doc", "line")
+    rows = early.union(late).join(own.select("doc", "line", "members"), ["doc", "line"])
+    return rows.repartition("cell").sortWithinPartitions("cell", "side").select("cell", "side", "doc", "line", "members").mapInArrow(run, "doc long, line int").distinct()
+
+
+def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id and removed (sorted line numbers, from 0) of every document that has lines to remove.
 
     A line goes if an earlier one, by doc_id and line number, has a Jaccard similarity of percent / 100
@@ -335,46 +401,42 @@ def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     all of them or from none. Different texts of one doc_id count as parts of it in the order of their hashes, and
     the line numbers run on from one to the next.
     """
-    return _later(_numbered(docs, text), shingle, percent, text, frequent)
+    return _later(_numbered(docs, text), shingle, percent, text)
 
 
-def _later(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", frequent: int = FREQUENT_WORDS) -> DataFrame:
+def _later(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """:func:`later_lines` of documents that :func:`_numbered` has numbered."""
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
-    spark = docs.sparkSession
-    counts = written(word_counts(docs, text).filter("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.filter(F.col("n") >= max(2, total / frequent)).toPandas()
-    rarity = spark.sparkContext.broadcast(_Rarity(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
-
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 5 // BUCKET_TOKENS)
-    found = written(_meet(_index(docs, rarity, text, shingle, percent, buckets), percent))
-    copies = found.filter("kind = 0").select("doc", "line")
+    chunks = written(_chunks(docs, text, shingle))
+    n_tokens = chunks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // BUCKET_TOKENS))
+    # Copies: all lines of a class but its first. Only classes of several lines are joined, and a large one can be split.
+    lines = _all_lines(chunks)
+    firsts = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("size"))
+    firsts = written(firsts.filter("size > 1").select("cls", "first"))
+    copies = lines.join(firsts, "cls").filter(F.struct("doc", "line") != F.col("first")).select("doc", "line")
+
+    likely = _likely(chunks.join(_rarities(chunks, shingle, buckets), "chunk"), shingle, percent)
+    # A class is likely in every chunk that holds it; its first line stands for it.
+    own = likely.join(firsts, "cls", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("doc", "line")))
+    own = written(own.select("doc", "line", "n", "alone", "members").dropDuplicates(["doc", "line"]))
+    index = written(_prefix_tokens(own, percent))
+    groups = cut(index.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("doc", "line", "again", "n", "at")).alias("first")).filter("size > 1"))
+    small, large = groups.filter(F.col("size") <= SMALL_GROUP), groups.filter(F.col("size") > SMALL_GROUP)
     ends = ["doc", "line", "other_doc", "other_line"]
-    pairs = written(found.filter("kind = 1").groupBy(*ends).agg(F.count("*").alias("shared")))
-    # First round: each line with the one that it shares most prefix tokens with. One similar earlier line is enough.
-    best = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "other_doc", "other_line")).alias("best")).select("doc", "line", "best.other_doc", "best.other_line")
-    best = cut(best)
-    both = lambda x: x.select("doc", "line").union(x.select("other_doc", "other_line"))
-    own = _token_sets(both(pairs).union(found.filter("kind = 2").select("doc", "line")), docs, text, shingle)
+    star = index.join(large, "token").filter(F.struct("doc", "line") != F.struct("first.doc", "first.line"))
+    star = star.filter(_able(percent, F.col("again"), F.col("first.again"), F.col("n"), F.col("first.n"), F.col("at"), F.col("first.at"), F.least, F.greatest, F.ceil))
+    star = star.select("doc", "line", F.col("first.doc").alias("other_doc"), F.col("first.line").alias("other_line"))
+    pairs = _small_groups(index.join(small.select("token"), "token", "left_semi"), percent).union(star)
+    pairs = cut(pairs.groupBy(*ends).agg(F.count("*").alias("shared")))
+    # Each line with the one that it shares most prefix tokens with: one similar earlier line is enough. Then those left, with all others.
+    best = cut(pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "other_doc", "other_line")).alias("best")).select("doc", "line", "best.other_doc", "best.other_line"))
     gone = _verified(best, own, percent)
-    # Second round: lines that are left meet all others. For the lines of large groups the tokens are ordered anew, by
-    # their exact counts among these lines, so that a passage that many different lines share brings none of them together.
-    large = found.filter("kind = 2").select("doc", "line").distinct()
-    groups = written(_rarest(own.join(large, ["doc", "line"], "left_semi"), percent))
-    late = groups.join(gone, ["doc", "line"], "left_anti")
-    early = groups.toDF("token", "other_doc", "other_line", "n2", "at2")
-    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    alike = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    earlier = F.struct("other_doc", "other_line") < F.struct("doc", "line")
-    # Of two prefixes, all that the one which ends first shares with the other line lies in both: the overlap is at
-    # most the tokens that the prefixes share and what is left of that line.
-    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    met = late.join(early, "token").filter(alike & earlier).groupBy(*ends).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-    more = met.filter(F.col("shared") + F.greatest(rest("n"), rest("n2")) >= need).select(*ends)
-    more = cut(more.union(pairs.select(*ends).join(gone, ["doc", "line"], "left_anti")).distinct().join(best, ends, "left_anti"))
+    more = cut(pairs.select(*ends).join(gone, ["doc", "line"], "left_anti").join(best, ends, "left_anti"))
     if more.take(1):
-        gone = gone.union(_verified(more, own, percent))
+        gone = cut(gone.union(_verified(more, own, percent)).distinct())
+    if large.take(1):
+        gone = gone.union(_large_groups(index, large, gone, own, percent))
     return copies.union(gone).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
