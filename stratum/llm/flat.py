@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 # Python workers are reused for hours: freed buffers must go back to the system, not into a pool.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -94,8 +95,8 @@ def substring_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -103,7 +104,7 @@ _LOWER[65:91] += 32
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every run of bytes without ASCII white space, and the row that it stands in."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~SPACE[data]
     change = inside[1:] != inside[:-1]
     starts, ends = np.flatnonzero(change & inside[1:]), np.flatnonzero(change & ~inside[1:])
     # A word never runs across a row's end: cut those that do.
@@ -117,6 +118,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, rows
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the words with A-Z lower-cased."""
-    return substring_hash(prefix_hash(_LOWER[data]), starts, ends)
+#: Longer words are hashed by xxhash: sums modulo 2**64 can't tell some strings of 1,024 bytes and more apart.
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of the words, with A-Z lower-cased if ``lower``."""
+    folded = _LOWER[data] if lower else np.ascontiguousarray(data)
+    out = substring_hash(prefix_hash(folded), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]])
+    return out

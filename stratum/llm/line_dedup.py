@@ -22,16 +22,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.llm.cells import HASH_BITS, dealt, heads, pack, unpack
 from stratum.llm.flat import flat, mix, steps, word_hashes, words
 from stratum.llm.shared import cut, written
 from stratum.llm.tables import grouped, only
 
-#: Bits of a token's hash, and of a line's number within its chunk where both are sorted as one number.
-TOKEN_BITS, LINE_BITS = 50, 14
+#: Bits of a line's number within its chunk where it is sorted together with a token's hash.
+LINE_BITS = 64 - HASH_BITS
 #: Bytes of text of a chunk, and tokens of which a bucket holds about as many.
 CHUNK_BYTES, BUCKET_TOKENS = 4_000_000, 1 << 20
 #: Classes that meet in a token all at once; tokens and lines of one side of a block where more do.
 SMALL_GROUP, BLOCK_TOKENS, BLOCK_LINES = 8, 1 << 16, 1 << 10
+#: Line numbers that are broadcast at most (4 bytes each).
+WANTED = 4_000_000
 #: Lines of a block that must share a token for it to be counted by a matrix product.
 COMMON = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -61,25 +64,18 @@ def _tokens(data: np.ndarray, starts: np.ndarray, shingle: int) -> tuple[np.ndar
     n = np.bincount(line, minlength=len(starts) - 1)
     place = np.arange(len(line)) - (np.cumsum(n) - n)[line]
     keep = place <= np.maximum(n[line] - shingle, 0)
-    line, token = line[keep], mix(token[keep]) >> np.uint64(64 - TOKEN_BITS)
+    line, token = line[keep], mix(token[keep]) >> np.uint64(64 - HASH_BITS)
     if len(starts) <= 1 << LINE_BITS:
         both = token << np.uint64(LINE_BITS) | line.astype(np.uint64)
         both.sort()
-        both = both[_heads(both)]
+        both = both[heads(both)]
         return both >> np.uint64(LINE_BITS), (both & np.uint64((1 << LINE_BITS) - 1)).astype(np.int64)
     order = np.lexsort((line, token))
     token, line = token[order], line[order]
-    once = _heads(token) | _heads(line)
+    once = heads(token) | heads(line)
     return token[once], line[once]
 
 
-def _heads(values: np.ndarray) -> np.ndarray:
-    """Where a run of equal values begins."""
-    head = np.ones(len(values), bool)
-    head[1:] = values[1:] != values[:-1]
-    return head
-
-
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with ``_base``, the number of a row's first line among the lines of its doc_id: 0, but where a doc_id
     has several texts, these follow each other in the order of their hashes. Rows of equal doc_id and text share it."""
@@ -96,96 +92,87 @@ def _numbered(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _n_lines(text: str) -> Column:
-    return F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long")
+    return F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
 
 
 class _Chunk:
-    """The classes of lines of a chunk of texts, computed alike in every round.
+    """The lines of a chunk of texts that are the first of their class, and their tokens, computed alike in every round.
 
-    doc, number and cls are those of all lines with words; token and line (numbers among those lines) are
-    those of each class's first line only. distinct holds the tokens once, count the classes of each, and
-    at the place of each pair's token in it.
+    token and line (numbers among the lines with words) are sorted by token. distinct holds the tokens
+    once, count the lines that hold each, and at the place of each pair's token in it.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, base: np.ndarray, shingle: int):
-        starts, first = _lines(data, offsets)
-        token, line = _tokens(data, starts, shingle)
-        n = np.bincount(line, minlength=len(starts) - 1)
-        mixed = mix(token + np.uint64(1))
-        low, high = (np.bincount(line, x.astype(np.float64), len(n)).astype(np.uint64) for x in (mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32)))
-        full = np.flatnonzero(n)
-        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))[full]
-        self.n = n[full]
-        self.cls = mix(low[full] * _STEP + mix(high[full])) + self.n.astype(np.uint64)
-        self.doc, self.number = doc[owner], (full - first[owner] + base[owner]).astype(np.int32)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, shingle: int, leads: np.ndarray | None = None):
+        starts, self.first = _lines(data, offsets)
+        self.token, self.line = _tokens(data, starts, shingle)
+        n = np.bincount(self.line, minlength=len(starts) - 1)
+        self.full = np.flatnonzero(n)
+        self.n = n[self.full]
         place = np.zeros(len(n), np.int64)
-        place[full] = np.arange(len(full))
-        order = np.lexsort((self.number, self.doc, self.cls))
-        leads = np.zeros(len(full), bool)
-        leads[order[_heads(self.cls[order])]] = True
-        line = place[line]
-        keep = leads[line]
-        self.token, self.line = token[keep], line[keep]
-        head = _heads(self.token)
-        self.at = np.cumsum(head) - 1
-        self.distinct, self.count = self.token[head], np.bincount(self.at, minlength=int(head.sum()))
+        place[self.full] = np.arange(len(self.full))
+        self.line = place[self.line]
+        if leads is not None:
+            keep = leads[self.line]
+            self.token, self.line = self.token[keep], self.line[keep]
+            head = heads(self.token)
+            self.at = np.cumsum(head) - 1
+            self.distinct, self.count = self.token[head], np.bincount(self.at, minlength=int(head.sum()))
+
+    def lines(self, doc: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """cls, doc and number of every line with words, and whether it is the first of its class in this chunk."""
+        mixed = mix(self.token + np.uint64(1))
+        low, high = (np.bincount(self.line, x.astype(np.float64), len(self.n)).astype(np.uint64) for x in (mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32)))
+        cls = mix(low * _STEP + mix(high)) + self.n.astype(np.uint64)
+        doc, number = self.places(doc, base)
+        order = np.lexsort((number, doc, cls))
+        leads = np.zeros(len(cls), bool)
+        leads[order[heads(cls[order])]] = True
+        return cls, doc, number, leads
+
+    def places(self, doc: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """doc and number of every line with words."""
+        owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[self.full]
+        return doc[owner], (self.full - self.first[owner] + base[owner]).astype(np.int32)
 
     @staticmethod
     def of(row: dict, shingle: int) -> _Chunk:
-        data = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
-        return _Chunk(data, *(np.frombuffer(row[c], "<i8") for c in ("offsets", "docs", "bases")), shingle)
+        leads = np.unpackbits(np.frombuffer(row["leads"], np.uint8), count=row["n_lines"]).astype(bool)
+        leads[np.array(row["later"] or (), np.int64)] = False
+        return _Chunk(np.frombuffer(zstandard.decompress(row["data"]), np.uint8), np.frombuffer(row["offsets"], "<i8"), shingle, leads)
 
 
 def _chunks(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """One row per chunk: its texts (compressed), where each starts, their doc_ids and bases, and every line's doc, number and class."""
+    """One row per chunk: its texts (compressed), where each starts, their doc_ids and bases, which lines are the first of
+    their class in it, and every line's class, doc and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for part in steps(batches, text, CHUNK_BYTES):
             data, offsets = flat(part.column(text))
             doc, base = part.column("doc_id").to_numpy(), part.column("_base").to_numpy().astype(np.int64)
-            chunk = _Chunk(data, offsets, doc, base, shingle)
-            if not len(chunk.doc):
+            chunk = _Chunk(data, offsets, shingle)
+            if not len(chunk.n):
                 continue
-            packed = [zstandard.compress(data.tobytes(), 3), offsets.astype("<i8").tobytes(), doc.astype("<i8").tobytes(), base.astype("<i8").tobytes(), chunk.doc.astype("<i8").tobytes(), chunk.number.astype("<i4").tobytes(), chunk.cls.astype("<u8").tobytes()]
-            names = ["data", "offsets", "docs", "bases", "doc", "number", "cls"]
-            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([len(chunk.distinct)], pa.int64())], ["chunk", *names, "n"])
+            cls, line_doc, line, leads = chunk.lines(doc, base)
+            packed = [zstandard.compress(data.tobytes(), 3), offsets.astype("<i8").tobytes(), doc.astype("<i8").tobytes(), base.astype("<i8").tobytes(), np.packbits(leads).tobytes(), cls.astype("<u8").tobytes(), line_doc.astype("<i8").tobytes(), line.astype("<i4").tobytes()]
+            names = ["data", "offsets", "docs", "bases", "leads", "cls", "doc", "line"]
+            counts = [len(cls), len(chunk.token)]
+            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), *(pa.array([x], pa.int64()) for x in counts)], ["chunk", *names, "n_lines", "n_tokens"])
             number += 1
 
-    return docs.select(F.col("doc_id").cast("long"), text, "_base").mapInArrow(run, "chunk long, data binary, offsets binary, docs binary, bases binary, doc binary, number binary, cls binary, n long")
+    return docs.select(F.col("doc_id").cast("long"), text, "_base").mapInArrow(run, "chunk long, data binary, offsets binary, docs binary, bases binary, leads binary, cls binary, doc binary, line binary, n_lines long, n_tokens long")
 
 
 def _all_lines(chunks: DataFrame) -> DataFrame:
-    """cls, doc, line of every line with words."""
+    """cls, doc, line of every line with words, and its chunk and number there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], t)) for c, t in (("cls", "<i8"), ("doc", "<i8"), ("number", "<i4"))], ["cls", "doc", "line"])
-
-    return chunks.select("cls", "doc", "number").mapInArrow(run, "cls long, doc long, line int")
-
-
-def _dealt(token: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each token by its leading bits, and 32 bits of what follows them; sorted tokens give sorted pairs."""
-    half = np.uint64(TOKEN_BITS // 2)
-    low = (token & np.uint64((1 << TOKEN_BITS // 2) - 1)) * np.uint64(buckets)
-    high = (token >> half) * np.uint64(buckets) + (low >> half)
-    rest = (high & np.uint64((1 << TOKEN_BITS // 2) - 1)) << half | low & np.uint64((1 << TOKEN_BITS // 2) - 1)
-    return (high >> half).astype(np.int64), (rest >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32)
-
-
-def _pack(sorted_values: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as their differences, of 3 bytes each if those fit."""
-    steps_ = np.diff(sorted_values, prepend=np.uint32(0)).astype("<u4")
-    raw = steps_.view(np.uint8).reshape(-1, 4)
-    return raw[:, :3].tobytes() if not raw[:, 3].any() else raw.tobytes()
-
+                n = row["n_lines"]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.frombuffer(row[c], t)) for c, t in (("cls", "<i8"), ("doc", "<i8"), ("line", "<i4"))), pa.array(np.full(n, row["chunk"])), pa.array(np.arange(n, dtype=np.int32))], ["cls", "doc", "line", "chunk", "k"])
 
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    wide = np.zeros((n, 4), np.uint8)
-    wide[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
-    return np.cumsum(wide.view("<u4").ravel(), dtype=np.uint32)
+    return chunks.select("chunk", "n_lines", "cls", "doc", "line").mapInArrow(run, "cls long, doc long, line int, chunk long, k int")
 
 
 def _rarity(holders: np.ndarray) -> np.ndarray:
@@ -200,22 +187,22 @@ def _rarities(chunks: DataFrame, shingle: int, buckets: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                bucket, rest = _dealt(_Chunk.of(row, shingle).distinct, buckets)
-                cuts = np.append(np.flatnonzero(_heads(bucket)), len(bucket))
-                cells = [_pack(rest[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                bucket, rest = dealt(_Chunk.of(row, shingle).distinct, buckets)
+                cuts = np.append(np.flatnonzero(heads(bucket)), len(bucket))
+                cells = [pack(rest[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(cells), row["chunk"])), pa.array(np.diff(cuts)), pa.array(cells, pa.binary())], ["bucket", "chunk", "n", "tokens"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "bucket"):
-            cells = [_unpack(raw, n) for raw, n in zip(group.column("tokens").to_pylist(), group.column("n").to_pylist(), strict=True)]
+            cells = [unpack(raw, n) for raw, n in zip(group.column("tokens").to_pylist(), group.column("n").to_pylist(), strict=True)]
             every = np.concatenate(cells)
             every.sort()
-            first = np.flatnonzero(_heads(every))
+            first = np.flatnonzero(heads(every))
             known, mark = every[first], _rarity(np.diff(np.append(first, len(every))))
             marks = [zstandard.compress(mark[np.searchsorted(known, x)].tobytes(), 1) for x in cells]
             yield pa.RecordBatch.from_arrays([group.column("chunk"), group.column("bucket"), pa.array(marks, pa.binary())], ["chunk", "bucket", "marks"])
 
-    sent = chunks.select("chunk", "data", "offsets", "docs", "bases").mapInArrow(send, "bucket long, chunk long, n long, tokens binary")
+    sent = chunks.mapInArrow(send, "bucket long, chunk long, n long, tokens binary")
     back = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "chunk long, bucket long, marks binary")
     return back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias("marks"))
 
@@ -226,7 +213,7 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _likely(chunks: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """cls, doc, line, n, alone, members of the classes whose prefixes hold tokens that occur again.
+    """doc, line, n, alone, members of the classes whose prefixes hold tokens that occur again.
 
     members are all n tokens, the rarest first; the first ``alone`` of them occur nowhere else.
     """
@@ -242,15 +229,16 @@ def _likely(chunks: DataFrame, shingle: int, percent: int) -> DataFrame:
                 leads = np.zeros(len(x.n), bool)
                 leads[x.line] = True
                 chosen = leads & (alone < _prefix(x.n, percent)) & (alone < x.n)
+                doc, number = x.places(*(np.frombuffer(row[c], "<i8") for c in ("docs", "bases")))
                 keep = chosen[x.line]
                 token, line, mark = x.token[keep], x.line[keep], mark[keep]
                 order = np.lexsort((token, mark, line))
                 raw, which = token[order].astype("<u8").tobytes(), np.flatnonzero(chosen)
                 ends = np.concatenate([[0], np.cumsum(x.n[which])]) * 8
                 members = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(x.cls[which].view(np.int64)), pa.array(x.doc[which]), pa.array(x.number[which]), pa.array(x.n[which].astype(np.int32)), pa.array(alone[which].astype(np.int32)), members], ["cls", "doc", "line", "n", "alone", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(number[which]), pa.array(x.n[which].astype(np.int32)), pa.array(alone[which].astype(np.int32)), members], ["doc", "line", "n", "alone", "members"])
 
-    return chunks.mapInArrow(run, "cls long, doc long, line int, n int, alone int, members binary")
+    return chunks.mapInArrow(run, "doc long, line int, n int, alone int, members binary")
 
 
 def _prefix_tokens(own: DataFrame, percent: int) -> DataFrame:
@@ -324,7 +312,7 @@ class _Block:
         token, row = np.concatenate(members), np.repeat(np.arange(len(members)), self.n)
         order = np.argsort(token)
         self.rows = row[order]
-        self.start = np.flatnonzero(_heads(token[order]))
+        self.start = np.flatnonzero(heads(token[order]))
         self.known, self.size = token[order][self.start], np.diff(np.append(self.start, len(token)))
         common = np.flatnonzero(self.size > COMMON)
         self.column = np.full(len(self.known), -1)
@@ -362,7 +350,7 @@ def _large_groups(index: DataFrame, large: DataFrame, gone: DataFrame, own: Data
             cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
             members = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
             doc, line = batch.column("doc").to_numpy(), batch.column("line").to_numpy()
-            cuts = np.append(np.flatnonzero(_heads(cells) | _heads(sides)), len(cells)).tolist()
+            cuts = np.append(np.flatnonzero(heads(cells) | heads(sides)), len(cells)).tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if cells[a] != cell:
                     cell, early, block = cells[a], [], None
@@ -408,18 +396,18 @@ def _later(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "te
     """:func:`later_lines` of documents that :func:`_numbered` has numbered."""
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     chunks = written(_chunks(docs, text, shingle))
-    n_tokens = chunks.agg(F.sum("n")).first()[0] or 0
+    n_tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // BUCKET_TOKENS))
     # Copies: all lines of a class but its first. Only classes of several lines are joined, and a large one can be split.
     lines = _all_lines(chunks)
-    firsts = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("size"))
-    firsts = written(firsts.filter("size > 1").select("cls", "first"))
-    copies = lines.join(firsts, "cls").filter(F.struct("doc", "line") != F.col("first")).select("doc", "line")
-
-    likely = _likely(chunks.join(_rarities(chunks, shingle, buckets), "chunk"), shingle, percent)
-    # A class is likely in every chunk that holds it; its first line stands for it.
-    own = likely.join(firsts, "cls", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("doc", "line")))
-    own = written(own.select("doc", "line", "n", "alone", "members").dropDuplicates(["doc", "line"]))
+    firsts = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    copies = written(lines.join(firsts.select("cls", "first"), "cls").filter(F.struct("doc", "line") != F.col("first")).select("doc", "line", "chunk", "k"))
+    # From here on the first line of a class stands for it.
+    later = copies.groupBy("chunk").agg(F.collect_list("k").alias("later"))
+    few = copies.limit(WANTED + 1).count() <= WANTED  # a checked size: broadcast, else both sides are shuffled
+    texts = chunks.select("chunk", "data", "offsets", "docs", "bases", "leads", "n_lines").join(F.broadcast(later) if few else later, "chunk", "left")
+    own = _likely(texts.join(_rarities(texts.drop("docs", "bases"), shingle, buckets), "chunk"), shingle, percent)
+    own = written(own.dropDuplicates(["doc", "line"]))  # rows may stand again
     index = written(_prefix_tokens(own, percent))
     groups = cut(index.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("doc", "line", "again", "n", "at")).alias("first")).filter("size > 1"))
     small, large = groups.filter(F.col("size") <= SMALL_GROUP), groups.filter(F.col("size") > SMALL_GROUP)
@@ -437,12 +425,12 @@ def _later(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "te
         gone = cut(gone.union(_verified(more, own, percent)).distinct())
     if large.take(1):
         gone = gone.union(_large_groups(index, large, gone, own, percent))
-    return copies.union(gone).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return copies.select("doc", "line").union(gone).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
 def line_report(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, removed (line numbers in the row's text). A null text has no lines."""
-    docs = _numbered(docs, text)
+    docs = _numbered(docs.select("doc_id", text), text)
     removed = _later(docs, text=text, **options)
     out = docs.select(F.col("doc_id").cast("long"), _n_lines(text).alias("n_lines"), "_base").join(removed, "doc_id", "left")
     own = F.transform(F.filter("removed", lambda x: (x >= F.col("_base")) & (x < F.col("_base") + F.col("n_lines"))), lambda x: x - F.col("_base"))
@@ -451,10 +439,11 @@ def line_report(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def remove_later_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` without the lines that :func:`later_lines` names; rows and other columns stay."""
-    rows = _numbered(docs, text)
-    removed = _later(rows, text=text, **options).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
+    """``docs`` without the lines that :func:`later_lines` names; rows and other columns stay, whatever their names."""
+    rows = _numbered(docs.select("doc_id", text, F.struct(*docs.columns).alias("_row")), text)
+    removed = _later(rows.select("doc_id", text, "_base"), text=text, **options).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
     joined = rows.join(removed, F.col("doc_id").cast("long") == F.col("_doc"), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_removed"), i + F.col("_base"))), "\n")
-    return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)).select(docs.columns)
+    new = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)
+    return joined.select(*(new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))
