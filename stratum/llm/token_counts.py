@@ -33,10 +33,10 @@ BLOCK_BYTES = 8 << 20
 def write_token_files(docs: DataFrame, folder: str, text: str = "text", tokenizer: str = WORD_TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Tokenize whole texts into flat files of little-endian unsigned 16-bit ids, one file a partition.
 
-    Returns file, ordinal (the document's number in its file, from 0), doc_id; it is materialised,
-    so the files exist. A task writes under its attempt's name and renames at its end: a lost or
-    repeated task leaves no partial file. Ids of ``end_id`` inside a text are dropped, as they would
-    end the document. ``folder`` must be in a file system that all executors reach.
+    Returns file, ordinal (the document's number in its file, from 0), doc_id and n_end_ids; it is
+    materialised, so the files exist. A task writes under its attempt's name and renames at its end: a
+    lost or repeated task leaves no partial file. Ids of ``end_id`` inside a text would end the document:
+    the files leave them out, and n_end_ids counts them. ``folder`` must be in a file system that all executors reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,10 +46,13 @@ def write_token_files(docs: DataFrame, folder: str, text: str = "text", tokenize
         name = f"{task.partitionId():06d}.u16"
         own = f"{root}/_{name}.{task.taskAttemptId()}"
         doc_ids: list[int | None] = []
+        n_odd: list[int] = []
         with system.open_output_stream(own) as out:
             for part in steps(batches, text):
                 ids, at = encoder.encode_flat(*flat(part.column(text)))
-                if len(odd := np.flatnonzero(ids == end_id)):
+                odd = np.flatnonzero(ids == end_id)
+                n_odd += np.diff(np.searchsorted(odd, at)).tolist()
+                if len(odd):
                     at = at - np.searchsorted(odd, at)
                     ids = np.delete(ids, odd)
                 out.write(np.insert(ids.astype("<u2"), at[1:], end_id).tobytes())
@@ -61,9 +64,9 @@ def write_token_files(docs: DataFrame, folder: str, text: str = "text", tokenize
             with contextlib.suppress(OSError):
                 system.delete_file(f"{root}/{name}")
         system.move(own, f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(doc_ids)), pa.array(np.arange(len(doc_ids))), pa.array(doc_ids, pa.int64())], ["file", "ordinal", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(doc_ids)), pa.array(np.arange(len(doc_ids))), pa.array(doc_ids, pa.int64()), pa.array(n_odd, pa.int64())], ["file", "ordinal", "doc_id", "n_end_ids"])
 
-    return cut(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "file string, ordinal long, doc_id long"))
+    return cut(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "file string, ordinal long, doc_id long, n_end_ids long"))
 
 
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,10 +116,10 @@ def separator_scan(files: DataFrame, folder: str, end_id: int = END_ID, block_by
 
 
 def token_counts(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, file, ordinal, start of every document, by way of flat files in ``folder``.
+    """doc_id, n_tokens, n_end_ids, file, ordinal, start of every document, by way of flat files in ``folder``.
 
-    A null or empty text has 0 tokens. Equal doc_ids each keep their row; an empty table gives none.
+    n_tokens leaves out ids of the end that the text itself spells; n_end_ids counts those. A null or empty text has 0 tokens. Equal doc_ids each keep their row; an empty table gives none.
     """
     names = write_token_files(docs, folder, text)
     counted = separator_scan(names.select("file").distinct().join(token_files(docs.sparkSession, folder), "file") if names.take(1) else docs.sparkSession.createDataFrame([], "file string, n_bytes long"), folder)
-    return names.hint("merge").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    return names.hint("merge").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "n_end_ids", "file", "ordinal", "start")

@@ -13,7 +13,7 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-from stratum.llm.flat import word_hashes, words
+from stratum.llm.flat import mix, word_hashes, words
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words that a Python worker remembers (about 40 bytes each) before it starts anew.
@@ -22,6 +22,7 @@ CACHE_WORDS = 500_000
 RECENT_WORDS = 60_000
 #: Below this character, NFC changes nothing and lower case goes character by character.
 _PLAIN_BELOW = "İ"
+_CASED = np.uint64(0xC2B2AE3D27D4EB4F)
 # Fixed value: the pre-tokenizer's pattern, as the tokenizer file has it.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -70,7 +71,7 @@ class WordEncoder:
 
     def encode_word(self, word: str) -> list[int]:
         """As :meth:`encode_whole`; where normalisation changes a word's case alone, without the call's overhead."""
-        if max(word) >= _PLAIN_BELOW or len(word) > 255 or "<|" in word:
+        if max(word) >= _PLAIN_BELOW or len(word) > 255 or "<|" in word or not word.isprintable():
             return self.encode_whole(word)
         word = word.lower()
         if word.isascii():
@@ -99,7 +100,13 @@ class WordEncoder:
         starts, ends, rows = words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        keys, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        hashes = word_hashes(data, starts, ends)
+        # The tokenizer knows its special tokens by their case: words that may hold one are told apart by it too.
+        marked = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        if len(marked):
+            at = np.unique(np.searchsorted(starts, marked, side="right") - 1)
+            hashes[at] = mix(word_hashes(data, starts[at], ends[at], lower=False) ^ _CASED)
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         place, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int32)
         missing = ~(self.old.find(keys)[1] | self.recent.find(keys)[1])
         if missing.any():
