@@ -3,12 +3,13 @@
 A suffix array's prefix doubling names every position by the rank of the 2h bytes from it, from the
 pair of ranks (h bytes from it, h bytes from h further on), and goes on with those whose rank is not
 unique until a threshold. Here the first ranks are taken at sampled positions only: every string of
-the threshold's length contains a sampled position that its own bytes choose (the smallest hash of
-``ANCHOR`` bytes), so strings whose sampled rank is unique can't repeat and all their positions drop
-out. The positions that are left get ranks of a quarter, half and the whole of the threshold, each
-from a pair of ranks; Spark deals the ranks out by their leading bits, every bucket sorts its ranks,
-and the marks of those that are not unique go back. Equal strings have equal ranks wherever they
-stand, as a rank is named by a hash of its pair (96 bits in the last round).
+half the threshold's length contains a sampled position that its own bytes choose (the smallest hash
+of ``ANCHOR`` bytes), so strings whose sampled rank is unique can't repeat and all their positions
+drop out. The positions that are left get ranks of half and the whole of the threshold, each from a
+pair of ranks; Spark deals the ranks out by their leading bits, every bucket sorts its ranks, and the
+marks of those that are not unique go back. Equal strings have equal ranks wherever they stand, as a
+rank is named by a hash of its pair: at least 96 bits with the bucket's in the last round, 48 in the
+round before it.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.flat import flat, mix, powers, prefix_hash, steps, substring_hash
+from stratum.llm.cells import HASH_BITS, dealt, heads, pack, unpack
+from stratum.llm.flat import SPACE, flat, mix, powers, prefix_hash, steps, substring_hash
 from stratum.llm.shared import cut
-from stratum.llm.tables import grouped, only
+from stratum.llm.tables import free_name, grouped, only
 
 #: Bytes of a sampled rank's string. Positions of which one bucket of ranks holds about as many.
 ANCHOR, BUCKET_RANKS = 100, 1 << 20
@@ -64,13 +66,24 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int = AN
     return found, substring_hash(sums, found, found + anchor)
 
 
+def _word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where a word of a text begins."""
+    word = ~SPACE[data]
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    start[first] = word[first]
+    return start
+
+
 def _bases(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """doc_id, t1, t2 (the text's 128-bit key), n_bytes, sha256, and the sampled names: each once, and those that the text repeats."""
+    """doc_id, t1, t2 (the text's 128-bit key), n_bytes, n_words, sha256, and the sampled names: each once, and those that the text repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
             data, offsets = flat(part.column(text))
             at, names = sampled(data, offsets, length)
+            n_words = np.bincount(np.searchsorted(offsets, np.flatnonzero(_word_starts(data, offsets)), side="right") - 1, minlength=part.num_rows)
             row = np.searchsorted(offsets, at, side="right") - 1
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
             shas, single, twice = [], [], []
@@ -80,9 +93,9 @@ def _bases(docs: DataFrame, text: str, length: int) -> DataFrame:
                 single.append(own.view(np.int64))
                 twice.append(own[count > 1].view(np.int64))
             lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32), np.concatenate(xs)) for xs in (single, twice)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "t1", "t2")), pa.array(np.diff(offsets)), pa.array(shas), *lists], ["doc_id", "t1", "t2", "n_bytes", "sha256", "names", "twice"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "t1", "t2")), pa.array(np.diff(offsets)), pa.array(n_words), pa.array(shas), *lists], ["doc_id", "t1", "t2", "n_bytes", "n_words", "sha256", "names", "twice"])
 
-    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n_bytes long, sha256 string, names array<long>, twice array<long>")
+    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n_bytes long, n_words long, sha256 string, names array<long>, twice array<long>")
 
 
 def _chunks(docs: DataFrame, text: str, length: int) -> DataFrame:
@@ -139,33 +152,38 @@ class _Chunk:
             return mix(self.rank(at, half, salt) * _PAIR + self.rank(at + half, size - half, salt))
         return mix(substring_hash(self.sums, at, at + size) ^ np.uint64(salt))
 
-    def half(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Round 1: the positions of either half of a candidate string, sorted distinct ranks, and each position's number among them."""
-        mark = np.zeros(len(self.data) + 1, bool)
-        mark[self.at] = True
-        mark[self.at + self.length // 2] = True
-        at = np.flatnonzero(mark)
-        ranks, back, count = np.unique(self.rank(at, self.length // 2), return_inverse=True, return_counts=True)
-        self.half_at, self.half_back, self.half_many = at, back, count > 1
-        return ranks, np.zeros(0, np.uint32), self.half_many
-
-    def whole(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Round 2: positions both of whose halves repeat; sorted distinct ranks with a second hash."""
-        repeated = np.zeros(len(self.data) + 1, bool)
-        repeated[self.half_at[(marks | self.half_many)[self.half_back]]] = True
-        self.last = self.at[repeated[self.at] & repeated[self.at + self.length // 2]]
-        ranks, first, back, count = np.unique(self.rank(self.last, self.length), return_index=True, return_inverse=True, return_counts=True)
-        self.last_back, self.last_many = back, count > 1
-        return ranks, self.rank(self.last[first], self.length, 0x5DEECE66D).astype(np.uint32), self.last_many
-
-    def removed(self, marks: np.ndarray) -> np.ndarray:
-        """Covered bytes: those of every string whose rank is not unique."""
-        hits = self.last[(marks | self.last_many)[self.last_back]]
+    def _ranked(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct ranks with a second hash, each position's number among them, and which several positions have."""
+        ranks, first, back, count = np.unique(self.rank(at, size), return_index=True, return_inverse=True, return_counts=True)
+        return ranks, self.rank(at[first], size, 0x5DEECE66D), back, count > 1
+
+    def half(self) -> tuple[np.ndarray, np.ndarray]:
+        """Round 1: the ranks of half the threshold's length."""
+        ranks, more, self.half_back, self.half_many = self._ranked(self.at, self.length // 2)
+        return ranks, more
+
+    def whole(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Round 2: the ranks of the threshold's length, of positions both of whose halves repeat."""
+        self.repeated = np.zeros(len(self.data) + self.length, bool)
+        self.repeated[self.at[(marks | self.half_many)[self.half_back]]] = True
+        self.last = self.at[self.repeated[self.at] & self.repeated[self.at + self.length // 2]]
+        ranks, more, self.last_back, self.last_many = self._ranked(self.last, self.length)
+        return ranks, more
+
+    def _covered(self, hits: np.ndarray, size: int) -> np.ndarray:
         step = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(step, hits, 1)
-        np.add.at(step, hits + self.length, -1)
+        np.add.at(step, hits + size, -1)
         return np.cumsum(step[:-1]) > 0
 
+    def removed(self, marks: np.ndarray) -> np.ndarray:
+        """Covered bytes: those of every string whose rank is not unique."""
+        return self._covered(self.last[(marks | self.last_many)[self.last_back]], self.length)
+
+    def halves(self) -> np.ndarray:
+        """Bytes that repeated strings of half the threshold's length cover."""
+        return self._covered(np.flatnonzero(self.repeated), self.length // 2)
+
 
 def _marks(row: dict, name: str, n: int) -> np.ndarray:
     """The marks that came back for a chunk, bucket by bucket, in the order of its ranks."""
@@ -175,67 +193,77 @@ def _marks(row: dict, name: str, n: int) -> np.ndarray:
 
 def _not_unique(chunks: DataFrame, length: int, last: bool, buckets: int, name: str) -> DataFrame:
     """One round: every chunk sends its distinct ranks by bucket; a bucket sorts them and sends back which came from several chunks."""
+    second = "<u4" if last else "<u2"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 chunk = _Chunk(row, length)
-                ranks, more, _ = chunk.half()
+                ranks, more = chunk.half()
                 if last:
-                    ranks, more, _ = chunk.whole(_marks(row, "round1", len(ranks)))
-                bucket = ((ranks >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-                out = [(int(bucket[a]), row["chunk"], (ranks[a:b].tobytes() + more[a:b].tobytes()) if last else (ranks[a:b] & np.uint64(0xFFFFFFFF) ^ ranks[a:b] >> np.uint64(20)).astype("<u4").tobytes(), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                if out:
-                    b, c, r, n = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.binary()), pa.array(n, pa.int64())], ["bucket", "chunk", "ranks", "n"])
+                    ranks, more = chunk.whole(_marks(row, "round1", len(ranks)))
+                if not len(ranks):
+                    continue
+                bucket, rest = dealt(ranks >> np.uint64(64 - HASH_BITS), buckets)
+                more = more.astype(second)
+                cuts = np.append(np.flatnonzero(heads(bucket)), len(bucket)).tolist()
+                out = [(pack(rest[a:b]), more[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                columns = [pa.array(x, pa.binary()) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(out), row["chunk"])), *columns, pa.array(np.diff(cuts))], ["bucket", "chunk", "ranks", "more", "n"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "bucket"):
-            sizes = group.column("n").to_numpy()
-            raw = [group.column("ranks")[i].as_buffer() for i in range(group.num_rows)]
-            if last:
-                ranks = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in zip(raw, sizes.tolist(), strict=True)])
-                more = np.concatenate([np.frombuffer(x, "<u4", n, 8 * n) for x, n in zip(raw, sizes.tolist(), strict=True)])
-                order = np.lexsort((more, ranks))
-                same = (ranks[order[1:]] == ranks[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
-            else:
-                ranks = np.concatenate([np.frombuffer(x, "<u4") for x in raw])
-                order = np.argsort(ranks)
-                same = ranks[order[1:]] == ranks[order[:-1]]
-            many = np.zeros(len(ranks), bool)
-            many[order[1:][same]] = True
-            many[order[:-1][same]] = True
-            ends = np.cumsum(sizes)
-            bits = [np.packbits(many[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            cells = []
+            for r, m, n in zip(*(group.column(c).to_pylist() for c in ("ranks", "more", "n")), strict=True):
+                cells.append(unpack(r, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(m, second).astype(np.uint64))
+            every = np.concatenate(cells)
+            every.sort()
+            again = every[1:][every[1:] == every[:-1]]
+            again = again[heads(again)]
+            bits = []
+            for x in cells:
+                at = np.minimum(np.searchsorted(again, x), max(len(again) - 1, 0))
+                bits.append(np.packbits(again[at] == x if len(again) else np.zeros(len(x), bool)).tobytes())
             yield pa.RecordBatch.from_arrays([group.column("chunk"), group.column("bucket"), group.column("n"), pa.array(bits, pa.binary())], ["chunk", "bucket", "n", "bits"])
 
-    sent = chunks.mapInArrow(send, "bucket long, chunk long, ranks binary, n long")
+    sent = chunks.mapInArrow(send, "bucket long, chunk long, ranks binary, more binary, n long")
     marks = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "chunk long, bucket long, n long, bits binary")
     return marks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "bits"))).alias(name))
 
 
-def _cleaned(chunks: DataFrame, length: int) -> DataFrame:
-    """t1, t2, n_removed, n_spans, kept_sha256, spans (array of start and end bytes that go) of every candidate text."""
+_SPANS = "array<struct<start:long,end:long>>"
+
+
+def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.view(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def _cleaned(chunks: DataFrame, length: int, words: int) -> DataFrame:
+    """t1, t2, n_removed, n_spans, kept_sha256, spans (start and end of the bytes that go) and passages of every candidate text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 chunk = _Chunk(row, length)
-                ranks, _, _ = chunk.half()
-                ranks, _, _ = chunk.whole(_marks(row, "round1", len(ranks)))
-                gone = chunk.removed(_marks(row, "round2", len(ranks)))
+                ranks, _ = chunk.half()
+                ranks, _ = chunk.whole(_marks(row, "round1", len(ranks)))
+                gone, halves = chunk.removed(_marks(row, "round2", len(ranks))), chunk.halves()
+                begun = np.concatenate([[0], np.cumsum(_word_starts(chunk.data, chunk.offsets))])
                 out = []
                 for (t1, t2), a, b in zip(chunk.keys.tolist(), chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True):
                     own = gone[a:b]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-                    spans = [{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-                    out.append((t1, t2, int(own.sum()), len(spans), hashlib.sha256(chunk.data[a:b][~own]).hexdigest(), spans))
+                    spans = [{"start": x, "end": y} for x, y in _runs(own)]
+                    passages = [{"start": x, "end": y} for x, y in _runs(halves[a:b]) if begun[a + y] - begun[a + x] >= words]
+                    out.append((t1, t2, int(own.sum()), len(spans), hashlib.sha256(chunk.data[a:b][~own]).hexdigest(), spans, passages))
                 columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["t1", "t2", "n_removed", "n_spans", "kept_sha256", "spans"])
+                pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pairs, pairs]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["t1", "t2", "n_removed", "n_spans", "kept_sha256", "spans", "passages"])
 
-    return chunks.mapInArrow(run, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return chunks.mapInArrow(run, f"t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, spans {_SPANS}, passages {_SPANS}")
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -243,36 +271,44 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), whole).alias("t1"), F.xxhash64(F.lit(2), whole).alias("t2"), whole.alias(text))
 
 
-def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, t1 and t2 (the text's key), n_bytes, n_removed, n_spans, kept_sha256, spans.
+def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text", words: int = 50) -> DataFrame:
+    """One row per row of ``docs``: doc_id, t1 and t2 (the text's key), n_bytes, n_removed, n_spans, kept_sha256, spans, passages.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this
     text or another; overlaps count, and strings are judged on the input. A null text is empty. Texts
     shorter than ``length`` stay. Repeated rows are copies of each other, so their bytes go.
+    passages are the runs in which ``words`` words or more begin and that strings of half that length
+    cover that also start elsewhere; they are named only, whether or not their bytes go.
     """
-    if length < 2 * ANCHOR:
-        raise ValueError(f"length must be {2 * ANCHOR} at least")
+    half = length // 2
+    if half < 2 * ANCHOR:
+        raise ValueError(f"length must be {4 * ANCHOR} at least")
     keyed = _keyed(docs, text)
-    base = cut(_bases(keyed, text, length))
+    base = cut(_bases(keyed, text, half))
     # Which row stands for its text: any will do, and a row without an id has its key for one.
     row = F.coalesce("doc_id", "t1")
     classes = base.groupBy("t1", "t2").agg(F.min(row).alias("row"), F.count("*").alias("copies"))
     # Exact copies need no ranks: every byte of theirs repeats. One of them stands for all in what follows.
-    reps = base.withColumn("row", row).join(classes.select("t1", "t2", "row"), ["t1", "t2", "row"], "left_semi").dropDuplicates(["t1", "t2"]).select("row", "t1", "t2", "names", "twice")
-    names = reps.select("t1", "t2", "row", F.explode("names").alias("name"))
+    reps = base.withColumn("row", row).join(classes.select("t1", "t2", "row"), ["t1", "t2", "row"], "left_semi").dropDuplicates(["t1", "t2"]).select("row", "names", "twice")
+    # Several texts may share a row's id: they get each other's names, which costs time only.
+    names = reps.select("row", F.explode("names").alias("name"))
     shared = names.groupBy("name").agg(F.count("*").alias("texts")).filter("texts > 1").select("name")
     shared = cut(shared.union(reps.select(F.explode("twice").alias("name"))).distinct())
-    candidates = cut(names.join(shared, "name", "left_semi").groupBy("row", "t1", "t2").agg(F.collect_list("name").alias("names")))
-    texts = only(keyed.withColumn("row", row), candidates.select("row").distinct(), "row").dropDuplicates(["row", "t1", "t2"]).join(candidates, ["row", "t1", "t2"])
-    chunks = cut(_chunks(texts.select("t1", "t2", "names", text), text, length))
+    candidates = cut(names.join(shared, "name", "left_semi").groupBy("row").agg(F.collect_set("name").alias("names")))
+    texts = only(keyed.withColumn("row", row), candidates.select("row"), "row")
+    if base.groupBy(row, "t1", "t2").count().filter("count > 1").take(1):  # rows that stand again
+        texts = texts.dropDuplicates(["row", "t1", "t2"])
+    chunks = cut(_chunks(texts.join(candidates, "row").select("t1", "t2", "names", text), text, half))
     ranks = chunks.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranks // BUCKET_RANKS))
     one = cut(chunks.join(_not_unique(chunks, length, False, buckets, "round1"), "chunk", "left"))
     two = one.join(_not_unique(one, length, True, buckets, "round2"), "chunk", "left")
-    cleaned = cut(_cleaned(two, length))
-    out = base.select("doc_id", "t1", "t2", "n_bytes", "sha256").join(classes.select("t1", "t2", "copies"), ["t1", "t2"]).join(cleaned, ["t1", "t2"], "left")
+    cleaned = cut(_cleaned(two, length, words))
+    out = base.select("doc_id", "t1", "t2", "n_bytes", "n_words", "sha256").join(classes.select("t1", "t2", "copies"), ["t1", "t2"]).join(cleaned, ["t1", "t2"], "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    passage = (F.col("copies") > 1) & (F.col("n_bytes") >= half) & (F.col("n_words") >= words)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return out.select(
         "doc_id",
         "t1",
@@ -281,32 +317,35 @@ def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text") -> Data
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-        F.when(copy, everything).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
+        F.when(copy, everything).otherwise(F.coalesce("spans", none)).alias("spans"),
+        F.when(passage, everything).otherwise(F.coalesce("passages", none)).alias("passages"),
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", words: int | None = None) -> DataFrame:
     """``docs`` with the bytes that :func:`repeat_spans` names cut out of ``text``; other columns stay.
 
+    With ``words``, passages of so many words go as well, though none of their strings be of ``length`` bytes.
     Where a cut parts a character, its remaining bytes go too. Rows stay, even where nothing is left.
     """
     names = docs.columns
-    spans = repeat_spans(docs, length, text).filter("n_removed > 0").select("t1", "t2", "spans").dropDuplicates(["t1", "t2"])
+    gone = F.col("spans") if words is None else F.concat("spans", "passages")
+    t1, t2, spans = (free_name(docs, x) for x in ("t1", "t2", "spans"))
+    found = repeat_spans(docs, length, text, words or 50).select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.array_sort(gone).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([t1, t2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
             out = []
-            for x, gone in zip(part.column(text).to_pylist(), part.column("_spans").to_pylist(), strict=True):
-                if gone:
+            for x, spans_ in zip(part.column(text).to_pylist(), part.column(spans).to_pylist(), strict=True):
+                if spans_:
                     raw, at, kept = x.encode(), 0, []
-                    for span in gone:
-                        kept.append(raw[at : span["start"]])
-                        at = span["end"]
+                    for span in spans_:
+                        kept.append(raw[at : max(at, span["start"])])
+                        at = max(at, span["end"])
                     x = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
                 out.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else part.column(c) for c in names], names)
 
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_t1", F.xxhash64(F.lit(1), whole)).withColumn("_t2", F.xxhash64(F.lit(2), whole))
-    joined = keyed.join(spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans")), ["_t1", "_t2"], "left").drop("_t1", "_t2")
-    return joined.mapInArrow(run, docs.schema)
+    keyed = docs.withColumn(t1, F.xxhash64(F.lit(1), whole)).withColumn(t2, F.xxhash64(F.lit(2), whole))
+    return keyed.join(found, [t1, t2], "left").drop(t1, t2).mapInArrow(run, docs.schema)
