@@ -1,11 +1,16 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into words (a run of word-start marks and what follows; no piece goes on beyond one).
-Every distinct word is encoded once: its substrings of bounded length are exploded and equi-joined to
-the piece table, which gives the lattice's edges, and the edges are grouped by word and folded with
-Spark's higher-order aggregate. For a model of merge type the best-scored path is not the model's
-encoding, so the fold applies the model's own rule to the lattice instead of Viterbi's: of all
-neighbours whose union is an edge, join the best-scored (the leftmost of equals), until none is
+Texts are cut into words: a run of spaces (the model's word-start marks) and what follows; no piece
+goes on beyond one. A chunk of texts keeps its words as numbers among its distinct ones and deals these
+out to buckets by a hash; a bucket numbers the words of all chunks, so that every distinct word is
+encoded once: its substrings of bounded length are exploded and equi-joined to the piece table, which
+gives the lattice's edges, and the edges are grouped by word and folded with Spark's higher-order
+aggregate. The ids go back to the buckets, and from there, packed, to the chunks.
+
+The fold is Viterbi's: of all paths through the lattice the one with the greatest sum of scores, the
+longer last piece among equals, at every place. For a model of merge type that path need not be what
+the model's library gives; with ``fold="merge"`` the fold applies that rule to the lattice instead: of
+all neighbours whose union is an edge, join the best-scored (the leftmost of equals), until none is
 left. Characters without a piece become byte pieces.
 """
 
@@ -13,126 +18,294 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import sentencepiece
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from stratum.llm.cells import HASH_BITS, dealt, heads
+from stratum.llm.flat import flat, steps, texts_as_bytes, word_hashes
 from stratum.llm.shared import written
+from stratum.llm.tables import free_name, grouped
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of the longest word that the lattice takes whole; longer ones are encoded in the task that meets them.
-LONGEST_WORD = 48
-#: Bytes of text of a group of documents that shares one dictionary.
-GROUP_BYTES = 16 << 20
-_WORD = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Bytes of text of a chunk, and for which there is one bucket of words.
+CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+#: Bytes from which on a word is cut where no piece can go across.
+LONG_WORD = 64
+#: What the score of a character without a piece is below the lowest score of a piece.
+UNKNOWN = 10.0
 
 
 def _processor(model: str) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
 
 
-def pieces(spark: SparkSession, model: str = MODEL) -> DataFrame:
-    """piece, id, score of the vocabulary's ordinary pieces: a table of the model's own, fixed size."""
+def vocabulary(model: str = MODEL) -> list[tuple[str, int, float]]:
+    """piece (with spaces for marks), id and score of the ordinary pieces."""
     p = _processor(model)
-    rows = [(p.id_to_piece(i), i, float(p.get_score(i))) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    return [(p.id_to_piece(i).replace(MARK, " "), i, float(p.get_score(i))) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
+
 
+def pieces(spark: SparkSession, model: str = MODEL) -> DataFrame:
+    """piece, id, score: a table of the model's own, fixed size."""
+    return spark.createDataFrame(vocabulary(model), "piece string, id int, score double")
 
-def words_of(text: str | Column) -> Column:
-    """The words of a text with its word-start marks; none for an empty or null text."""
-    t = F.col(text) if isinstance(text, str) else text
-    marked = F.concat(F.lit(MARK), F.replace(t, F.lit(" "), F.lit(MARK)))
-    return F.when(F.length(t) > 0, F.regexp_extract_all(marked, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
+def _cut_places(word: str, joined: set[str]) -> list[int]:
+    """Bytes of the word before each place where it can be cut: no piece holds the characters on both sides of it."""
+    out, at = [], 0
+    for a, b in zip(word[:-1], word[1:], strict=True):
+        at += len(a.encode())
+        if a + b not in joined:
+            out.append(at)
+    return out
+
+
+def _chunks(docs: DataFrame, text: str, model: str, buckets: int) -> DataFrame:
+    """Of every chunk one row (bucket -1) with its documents and their words' numbers, and one per bucket with its distinct words there."""
+    names = ["chunk", "bucket", "n", "a", "b", "c", "d"]
+
+    def rows(chunk: int, bucket, n, *columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(bucket, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        joined = {x[i : i + 2] for x, _, _ in vocabulary(model) for i in range(len(x) - 1)}
+        for part in steps(batches, text, CHUNK_BYTES):
+            raw = [b" " + x if x else b"" for x in texts_as_bytes(pc.replace_substring(part.column(text), MARK, " "))]
+            data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+            del raw
+            space = data == 32
+            begin = space.copy()
+            begin[1:] &= ~space[:-1]
+            begin[offsets[:-1][np.diff(offsets) > 0]] = True
+            starts = np.flatnonzero(begin)
+            ends = np.append(starts[1:], len(data))[: len(starts)]
+            long = np.flatnonzero(ends - starts > LONG_WORD).tolist()
+            if long:
+                more = [starts[i] + np.array(_cut_places(bytes(data[starts[i] : ends[i]]).decode(), joined), np.int64) for i in long]
+                starts = np.sort(np.concatenate([starts, *more]))
+                ends = np.append(starts[1:], len(data))
+            counts = np.diff(np.searchsorted(starts, offsets))
+            keys, first, codes = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+            chunk, number = task << 24 | number, number + 1
+            known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            ids = part.column("doc_id").fill_null(0).to_numpy()
+            yield rows(chunk, [-1], [part.num_rows], [ids.astype("<i8").tobytes()], [known.tobytes()], [counts.astype("<i4").tobytes()], [zstandard.compress(codes.astype("<u4").tobytes(), 1)])
+            if not len(keys):
+                continue
+            bucket, _ = dealt(keys >> np.uint64(64 - HASH_BITS), buckets)
+            at, size = starts[first], (ends - starts)[first]
+            upto = np.cumsum(size)
+            flat_words = data[np.arange(upto[-1]) + np.repeat(at - (upto - size), size)]
+            upto = np.append(0, upto)
+            cuts = np.append(np.flatnonzero(heads(bucket)), len(bucket)).tolist()
+            cells = [(zstandard.compress(flat_words[upto[a] : upto[b]].tobytes(), 1), zstandard.compress(size[a:b].astype("<u4").tobytes(), 1), None, None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield rows(chunk, bucket[cuts[:-1]], np.diff(cuts), *zip(*cells, strict=True))
 
-def encode_words(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """word, ids: the lattice of every distinct word, folded."""
-    n = F.length("word")
-    starts = F.sequence(F.lit(1), n)
-    spans = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.struct(i.alias("at"), k.alias("size")))))
-    edges = words.select("word", F.inline(spans)).withColumn("piece", F.substring("word", F.col("at"), F.col("size")))
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "chunk long, bucket long, n long, a binary, b binary, c binary, d binary")
+
+
+def _dictionary(cells: DataFrame) -> DataFrame:
+    """bucket, idx, word of every distinct word, and for every cell bucket, chunk and its words' numbers, in the cell's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "bucket"):
+            raw, lengths = ([zstandard.decompress(x) for x in group.column(c).to_pylist()] for c in ("a", "b"))
+            data, size = np.frombuffer(b"".join(raw), np.uint8), np.frombuffer(b"".join(lengths), "<u4").astype(np.int64)
+            ends = np.cumsum(size)
+            starts = ends - size
+            _, first, places = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+            upto = np.append(0, np.cumsum(size[first]))
+            words = data[np.arange(upto[-1]) + np.repeat(starts[first] - upto[:-1], size[first])]
+            strings = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+            bucket, n = group.column("bucket")[0].as_py(), len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket)), pa.array(np.arange(n, dtype=np.int32)), strings, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["bucket", "idx", "word", "chunk", "places"])
+            cuts = np.append(0, np.cumsum(group.column("n").to_numpy())).tolist()
+            own = [zstandard.compress(places[a:b].astype("<u4").tobytes(), 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([group.column("bucket"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), group.column("chunk"), pa.array(own, pa.binary())], ["bucket", "idx", "word", "chunk", "places"])
+
+    sent = cells.select("bucket", "chunk", "n", "a", "b")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, idx int, word string, chunk long, places binary")
+
+
+def _edges(words: DataFrame, table: DataFrame) -> DataFrame:
+    """wid, edges: the lattice of every word, as edges (end, score, size, id) in the order of their ends.
+
+    A character without a piece is an edge as well, whose id is its code point below 0.
+    """
+    longest, lowest = table.agg(F.max(F.length("piece")), F.min("score")).first()
+    places = words.select("wid", F.length("word").alias("n"), "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    places = places.select("wid", "at", F.substring("word", F.col("at"), F.lit(longest)).alias("ahead"))
+    spans = places.select("wid", "at", "ahead", F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("size"))
+    spans = spans.select("wid", (F.col("at") + F.col("size") - 1).alias("end"), "size", F.substring("ahead", F.lit(1), F.col("size")).alias("piece"))
     # The vocabulary is of fixed size, so it is broadcast.
-    edges = edges.join(F.broadcast(table), "piece").select("word", (F.col("at") * 1024 + F.col("size")).alias("k"), "score", "id")
-    lattice = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("score", "id")))).alias("edge"))
-    lattice = words.join(lattice, "word", "left").withColumn("edge", F.coalesce("edge", F.create_map().cast("map<int,struct<score:double,id:int>>")))
+    found = spans.join(F.broadcast(table), "piece", "left").filter("id is not null or size = 1")
+    edge = F.struct("end", F.coalesce("score", F.lit(lowest - UNKNOWN)).alias("score"), "size", F.coalesce("id", -F.ascii("piece")).alias("id"))
+    return found.groupBy("wid").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def _viterbi(edges: Column) -> Column:
+    """The ids of the best path: a fold over the edges, end by end.
+
+    State: the end that is open, the best edge into it so far (score of the path, size, id), and those of all ends before it.
+    """
+    best_type = "struct<score:double,size:int,id:int>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(best_type).alias("best"), F.array().cast(f"array<{best_type}>").alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = x["end"] - x["size"]
+        before = F.when(begin == 0, 0.0).when(begin == s["at"], s["best"]["score"]).otherwise(F.get(s["done"], begin - 1)["score"])
+        path = F.struct((before + x["score"]).alias("score"), x["size"].alias("size"), x["id"].alias("id"))
+        new = x["end"] > s["at"]
+        done = F.when(new & (s["at"] > 0), F.concat(s["done"], F.array(s["best"]))).otherwise(s["done"])
+        return F.struct(x["end"].alias("at"), F.when(new, path).otherwise(F.greatest(s["best"], path)).alias("best"), done.alias("done"))
+
+    ends = F.aggregate(edges, start, step, lambda s: F.reverse(F.concat(s["done"], F.array(s["best"]))))
+    # Back from the last end: an edge is on the path where no later one goes across.
+    none = F.struct(F.lit(0).alias("across"), F.array().cast("array<int>").alias("ids"))
+    back = lambda s, x: F.when(s["across"] > 0, F.struct((s["across"] - 1).alias("across"), s["ids"].alias("ids"))).otherwise(F.struct((x["size"] - 1).alias("across"), F.concat(s["ids"], F.array(x["id"])).alias("ids")))
+    return F.aggregate(ends, none, back, lambda s: F.reverse(s["ids"]))
+
+
+def _merged(lattice: DataFrame) -> DataFrame:
+    """wid, ids: what is left when the best-scored neighbours have been joined as long as their union is an edge."""
+    key = lambda end, size: end.cast("long") * (1 << 20) + size
     none = F.lit(float("-inf"))
 
     def step(s: Column, _: Column) -> Column:
-        """Join the best neighbours: s is an array of (at, size)."""
-        score = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))),
-            lambda i: F.coalesce(F.try_element_at(F.col("edge"), F.element_at(s, i)["at"] * 1024 + F.element_at(s, i)["size"] + F.try_element_at(s, i + 1)["size"])["score"], none),
-        )
-        best = F.array_max(score)
-        i = F.array_position(score, best).cast("int")
-        joined = F.struct(F.element_at(s, i)["at"].alias("at"), (F.element_at(s, i)["size"] + F.try_element_at(s, i + 1)["size"]).alias("size"))
+        """Join the best neighbours: s is an array of (end, size)."""
+
+        def score(i: Column) -> Column:
+            size = F.element_at(s, i)["size"] + F.try_element_at(s, i + 1)["size"]
+            return F.coalesce(F.try_element_at("edge", key(F.try_element_at(s, i + 1)["end"], size))["score"], none)
+
+        scores = F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), score)
+        best = F.array_max(scores)
+        i = F.array_position(scores, best).cast("int")
+        joined = F.struct(F.try_element_at(s, i + 1)["end"].alias("end"), (F.element_at(s, i)["size"] + F.try_element_at(s, i + 1)["size"]).alias("size"))
         return F.when((F.size(s) < 2) | (best == none), s).otherwise(F.concat(F.slice(s, F.lit(1), i - 1), F.array(joined), F.slice(s, i + 2, F.size(s))))
 
-    chars = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(1).alias("size")))
-    folded = lattice.withColumn("path", F.aggregate(starts, chars, step))
+    edge = F.map_from_entries(F.transform("edges", lambda x: F.struct(key(x["end"], x["size"]), F.struct(x["score"].alias("score"), x["id"].alias("id")))))
+    chars = F.transform(F.filter("edges", lambda x: x["size"] == 1), lambda x: F.struct(x["end"].alias("end"), F.lit(1).alias("size")))
+    folded = lattice.select("wid", edge.alias("edge"), chars.alias("chars")).withColumn("path", F.aggregate("chars", F.col("chars"), step))
+    return folded.select("wid", F.transform("path", lambda x: F.element_at("edge", key(x["end"], x["size"]))["id"]).alias("ids"))
 
-    def ids(x: Column) -> Column:
-        found = F.try_element_at(F.col("edge"), x["at"] * 1024 + x["size"])["id"]
-        raw = F.hex(F.encode(F.substring("word", x["at"], x["size"]), "UTF-8"))
-        as_bytes = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda j: F.conv(F.substring(raw, j, F.lit(2)), 16, 10).cast("int") + 3)
-        return F.when(found.isNotNull(), F.array(found)).otherwise(as_bytes)
 
-    return folded.select("word", F.flatten(F.transform("path", ids)).alias("ids"))
+def encode_words(words: DataFrame, table: DataFrame, fold: str = "viterbi") -> DataFrame:
+    """wid, ids of every word (wid, word): its lattice, folded. A character without a piece is its code point below 0."""
+    lattice = _edges(words, table)
+    return lattice.select("wid", _viterbi(F.col("edges")).alias("ids")) if fold == "viterbi" else _merged(lattice)
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """doc_id, ids of every document, as the model encodes it. A null or empty text has no ids.
+def _returned(known: DataFrame, cells: DataFrame, model: str) -> DataFrame:
+    """chunk, bucket, counts, ids: of every cell's words, in its order, how many ids each has, and all of them end to end."""
 
-    Documents are dealt into groups by a hash; a group gets the dictionary of its own words only.
-    Equal doc_ids each keep their row; an empty table gives none.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, bucket = _processor(model), None
+        for batch in batches:
+            buckets, sides = batch.column("bucket").to_numpy(), batch.column("side").to_numpy()
+            cuts = np.append(np.flatnonzero(heads(buckets) | heads(sides)), len(buckets)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if buckets[a] != bucket:
+                    bucket, held, ready = buckets[a], [], None
+                part = batch.slice(a, b - a)
+                if sides[a] == 0:
+                    lists = part.column("ids")
+                    offsets = lists.offsets.to_numpy()
+                    held.append((np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]))
+                    continue
+                if ready is None:
+                    counts, ids = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
+                    if (ids < 0).any():  # characters without a piece
+                        as_bytes = [[i] if i >= 0 else [p.piece_to_id(f"<0x{x:02X}>") for x in chr(-i).encode()] for i in ids.tolist()]
+                        width = np.array([len(x) for x in as_bytes])
+                        ids = np.array([i for x in as_bytes for i in x], np.int64)
+                        upto = np.append(0, np.cumsum(width))
+                        ends = np.cumsum(counts)
+                        counts = upto[ends] - upto[ends - counts]
+                    ready = counts, np.cumsum(counts) - counts, ids
+                counts, first, ids = ready
+                out = []
+                for x in part.column("places").to_pylist():
+                    at = np.frombuffer(zstandard.decompress(x), "<u4")
+                    n = counts[at]
+                    own = ids[np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)]
+                    out.append((zstandard.compress(n.astype("<u4").tobytes(), 1), zstandard.compress(own.astype("<u4").tobytes(), 1)))
+                yield pa.RecordBatch.from_arrays([part.column("chunk"), part.column("bucket"), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], ["chunk", "bucket", "counts", "ids"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    left = known.select(F.shiftright("wid", 32).alias("bucket"), F.lit(0).alias("side"), (F.col("wid").bitwiseAND(F.lit((1 << 32) - 1))).alias("idx"), "ids", none("long").alias("chunk"), none("binary").alias("places"))
+    right = cells.select("bucket", F.lit(1).alias("side"), F.lit(0).cast("long").alias("idx"), none("array<int>").alias("ids"), "chunk", "places")
+    rows = left.union(right).repartition("bucket").sortWithinPartitions("bucket", "side", "idx")
+    return rows.mapInArrow(run, "chunk long, bucket long, counts binary, ids binary")
+
+
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, fold: str = "merge") -> DataFrame:
+    """doc_id, ids of every document: with fold "merge" as the model's library encodes it, with "viterbi" the best path.
+
+    A null or empty text has no ids. Rows with equal or null doc_ids each keep their row; an empty table gives none.
+    Words are told apart by 64-bit hashes. A word of over LONG_WORD bytes is cut where no piece can go across, which
+    changes nothing in its encoding.
     """
     spark = docs.sparkSession
-    table = pieces(spark, model)
-    longest = max(len(r.piece) for r in table.select("piece").collect())
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
-    dealt = docs.select(F.col("doc_id").cast("long"), text).withColumn("g", F.pmod(F.xxhash64("doc_id", F.length(text)), F.lit(groups)))
-    pairs = written(dealt.select("g", F.explode(F.array_distinct(words_of(text))).alias("word")).filter(F.length("word") <= LONGEST_WORD).distinct())
-    known = written(encode_words(pairs.select("word").distinct(), table, longest))
-    sent = pairs.join(known, "word").select("g", "word", "ids")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = dict(zip(left.column("word").to_pylist(), left.column("ids").to_pylist(), strict=True))
-        long = None
-        out = []
-        for t in right.column(text).to_pylist():
-            row: list[int] = []
-            for w in _WORD.findall(MARK + t.replace(" ", MARK)) if t else ():
-                if w not in ids:  # a very long word
-                    long = long or _processor(model)
-                    got = long.encode(w.replace(MARK, " ")[1:])
-                    ids[w] = got
-                row += ids[w]
-            out.append(row)
-        return pa.table({"doc_id": right.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    return sent.groupBy("g").cogroup(dealt.groupBy("g")).applyInArrow(run, "doc_id long, ids array<int>")
-
-
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """``encoded`` with a column text: pieces and byte pieces end to end, marks as spaces, the first one dropped."""
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    chunks = written(_chunks(docs, text, model, buckets))
+    words = written(_dictionary(chunks.filter("bucket >= 0")))
+    wid = F.shiftleft("bucket", 32).bitwiseOR(F.col("idx").cast("long")).alias("wid")
+    # Dealt out by word, so that its edges are grouped where they are made.
+    distinct = words.filter("word is not null").select(wid, "word").repartition("wid")
+    known = written(encode_words(distinct, pieces(spark, model), fold))
+    back = _returned(known, words.filter("word is null"), model)
+    back = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", "ids"))).alias("back"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                counts, ids = (np.frombuffer(b"".join([zstandard.decompress(x[c]) for x in row["back"] or ()]), "<u4").astype(np.int64) for c in ("counts", "ids"))
+                codes = np.frombuffer(zstandard.decompress(row["d"]), "<u4")
+                n = counts[codes]
+                upto = np.append(0, np.cumsum(n))
+                own = ids[np.arange(upto[-1]) + np.repeat((np.cumsum(counts) - counts)[codes] - upto[:-1], n)].astype(np.int32)
+                ends = upto[np.append(0, np.cumsum(np.frombuffer(row["c"], "<i4").astype(np.int64)))]
+                doc_ids = pa.array(np.frombuffer(row["a"], "<i8"), mask=~np.frombuffer(row["b"], bool))
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(ends.astype(np.int32), own)], ["doc_id", "ids"])
+
+    return chunks.filter("bucket < 0").select("chunk", "a", "b", "c", "d").join(back, "chunk", "left").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, model: str = MODEL, name: str = "text") -> DataFrame:
+    """``encoded`` with a column ``name`` (in place of one that has it): pieces and byte pieces end to end, marks as spaces, the first one dropped."""
 
     p = _processor(model)
     raw = [bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) or p.is_unknown(i) else p.id_to_piece(i).replace(MARK, " ").encode() for i in range(p.get_piece_size())]
     sent = encoded.sparkSession.sparkContext.broadcast(raw)
+    encoded = encoded.drop(*(c for c in encoded.columns if c.lower() == name.lower()))
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        size = np.array([len(x) for x in sent.value])
+        upto = np.cumsum(size) - size
+        table = np.frombuffer(b"".join(sent.value), np.uint8)
         for batch in batches:
-            out = [b"".join(map(table.__getitem__, x or ())).decode("utf-8", "replace").removeprefix(" ") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, "text"])
+            lists = batch.column("ids")
+            ids, offsets = np.asarray(lists.values.to_numpy(zero_copy_only=False), np.int64), lists.offsets.to_numpy().astype(np.int64)
+            out = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own = ids[a:b]
+                n = size[own]
+                out.append(table[np.arange(n.sum()) + np.repeat(upto[own] - (np.cumsum(n) - n), n)].tobytes().decode("utf-8", "replace").removeprefix(" "))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, text string")
+    return encoded.mapInArrow(run, f"{schema}, `{name}` string")

@@ -1,5 +1,8 @@
 """Every stage of the pipeline against brute force on its own input."""
 
+import hashlib
+import re
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -7,6 +10,7 @@ import sentencepiece
 
 import corpus_pipeline
 from stratum.llm import sentencepiece_lattice
+from stratum.llm.queries import op7_sentencepiece
 from tests.llm.test_operators import brute_components, brute_lines, brute_repeats, ids_of, prose
 
 
@@ -55,3 +59,42 @@ def test_op7_is_the_model_s_own_encoding_and_decodes(spark):
         assert out[i].ids == model.encode(t or ""), t
         assert out[i].text == (t or "").replace("▁", " ")
     assert sentencepiece_lattice.encode(df.limit(0)).count() == 0
+
+
+def best_path(word, table, longest, lowest):
+    """The ids of the best path of one word by plain dynamic programming; characters without a piece as byte pieces."""
+    best = [(0.0, 0, 0)]
+    for end in range(1, len(word) + 1):
+        edges = []
+        for size in range(1, min(longest, end) + 1):
+            piece = word[end - size : end]
+            if piece in table or size == 1:
+                i, score = table[piece] if piece in table else (-ord(piece), lowest - sentencepiece_lattice.UNKNOWN)
+                edges.append((best[end - size][0] + score, size, i))
+        best.append(max(edges))
+    ids, end = [], len(word)
+    while end:
+        _, size, i = best[end]
+        ids = ([i] if i >= 0 else [x + 3 for x in word[end - 1].encode()]) + ids
+        end -= size
+    return ids
+
+
+def test_op7_query_takes_the_best_path_of_every_word_and_decodes(spark, tmp_path):
+    r = np.random.default_rng(1)
+    odd = ["", None, " ", "   ", "  two  spaces ", "a\nb\tc", "漢字 é ß 漢字漢字" * 9, "x" * 300 + " y", "emoji 😀 z", "▁ mark", "the best path of the lattice " * 40]
+    texts = odd + [prose(i, 30) for i in range(5)] + ["".join(chr(c) for c in r.integers(32, 700, 90)) for _ in range(20)]
+    df = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(4, odd[4])], "doc_id long, text string")
+    rows = sentencepiece_lattice.vocabulary()
+    table, longest, lowest = {p: (i, s) for p, i, s in rows}, max(len(p) for p, _, _ in rows), min(s for _, _, s in rows)
+    got = sentencepiece_lattice.decode(sentencepiece_lattice.encode(df, fold="viterbi")).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == sorted([(False, i) for i in range(len(texts)) if i != 3] + [(True, 0), (False, 4)])
+    for x in got:
+        text = (texts[3 if x.doc_id is None else x.doc_id] or "").replace("▁", " ")
+        words = re.findall(" +[^ ]*", f" {text}") if text else []
+        assert x.ids == [i for w in words for i in best_path(w, table, longest, lowest)], text
+        assert x.text == text
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {x.doc_id: x for x in op7_sentencepiece(spark, str(tmp_path)).collect()}
+    want = {x.doc_id: x for x in got}
+    assert all(rows[i].n_pieces == len(want[i].ids) and rows[i].decoded_sha256 == hashlib.sha256(want[i].text.encode()).hexdigest() for i in want)
