@@ -71,24 +71,27 @@ def mux(payload: bytes) -> bytes:
     return kind + moov(head) + struct.pack(">I4s", 8 + len(payload), b"mdat") + payload
 
 
-def boxes(media: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
-    """Every box below [start, end), outer ones first: type, payload start and payload end."""
-    end = len(media) if end is None else end
-    while start + 8 <= end:
+def boxes(media: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """Every box, outer ones before those within: type, payload start and payload end."""
+    open_: list[tuple[int, int]] = [(0, len(media))]
+    while open_:
+        start, end = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", media, start)
         head = 8
         if size == 1:
             if start + 16 > end:
-                return
+                continue
             size, head = struct.unpack_from(">Q", media, start + 8)[0], 16
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            return  # a cut or damaged box ends the walk
+            continue  # a cut or damaged box ends the walk of what holds it
         yield kind, start + head, start + size
+        open_.append((start + size, end))
         if kind in _NESTED:
-            yield from boxes(media, start + head, start + size)
-        start += size
+            open_.append((start + head, start + size))
 
 
 def _table(media: bytes, start: int, dtype: str, width: int = 1, skip: int = 4) -> np.ndarray:
@@ -97,7 +100,10 @@ def _table(media: bytes, start: int, dtype: str, width: int = 1, skip: int = 4)
 
 
 def sample_table(media: bytes) -> dict | None:
-    """Codec, time scale, duration, and each sample's offset, size and sync mark; None if there is no readable track."""
+    """Codec, time scale, duration, and each sample's offset, size and sync mark.
+
+    None if there is no readable track: no tables, tables that contradict each other, or samples beyond the end.
+    """
     at: dict[bytes, tuple[int, int]] = {}
     for kind, a, b in boxes(media):
         if kind == b"trak" and b"trak" in at:
@@ -109,15 +115,20 @@ def sample_table(media: bytes) -> dict | None:
         place = at[b"mdhd"][0]
         scale, duration = struct.unpack_from(">IQ", media, place + 20) if media[place] else struct.unpack_from(">II", media, place + 12)
         size, n = struct.unpack_from(">II", media, at[b"stsz"][0] + 4)
+        if size * n > len(media):
+            return None
         sizes = np.full(n, size, np.int64) if size else _table(media, at[b"stsz"][0], ">u4", skip=8)[:, 0]
         chunk_at = (_table(media, at[b"stco"][0], ">u4") if b"stco" in at else _table(media, at[b"co64"][0], ">u8"))[:, 0]
         runs = _table(media, at[b"stsc"][0], ">u4", 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)))
-        chunk = np.repeat(np.arange(len(chunk_at)), per_chunk)[:n]
+        run_of = np.searchsorted(runs[:, 0], np.arange(1, len(chunk_at) + 1), side="right") - 1
+        ends = np.cumsum(np.where(run_of >= 0, runs[run_of, 1], 0))
+        chunk = np.searchsorted(ends, np.arange(n), side="right")
         before = np.cumsum(sizes) - sizes
-        first = np.cumsum(per_chunk) - per_chunk
-        offsets = chunk_at[chunk] + before - before[np.minimum(first, n - 1)][chunk]
+        first = np.append(0, ends)[chunk]
+        offsets = chunk_at[chunk] + before - before[first]
         keys = _table(media, at[b"stss"][0], ">u4")[:, 0] - 1 if b"stss" in at else np.arange(n)
+        if not n or offsets.min() < 0 or (offsets + sizes).max() > len(media) or (len(keys) and (keys.min() < 0 or keys.max() >= n)):
+            return None
         codec = struct.unpack_from(">4s", media, at[b"stsd"][0] + 12)[0].decode("latin-1")
     except (struct.error, ValueError, IndexError):
         return None
@@ -154,12 +165,13 @@ def media_features(table: DataFrame, media: str = "media") -> DataFrame:
     codec, time_scale, duration, n_samples, keyframes (array of start and end bytes in the container),
     media_bytes, media_sha256, payload_bytes, payload_sha256 and tail_crc32 (of the payload's last 16
     bytes). Where there is no readable track (null, empty or damaged), codec is null and counts are 0.
+    Columns of ``table`` with these names are replaced.
     """
-    keep = [c for c in table.columns if c != media]
     schema = "codec string, time_scale long, duration long, n_samples long, keyframes array<struct<start:long,end:long>>, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long"
+    names = [x.split()[0] for x in schema.replace("struct<start:long,end:long>", "x").split(", ")]
+    keep = [c for c in table.columns if c != media and c.lower() not in names]
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), ranges, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = [x.split()[0] for x in schema.replace("struct<start:long,end:long>", "x").split(", ")]
 
     def features(x: bytes) -> tuple:
         found = sample_table(x)
@@ -175,5 +187,5 @@ def media_features(table: DataFrame, media: str = "media") -> DataFrame:
             rows = [features(x) for x in texts_as_bytes(part.column(media))]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], keep + names)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name != media)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name in keep)
     return table.mapInArrow(run, f"{kept}, {schema}" if kept else schema)

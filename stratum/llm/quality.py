@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.flat import steps, texts_as_bytes
 from stratum.llm.labels import sample_labelled
+from stratum.llm.tables import free_name
 
 BLOCK_BYTES, DICTIONARY_BYTES, LEVEL = 1024, 112_640, 1
 #: Labelled documents of each class for the dictionaries, blocks of each for them, and documents for the curve.
@@ -119,8 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
 
 def score(docs: DataFrame, model: CompressionModel, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name``: the probability of class 1 by the whole text; a null text is empty."""
+    """``docs`` with a column ``name`` (in place of one that has this name): the probability of class 1 by the whole text; a null text is empty."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
     if not model.good:
         return docs.withColumn(name, F.lit(1 / (1 + np.exp(-model.intercept))))
-    out = differences(docs, model.good, model.bad, text, "_difference")
-    return out.withColumn(name, 1 / (1 + F.exp(-F.col("_difference") * model.slope - model.intercept))).drop("_difference")
+    difference = free_name(docs, "difference")
+    out = differences(docs, model.good, model.bad, text, difference)
+    return out.withColumn(name, 1 / (1 + F.exp(-F.col(difference) * model.slope - model.intercept))).drop(difference)

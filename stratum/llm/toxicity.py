@@ -127,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
 
 def score(docs: DataFrame, model: LinearModel, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name``: the probability of class 1 by the whole text; a null text is empty."""
+    """``docs`` with a column ``name`` (in place of one that has this name): the probability of class 1 by the whole text; a null text is empty."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
