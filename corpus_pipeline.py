@@ -47,8 +47,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the bytes of strings of 400 that start elsewhere too; every document stays."""
-    return _recounted(remove_repeats(docs, 400))
+    """Without the bytes of strings of 400 that start elsewhere too, and without passages of 50 words that do; every document stays."""
+    return _recounted(remove_repeats(docs, 400, words=50))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
