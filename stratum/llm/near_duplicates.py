@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.flat import flat, mix, steps
-from stratum.llm.shared import cut, written
+from stratum.llm.shared import bounded_batches, cut, written
 from stratum.llm.shingles import shingle_sets
-from stratum.llm.tables import components, grouped, only
+from stratum.llm.tables import components, gathered, grouped, only
 
 #: Signature values, those that bands may use, values compared at once, and the probability that verification may miss a true pair.
 HASHES, BANDED, BATCH, MISS = 384, 200, 32, 1e-4
@@ -103,7 +103,7 @@ def _signatures(docs: DataFrame, text: str, shingle: int, percent: int) -> DataF
 
 
 def _bucket_rows(reps: DataFrame) -> DataFrame:
-    """key, band, id: a row for each band of each representative."""
+    """key, id: a row for each band of each representative; the band is part of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +111,9 @@ def _bucket_rows(reps: DataFrame) -> DataFrame:
                 keys = np.frombuffer(flat(batch.column("keys"))[0].tobytes(), np.uint32)
                 n = len(keys) // batch.num_rows
                 keys = np.tile(np.arange(n, dtype=np.int64), batch.num_rows) << 32 | keys.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(batch.column("id").to_numpy(), n))], ["key", "band", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("id").to_numpy(), n))], ["key", "id"])
 
-    return reps.select("keys", "id").mapInArrow(run, "key long, band int, id long")
+    return reps.select("keys", "id").mapInArrow(run, "key long, id long")
 
 
 def _matrix(column: pa.Array, width: int, dtype: type) -> np.ndarray:
@@ -121,20 +121,19 @@ def _matrix(column: pa.Array, width: int, dtype: type) -> np.ndarray:
 
 
 def _star(members: DataFrame, firsts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every representative b with the likest of the smallest members a of its buckets, of those that the bound leaves."""
+    """(a, b): every representative b with that smallest member a of its buckets which it shares most of them with, if the bound leaves the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                alive, matches = surviving(_matrix(batch.column("sa"), HASHES, np.uint8), _matrix(batch.column("sb"), HASHES, np.uint8), percent)
-                left = batch.select(["a", "b"]).take(pa.array(alive))
-                yield pa.RecordBatch.from_arrays([*left.columns, pa.array(matches, pa.int32())], ["a", "b", "matches"])
+                alive, _ = surviving(_matrix(batch.column("sa"), HASHES, np.uint8), _matrix(batch.column("sb"), HASHES, np.uint8), percent)
+                yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    pairs = members.join(firsts, "key").filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = members.join(firsts, "key").filter("id > first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    best = pairs.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    able = pairs.join(side("b"), "b").join(side("a"), "a").filter(close).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches int")
-    return able.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
+    return best.join(side("b"), "b").join(side("a"), "a").filter(close).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 class _Sets:
@@ -169,16 +168,15 @@ def _spanning(left: np.ndarray, right: np.ndarray, matches: np.ndarray) -> list[
 def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, tree: bool) -> DataFrame:
     """(a, b): pairs of different components that share a bucket and that the Bayesian bound leaves.
 
-    With ``tree``, only those of a spanning tree of the components that meet in a task's cell.
-    A large bucket is dealt out as pairs of chunks, so that no task holds more than two chunks at once.
+    With ``tree``, the smallest member of each component in a bucket stands for it there, and only the pairs of a
+    spanning tree of the components that meet in a task's cell are told. A large bucket is dealt out as pairs of chunks, so that no task holds more than two chunks at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "cell"):
             label, ids, n = (group.column(c).to_numpy() for c in ("label", "id", "n"))
             side = group.column("side").to_numpy()
-            sketch, band = _matrix(group.column("sketch"), HASHES, np.uint8), group.column("band").to_numpy()
-            bands_of = _matrix(group.column("keys"), n_bands, np.uint32)
+            sketch = _matrix(group.column("sketch"), HASHES, np.uint8)
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a in range(0, len(left), CHUNK):  # one step unless hashing has made a chunk uneven
@@ -188,10 +186,7 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
                 for b in range(0, len(i), 1 << 17):
                     x, y = i[b : b + (1 << 17)], j[b : b + (1 << 17)]
                     alive, matches = surviving(sketch[x], sketch[y], percent)
-                    x, y = x[alive], y[alive]
-                    # A pair that meets in several bands is told in the first of them alone.
-                    once = (bands_of[x] == bands_of[y]).argmax(1) == band[x]
-                    found.append((x[once], y[once], matches[once]))
+                    found.append((x[alive], y[alive], matches))
             if found:
                 x, y, matches = (np.concatenate(z) for z in zip(*found, strict=True))
                 if tree:
@@ -200,15 +195,16 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
                 x, y = ids[x], ids[y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    n_bands, _ = bands(percent)
-    marked = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("label", "id").alias("label"))
+    marked = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    if tree:
+        marked = marked.groupBy("key", "label").agg(F.min("id").alias("id")).select("key", "id", "label")
     mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x <> y").select("key", F.ceil(F.col("size") / CHUNK).alias("chunks"))
     dealt = marked.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     # Chunk c meets every chunk d: the cell is (min, max), and side tells which of the two the member is in (2: both).
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cells = cells.select("id", "label", "band", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
-    full = cells.join(reps.select("id", "n", "sketch", "keys"), "id").repartition("cell").sortWithinPartitions("cell")
-    return full.select("cell", "id", "label", "n", "side", "band", "sketch", "keys").mapInArrow(run, "a long, b long").distinct()
+    cells = cells.select("id", "label", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
+    full = cells.join(reps.select("id", "n", "sketch"), "id").repartition("cell").sortWithinPartitions("cell")
+    return full.select("cell", "id", "label", "n", "side", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
@@ -237,14 +233,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, perce
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     # Documents are dealt into parts; a pair goes to the cell of its two parts, and a document's set to each cell that has a pair of it, once.
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    parts = max(1, -(-ids.count() // SETS))
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    n_ids = ids.count()
+    ids = cut(gathered(ids, n_ids))
+    parts = max(1, -(-n_ids // SETS))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
     celled = pairs.select(F.xxhash64(part("a"), part("b")).alias("cell"), "a", "b")
     own = only(docs.select(F.col("doc_id").cast("long"), text), ids, "doc_id").mapInArrow(sets, "a long, members binary").dropDuplicates(["a"])
     sent = celled.select("cell", "a").union(celled.select("cell", "b")).distinct().join(own, "a").select("cell", "a", F.lit(None).cast("long").alias("b"), "members")
     rows = sent.union(celled.select("cell", "a", "b", F.lit(None).cast("binary").alias("members")))
-    return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"))
+    return gathered(cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")), n_ids)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -254,6 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     component_id is the smallest doc_id reachable, and kept marks it. Null and empty texts are linked
     with nothing. Rows that share a doc_id are one document; rows with a null doc_id are left out.
     """
+    bounded_batches(docs.sparkSession)
     base = written(_signatures(docs.filter("doc_id is not null"), text, shingle, percent))
     full = base.filter("n > 0")
     classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
@@ -263,12 +262,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     firsts = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("key", "first")
     firsts = cut(firsts)
     members = written(rows.join(firsts, "key", "left_semi"))
-    tried = cut(_star(members, firsts, reps, percent))
+    n_classes = classes.count()
+    small = lambda df: gathered(cut(df), n_classes)  # noqa: E731  (what is read from it leaves few files)
+    tried = small(_star(members, firsts, reps, percent))
     found = _confirmed(tried, docs, text, shingle, percent)
-    named = lambda links: cut(components(links).select(F.col("node").alias("id"), F.col("component").alias("label")))
+    named = lambda links: small(components(links).select(F.col("node").alias("id"), F.col("component").alias("label")))
     labels = named(found)
     for tree in (True, False):
-        more = cut(_across(members, labels, reps, percent, tree).join(tried, ["a", "b"], "left_anti"))
+        more = small(_across(members, labels, reps, percent, tree).join(tried, ["a", "b"], "left_anti"))
         if more.take(1):
             found, tried = found.union(_confirmed(more, docs, text, shingle, percent)), tried.union(more)
             labels = named(found)
