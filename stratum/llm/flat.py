@@ -123,9 +123,23 @@ LONG_WORD = 256
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """Hashes of the words, with A-Z lower-cased if ``lower``."""
+    """Hashes of the words, with A-Z lower-cased if ``lower``; byte by byte over all words that are so long, so in memory of the words' number."""
     folded = _LOWER[data] if lower else np.ascontiguousarray(data)
-    out = substring_hash(prefix_hash(folded), starts, ends)
-    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]])
-    return out
+    size = ends - starts
+    order = np.argsort(np.minimum(size, LONG_WORD + 1).astype(np.int16), kind="stable")[::-1]
+    at, out = starts[order].copy(), np.zeros(len(starts), np.uint64)
+    longer = np.cumsum(np.bincount(np.minimum(size, LONG_WORD), minlength=LONG_WORD + 1)[::-1])[::-1]  # words of so many bytes or more
+    for j in range(1, LONG_WORD + 1):
+        k = int(longer[j])
+        if not k:
+            break
+        part = out[:k]
+        part *= np.uint64(_BASE)
+        part += folded[at[:k]]
+        part += np.uint64(1)
+        at[:k] += 1
+    hashes = np.empty(len(starts), np.uint64)
+    hashes[order] = mix(out + size[order].astype(np.uint64))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]])
+    return hashes

@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from stratum.llm.cells import HASH_BITS, dealt, heads, pack, unpack
 from stratum.llm.flat import flat, mix, steps, word_hashes, words
-from stratum.llm.shared import cut, written
+from stratum.llm.shared import bounded_batches, cut, written
 from stratum.llm.tables import grouped, only
 
 #: Bits of a line's number within its chunk where it is sorted together with a token's hash.
 LINE_BITS = 64 - HASH_BITS
 #: Bytes of text of a chunk, and tokens of which a bucket holds about as many.
-CHUNK_BYTES, BUCKET_TOKENS = 4_000_000, 1 << 20
+CHUNK_BYTES, BUCKET_TOKENS = 2_000_000, 1 << 20
 #: Classes that meet in a token all at once; tokens and lines of one side of a block where more do.
 SMALL_GROUP, BLOCK_TOKENS, BLOCK_LINES = 8, 1 << 16, 1 << 10
 #: Line numbers that are broadcast at most (4 bytes each).
@@ -394,6 +394,7 @@ def later_lines(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
 
 def _later(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """:func:`later_lines` of documents that :func:`_numbered` has numbered."""
+    bounded_batches(docs.sparkSession)
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     chunks = written(_chunks(docs, text, shingle))
     n_tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0

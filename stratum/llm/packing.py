@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.flat import flat, steps
-from stratum.llm.shared import cut
+from stratum.llm.shared import bounded_batches, cut
 from stratum.llm.tokens import WORD_TOKENIZER, word_encoder
 
 #: Bins with no more free tokens than this are emitted at once.
@@ -114,6 +114,7 @@ def pack(docs: DataFrame, text: str = "text", max_tokens: int = 2048, tokenizer:
     ``end_id``. Rows with equal doc_ids are packed as documents of their own; an empty table gives no
     rows. No sequence holds more than ``max_tokens``, and a sequence's pieces follow without gaps.
     """
+    bounded_batches(docs.sparkSession)
     pieces = cut(token_pieces(docs, text, max_tokens, tokenizer, end_id))
     moved = None  # bin -> (sequence, shift), for bins that a later round has moved
     open_bins = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).filter(F.col("fill") < max_tokens - nearly_full)

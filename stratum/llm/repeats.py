@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.cells import HASH_BITS, dealt, heads, pack, unpack
 from stratum.llm.flat import SPACE, flat, mix, powers, prefix_hash, steps, substring_hash
-from stratum.llm.shared import cut
+from stratum.llm.shared import bounded_batches, cut
 from stratum.llm.tables import free_name, grouped, only
 
 #: Bytes of a sampled rank's string. Positions of which one bucket of ranks holds about as many.
@@ -283,6 +283,7 @@ def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text", words:
     half = length // 2
     if half < 2 * ANCHOR:
         raise ValueError(f"length must be {4 * ANCHOR} at least")
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, text)
     base = cut(_bases(keyed, text, half))
     # Which row stands for its text: any will do, and a row without an id has its key for one.

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from stratum.llm.cells import HASH_BITS, dealt, heads
 from stratum.llm.flat import flat, steps, texts_as_bytes, word_hashes
-from stratum.llm.shared import written
+from stratum.llm.shared import bounded_batches, written
 from stratum.llm.tables import free_name, grouped
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text of a chunk, and for which there is one bucket of words.
-CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 4_000_000
 #: Bytes from which on a word is cut where no piece can go across.
 LONG_WORD = 64
 #: What the score of a character without a piece is below the lowest score of a piece.
@@ -257,6 +257,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, fold: str =
     changes nothing in its encoding.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     chunks = written(_chunks(docs, text, model, buckets))

@@ -19,6 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of an Arrow batch at most: a Python worker holds one, and so does its executor for it.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From here on, Arrow batches of BATCH_BYTES at most, unless the session asks for smaller ones: texts are long, and workers are small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.flat import flat, steps
 from stratum.llm.labels import class_weights, sample_labelled
+from stratum.llm.shared import bounded_batches
 
 #: Lengths of the n-grams in bytes, and the bits of the hash that names them.
 ORDERS, BITS = (3, 4, 5), 20
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 def score(docs: DataFrame, model: LinearModel, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name`` (in place of one that has this name): the probability of class 1 by the whole text; a null text is empty."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
