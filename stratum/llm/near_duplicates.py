@@ -177,6 +177,7 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
             label, ids, n = (group.column(c).to_numpy() for c in ("label", "id", "n"))
             side = group.column("side").to_numpy()
             sketch = _matrix(group.column("sketch"), HASHES, np.uint8)
+            bands_of, band = (None, None) if tree else (_matrix(group.column("keys"), n_bands, np.uint32), group.column("band").to_numpy())
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a in range(0, len(left), CHUNK):  # one step unless hashing has made a chunk uneven
@@ -186,7 +187,11 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
                 for b in range(0, len(i), 1 << 17):
                     x, y = i[b : b + (1 << 17)], j[b : b + (1 << 17)]
                     alive, matches = surviving(sketch[x], sketch[y], percent)
-                    found.append((x[alive], y[alive], matches))
+                    x, y = x[alive], y[alive]
+                    if not tree:  # a pair that meets in several bands is told in the first of them alone
+                        once = (bands_of[x] == bands_of[y]).argmax(1) == band[x]
+                        x, y, matches = x[once], y[once], matches[once]
+                    found.append((x, y, matches))
             if found:
                 x, y, matches = (np.concatenate(z) for z in zip(*found, strict=True))
                 if tree:
@@ -195,6 +200,7 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
                 x, y = ids[x], ids[y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
+    n_bands, _ = bands(percent)
     marked = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     if tree:
         marked = marked.groupBy("key", "label").agg(F.min("id").alias("id")).select("key", "id", "label")
@@ -202,9 +208,11 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
     dealt = marked.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     # Chunk c meets every chunk d: the cell is (min, max), and side tells which of the two the member is in (2: both).
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cells = cells.select("id", "label", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
-    full = cells.join(reps.select("id", "n", "sketch"), "id").repartition("cell").sortWithinPartitions("cell")
-    return full.select("cell", "id", "label", "n", "side", "sketch").mapInArrow(run, "a long, b long").distinct()
+    more = [] if tree else ["band"]
+    cells = cells.withColumn("band", F.shiftright("key", 32)).select("id", "label", *more, F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
+    keys = [] if tree else ["keys"]
+    full = cells.join(reps.select("id", "n", "sketch", *keys), "id").repartition("cell").sortWithinPartitions("cell")
+    return full.select("cell", "id", "label", "n", "side", "sketch", *more, *keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
