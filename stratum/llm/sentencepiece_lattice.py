@@ -37,6 +37,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text of a chunk, and for which there is one bucket of words.
 CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 4_000_000
+#: Words whose lattices one task makes and folds.
+TASK_WORDS = 20_000
 #: Bytes from which on a word is cut where no piece can go across.
 LONG_WORD = 64
 #: What the score of a character without a piece is below the lowest score of a piece.
@@ -263,8 +265,10 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, fold: str =
     chunks = written(_chunks(docs, text, model, buckets))
     words = written(_dictionary(chunks.filter("bucket >= 0")))
     wid = F.shiftleft("bucket", 32).bitwiseOR(F.col("idx").cast("long")).alias("wid")
-    # Dealt out by word, so that its edges are grouped where they are made.
-    distinct = words.filter("word is not null").select(wid, "word").repartition("wid")
+    distinct = words.filter("word is not null").select(wid, "word")
+    # Dealt out by word, so that its edges are grouped where they are made, a few words to a task, so that they are sorted in memory.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // TASK_WORDS))
+    distinct = distinct.repartition(parts, "wid")
     known = written(encode_words(distinct, pieces(spark, model), fold))
     back = _returned(known, words.filter("word is null"), model)
     back = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", "ids"))).alias("back"))
