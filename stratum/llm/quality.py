@@ -93,16 +93,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
-            ids, ys, blocks = [], [], []
+            ids, places, ys, blocks = [], [], [], []
             for doc, y, raw in zip(part.column("doc_id").to_pylist(), part.column("y").to_pylist(), texts_as_bytes(part.column(text)), strict=True):
                 own = [x for x in _blocks(raw) if len(x) >= 8]
                 for k in range(0, len(own), max(1, -(-len(own) // BLOCKS_EACH))):  # evenly spread over the text
-                    ids.append(doc * 64 + k % 64)
+                    ids.append(doc)
+                    places.append(k)
                     ys.append(y)
                     blocks.append(own[k])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(blocks, pa.binary())], ["k", "y", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(ys, pa.int32()), pa.array(blocks, pa.binary())], ["doc", "k", "y", "block"])
 
-    blocks = sample_labelled(docs, keyed.filter("_half < 2"), label, per_class, text, seed=1).mapInArrow(pick, "k long, y int, block binary").toPandas().sort_values(["y", "k", "block"])
+    blocks = sample_labelled(docs, keyed.filter("_half < 2"), label, per_class, text, seed=1).mapInArrow(pick, "doc long, k int, y int, block binary").toPandas().sort_values(["y", "doc", "k", "block"])
     sets = {y: [bytes(x) for x in blocks.loc[blocks["y"] == y, "block"]] for y in (0, 1)}
     if not (sets[0] and sets[1]):
         return CompressionModel(b"", b"", 0.0, 12.0 if sets[1] else -12.0 if sets[0] else 0.0)
