@@ -18,7 +18,7 @@ from stratum.llm.near_duplicates import near_duplicates
 from stratum.llm.packing import pack
 from stratum.llm.repeats import remove_repeats
 from stratum.llm.shared import new_folder
-from stratum.llm.tables import only
+from stratum.llm.tables import free_name, only
 
 #: Documents that score as much or more go.
 TOXIC = 0.7
@@ -31,8 +31,9 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier calls toxic; it learns from the labels that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder("doc_id", 3) != 1)
-    scored = toxic.score(docs, toxic.fit(docs, labels), name="_toxicity")
-    return scored.filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    name = free_name(docs, "toxicity")
+    scored = toxic.score(docs, toxic.fit(docs, labels), name=name)
+    return scored.filter(F.col(name) < TOXIC).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
