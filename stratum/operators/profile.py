@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -17,6 +18,8 @@ from stratum.operators.relational import pairs, sample_keys, share_of_total, top
 NUMERIC, INTEGRAL = (T.NumericType,), (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Shares of nulls below which a column is reliable, and of one of medium reliability.
 HIGH_BELOW, MEDIUM_BELOW = 5.0, 25.0
+#: Candidate keys whose tuples one job counts exactly: each multiplies the rows that it shuffles.
+AT_ONCE = 4
 
 
 def family(dtype: T.DataType) -> str:
@@ -157,21 +160,24 @@ def key_columns(df: DataFrame, roles: Mapping[str, str] | None = None, columns:
 def find_primary_key(df: DataFrame, cols: Sequence[str] | None = None, client: str | None = None, widest: int = 4, most: int = 10, least_ratio: float = 0.999) -> list[str]:
     """The first of single columns, client pairs and composites whose tuples are unique and not null; [] if none.
 
-    Every size is one job over all its candidates; the search ends at the first size with a hit.
+    One pass gives every column's nulls and approximate distinct values: columns with nulls, and tuples whose values
+    can't make as many combinations as there are rows, are out. The rest are counted exactly, a few at a time.
     """
     cols = list(cols if cols is not None else df.columns)[:most]
     levels = [[(c,) for c in cols]] + ([[(client, c) for c in cols if c != client]] if client in cols else [])
     levels += [list(itertools.combinations(cols, k)) for k in range(2, widest + 1)]
+    facts = df.agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)), *(F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols))).first()
+    if not facts["rows"]:
+        return []
+    most_values = {c: 1.2 * facts[f"d{i}"] + 2 for i, c in enumerate(cols) if not facts[f"n{i}"]}  # ten standard errors above the estimate
     for level in levels:
-        if not level:
-            continue
-        aggs = [F.count("*").alias("rows")]
-        for i, combo in enumerate(level):
-            aggs += [F.countDistinct(F.struct(*combo)).alias(f"d{i}"), F.count_if(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in combo))).alias(f"n{i}")]
-        r = df.agg(*aggs).first()
-        for i, combo in enumerate(level):
-            if r["rows"] and r[f"n{i}"] == 0 and r[f"d{i}"] / r["rows"] >= least_ratio:
-                return list(combo)
+        able = [combo for combo in level if all(c in most_values for c in combo) and math.prod(most_values[c] for c in combo) >= least_ratio * facts["rows"]]
+        for at in range(0, len(able), AT_ONCE):
+            part = able[at : at + AT_ONCE]
+            r = df.agg(*(F.countDistinct(F.struct(*combo)).alias(f"d{i}") for i, combo in enumerate(part))).first()
+            for i, combo in enumerate(part):
+                if r[f"d{i}"] / facts["rows"] >= least_ratio:
+                    return list(combo)
     return []
 
 
@@ -263,10 +269,11 @@ _MEASURES = ("sampled", "matched", "avg_fanout", "max_fanout", "stddev_fanout")
 
 
 def _fanout(sample: DataFrame, counts: DataFrame, keys: Sequence[str], asked: int) -> DataFrame:
-    """Of sampled keys and pre-counted partners: the fan-out figures."""
+    """Of sampled keys and pre-counted partners: the fan-out figures over all of them, those without partners counting 0."""
     n = F.coalesce(F.col("n"), F.lit(0))
+    whole = lambda e: F.round(F.coalesce(e, F.lit(0.0)), 6)
     out = sample.join(counts, list(keys), "left").agg(
-        F.count("*").alias("sampled"), F.count_if(n > 0).alias("matched"), F.round(F.avg(F.when(n > 0, n.cast("double"))), 6).alias("avg_fanout"), F.max(n).cast("long").alias("max_fanout"), F.round(F.stddev_pop(F.when(n > 0, n.cast("double"))), 6).alias("stddev_fanout")
+        F.count("*").alias("sampled"), F.count_if(n > 0).alias("matched"), whole(F.avg(n.cast("double"))).alias("avg_fanout"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_fanout"), whole(F.stddev_pop(n.cast("double"))).alias("stddev_fanout")
     )
     return out.withColumn("sample_saturated", F.col("sampled") < asked)
 

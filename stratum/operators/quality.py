@@ -91,6 +91,38 @@ def vault_audit(frames: Mapping[str, DataFrame], hubs: Mapping[str, str], links:
     return reduce(DataFrame.union, out).withColumn("status", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
 
 
+def link_structure(frames: Mapping[str, DataFrame], links: Mapping[str, tuple[str, Mapping[str, str]]], single: Sequence[str] = ()) -> DataFrame:
+    """A row per link: its own key, its parents' keys (two, or one for those in ``single``) and the load's columns must be there."""
+
+    def lacking(name: str) -> int:
+        key, parents = links[name]
+        return len({key, *parents, "load_date", "record_source"} - set(frames[name].columns)) + int(len(parents) < (1 if name in single else 2))
+
+    one = next(iter(frames.values())).sparkSession.range(1)
+    rows = F.array(*(F.struct(F.lit("V3 link structure").alias("check"), F.lit(n).alias("object"), F.lit(lacking(n)).cast("long").alias("violations")) for n in links))
+    return one.select(F.inline(rows)).withColumn("status", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
+
+
+def hash_consistency(staged: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Per (table, reference table, hash key), the distinct hashes of the table that the reference lacks."""
+    rows = [staged[a].select(key).distinct().subtract(staged[b].select(key)).agg(F.count("*").alias("violations")).select(F.lit("V7 hash consistency").alias("check"), F.lit(f"{a}.{key} in {b}").alias("object"), "violations") for a, b, key in pairs]
+    return reduce(DataFrame.union, rows).withColumn("status", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
+
+
+def trace(path: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row: rows that can be followed along the path of hubs and links; none is a failure."""
+    out = path[0]
+    for df, key in zip(path[1:], keys, strict=True):
+        out = out.join(df, key)
+    return out.agg(F.count("*").alias("traversable_rows")).withColumn("status", F.when(F.col("traversable_rows") > 0, "pass").otherwise("fail"))
+
+
+def census(layers: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
+    """Layer, table_name and row_count of every table."""
+    rows = [df.agg(F.count("*").alias("row_count")).select(F.lit(layer).alias("layer"), F.lit(name).alias("table_name"), "row_count") for layer, frames in layers.items() for name, df in frames.items()]
+    return reduce(DataFrame.union, rows)
+
+
 def staging_parity(raw: DataFrame, staged: DataFrame) -> DataFrame:
     """Rows of the source and of its staging; they must agree."""
     out = raw.agg(F.count("*").alias("raw_rows")).crossJoin(staged.agg(F.count("*").alias("staged_rows")))
@@ -128,6 +160,37 @@ def freshness_state(facts: DataFrame, tables: Sequence[str], as_of: str, ts: str
     return out.withColumn("state", state).withColumn("write_blocked", F.col("state").isin("red", "no_baseline"))
 
 
+def freshness_gate(facts: DataFrame, log: DataFrame, live: DataFrame, green: int = 3, yellow: int = 14) -> DataFrame:
+    """One row: the oldest qualifying fact against the newest ingestion, as a state, and whether writes are blocked.
+
+    facts: status, auto_inject, stale_after_days, scope_tables (comma list), evidence_refreshed_at; a fact qualifies if it is
+    active, injected by itself, can go stale and names a live table. log: finished_at_utc. live: table_name.
+    Without an ingestion there is no_baseline; without qualifying facts, or with newer ones, all is green.
+    """
+    able = facts.filter("status = 'active' and auto_inject and stale_after_days is not null").select("evidence_refreshed_at", F.explode(F.transform(F.split(F.lower("scope_tables"), ","), lambda x: F.trim(x))).alias("table_name"), F.monotonically_increasing_id().alias("_fact"))
+    able = able.join(live.select(F.lower("table_name").alias("table_name")).distinct(), "table_name", "left_semi").dropDuplicates(["_fact"])
+    oldest = able.agg(F.min("evidence_refreshed_at").alias("min_evidence_refreshed"), F.count("*").alias("facts_count"))
+    out = log.agg(F.max("finished_at_utc").alias("last_ingestion")).crossJoin(oldest)
+    seconds = F.col("last_ingestion").cast("timestamp").cast("long") - F.col("min_evidence_refreshed").cast("timestamp").cast("long")
+    gap = F.when(F.col("last_ingestion").isNotNull(), F.coalesce(F.greatest(F.lit(0), F.floor(seconds / 86400)), F.lit(0)))
+    out = out.withColumn("gap_days", gap.cast("int"))
+    state = F.when(F.col("last_ingestion").isNull(), "no_baseline").when(F.col("gap_days") <= green, "green").when(F.col("gap_days") <= yellow, "yellow").otherwise("red")
+    return out.withColumn("state", state).withColumn("write_blocked", F.col("state").isin("red", "no_baseline"))
+
+
+def payload_drift(pairs: DataFrame, old: str = "old_json", new: str = "new_json", most: float = 5.0) -> DataFrame:
+    """``pairs`` with drift of the payloads' groups, JSON lists of {"group", "share"}: unparseable where either is not one,
+    else as :func:`classify_drift`."""
+    kind = "array<struct<group:string,share:double>>"
+    a, b = F.from_json(old, kind), F.from_json(new, kind)
+    groups = lambda x: F.transform(x, lambda y: y["group"])
+    top = lambda x: F.array_max(F.transform(x, lambda y: y["share"]))
+    same = F.sort_array(a) == F.sort_array(b)
+    fresh = F.size(F.array_except(groups(b), groups(a))) > 0
+    moved = F.coalesce(F.abs(top(a) - top(b)) > most, F.lit(False))
+    return pairs.withColumn("drift", F.when(a.isNull() | b.isNull(), "unparseable").when(same, "no_drift").when(fresh | moved, "material").otherwise("noise"))
+
+
 def classify_drift(old: DataFrame, new: DataFrame, group: str, share: str, most: float = 5.0) -> DataFrame:
     """One row: no_drift, material (a new group, or the top share moved by more than ``most`` points) or noise."""
     both = old.select(group, F.col(share).alias("a")).join(new.select(group, F.col(share).alias("b")), group, "full_outer")

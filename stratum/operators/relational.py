@@ -36,9 +36,8 @@ def cross_one_row(*dfs: DataFrame) -> DataFrame:
 
 
 def expected_grid(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Combinations of the columns' values that have no row. One column's distinct values are gathered into each of the other's rows."""
-    values = df.select(b).distinct().agg(F.collect_list(b).alias("_b"))
-    grid = df.select(a).distinct().crossJoin(F.broadcast(values)).select(a, F.explode("_b").alias(b))
+    """Combinations of the columns' values that have no row. The grid is asked for: two lists of distinct values, of which Spark broadcasts one if it is small."""
+    grid = df.select(a).distinct().crossJoin(df.select(b).distinct())
     return grid.join(df.select(a, b).distinct(), [a, b], "left_anti")
 
 

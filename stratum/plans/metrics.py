@@ -18,15 +18,19 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratum.functions.scalars import age_days, band, days_between, decode, decode_groups, health, is_present, month_diff, pct, period, ratio, signed_qty, within_days, within_pct
+from stratum.functions.scalars import age_days, band, date_parts, days_between, decode, decode_groups, decode_like, hash_key, health, is_present, month_diff, pct, period, ratio, signed_qty, within_days, within_pct
 from stratum.operators.relational import calendar, cross_one_row, grand_total, running_sum, share_of_total
 
 Frames = Mapping[str, DataFrame]
 # Movement codes of receipt and reversal, of issues and returns, and decoded states.
 RECEIPT, REVERSAL = "101", "102"
-INBOUND, OUTBOUND = ("101", "561"), ("102", "122", "161", "201", "261", "601")
-DEVICE_STATES = {"EDEL": "received", "INST": "deployed", "RETN": "returned", "RTVN": "returned_to_vendor"}
-EQUIPMENT_STATES = {"INST": "deployed", "AVLB": "in_stock", "RET": "returned", "DLFL": "defective"}
+VENDOR_RETURN, ISSUE = "122", "201"
+INBOUND, OUTBOUND = ("101", "161", "202", "561"), ("102", "122", "201")
+DEVICE_STATES = EQUIPMENT_STATES = {"INST": "deployed", "AVLB": "in_stock", "RET": "returned", "DLFL": "defective"}
+PROCESS_STEPS = {"101": "goods_receipt", "102": "gr_reversal", "122": "vendor_return", "161": "customer_return", "201": "installation", "202": "gi_reversal", "301": "stock_transfer", "561": "initial_load"}
+SERVICE_PLANS = {"SVC-FIB": "fiber", "SVC-TV": "TV", "SVC-CBL": "cable", "SVC-BIZ": "business"}
+PLAN_CATEGORIES = {"SVC-FIB": "Fiber Broadband", "SVC-TV": "IPTV Bundle", "SVC-CBL": "Cable Broadband", "SVC-BIZ": "Business Connectivity"}
+LOCATION_TYPES = [(["%Main%", "%Central%"], "primary"), (["%Defective%", "%Return%"], "returns"), (["%Ready%", "%Deploy%"], "staging"), (["%Regional%"], "regional")]
 EQUIPMENT_CATEGORIES = {"CPE-RTR": "Router", "CPE-ONT": "ONT", "CPE-STB": "Set-Top Box", "CPE-SWT": "Switch", "CPE-MDM": "Modem"}
 
 
@@ -37,8 +41,6 @@ def money(c: str | Column) -> Column:
 
 def dim_date(spark: SparkSession, start: str = "2016-01-01", end: str = "2027-12-31") -> DataFrame:
     """The calendar."""
-    from stratum.functions.scalars import date_parts
-
     return calendar(spark, start, end).select("date_day", *date_parts("date_day"))
 
 
@@ -58,10 +60,27 @@ def dim_material(frames: Frames, groups: Mapping[str, str], default: str = "othe
 
 
 def dim_movement_type(frames: Frames) -> DataFrame:
-    """Direction and sign of each movement code."""
-    out = frames["movement_types"]
-    direction = F.when(F.col("movement_type").isin(*INBOUND), "inbound").when(F.col("movement_type").isin(*OUTBOUND), "outbound").otherwise("internal")
-    return out.withColumn("direction", direction).withColumn("sign", decode("direction", {"inbound": 1, "outbound": -1}, 0))
+    """Direction, process step and stock effect of each movement code, by its category and debit/credit indicator."""
+    out, category, side = frames["movement_types"], F.col("movement_category"), F.col("debit_credit_indicator")
+    by = lambda x, s, h, other: F.when(category == "X", x).when(side == "S", s).when(side == "H", h).otherwise(other)
+    return out.withColumn("direction", by("transfer", "inbound", "outbound", "unknown")).withColumn("process_step", decode("movement_type", PROCESS_STEPS, "other")).withColumn("stock_impact_sign", by(0, 1, -1, 0)).withColumn("stock_impact_description", by("neutral", "increase", "decrease", "neutral"))
+
+
+def dim_plant(frames: Frames) -> DataFrame:
+    """Plants with their company, as far as the organisation tables know them."""
+    out = frames["plants"].join(frames["companies"], "company_code", "left")
+    return out.select(hash_key("plant_code").alias("hk_plant"), "plant_code", "plant_name", "company_code", "company_name")
+
+
+def dim_service_plan(frames: Frames) -> DataFrame:
+    """Service plans with the category of their group."""
+    return frames["service_plans"].select(hash_key("service_plan_id").alias("hk_service_plan"), "service_plan_id", "service_plan_group", decode("service_plan_group", PLAN_CATEGORIES, "Other").alias("plan_category"))
+
+
+def dim_storage_location(frames: Frames) -> DataFrame:
+    """Storage locations with their plant's name and a type by their own name."""
+    out = frames["storage_locations"].join(frames["plants"].select("plant_code", "plant_name"), "plant_code", "left")
+    return out.select(hash_key("plant_code", "storage_location_code").alias("hk_storage_location"), "plant_code", "storage_location_code", "storage_location_name", "plant_name", decode_like("storage_location_name", LOCATION_TYPES, "other").alias("location_type"))
 
 
 def dim_equipment(frames: Frames, as_of: str) -> DataFrame:
@@ -101,10 +120,11 @@ def goods_movements(frames: Frames) -> DataFrame:
 
 
 def receipt_accuracy(frames: Frames) -> DataFrame:
-    """Ordered against received per vendor and quarter."""
-    po = purchase_orders(frames).filter("first_gr_date is not null")
-    out = po.groupBy("vendor_id", period("first_gr_date", "quarter").alias("quarter")).agg(F.sum("ordered_quantity").alias("ordered"), F.sum("received_quantity").alias("received"), F.count_if(F.col("ordered_quantity") == F.col("received_quantity")).alias("exact_items"), F.count("*").alias("items"))
-    return out.withColumn("accuracy_pct", pct("exact_items", "items"))
+    """Per vendor and quarter, receipt lines whose quantity is the ordered one."""
+    ordered = frames["po_items"].filter("ordered_quantity is not null").select("po_number", "po_item", "material_id", "ordered_quantity")
+    r = frames["receipts"].filter((F.col("movement_type") == RECEIPT) & F.col("vendor_id").isNotNull() & F.col("quantity").isNotNull()).join(ordered, ["po_number", "po_item", "material_id"])
+    out = r.groupBy("vendor_id", period("posting_date", "quarter").alias("quarter")).agg(F.count("*").alias("total_receipts"), F.count_if(F.col("quantity") == F.col("ordered_quantity")).alias("accurate_receipts"), F.min("posting_date").alias("first_receipt_date"), F.max("posting_date").alias("last_receipt_date"))
+    return out.withColumn("accuracy_percentage", pct("accurate_receipts", "total_receipts"))
 
 
 def receipts_monthly(frames: Frames) -> DataFrame:
@@ -125,17 +145,21 @@ def invoices(frames: Frames) -> DataFrame:
 
 
 def three_way_match(frames: Frames, tolerance: float = 0.05) -> DataFrame:
-    """Share of orders whose ordered, received and invoiced quantities agree, per vendor and month of the order.
+    """Per vendor and month of the order, the share of order lines whose ordered, received and invoiced quantities agree, and approvals of exceptions.
 
-    Each side is summed before the join; an order without an invoice is unmatched.
+    Each side is summed per line before the join. Received is held against ordered, invoiced against received;
+    a line without either is unmatched.
     """
-    po = frames["po_items"].groupBy("po_number", "vendor_id").agg(F.sum("ordered_quantity").alias("ordered"))
-    got = frames["receipts"].filter(F.col("movement_type") == RECEIPT).groupBy("po_number").agg(F.sum("quantity").alias("received"))
-    billed = frames["invoices"].groupBy("po_number").agg(F.sum("quantity").alias("invoiced"))
-    out = po.join(frames["po_headers"], "po_number").join(got, "po_number", "left").join(billed, "po_number", "left")
-    out = out.withColumn("is_matched", within_pct("ordered", "received", tolerance) & within_pct("ordered", "invoiced", tolerance))
-    out = out.groupBy("vendor_id", period("po_date", "month").alias("month")).agg(F.count("*").alias("orders"), F.count_if("is_matched").alias("matched"))
-    return out.withColumn("match_rate_pct", pct("matched", "orders"))
+    keys = ["po_number", "po_item"]
+    po = frames["po_items"].filter("ordered_quantity > 0").join(frames["po_headers"], "po_number")
+    got = frames["receipts"].filter((F.col("movement_type") == RECEIPT) & (F.col("quantity") > 0) & is_present("po_number")).groupBy(*keys).agg(F.sum("quantity").alias("received"))
+    billed = frames["invoice_items"].filter("invoice_quantity > 0").groupBy(*keys).agg(F.sum("invoice_quantity").alias("invoiced"))
+    said = frames["approvals"].groupBy(*keys).agg(F.count("*").alias("exceptions"), F.count_if(F.col("approval_status") == "02").alias("approved"))
+    out = po.join(got, keys, "left").join(billed, keys, "left").join(said, keys, "left")
+    matched = within_pct("ordered_quantity", "received", tolerance) & (F.col("received") > 0) & within_pct("received", F.coalesce("invoiced", F.lit(0.0)), tolerance)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = out.groupBy("vendor_id", period("po_date", "month").alias("month")).agg(F.count("*").alias("total_po_lines"), F.count_if(matched).alias("_matched"), total("exceptions").alias("exception_count"), total("approved").alias("approved_exception_count"))
+    return out.withColumn("matched_pct", pct("_matched", "total_po_lines")).withColumn("open_exception_count", F.col("exception_count") - F.col("approved_exception_count")).drop("_matched")
 
 
 def equipment_lifecycle(frames: Frames) -> DataFrame:
@@ -146,11 +170,17 @@ def equipment_lifecycle(frames: Frames) -> DataFrame:
     return e.withColumn("lifecycle_status", decode("status", DEVICE_STATES, "unknown")).withColumn("days_in_status", days_between("status_date", "next_date"))
 
 
-def contribution_margin(frames: Frames, labels=("0-6", "7-12", "13-24", "25+"), months: int = 24) -> DataFrame:
-    """Revenue less cost per plan, tenure band and month, within the first months of a contract."""
-    b = frames["billing"].filter((F.col("bill_month") >= F.col("start_month")) & (F.col("bill_month") < F.add_months("start_month", months)))
-    tenure = month_diff("start_month", "bill_month")
-    out = b.groupBy("plan_id", band(tenure, (7, 13, 25), labels, "unknown").alias("tenure_band"), F.col("bill_month").alias("month")).agg(money("revenue").alias("revenue"), money("cost").alias("cost"), F.countDistinct("customer_id").alias("customers"))
+def contribution_margin(frames: Frames, months: int = 24) -> DataFrame:
+    """Revenue less cost per service plan, tenure band and month of billing.
+
+    Tenure counts from the customer's first billing; cost is charged within the first months of the deployment only.
+    """
+    b = frames["billing"]
+    first = b.groupBy("customer_id").agg(F.min("bill_month").alias("_first"))
+    window = (F.col("bill_month") >= F.col("start_month")) & (F.col("bill_month") < F.add_months("start_month", months))
+    b = b.join(first, "customer_id", "left").withColumn("_cost", F.when(window, F.col("cost")).otherwise(0))
+    tenure = band(month_diff("_first", "bill_month"), (12, 24, 48), ("0-12", "12-24", "24-48", "48+"), "unknown")
+    out = b.groupBy(decode("service_plan_group", SERVICE_PLANS, "unknown").alias("service_plan"), tenure.alias("tenure_band"), F.col("bill_month").alias("billing_month")).agg(money("revenue").alias("revenue"), money("_cost").alias("cost"), F.countDistinct("customer_id").alias("customers"), F.countDistinct("billing_doc").alias("billing_docs"))
     return out.withColumn("margin", F.round(F.col("revenue") - F.col("cost"), 2))
 
 
@@ -175,24 +205,32 @@ def vendor_scorecard(frames: Frames, flag_above: float = 0.60) -> DataFrame:
 
 
 def procurement_health(frames: Frames) -> DataFrame:
-    """One row of KPIs with states."""
+    """One row of KPIs of orders, the most concentrated vendor and stock, with their states."""
     po = purchase_orders(frames)
-    a = po.agg(F.count("*").alias("po_items"), F.round(F.avg(F.col("lead_time_days").cast("double")), 2).alias("avg_lead_time"), F.round(100 * F.avg(F.when(F.col("is_on_time"), 1.0).otherwise(0.0)), 2).alias("on_time_pct"))
-    b = inventory(frames).agg(F.count_if("is_zero_stock").alias("zero_stock_locations"))
-    return cross_one_row(a, b).withColumn("on_time_state", health("on_time_pct", 90, 80)).withColumn("lead_time_state", health("avg_lead_time", 30, 60, False))
+    on_time = F.avg(F.when(F.col("is_on_time"), 1.0).otherwise(0.0)) * 100
+    a = po.agg(F.countDistinct("po_number").alias("total_pos"), F.count("*").alias("total_po_items"), F.round(F.avg(F.col("lead_time_days").cast("double")), 1).alias("avg_lead_time_days"), F.round(on_time, 1).alias("otd_rate_pct"), F.round(F.avg(F.col("po_cycle_days").cast("double")), 1).alias("avg_po_cycle_days"), money("net_value").alias("total_spend"), F.count_if(F.col("delivery_status") == "pending").alias("pending_deliveries"), F.count_if(F.col("delivery_status") == "partially_received").alias("partial_deliveries"))
+    card = vendor_scorecard(frames).groupBy("vendor_id").agg(F.round(F.max("spend_share") * 100, 1).alias("highest_concentration_pct"), F.bool_or("concentration_risk").alias("has_concentration_risk"))
+    named = card.join(frames["vendors"].select("vendor_id", F.col("vendor_name").alias("highest_concentration_vendor")), "vendor_id")
+    top = named.drop("vendor_id").orderBy(F.desc("highest_concentration_pct"), "highest_concentration_vendor").limit(1)
+    b = inventory(frames).agg(F.count_if("is_zero_stock").alias("zero_stock_locations"), F.count_if("has_blocked_stock").alias("blocked_stock_locations"), F.round(F.sum("total_stock"), 0).alias("total_stock_units"))
+    concentration = F.when(F.col("has_concentration_risk"), "RED").when(F.col("highest_concentration_pct") > 50, "YELLOW").otherwise("GREEN")
+    states = {"otd_health": health("otd_rate_pct", 80, 60), "lead_time_health": health("avg_lead_time_days", 35, 50, False), "cycle_time_health": health("avg_po_cycle_days", 5, 10, False), "concentration_health": concentration, "inventory_health": health("zero_stock_locations", 0, 5, False)}
+    return cross_one_row(a, top, b).withColumns(states)
 
 
 def vendor_performance(frames: Frames) -> DataFrame:
-    """On-time percentage and grade of every vendor."""
-    po = purchase_orders(frames)
-    out = po.groupBy("vendor_id").agg(F.count("*").alias("po_items"), F.round(100 * F.avg(F.when(F.col("is_on_time"), 1.0).otherwise(0.0)), 2).alias("on_time_pct"))
-    return out.withColumn("grade", F.when(F.col("on_time_pct") >= 95, "A").when(F.col("on_time_pct") >= 85, "B").when(F.col("on_time_pct") >= 70, "C").otherwise("D"))
+    """Orders, spend, lead time, punctuality, fulfilment, grade and health of every vendor, those without orders too."""
+    out = frames["vendors"].join(purchase_orders(frames), "vendor_id", "left")
+    on_time = F.avg(F.when(F.col("is_on_time"), 1.0).otherwise(0.0))
+    out = out.groupBy("vendor_id", "vendor_name", "country_code").agg(F.countDistinct("po_number").alias("total_pos"), money("net_value").alias("total_spend"), F.round(F.avg(F.col("lead_time_days").cast("double")), 1).alias("avg_lead_time_days"), on_time.alias("_rate"), F.sum("ordered_quantity").alias("total_ordered_qty"), F.sum("received_quantity").alias("total_received_qty"))
+    grade = F.when(F.col("_rate") >= 0.80, "A").when(F.col("_rate") >= 0.60, "B").when(F.col("_rate") >= 0.40, "C").otherwise("D")
+    return out.withColumns({"otd_rate_pct": F.round(F.col("_rate") * 100, 1), "fulfillment_rate_pct": F.round(ratio("total_received_qty", "total_ordered_qty") * 100, 1), "performance_grade": grade, "health_status": health("_rate", 0.80, 0.60)}).drop("_rate")
 
 
 def lifecycle_metrics(frames: Frames) -> DataFrame:
     """Devices by state with rates of deployment and return, in one row; :func:`lifecycle_by_group` is N27."""
     now = equipment_lifecycle(frames).filter("is_current")
-    out = now.agg(F.count("*").alias("devices"), F.count_if(F.col("lifecycle_status") == "deployed").alias("deployed"), F.count_if(F.col("lifecycle_status").isin("returned", "returned_to_vendor")).alias("returned"))
+    out = now.agg(F.count("*").alias("devices"), F.count_if(F.col("lifecycle_status") == "deployed").alias("deployed"), F.count_if(F.col("lifecycle_status") == "returned").alias("returned"))
     return out.withColumn("deployment_rate", pct("deployed", "devices")).withColumn("return_rate", pct("returned", "devices")).withColumn("return_state", health("return_rate", 5, 10, False))
 
 
@@ -214,10 +252,12 @@ def lifecycle_by_group(frames: Frames, states: Mapping[str, str] = EQUIPMENT_STA
     )
 
 
-def inventory_alerts(frames: Frames) -> DataFrame:
-    """Locations without stock or with blocked stock."""
-    s = inventory(frames).filter("is_zero_stock or has_blocked_stock")
-    return s.withColumn("alert", F.when(F.col("is_zero_stock"), "zero_stock").otherwise("blocked_stock"))
+def inventory_alerts(frames: Frames, excess: float = 5000) -> DataFrame:
+    """Locations without free stock, with blocked stock or with too much, with alert and colour."""
+    free, blocked = F.col("unrestricted"), F.col("blocked")
+    s = inventory(frames).filter((free == 0) | (blocked > 0) | (free > excess))
+    by = lambda zero, held, much, other: F.when((free == 0) & (F.col("total_stock") == 0), zero).when(blocked > 0, held).when(free > excess, much).otherwise(other)
+    return s.select("material_id", "plant", "location", "unrestricted", "blocked", "total_stock", by("ZERO_STOCK", "BLOCKED_STOCK", "EXCESS_STOCK", "OK").alias("alert_type"), by("RED", "YELLOW", "YELLOW", "GREEN").alias("health_status"))
 
 
 def active_devices(frames: Frames) -> DataFrame:
@@ -234,9 +274,9 @@ def days_of_stock(frames: Frames, as_of: str, days: int = 30) -> DataFrame:
 
 
 def inventory_turnover(frames: Frames) -> DataFrame:
-    """Issues over mean month-end stock, per material group and quarter."""
+    """Goods issues (code 201) over mean month-end stock, per material group and quarter."""
     m = goods_movements(frames).join(frames["materials"].select("material_id", "material_group"), "material_id")
-    monthly = m.groupBy("material_group", period("posting_date", "month").alias("month")).agg(F.sum("signed_quantity").alias("net"), F.sum(F.when(F.col("direction") == "outbound", F.col("quantity")).otherwise(0.0)).alias("issued"))
+    monthly = m.groupBy("material_group", period("posting_date", "month").alias("month")).agg(F.sum("signed_quantity").alias("net"), F.sum(F.when(F.col("movement_type") == ISSUE, F.col("quantity")).otherwise(0.0)).alias("issued"))
     monthly = running_sum(monthly, ["month"], "net", ["material_group"], "level")
     out = monthly.groupBy("material_group", period("month", "quarter").alias("quarter")).agg(F.sum("issued").alias("issued"), F.avg("level").alias("avg_stock"))
     return out.withColumn("turnover", F.round(ratio("issued", "avg_stock"), 4)).withColumn("avg_stock", F.round("avg_stock", 4))
@@ -245,16 +285,16 @@ def inventory_turnover(frames: Frames) -> DataFrame:
 def return_ratio(frames: Frames) -> DataFrame:
     """Returned over deployed devices per category."""
     e = frames["device_events"]
-    out = e.groupBy("category").agg(F.count_if(F.col("status") == "INST").alias("deployed"), F.count_if(F.col("status") == "RETN").alias("returned"))
+    out = e.groupBy("category").agg(F.count_if(F.col("status") == "INST").alias("deployed"), F.count_if(F.col("status") == "RET").alias("returned"))
     return out.withColumn("return_ratio_pct", pct("returned", "deployed"))
 
 
 def returns_within_days(frames: Frames, days: int = 90) -> DataFrame:
-    """Receipts followed by a return of the same material to the vendor within the days, per vendor and quarter: an equi-join with a range."""
-    r = frames["receipts"].filter(F.col("movement_type") == RECEIPT).select("document_id", "po_number", "vendor_id", "material_id", F.col("posting_date").alias("received_on"))
-    back = frames["receipts"].filter(F.col("movement_type") == REVERSAL).select("material_id", "vendor_id", F.col("posting_date").alias("returned_on")).distinct()
-    hit = r.join(back, (r.material_id == back.material_id) & (r.vendor_id == back.vendor_id) & (back.returned_on > r.received_on) & (back.returned_on <= F.date_add(r.received_on, days)), "left_semi").select("document_id").distinct().withColumn("_hit", F.lit(1))
-    out = r.join(hit, "document_id", "left").groupBy("vendor_id", period("received_on", "quarter").alias("quarter")).agg(F.countDistinct("document_id").alias("receipts"), F.countDistinct(F.when(F.col("_hit") == 1, F.col("document_id"))).alias("returned"))
+    """Receipts followed by a return of the same material to the vendor (code 122) within the days, per material, vendor and quarter: an equi-join with a range."""
+    r = frames["receipts"].filter(F.col("movement_type") == RECEIPT).select("document_id", "vendor_id", "material_id", F.col("posting_date").alias("received_on"))
+    back = frames["movements"].filter(F.col("movement_type") == VENDOR_RETURN).select("material_id", "vendor_id", F.col("posting_date").alias("returned_on")).distinct()
+    hit = r.join(back, (r.material_id == back.material_id) & (r.vendor_id == back.vendor_id) & (back.returned_on >= r.received_on) & (back.returned_on <= F.date_add(r.received_on, days)), "left_semi").select("document_id").distinct().withColumn("_hit", F.lit(1))
+    out = r.join(hit, "document_id", "left").groupBy("material_id", "vendor_id", period("received_on", "quarter").alias("quarter")).agg(F.countDistinct("document_id").alias("receipts"), F.countDistinct(F.when(F.col("_hit") == 1, F.col("document_id"))).alias("returned"))
     return out.withColumn("return_rate_pct", pct("returned", "receipts"))
 
 
@@ -369,6 +409,78 @@ def ecommerce_wide(frames: Frames) -> DataFrame:
     return m.withColumn("running_pct", pct("running_on_time", "running_delivered", 4))
 
 
+def _months(df: DataFrame) -> DataFrame:
+    """Date attributes of a column month."""
+    return df.withColumns({"year": F.year("month"), "month_number": F.month("month"), "month_name": F.date_format("month", "MMMM"), "year_month": F.date_format("month", "yyyy-MM"), "quarter": F.quarter("month"), "year_quarter": F.concat(F.year("month").cast("string"), F.lit("-Q"), F.quarter("month").cast("string"))})
+
+
+def wide_gmv(frames: Frames) -> DataFrame:
+    """GMV with date attributes and the means per order and item."""
+    return _months(gmv_by_category(frames)).withColumn("avg_gmv_per_order", F.round(ratio("gmv", "orders"), 6)).withColumn("avg_item_price", F.round(ratio("gmv", "items"), 6))
+
+
+def wide_repeat(frames: Frames) -> DataFrame:
+    """Repeat orders with date attributes and the first-time orders."""
+    return _months(repeat_rate(frames)).withColumn("first_time_orders", F.col("orders") - F.col("repeat_orders"))
+
+
+def wide_cross_group(frames: Frames) -> DataFrame:
+    """Orders across groups with date attributes and those within one."""
+    return _months(cross_group_share(frames)).withColumn("same_orders", F.col("orders") - F.col("cross_orders"))
+
+
+def wide_freight(frames: Frames) -> DataFrame:
+    """Freight over price per category and month of purchase, with date attributes."""
+    x = frames["shop_items"].join(frames["shop_orders"].select("order_id", "purchased_at"), "order_id").join(frames["products"], "product_id", "left")
+    out = x.groupBy(F.coalesce("category", F.lit("uncategorized")).alias("category"), period("purchased_at", "month").alias("month")).agg(money("freight").alias("freight"), money("price").alias("price"), F.countDistinct("order_id").alias("orders"), F.count("*").alias("items"))
+    return _months(out).withColumn("freight_to_price_pct", pct("freight", "price", 4))
+
+
+def days_to_deploy(frames: Frames) -> DataFrame:
+    """Per month, deployments and the mean days from a device's first state to them."""
+    e = equipment_lifecycle(frames)
+    e = e.withColumn("_first", F.min("status_date").over(Window.partitionBy("device_id"))).filter("lifecycle_status = 'deployed'")
+    return e.groupBy(period("status_date", "month").alias("month")).agg(F.count("*").alias("deployments"), F.round(F.avg(days_between("_first", "status_date").cast("double")), 1).alias("avg_days_to_deploy"))
+
+
+def defect_trend(frames: Frames) -> DataFrame:
+    """Per month, states entered and the share of defects."""
+    e = equipment_lifecycle(frames).groupBy(period("status_date", "month").alias("month")).agg(F.count("*").alias("total_transitions"), F.count_if(F.col("lifecycle_status") == "defective").alias("defective_count"))
+    return e.withColumn("defect_rate_pct", pct("defective_count", "total_transitions"))
+
+
+def wide_procurement(frames: Frames) -> DataFrame:
+    """Order items with vendor, material and calendar."""
+    po = purchase_orders(frames).withColumn("net_value", F.col("net_value").cast("double")).join(frames["vendors"], "vendor_id", "left").join(frames["materials"], "material_id", "left")
+    return po.withColumns({"po_year": F.year("po_date"), "po_quarter": F.quarter("po_date"), "po_month": F.month("po_date"), "po_year_month": F.date_format("po_date", "yyyy-MM")})
+
+
+def wide_movements(frames: Frames) -> DataFrame:
+    """Movements with material, plant, calendar and what their code means."""
+    kinds = dim_movement_type(frames).select("movement_type", "process_step", "stock_impact_description")
+    m = goods_movements(frames).join(frames["materials"], "material_id", "left").join(kinds, "movement_type", "left").join(frames["plants"].select(F.col("plant_code").cast("int").alias("plant"), "plant_name"), "plant", "left")
+    return m.select("document_id", "posting_date", F.year("posting_date").alias("posting_year"), F.quarter("posting_date").alias("posting_quarter"), F.month("posting_date").alias("posting_month"), "movement_type", "process_step", "stock_impact_description", "direction", "quantity", "signed_quantity", "material_id", "material_group", "plant", "plant_name")
+
+
+def wide_inventory(frames: Frames) -> DataFrame:
+    """Stock with material, plant and storage location."""
+    places = dim_storage_location(frames).select(F.col("plant_code").cast("int").alias("plant"), F.col("storage_location_code").alias("location"), "storage_location_name", "location_type")
+    s = inventory(frames).join(frames["materials"], "material_id", "left").join(frames["plants"].select(F.col("plant_code").cast("int").alias("plant"), "plant_name"), "plant", "left").join(places, ["plant", "location"], "left")
+    return s.withColumn("has_qi_stock", F.col("inspection") > 0)
+
+
+def wide_lifecycle(frames: Frames, as_of: str) -> DataFrame:
+    """Devices with their newest state, its age and their material."""
+    out = dim_equipment(frames, as_of).join(frames["devices"], "device_id", "left").join(frames["materials"], "material_id", "left")
+    return out.select("device_id", "lifecycle_status", "status_date", "days_in_status", "material_id", "material_group")
+
+
+def po_details(frames: Frames, n: int = 100) -> DataFrame:
+    """The newest order items."""
+    po = purchase_orders(frames).join(frames["vendors"].select("vendor_id", "vendor_name"), "vendor_id", "left").withColumn("net_value", F.col("net_value").cast("double"))
+    return po.select("po_number", "po_item", "po_date", "vendor_name", "material_id", "ordered_quantity", "received_quantity", "net_value", "delivery_status").orderBy(F.desc("po_date"), "po_number", "po_item").limit(n)
+
+
 def spend_share(frames: Frames) -> DataFrame:
     """Vendors' spend and percentage of all."""
     return share_of_total(frames["po_items"].withColumn("net_value", F.col("net_value").cast("decimal(18,2)").cast("decimal(28,2)")), "vendor_id", "net_value")

@@ -59,23 +59,52 @@ metric("dim_customer", "SELECT *, CASE account_group WHEN 'HOUSEHOLD' THEN 'priv
 metric("dim_vendor", "SELECT *, CASE WHEN country_code IN ('NATION_0', 'NATION_1') THEN 'near' WHEN country_code IN ('NATION_2', 'NATION_3') THEN 'far' ELSE 'other' END AS vendor_region FROM vendors", regions={"near": ["NATION_0", "NATION_1"], "far": ["NATION_2", "NATION_3"]})
 metric("dim_material", "SELECT *, CASE material_group WHEN 'ECONOMY' THEN 'cheap' WHEN 'PROMO' THEN 'promoted' ELSE 'other' END AS material_group_name FROM materials", groups={"ECONOMY": "cheap", "PROMO": "promoted"})
 metric("dim_equipment", "SELECT device_id, lifecycle_status, status_date, CAST(DATE '2025-01-01' - status_date AS INTEGER) AS days_in_status FROM lifecycle WHERE is_current", as_of="2025-01-01")
-metric("receipt_accuracy", "SELECT *, round(100.0::DOUBLE * exact_items / nullif(items, 0), 2) AS accuracy_pct FROM (SELECT vendor_id, CAST(date_trunc('quarter', first_gr_date) AS DATE) AS quarter, sum(ordered_quantity) AS ordered, sum(received_quantity) AS received, count(*) FILTER (ordered_quantity = received_quantity) AS exact_items, count(*) AS items FROM purchase_orders WHERE first_gr_date IS NOT NULL GROUP BY 1, 2)")
+metric("dim_movement_type", """SELECT *, CASE WHEN movement_category = 'X' THEN 'transfer' WHEN debit_credit_indicator = 'S' THEN 'inbound' WHEN debit_credit_indicator = 'H' THEN 'outbound' ELSE 'unknown' END AS direction,
+  CASE movement_type WHEN '101' THEN 'goods_receipt' WHEN '122' THEN 'vendor_return' WHEN '201' THEN 'installation' ELSE 'other' END AS process_step,
+  CAST(CASE WHEN movement_category = 'X' THEN 0 WHEN debit_credit_indicator = 'S' THEN 1 WHEN debit_credit_indicator = 'H' THEN -1 ELSE 0 END AS INTEGER) AS stock_impact_sign,
+  CASE WHEN movement_category = 'X' THEN 'neutral' WHEN debit_credit_indicator = 'S' THEN 'increase' WHEN debit_credit_indicator = 'H' THEN 'decrease' ELSE 'neutral' END AS stock_impact_description FROM movement_types""")
+metric("dim_plant", "SELECT md5(CAST(plant_code AS VARCHAR)) AS hk_plant, plant_code, plant_name, company_code, company_name FROM plants LEFT JOIN companies USING (company_code)")
+metric("dim_service_plan", "SELECT md5(CAST(service_plan_id AS VARCHAR)) AS hk_service_plan, service_plan_id, service_plan_group, CASE service_plan_group WHEN 'SVC-FIB' THEN 'Fiber Broadband' WHEN 'SVC-TV' THEN 'IPTV Bundle' WHEN 'SVC-CBL' THEN 'Cable Broadband' WHEN 'SVC-BIZ' THEN 'Business Connectivity' ELSE 'Other' END AS plan_category FROM service_plans")
+_PLACES = "SELECT md5(concat(plant_code, '||', storage_location_code)) AS hk_storage_location, plant_code, storage_location_code, storage_location_name, plant_name, CASE WHEN storage_location_name LIKE '%Main%' OR storage_location_name LIKE '%Central%' THEN 'primary' WHEN storage_location_name LIKE '%Defective%' OR storage_location_name LIKE '%Return%' THEN 'returns' WHEN storage_location_name LIKE '%Ready%' OR storage_location_name LIKE '%Deploy%' THEN 'staging' WHEN storage_location_name LIKE '%Regional%' THEN 'regional' ELSE 'other' END AS location_type FROM storage_locations LEFT JOIN plants USING (plant_code)"
+metric("dim_storage_location", _PLACES)
+metric("goods_movements", "SELECT document_id, material_id, vendor_id, plant, movement_type, quantity, posting_date, direction, signed_quantity FROM movements")
+metric("invoices", "SELECT i.po_number, invoice_id, amount, invoice_date, quantity, po_date, CAST(invoice_date - po_date AS INTEGER) AS days_po_to_invoice FROM invoices i LEFT JOIN po_headers USING (po_number)")
+QUERIES["equipment_lifecycle"] = lambda spark, sf_dir: metrics.equipment_lifecycle(frames(spark, sf_dir)).drop("event_id")  # equal states of a day are interchangeable
+ORACLES["equipment_lifecycle"] = f"{FRAMES_SQL} SELECT device_id, status, status_date, category, next_date, sequence_no, is_current, lifecycle_status, CAST(next_date - status_date AS INTEGER) AS days_in_status FROM lifecycle"
+metric("receipt_accuracy", "SELECT *, round(100.0::DOUBLE * accurate_receipts / nullif(total_receipts, 0), 2) AS accuracy_percentage FROM (SELECT r.vendor_id, CAST(date_trunc('quarter', posting_date) AS DATE) AS quarter, count(*) AS total_receipts, count(*) FILTER (quantity = ordered_quantity) AS accurate_receipts, min(posting_date) AS first_receipt_date, max(posting_date) AS last_receipt_date FROM receipts r JOIN po_items USING (po_number, po_item, material_id) WHERE movement_type = '101' GROUP BY 1, 2)")
 metric("receipts_monthly", "SELECT CAST(date_trunc('month', posting_date) AS DATE) AS month, count(DISTINCT document_id) AS documents, count(*) AS lines, sum(quantity) AS quantity FROM receipts WHERE movement_type = '101' GROUP BY 1")
 metric("inventory", "SELECT * FROM inventory")
-metric("three_way_match", """SELECT *, round(100.0::DOUBLE * matched / nullif(orders, 0), 2) AS match_rate_pct FROM (
-  SELECT vendor_id, CAST(date_trunc('month', po_date) AS DATE) AS month, count(*) AS orders,
-         count(*) FILTER (ordered > 0 AND abs(ordered - received) / ordered < 0.05 AND abs(ordered - invoiced) / ordered < 0.05) AS matched
-  FROM (SELECT po_number, vendor_id, sum(ordered_quantity) AS ordered FROM po_items GROUP BY 1, 2) JOIN po_headers USING (po_number)
-       LEFT JOIN (SELECT po_number, sum(quantity) AS received FROM receipts WHERE movement_type = '101' GROUP BY 1) USING (po_number)
-       LEFT JOIN (SELECT po_number, sum(quantity) AS invoiced FROM invoices GROUP BY 1) USING (po_number) GROUP BY 1, 2)""")
-metric("contribution_margin", """SELECT *, round(revenue - cost, 2) AS margin FROM (
-  SELECT plan_id, CASE WHEN t IS NULL THEN 'unknown' WHEN t < 7 THEN '0-6' WHEN t < 13 THEN '7-12' WHEN t < 25 THEN '13-24' ELSE '25+' END AS tenure_band, bill_month AS month,
-         CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(sum(CAST(cost AS DECIMAL(18,2))) AS DOUBLE) AS cost, count(DISTINCT customer_id) AS customers
-  FROM (SELECT *, date_diff('month', start_month, bill_month) AS t FROM billing WHERE bill_month >= start_month AND bill_month < start_month + INTERVAL 24 MONTH) GROUP BY 1, 2, 3)""")
-metric("vendor_performance", "SELECT *, CASE WHEN on_time_pct >= 95 THEN 'A' WHEN on_time_pct >= 85 THEN 'B' WHEN on_time_pct >= 70 THEN 'C' ELSE 'D' END AS grade FROM (SELECT vendor_id, count(*) AS po_items, round(100 * avg(CASE WHEN is_on_time THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS on_time_pct FROM purchase_orders GROUP BY 1)")
-metric("procurement_health", "SELECT *, CASE WHEN on_time_pct >= 90 THEN 'GREEN' WHEN on_time_pct >= 80 THEN 'YELLOW' ELSE 'RED' END AS on_time_state, CASE WHEN avg_lead_time <= 30 THEN 'GREEN' WHEN avg_lead_time <= 60 THEN 'YELLOW' ELSE 'RED' END AS lead_time_state FROM (SELECT count(*) AS po_items, round(avg(lead_time_days), 2) AS avg_lead_time, round(100 * avg(CASE WHEN is_on_time THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS on_time_pct FROM purchase_orders), (SELECT count(*) FILTER (is_zero_stock) AS zero_stock_locations FROM inventory)")
-metric("lifecycle_metrics", "SELECT *, round(100.0::DOUBLE * deployed / devices, 2) AS deployment_rate, round(100.0::DOUBLE * returned / devices, 2) AS return_rate, CASE WHEN 100.0 * returned / devices <= 5 THEN 'GREEN' WHEN 100.0 * returned / devices <= 10 THEN 'YELLOW' ELSE 'RED' END AS return_state FROM (SELECT count(*) AS devices, count(*) FILTER (lifecycle_status = 'deployed') AS deployed, count(*) FILTER (lifecycle_status IN ('returned', 'returned_to_vendor')) AS returned FROM lifecycle WHERE is_current)")
-metric("inventory_alerts", "SELECT *, CASE WHEN is_zero_stock THEN 'zero_stock' ELSE 'blocked_stock' END AS alert FROM inventory WHERE is_zero_stock OR has_blocked_stock")
+metric("three_way_match", """SELECT vendor_id, month, total_po_lines, round(100.0::DOUBLE * matched / total_po_lines, 2) AS matched_pct, exception_count, approved_exception_count, exception_count - approved_exception_count AS open_exception_count FROM (
+  SELECT vendor_id, CAST(date_trunc('month', po_date) AS DATE) AS month, count(*) AS total_po_lines,
+         sum(CASE WHEN received > 0 AND abs(ordered_quantity - received) / ordered_quantity < 0.05 AND abs(received - coalesce(invoiced, 0)) / received < 0.05 THEN 1 ELSE 0 END) AS matched,
+         CAST(coalesce(sum(exceptions), 0) AS BIGINT) AS exception_count, CAST(coalesce(sum(approved), 0) AS BIGINT) AS approved_exception_count
+  FROM po_items JOIN po_headers USING (po_number)
+       LEFT JOIN (SELECT po_number, po_item, sum(quantity) AS received FROM receipts WHERE movement_type = '101' AND quantity > 0 GROUP BY 1, 2) USING (po_number, po_item)
+       LEFT JOIN (SELECT po_number, po_item, sum(invoice_quantity) AS invoiced FROM invoice_items WHERE invoice_quantity > 0 GROUP BY 1, 2) USING (po_number, po_item)
+       LEFT JOIN (SELECT po_number, po_item, count(*) AS exceptions, count(*) FILTER (approval_status = '02') AS approved FROM approvals GROUP BY 1, 2) USING (po_number, po_item)
+  WHERE ordered_quantity > 0 GROUP BY 1, 2)""")
+_MARGIN = """SELECT *, round(revenue - cost, 2) AS margin FROM (
+  SELECT CASE service_plan_group WHEN 'SVC-FIB' THEN 'fiber' WHEN 'SVC-TV' THEN 'TV' WHEN 'SVC-CBL' THEN 'cable' WHEN 'SVC-BIZ' THEN 'business' ELSE 'unknown' END AS service_plan,
+         CASE WHEN t IS NULL THEN 'unknown' WHEN t < 12 THEN '0-12' WHEN t < 24 THEN '12-24' WHEN t < 48 THEN '24-48' ELSE '48+' END AS tenure_band, bill_month AS billing_month,
+         CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(sum(CAST(CASE WHEN bill_month >= start_month AND bill_month < start_month + INTERVAL 24 MONTH THEN cost ELSE 0 END AS DECIMAL(18,2))) AS DOUBLE) AS cost,
+         count(DISTINCT customer_id) AS customers, count(DISTINCT billing_doc) AS billing_docs
+  FROM (SELECT *, date_diff('month', first_month, bill_month) AS t FROM billing JOIN (SELECT customer_id, min(bill_month) AS first_month FROM billing GROUP BY 1) USING (customer_id)) GROUP BY 1, 2, 3)"""
+metric("contribution_margin", _MARGIN)
+metric("wide_margin", f"SELECT *, round(100.0::DOUBLE * margin / nullif(revenue, 0), 2) AS margin_pct, round(margin / nullif(customers, 0), 2) AS margin_per_customer FROM ({_MARGIN})")
+metric("vendor_performance", """SELECT * EXCLUDE (rate), round(rate * 100, 1) AS otd_rate_pct, round(total_received_qty / nullif(total_ordered_qty, 0) * 100, 1) AS fulfillment_rate_pct,
+  CASE WHEN rate >= 0.8 THEN 'A' WHEN rate >= 0.6 THEN 'B' WHEN rate >= 0.4 THEN 'C' ELSE 'D' END AS performance_grade, CASE WHEN rate >= 0.8 THEN 'GREEN' WHEN rate >= 0.6 THEN 'YELLOW' ELSE 'RED' END AS health_status
+  FROM (SELECT vendor_id, vendor_name, country_code, count(DISTINCT po_number) AS total_pos, CAST(sum(net_value) AS DOUBLE) AS total_spend, round(avg(lead_time_days), 1) AS avg_lead_time_days, avg(CASE WHEN is_on_time THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate,
+               sum(ordered_quantity) AS total_ordered_qty, sum(received_quantity) AS total_received_qty FROM vendors LEFT JOIN purchase_orders USING (vendor_id) GROUP BY 1, 2, 3)""")
+metric("procurement_health", """SELECT *, CASE WHEN otd_rate_pct >= 80 THEN 'GREEN' WHEN otd_rate_pct >= 60 THEN 'YELLOW' ELSE 'RED' END AS otd_health, CASE WHEN avg_lead_time_days <= 35 THEN 'GREEN' WHEN avg_lead_time_days <= 50 THEN 'YELLOW' ELSE 'RED' END AS lead_time_health,
+  CASE WHEN avg_po_cycle_days <= 5 THEN 'GREEN' WHEN avg_po_cycle_days <= 10 THEN 'YELLOW' ELSE 'RED' END AS cycle_time_health, CASE WHEN has_concentration_risk THEN 'RED' WHEN highest_concentration_pct > 50 THEN 'YELLOW' ELSE 'GREEN' END AS concentration_health,
+  CASE WHEN zero_stock_locations > 5 THEN 'RED' WHEN zero_stock_locations > 0 THEN 'YELLOW' ELSE 'GREEN' END AS inventory_health
+  FROM (SELECT count(DISTINCT po_number) AS total_pos, count(*) AS total_po_items, round(avg(lead_time_days), 1) AS avg_lead_time_days, round(avg(CASE WHEN is_on_time THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 1) AS otd_rate_pct, round(avg(po_cycle_days), 1) AS avg_po_cycle_days,
+               CAST(sum(net_value) AS DOUBLE) AS total_spend, count(*) FILTER (delivery_status = 'pending') AS pending_deliveries, count(*) FILTER (delivery_status = 'partially_received') AS partial_deliveries FROM purchase_orders),
+       (SELECT round(max(spend_share) * 100, 1) AS highest_concentration_pct, bool_or(concentration_risk) AS has_concentration_risk, vendor_name AS highest_concentration_vendor FROM scorecard JOIN vendors USING (vendor_id) GROUP BY vendor_id, vendor_name ORDER BY 1 DESC, 3 LIMIT 1),
+       (SELECT count(*) FILTER (is_zero_stock) AS zero_stock_locations, count(*) FILTER (has_blocked_stock) AS blocked_stock_locations, round(sum(total_stock), 0) AS total_stock_units FROM inventory)""")
+metric("lifecycle_metrics", "SELECT *, round(100.0::DOUBLE * deployed / devices, 2) AS deployment_rate, round(100.0::DOUBLE * returned / devices, 2) AS return_rate, CASE WHEN 100.0 * returned / devices <= 5 THEN 'GREEN' WHEN 100.0 * returned / devices <= 10 THEN 'YELLOW' ELSE 'RED' END AS return_state FROM (SELECT count(*) AS devices, count(*) FILTER (lifecycle_status = 'deployed') AS deployed, count(*) FILTER (lifecycle_status = 'returned') AS returned FROM lifecycle WHERE is_current)")
+metric("inventory_alerts", """SELECT material_id, plant, location, unrestricted, blocked, total_stock, CASE WHEN unrestricted = 0 AND total_stock = 0 THEN 'ZERO_STOCK' WHEN blocked > 0 THEN 'BLOCKED_STOCK' WHEN unrestricted > 5000 THEN 'EXCESS_STOCK' ELSE 'OK' END AS alert_type,
+  CASE WHEN unrestricted = 0 AND total_stock = 0 THEN 'RED' WHEN blocked > 0 OR unrestricted > 5000 THEN 'YELLOW' ELSE 'GREEN' END AS health_status FROM inventory WHERE unrestricted = 0 OR blocked > 0 OR unrestricted > 5000""")
 _SHARE = "100.0::DOUBLE * {0} / total_devices"
 metric(
     "lifecycle_by_group",
@@ -83,23 +112,22 @@ metric(
         CASE WHEN {_SHARE.format("defective")} > 5 THEN 'RED' WHEN {_SHARE.format("defective")} > 3 THEN 'YELLOW' ELSE 'GREEN' END AS defect_health,
         CASE WHEN {_SHARE.format("returned")} > 10 THEN 'RED' WHEN {_SHARE.format("returned")} > 5 THEN 'YELLOW' ELSE 'GREEN' END AS return_health
     FROM (
-        SELECT material_group, count(*) AS total_devices, count(*) FILTER (status = 'INST') AS deployed, count(*) FILTER (status = 'EDEL') AS in_stock, count(*) FILTER (status = 'RETN') AS returned, count(*) FILTER (status = 'RTVN') AS defective
+        SELECT material_group, count(*) AS total_devices, count(*) FILTER (status = 'INST') AS deployed, count(*) FILTER (status = 'AVLB') AS in_stock, count(*) FILTER (status = 'RET') AS returned, count(*) FILTER (status = 'DLFL') AS defective
         FROM (SELECT DISTINCT user_id AS device_id, user_id % 40 + 1 AS material_id FROM events) d LEFT JOIN (SELECT device_id, status FROM lifecycle WHERE is_current) USING (device_id) LEFT JOIN materials USING (material_id)
         GROUP BY 1)""",
-    states={"INST": "deployed", "EDEL": "in_stock", "RETN": "returned", "RTVN": "defective"},
 )
 metric("active_devices", "SELECT count(DISTINCT device_id) AS active_devices FROM lifecycle WHERE is_current AND lifecycle_status = 'deployed'")
 metric("days_of_stock", "SELECT material_id, stock, issued, round(stock / nullif(issued / 30, 0), 2) AS days_of_stock FROM (SELECT material_id, sum(unrestricted) AS stock FROM stock GROUP BY 1) LEFT JOIN (SELECT material_id, sum(quantity) AS issued FROM movements WHERE direction = 'outbound' AND posting_date > DATE '1998-12-31' - 30 AND posting_date <= DATE '1998-12-31' GROUP BY 1) USING (material_id)", as_of="1998-12-31")
 metric("inventory_turnover", """SELECT material_group, quarter, issued, round(avg_stock, 4) AS avg_stock, round(issued / nullif(avg_stock, 0), 4) AS turnover FROM (
   SELECT material_group, CAST(date_trunc('quarter', month) AS DATE) AS quarter, sum(issued) AS issued, avg(level) AS avg_stock FROM (
     SELECT *, sum(net) OVER (PARTITION BY material_group ORDER BY month ROWS UNBOUNDED PRECEDING) AS level FROM (
-      SELECT material_group, CAST(date_trunc('month', posting_date) AS DATE) AS month, sum(signed_quantity) AS net, sum(CASE WHEN direction = 'outbound' THEN quantity ELSE 0 END) AS issued
+      SELECT material_group, CAST(date_trunc('month', posting_date) AS DATE) AS month, sum(signed_quantity) AS net, sum(CASE WHEN movement_type = '201' THEN quantity ELSE 0 END) AS issued
       FROM movements JOIN materials USING (material_id) GROUP BY 1, 2)) GROUP BY 1, 2)""")
-metric("return_ratio", "SELECT *, round(100.0::DOUBLE * returned / nullif(deployed, 0), 2) AS return_ratio_pct FROM (SELECT category, count(*) FILTER (status = 'INST') AS deployed, count(*) FILTER (status = 'RETN') AS returned FROM device_events GROUP BY 1)")
+metric("return_ratio", "SELECT *, round(100.0::DOUBLE * returned / nullif(deployed, 0), 2) AS return_ratio_pct FROM (SELECT category, count(*) FILTER (status = 'INST') AS deployed, count(*) FILTER (status = 'RET') AS returned FROM device_events GROUP BY 1)")
 metric("returns_within_days", """SELECT *, round(100.0::DOUBLE * returned / nullif(receipts, 0), 2) AS return_rate_pct FROM (
-  SELECT r.vendor_id, CAST(date_trunc('quarter', r.posting_date) AS DATE) AS quarter, count(DISTINCT r.document_id) AS receipts, count(DISTINCT CASE WHEN h.document_id IS NOT NULL THEN r.document_id END) AS returned
-  FROM receipts r LEFT JOIN (SELECT DISTINCT a.document_id FROM receipts a JOIN receipts b ON b.movement_type = '102' AND a.material_id = b.material_id AND a.vendor_id = b.vendor_id AND b.posting_date > a.posting_date AND b.posting_date <= a.posting_date + 90 WHERE a.movement_type = '101') h USING (document_id)
-  WHERE r.movement_type = '101' GROUP BY 1, 2)""")
+  SELECT r.material_id, r.vendor_id, CAST(date_trunc('quarter', r.posting_date) AS DATE) AS quarter, count(DISTINCT r.document_id) AS receipts, count(DISTINCT CASE WHEN h.document_id IS NOT NULL THEN r.document_id END) AS returned
+  FROM receipts r LEFT JOIN (SELECT DISTINCT a.document_id FROM receipts a JOIN movements b ON b.movement_type = '122' AND a.material_id = b.material_id AND a.vendor_id = b.vendor_id AND b.posting_date >= a.posting_date AND b.posting_date <= a.posting_date + 90 WHERE a.movement_type = '101') h USING (document_id)
+  WHERE r.movement_type = '101' GROUP BY 1, 2, 3)""")
 metric("po_volume", "SELECT CAST(date_trunc('month', po_date) AS DATE) AS month, count(DISTINCT po_number) AS orders, count(*) AS items, CAST(sum(net_value) AS DOUBLE) AS value FROM po_items JOIN po_headers USING (po_number) GROUP BY 1")
 metric("vendor_lead_otd", "SELECT vendor_id, round(avg(lead_time_days), 6) AS avg_lead_time, round(100 * avg(CAST(is_on_time AS INTEGER)), 6) AS on_time_pct FROM purchase_orders GROUP BY 1")
 metric("delivery_status_dist", "SELECT delivery_status, count(*) AS n FROM purchase_orders GROUP BY 1")
@@ -118,6 +146,18 @@ metric("on_time_monthly", "SELECT *, round(100.0::DOUBLE * on_time / nullif(deli
 metric("cross_group_share", "SELECT *, round(100.0::DOUBLE * cross_orders / nullif(orders, 0), 4) AS cross_share_pct FROM (SELECT CAST(date_trunc('month', purchased_at) AS DATE) AS month, count(*) AS orders, CAST(sum(is_cross) AS BIGINT) AS cross_orders FROM (SELECT o.order_id, any_value(o.purchased_at) AS purchased_at, max(CASE WHEN s.group_id <> o.group_id THEN 1 ELSE 0 END) AS is_cross FROM shop_items i JOIN sellers s USING (seller_id) JOIN shop_orders o USING (order_id) GROUP BY 1) GROUP BY 1)")
 metric("freight_ratio", "SELECT *, round(100.0::DOUBLE * freight / nullif(price, 0), 4) AS freight_to_price_pct FROM (SELECT coalesce(category, 'uncategorized') AS category, CAST(sum(CAST(freight AS DECIMAL(18,2))) AS DOUBLE) AS freight, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS price, count(*) AS items FROM shop_items LEFT JOIN products USING (product_id) GROUP BY 1)")
 metric("ecommerce_wide", "SELECT *, round(100.0::DOUBLE * on_time / nullif(delivered, 0), 4) AS on_time_pct, round(100.0::DOUBLE * running_on_time / running_delivered, 4) AS running_pct FROM (SELECT *, CAST(sum(on_time) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_on_time, CAST(sum(delivered) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_delivered FROM shop_on_time)")
+_MONTHS = "CAST(year(month) AS INTEGER) AS year, CAST(month(month) AS INTEGER) AS month_number, monthname(month) AS month_name, strftime(month, '%Y-%m') AS year_month, CAST(quarter(month) AS INTEGER) AS quarter, concat(year(month), '-Q', quarter(month)) AS year_quarter"
+metric("wide_gmv", f"SELECT *, {_MONTHS}, round(gmv / nullif(orders, 0), 6) AS avg_gmv_per_order, round(gmv / nullif(items, 0), 6) AS avg_item_price FROM (" + ORACLES["gmv_by_category"].removeprefix(f"{FRAMES_SQL}\n") + ")")
+metric("wide_repeat", f"SELECT *, {_MONTHS}, orders - repeat_orders AS first_time_orders FROM (" + ORACLES["repeat_rate"].removeprefix(f"{FRAMES_SQL}\n") + ")")
+metric("wide_cross_group", f"SELECT *, {_MONTHS}, orders - cross_orders AS same_orders FROM (" + ORACLES["cross_group_share"].removeprefix(f"{FRAMES_SQL}\n") + ")")
+metric("wide_freight", f"SELECT *, {_MONTHS}, round(100.0::DOUBLE * freight / nullif(price, 0), 4) AS freight_to_price_pct FROM (SELECT coalesce(category, 'uncategorized') AS category, CAST(date_trunc('month', purchased_at) AS DATE) AS month, CAST(sum(CAST(freight AS DECIMAL(18,2))) AS DOUBLE) AS freight, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS price, count(DISTINCT order_id) AS orders, count(*) AS items FROM shop_items JOIN shop_orders USING (order_id) LEFT JOIN products USING (product_id) GROUP BY 1, 2)")
+metric("days_to_deploy", "SELECT CAST(date_trunc('month', status_date) AS DATE) AS month, count(*) AS deployments, round(avg(status_date - first_date), 1) AS avg_days_to_deploy FROM (SELECT *, min(status_date) OVER (PARTITION BY device_id) AS first_date FROM lifecycle) WHERE lifecycle_status = 'deployed' GROUP BY 1")
+metric("defect_trend", "SELECT *, round(100.0::DOUBLE * defective_count / nullif(total_transitions, 0), 2) AS defect_rate_pct FROM (SELECT CAST(date_trunc('month', status_date) AS DATE) AS month, count(*) AS total_transitions, count(*) FILTER (lifecycle_status = 'defective') AS defective_count FROM lifecycle GROUP BY 1)")
+metric("wide_procurement", f"SELECT {_PO}, vendor_name, country_code, material_group, CAST(year(po_date) AS INTEGER) AS po_year, CAST(quarter(po_date) AS INTEGER) AS po_quarter, CAST(month(po_date) AS INTEGER) AS po_month, strftime(po_date, '%Y-%m') AS po_year_month FROM purchase_orders LEFT JOIN vendors USING (vendor_id) LEFT JOIN materials USING (material_id)")
+metric("wide_movements", "SELECT document_id, posting_date, CAST(year(posting_date) AS INTEGER) AS posting_year, CAST(quarter(posting_date) AS INTEGER) AS posting_quarter, CAST(month(posting_date) AS INTEGER) AS posting_month, movement_type, CASE movement_type WHEN '101' THEN 'goods_receipt' WHEN '122' THEN 'vendor_return' ELSE 'installation' END AS process_step, CASE movement_type WHEN '101' THEN 'increase' ELSE 'decrease' END AS stock_impact_description, direction, quantity, signed_quantity, material_id, material_group, plant, plant_name FROM movements LEFT JOIN materials USING (material_id) LEFT JOIN plants ON plant = plant_code")
+metric("wide_inventory", f"SELECT i.*, material_group, p.plant_name, storage_location_name, location_type, inspection > 0 AS has_qi_stock FROM inventory i LEFT JOIN materials USING (material_id) LEFT JOIN plants p ON plant = p.plant_code LEFT JOIN ({_PLACES}) l ON l.plant_code = plant AND storage_location_code = location")
+metric("wide_lifecycle", "SELECT l.device_id, lifecycle_status, status_date, CAST(DATE '2025-01-01' - status_date AS INTEGER) AS days_in_status, material_id, material_group FROM lifecycle l LEFT JOIN (SELECT DISTINCT user_id AS device_id, user_id % 40 + 1 AS material_id FROM events) USING (device_id) LEFT JOIN materials USING (material_id) WHERE is_current", as_of="2025-01-01")
+metric("po_details", "SELECT po_number, po_item, po_date, vendor_name, material_id, ordered_quantity, received_quantity, CAST(net_value AS DOUBLE) AS net_value, delivery_status FROM purchase_orders LEFT JOIN vendors USING (vendor_id) ORDER BY po_date DESC, po_number, po_item LIMIT 100")
 
 
 # --- B, C: staging and vault ---------------------------------------------------------------------
@@ -295,7 +335,7 @@ def _(t):
 
 @query("f_latest_value", "SELECT o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY 1")
 def _(t):
-    return t["orders"].withColumn("k", F.struct("o_orderdate", "o_orderkey")).groupBy("o_custkey").agg(F.max_by("o_orderstatus", "k").alias("o_orderstatus"))
+    return relational.latest_value(t["orders"].withColumn("k", F.struct("o_orderdate", "o_orderkey")), "o_custkey", "k", "o_orderstatus")
 
 
 @query("g_top_groups", "SELECT o_custkey, q, round(100 * q / sum(q) OVER (), 2) AS pct_of_top_n FROM (SELECT o_custkey, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)")
@@ -393,7 +433,7 @@ def _(t):
     return profile.relationship_shape(t["lineitem"], t["orders"], "l_orderkey", "o_orderkey")
 
 
-_FANOUT = """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(avg(CASE WHEN n > 0 THEN CAST(n AS DOUBLE) END), 6) AS avg_fanout, max(n) AS max_fanout, round(stddev_pop(CASE WHEN n > 0 THEN CAST(n AS DOUBLE) END), 6) AS stddev_fanout, count(*) < 500 AS sample_saturated
+_FANOUT = """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(coalesce(avg(CAST(n AS DOUBLE)), 0), 6) AS avg_fanout, max(n) AS max_fanout, round(coalesce(stddev_pop(CAST(n AS DOUBLE)), 0), 6) AS stddev_fanout, count(*) < 500 AS sample_saturated
 FROM (SELECT k, coalesce(n, 0) AS n FROM (SELECT DISTINCT o_orderkey AS k FROM orders ORDER BY md5(CAST(k AS VARCHAR)), k LIMIT 500) LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) USING (k))"""
 
 
@@ -462,11 +502,11 @@ def _(t):
     return quality.source_quality({"orders": _nulled(t)}).select("table_name", "avg_completeness", "quality")
 
 
-@query("k_drift", "SELECT 0::BIGINT AS new_groups, CAST((SELECT count(DISTINCT c_mktsegment) FROM customer) AS BIGINT) AS changed_groups, 'x' AS note")
+@query("k_drift", """WITH old AS (SELECT c_mktsegment AS g, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS a FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY 1), new AS (SELECT c_mktsegment AS g, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS b FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1)
+SELECT *, CASE WHEN changed = 0 THEN 'no_drift' WHEN new_groups > 0 OR top_shift > 5 THEN 'material' ELSE 'noise' END AS drift FROM (SELECT count(*) FILTER (a IS NULL) AS new_groups, count(*) FILTER (a IS DISTINCT FROM b) AS changed, round(abs(max(a) - max(b)), 6) AS top_shift FROM old FULL JOIN new USING (g))""")
 def _(t):
     share = lambda df: relational.share_of_total(df.withColumn("one", F.lit(1)), "c_mktsegment", "one").select("c_mktsegment", F.col("pct_of_total").alias("share"))
-    out = quality.classify_drift(share(t["customer"]), share(t["customer"].filter("c_custkey % 2 = 0")).withColumn("share", F.col("share") + 1000), "c_mktsegment", "share")
-    return out.select("new_groups", F.col("changed").alias("changed_groups"), F.lit("x").alias("note"))
+    return quality.classify_drift(share(t["customer"].filter("c_mktsegment <> 'MACHINERY'")), share(t["customer"].filter("c_custkey % 2 = 0")), "c_mktsegment", "share").withColumn("top_shift", F.round("top_shift", 6))
 
 
 # --- M, O ----------------------------------------------------------------------------------------------
@@ -513,7 +553,7 @@ def _(t):
     return profile.sum_match_exact(money(t["orders"], "o_orderkey", "o_totalprice"), money(t["lineitem"], "l_orderkey", "l_extendedprice"), "k", "m")
 
 
-@query("j_bridge_fanout", """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(avg(CASE WHEN n > 0 THEN CAST(n AS DOUBLE) END), 6) AS avg_fanout, CAST(max(n) AS BIGINT) AS max_fanout, round(stddev_pop(CASE WHEN n > 0 THEN CAST(n AS DOUBLE) END), 6) AS stddev_fanout, count(*) < 500 AS sample_saturated
+@query("j_bridge_fanout", """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(coalesce(avg(CAST(n AS DOUBLE)), 0), 6) AS avg_fanout, CAST(max(n) AS BIGINT) AS max_fanout, round(coalesce(stddev_pop(CAST(n AS DOUBLE)), 0), 6) AS stddev_fanout, count(*) < 500 AS sample_saturated
 FROM (SELECT k, coalesce(n, 0) AS n FROM (SELECT DISTINCT c_custkey AS k FROM customer ORDER BY md5(CAST(k AS VARCHAR)), k LIMIT 500) LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) USING (k))""")
 def _(t):
     return profile.measure_bridge(t["customer"].withColumnRenamed("c_custkey", "k"), t["orders"].selectExpr("o_custkey AS k", "o_orderkey AS j"), t["lineitem"].withColumnRenamed("l_orderkey", "j"), "k", "j")
@@ -546,7 +586,7 @@ def _(t):
     return lines.groupBy("side", "account").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
-@query("l_supersede", "SELECT conv_id, CAST(turn AS INTEGER) AS version, turn = max(turn) OVER (PARTITION BY conv_id) AS is_current FROM conversations")
+@query("c_conversation_versions", "SELECT conv_id, CAST(turn AS INTEGER) AS version, turn = max(turn) OVER (PARTITION BY conv_id) AS is_current FROM conversations")
 def _(t):
     c = t["conversations"].select("conv_id", F.col("turn").cast("int").alias("version"), F.col("turn").alias("load_date"))
     newest = vault.current_by_max(c, "conv_id").select("conv_id", "version", F.lit(True).alias("is_current"))

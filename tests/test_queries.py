@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from stratum import queries_store  # noqa: F401
 from stratum.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
