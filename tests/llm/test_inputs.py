@@ -85,12 +85,12 @@ def test_op8_damaged_containers():
         deep = struct.pack(">I4s", 8 + len(deep), b"moov") + deep
     assert media.sample_table(deep) is None and len(list(media.boxes(deep))) == 3000
     place = box.index(b"stsc")
-    assert media.sample_table(box[: place + 12] + struct.pack(">III", 1, 2**32 - 1, 1) + box[place + 24 :]) is None or True
+    wide = box[: place + 12] + struct.pack(">III", 1, 2**32 - 1, 1) + box[place + 24 :]  # all samples in the first chunk: they do follow each other
+    assert media.read_payload(wide, media.sample_table(wide)) == b"a" * 192 * 40
     assert media.read_payload(box, media.sample_table(box)) == b"a" * 192 * 40
 
 
 def test_op5_names_and_cuts_passages_of_many_words(spark):
-    r = np.random.default_rng(5)
     short = lambda seed, n: " ".join("".join(chr(97 + c) for c in np.random.default_rng(seed * 1000 + i).integers(0, 26, 4)) for i in range(n))
     shared, few = short(1, 55), short(2, 45)
     assert len(shared) < 400 and len(few) > 200
@@ -105,7 +105,6 @@ def test_op5_names_and_cuts_passages_of_many_words(spark):
     assert {x.doc_id: x.text for x in repeats.remove_repeats(df).collect()} == texts
     cut = {x.doc_id: x.text for x in repeats.remove_repeats(df, words=50).collect()}
     assert all(shared not in cut[i] and len(cut[i]) >= len(texts[i]) - len(shared) - 2 for i in range(3)) and all(cut[i] == texts[i] for i in (10, 11, 20, 21))
-    assert r is not None
 
 
 def plain_grams(text):
