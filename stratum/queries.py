@@ -69,8 +69,19 @@ _PLACES = "SELECT md5(concat(plant_code, '||', storage_location_code)) AS hk_sto
 metric("dim_storage_location", _PLACES)
 metric("goods_movements", "SELECT document_id, material_id, vendor_id, plant, movement_type, quantity, posting_date, direction, signed_quantity FROM movements")
 metric("invoices", "SELECT i.po_number, invoice_id, amount, invoice_date, quantity, po_date, CAST(invoice_date - po_date AS INTEGER) AS days_po_to_invoice FROM invoices i LEFT JOIN po_headers USING (po_number)")
-QUERIES["equipment_lifecycle"] = lambda spark, sf_dir: metrics.equipment_lifecycle(frames(spark, sf_dir)).drop("event_id")  # equal states of a day are interchangeable
-ORACLES["equipment_lifecycle"] = f"{FRAMES_SQL} SELECT device_id, status, status_date, category, next_date, sequence_no, is_current, lifecycle_status, CAST(next_date - status_date AS INTEGER) AS days_in_status FROM lifecycle"
+
+
+def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of a day that a device enters twice count once, so that their order is defined."""
+    bound = frames(spark, sf_dir)
+    return metrics.equipment_lifecycle(bound | {"device_events": bound["device_events"].drop("event_id").distinct()})
+
+
+QUERIES["equipment_lifecycle"] = _lifecycle
+ORACLES["equipment_lifecycle"] = f"""{FRAMES_SQL} SELECT *, CAST(next_date - status_date AS INTEGER) AS days_in_status FROM (
+  SELECT device_id, status, status_date, category, lead(status_date) OVER (PARTITION BY device_id ORDER BY status_date, status) AS next_date, CAST(row_number() OVER (PARTITION BY device_id ORDER BY status_date, status) AS INTEGER) AS sequence_no,
+         row_number() OVER (PARTITION BY device_id ORDER BY status_date DESC, status DESC) = 1 AS is_current, CASE status WHEN 'INST' THEN 'deployed' WHEN 'AVLB' THEN 'in_stock' WHEN 'RET' THEN 'returned' WHEN 'DLFL' THEN 'defective' ELSE 'unknown' END AS lifecycle_status
+  FROM (SELECT DISTINCT device_id, status, status_date, category FROM device_events))"""
 metric("receipt_accuracy", "SELECT *, round(100.0::DOUBLE * accurate_receipts / nullif(total_receipts, 0), 2) AS accuracy_percentage FROM (SELECT r.vendor_id, CAST(date_trunc('quarter', posting_date) AS DATE) AS quarter, count(*) AS total_receipts, count(*) FILTER (quantity = ordered_quantity) AS accurate_receipts, min(posting_date) AS first_receipt_date, max(posting_date) AS last_receipt_date FROM receipts r JOIN po_items USING (po_number, po_item, material_id) WHERE movement_type = '101' GROUP BY 1, 2)")
 metric("receipts_monthly", "SELECT CAST(date_trunc('month', posting_date) AS DATE) AS month, count(DISTINCT document_id) AS documents, count(*) AS lines, sum(quantity) AS quantity FROM receipts WHERE movement_type = '101' GROUP BY 1")
 metric("inventory", "SELECT * FROM inventory")
