@@ -302,8 +302,9 @@ def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text", words:
     chunks = cut(_chunks(texts.join(candidates, "row").select("t1", "t2", "names", text), text, half))
     ranks = chunks.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranks // BUCKET_RANKS))
-    one = cut(chunks.join(_not_unique(chunks, length, False, buckets, "round1"), "chunk", "left"))
-    two = one.join(_not_unique(one, length, True, buckets, "round2"), "chunk", "left")
+    # The marks are written, not the chunks with them: those are large.
+    one = chunks.join(cut(_not_unique(chunks, length, False, buckets, "round1")), "chunk", "left")
+    two = one.join(cut(_not_unique(one, length, True, buckets, "round2")), "chunk", "left")
     cleaned = cut(_cleaned(two, length, words))
     out = base.select("doc_id", "t1", "t2", "n_bytes", "n_words", "sha256").join(classes.select("t1", "t2", "copies"), ["t1", "t2"]).join(cleaned, ["t1", "t2"], "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
