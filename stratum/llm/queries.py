@@ -85,6 +85,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm.conversations import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_toxicity": op2_toxicity,
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": """
