@@ -103,8 +103,13 @@ _LOWER[65:91] += 32
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every run of bytes without ASCII white space, and the row that it stands in."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    return runs(~SPACE[data], offsets)
+
+
+def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of members, and the row that it stands in."""
+    data, inside = member, np.zeros(len(member) + 2, bool)
+    inside[1:-1] = member
     change = inside[1:] != inside[:-1]
     starts, ends = np.flatnonzero(change & inside[1:]), np.flatnonzero(change & ~inside[1:])
     # A word never runs across a row's end: cut those that do.

@@ -91,6 +91,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm.ranked import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_toxicity": op2_toxicity,
@@ -103,6 +109,7 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_ranked_search": op12_ranked_search,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": """
@@ -120,4 +127,31 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents WHERE text IS NOT NULL
+        ), b AS (
+            SELECT row_number() OVER () AS i, item_id,
+                   list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark WHERE text IS NOT NULL
+        ), s AS (
+            SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0
+        ), q AS (
+            SELECT i, item_id, unnest(t) AS term FROM b
+        ), o AS (
+            SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d
+        ), f AS (
+            SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM o WHERE term IN (SELECT term FROM q) GROUP BY ALL
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, docs
+        ), x AS (
+            SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM f JOIN q USING (term) JOIN w USING (term), s GROUP BY ALL
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM x WHERE score > 0
+        ) WHERE rank <= 50
+    """,
 }
