@@ -97,6 +97,15 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import language
+    from stratum.llm.labels import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs.select("doc_id", "text"), language.fit(docs.filter(remainder("doc_id", 5) != 0)))
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_toxicity": op2_toxicity,
@@ -110,6 +119,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_ranked_search": op12_ranked_search,
+    "op13_language_id": op13_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": """
