@@ -439,12 +439,16 @@ def line_report(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size(own).cast("long").alias("n_removed"), own.alias("removed"))
 
 
-def remove_later_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` without the lines that :func:`later_lines` names; rows and other columns stay, whatever their names."""
+def remove_later_lines(docs: DataFrame, text: str = "text", whole: float = 0.0, **options) -> DataFrame:
+    """``docs`` without the lines that :func:`later_lines` names; rows and other columns stay, whatever their names.
+
+    A text of whose characters less than the share ``whole`` would be left stays whole: nearly all of it stands elsewhere,
+    so that it is a copy, for whoever removes copies of documents to judge.
+    """
     rows = _numbered(docs.select("doc_id", text, F.struct(*docs.columns).alias("_row")), text)
     removed = _later(rows.select("doc_id", text, "_base"), text=text, **options).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
     joined = rows.join(removed, F.col("doc_id").cast("long") == F.col("_doc"), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_removed"), i + F.col("_base"))), "\n")
-    new = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)
+    new = F.when(F.col("_removed").isNull() | (F.length(kept) < whole * F.length(text)), F.col(text)).otherwise(kept)
     return joined.select(*(new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))

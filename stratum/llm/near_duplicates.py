@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stratum.llm.flat import flat, mix, steps
 from stratum.llm.shared import bounded_batches, cut, written
 from stratum.llm.shingles import shingle_sets
-from stratum.llm.tables import components, gathered, grouped, only
+from stratum.llm.tables import components, free_name, gathered, grouped, only
 
 #: Signature values, those that bands may use, values compared at once, and the probability that verification may miss a true pair.
 HASHES, BANDED, BATCH, MISS = 384, 200, 32, 1e-4
@@ -284,3 +284,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     rows = base.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(labels, "id", "left")
     component = F.when(F.col("n") > 0, F.coalesce("label", "id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one of the smallest doc_id.
+
+    Rows of equal doc_id and text are one document, of which one row stays. Each other text of a
+    doc_id, and each text without one, is a document of its own, after all others. Null and empty
+    texts are near nothing.
+    """
+    own = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not own.filter("n > 1").take(1) and not docs.filter("doc_id is null").take(1):
+        gone = near_duplicates(docs, shingle, percent, text).filter("not kept").select("doc_id")
+        return only(docs, gone, "doc_id", "left_anti")
+    t1, t2, first, number = (free_name(docs, x) for x in ("t1", "t2", "first", "number"))
+    key = F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()
+    keyed = docs.withColumn(t1, F.xxhash64(F.lit(1), *key)).withColumn(t2, F.xxhash64(F.lit(2), *key)).dropDuplicates(["doc_id", t1, t2])
+    firsts = keyed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(t1, t2)).alias(first))
+    marked = written(keyed.join(firsts, "doc_id", "left").withColumn(first, F.coalesce(F.col(first) == F.struct(t1, t2), F.lit(False))))
+    # The first text of an id keeps the id as its number; the others are numbered from the greatest on.
+    greatest = marked.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    numbered = written(marked.withColumn(number, F.when(F.col(first), F.col("doc_id").cast("long")).otherwise(F.monotonically_increasing_id() + greatest + 1)))
+    gone = near_duplicates(numbered.select(F.col(number).alias("doc_id"), text), shingle, percent, text).filter("not kept").select(F.col("doc_id").alias(number))
+    return only(numbered, gone, number, "left_anti").select(*docs.columns)

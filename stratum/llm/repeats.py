@@ -271,12 +271,13 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), whole).alias("t1"), F.xxhash64(F.lit(2), whole).alias("t2"), whole.alias(text))
 
 
-def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text", words: int = 50) -> DataFrame:
+def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text", words: int = 50, repeated_rows: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, t1 and t2 (the text's key), n_bytes, n_removed, n_spans, kept_sha256, spans, passages.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this
     text or another; overlaps count, and strings are judged on the input. A null text is empty. Texts
-    shorter than ``length`` stay. Repeated rows are copies of each other, so their bytes go.
+    shorter than ``length`` stay. Repeated rows are copies of each other, so their bytes go; without
+    ``repeated_rows``, rows of equal doc_id and text are one text.
     passages are the runs in which ``words`` words or more begin and that strings of half that length
     cover that also start elsewhere; they are named only, whether or not their bytes go.
     """
@@ -288,7 +289,7 @@ def repeat_spans(docs: DataFrame, length: int = 400, text: str = "text", words:
     base = cut(_bases(keyed, text, half))
     # Which row stands for its text: any will do, and a row without an id has its key for one.
     row = F.coalesce("doc_id", "t1")
-    classes = base.groupBy("t1", "t2").agg(F.min(row).alias("row"), F.count("*").alias("copies"))
+    classes = base.groupBy("t1", "t2").agg(F.min(row).alias("row"), (F.count("*") if repeated_rows else F.count_distinct(F.struct("doc_id"))).alias("copies"))
     # Exact copies need no ranks: every byte of theirs repeats. One of them stands for all in what follows.
     reps = base.withColumn("row", row).join(classes.select("t1", "t2", "row"), ["t1", "t2", "row"], "left_semi").dropDuplicates(["t1", "t2"]).select("row", "names", "twice")
     # Several texts may share a row's id: they get each other's names, which costs time only.
@@ -329,11 +330,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", words
 
     With ``words``, passages of so many words go as well, though none of their strings be of ``length`` bytes.
     Where a cut parts a character, its remaining bytes go too. Rows stay, even where nothing is left.
+    Rows of equal doc_id and text are one text: it isn't lost for standing twice.
     """
     names = docs.columns
     gone = F.col("spans") if words is None else F.concat("spans", "passages")
     t1, t2, spans = (free_name(docs, x) for x in ("t1", "t2", "spans"))
-    found = repeat_spans(docs, length, text, words or 50).select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.array_sort(gone).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([t1, t2])
+    found = repeat_spans(docs, length, text, words or 50, repeated_rows=False).select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.array_sort(gone).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([t1, t2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
