@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from stratum.llm import toxicity as toxic
 from stratum.llm.labels import remainder
 from stratum.llm.line_dedup import remove_later_lines
-from stratum.llm.near_duplicates import near_duplicates
+from stratum.llm.near_duplicates import without_near_duplicates
 from stratum.llm.packing import pack
 from stratum.llm.repeats import remove_repeats
 from stratum.llm.shared import new_folder
-from stratum.llm.tables import free_name, only
+from stratum.llm.tables import free_name
 
 #: Documents that score as much or more go.
 TOXIC = 0.7
+#: A document that would be left with less of its characters by the removal of lines is a copy, which the next stage judges whole.
+WHOLE = 1 / 3
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -37,14 +39,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines that a similar line precedes, in this document or another; every document stays."""
-    return _recounted(remove_later_lines(docs))
+    """Without the lines that a similar line precedes, in this document or another; every document stays, whole where hardly anything would be left."""
+    return _recounted(remove_later_lines(docs, whole=WHOLE))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return only(docs, gone, "doc_id", "left_anti")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), and one row of those that stand repeatedly."""
+    return without_near_duplicates(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
