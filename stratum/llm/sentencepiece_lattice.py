@@ -16,7 +16,7 @@ left. Characters without a piece become byte pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +37,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text of a chunk, and for which there is one bucket of words.
 CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 4_000_000
+#: Places of a word that are looked at together.
+PLACES = 1024
 #: Words whose lattices one task makes and folds.
 TASK_WORDS = 20_000
 #: Bytes from which on a word is cut where no piece can go across.
@@ -145,8 +147,11 @@ def _edges(words: DataFrame, table: DataFrame) -> DataFrame:
     A character without a piece is an edge as well, whose id is its code point below 0.
     """
     longest, lowest = table.agg(F.max(F.length("piece")), F.min("score")).first()
-    places = words.select("wid", F.length("word").alias("n"), "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-    places = places.select("wid", "at", F.substring("word", F.col("at"), F.lit(longest)).alias("ahead"))
+    # By way of blocks: a place far into a long word is found by counting from its beginning.
+    blocks = words.select("wid", "word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(PLACES))).alias("base"))
+    blocks = blocks.select("wid", "base", F.least(F.col("n") - F.col("base"), F.lit(PLACES)).alias("n"), F.substring("word", F.col("base") + 1, F.lit(PLACES + longest)).alias("word"))
+    places = blocks.select("wid", "base", "word", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at"))
+    places = places.select("wid", (F.col("base") + F.col("at")).alias("at"), F.substring("word", F.col("at"), F.lit(longest)).alias("ahead"))
     spans = places.select("wid", "at", "ahead", F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("size"))
     spans = spans.select("wid", (F.col("at") + F.col("size") - 1).alias("end"), "size", F.substring("ahead", F.lit(1), F.col("size")).alias("piece"))
     # The vocabulary is of fixed size, so it is broadcast.
@@ -155,27 +160,65 @@ def _edges(words: DataFrame, table: DataFrame) -> DataFrame:
     return found.groupBy("wid").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def _viterbi(edges: Column) -> Column:
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _byte(size: Column) -> Column:
+    return F.unhex(F.hex(size))
+
+
+#: Bytes that a fold appends one by one before it sets them aside as a whole: each append copies what is open.
+_OPEN = 512
+
+
+def _viterbi(edges: Column, longest: int) -> Column:
     """The ids of the best path: a fold over the edges, end by end.
 
-    State: the end that is open, the best edge into it so far (score of the path, size, id), and those of all ends before it.
+    State: the end that is open, the best edge into it so far (score of the path and size), the scores of the last
+    ``longest`` ends before it (no edge reaches back further), and, a byte each, the sizes of the best edges into all
+    of them. Spark copies a fold's arrays at every step but not its bytes, so that the work grows with the edges.
     """
-    best_type = "struct<score:double,size:int,id:int>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(best_type).alias("best"), F.array().cast(f"array<{best_type}>").alias("done"))
+    nothing = F.lit(b"")
+    best_type = "struct<score:double,size:int>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(best_type).alias("best"), F.array().cast("array<double>").alias("scores"), nothing.alias("open"), nothing.alias("full"))
 
     def step(s: Column, x: Column) -> Column:
         begin = x["end"] - x["size"]
-        before = F.when(begin == 0, 0.0).when(begin == s["at"], s["best"]["score"]).otherwise(F.get(s["done"], begin - 1)["score"])
-        path = F.struct((before + x["score"]).alias("score"), x["size"].alias("size"), x["id"].alias("id"))
+        before = F.when(begin == 0, 0.0).when(begin == s["at"], s["best"]["score"]).otherwise(F.try_element_at(s["scores"], begin - s["at"]))
+        path = F.struct((before + x["score"]).alias("score"), x["size"].alias("size"))
         new = x["end"] > s["at"]
-        done = F.when(new & (s["at"] > 0), F.concat(s["done"], F.array(s["best"]))).otherwise(s["done"])
-        return F.struct(x["end"].alias("at"), F.when(new, path).otherwise(F.greatest(s["best"], path)).alias("best"), done.alias("done"))
-
-    ends = F.aggregate(edges, start, step, lambda s: F.reverse(F.concat(s["done"], F.array(s["best"]))))
-    # Back from the last end: an edge is on the path where no later one goes across.
-    none = F.struct(F.lit(0).alias("across"), F.array().cast("array<int>").alias("ids"))
-    back = lambda s, x: F.when(s["across"] > 0, F.struct((s["across"] - 1).alias("across"), s["ids"].alias("ids"))).otherwise(F.struct((x["size"] - 1).alias("across"), F.concat(s["ids"], F.array(x["id"])).alias("ids")))
-    return F.aggregate(ends, none, back, lambda s: F.reverse(s["ids"]))
+        closed = new & (s["at"] > 0)
+        last = F.slice(s["scores"], F.greatest(F.lit(1), F.size(s["scores"]) - longest + 2), F.lit(longest))
+        turn = closed & (F.octet_length(s["open"]) >= _OPEN)
+        own = _byte(s["best"]["size"])
+        return F.struct(
+            x["end"].alias("at"),
+            F.when(new, path).otherwise(F.greatest(s["best"], path)).alias("best"),
+            F.when(closed, F.concat(last, F.array(s["best"]["score"]))).otherwise(s["scores"]).alias("scores"),
+            F.when(turn, own).when(closed, F.concat(s["open"], own)).otherwise(s["open"]).alias("open"),
+            F.when(turn, F.concat(s["full"], s["open"])).otherwise(s["full"]).alias("full"),
+        )
+
+    sizes = F.aggregate(edges, start, step, lambda s: F.concat(s["full"], s["open"], _byte(s["best"]["size"])))
+
+    # Back from the last end: an edge is on the path where no later one goes across; its end keeps its size.
+    def back(s: Column, at: Column) -> Column:
+        on, own = s["across"] == 0, F.substring(s["sizes"], at, F.lit(1))
+        mark = F.when(on, own).otherwise(F.lit(b"\0"))
+        turn = F.octet_length(s["open"]) >= _OPEN
+        return F.struct(
+            F.when(on, F.conv(F.hex(own), 16, 10).cast("int") - 1).otherwise(s["across"] - 1).alias("across"),
+            F.when(turn, mark).otherwise(F.concat(mark, s["open"])).alias("open"),
+            F.when(turn, F.concat(s["open"], s["full"])).otherwise(s["full"]).alias("full"),
+            s["sizes"].alias("sizes"),
+        )
+
+    first = lambda sizes: F.struct(F.lit(0).alias("across"), nothing.alias("open"), nothing.alias("full"), sizes.alias("sizes"))
+    marks = _let(sizes, lambda v: F.aggregate(F.sequence(F.octet_length(v), F.lit(1), F.lit(-1)), first(v), back, lambda s: F.concat(s["open"], s["full"])))
+    chosen = lambda m: F.transform(F.filter(edges, lambda x: F.substring(m, x["end"], F.lit(1)) == _byte(x["size"])), lambda x: x["id"])
+    return _let(marks, chosen)
 
 
 def _merged(lattice: DataFrame) -> DataFrame:
@@ -204,8 +247,9 @@ def _merged(lattice: DataFrame) -> DataFrame:
 
 def encode_words(words: DataFrame, table: DataFrame, fold: str = "viterbi") -> DataFrame:
     """wid, ids of every word (wid, word): its lattice, folded. A character without a piece is its code point below 0."""
+    longest = table.agg(F.max(F.length("piece"))).first()[0]
     lattice = _edges(words, table)
-    return lattice.select("wid", _viterbi(F.col("edges")).alias("ids")) if fold == "viterbi" else _merged(lattice)
+    return lattice.select("wid", _viterbi(F.col("edges"), longest).alias("ids")) if fold == "viterbi" else _merged(lattice)
 
 
 def _returned(known: DataFrame, cells: DataFrame, model: str) -> DataFrame:

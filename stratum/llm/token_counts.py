@@ -24,8 +24,10 @@ from stratum.llm.flat import flat, steps
 from stratum.llm.shared import cut
 from stratum.llm.tokens import WORD_TOKENIZER, word_encoder
 
-#: The word tokenizer's <|endoftext|>; no text yields it unless it spells that name.
-END_ID = 49_407
+#: What ends a document: 16 bits that no id of the vocabulary has, so that every id of a text is kept and counted.
+END_ID = 65_535
+#: The word tokenizer's own <|endoftext|>, which a text yields where it spells that name.
+SPELLED_ID = 49_407
 #: Bytes of a block: what one read and one search hold in memory.
 BLOCK_BYTES = 8 << 20
 
@@ -35,8 +37,8 @@ def write_token_files(docs: DataFrame, folder: str, text: str = "text", tokenize
 
     Returns file, ordinal (the document's number in its file, from 0), doc_id and n_end_ids; it is
     materialised, so the files exist. A task writes under its attempt's name and renames at its end: a
-    lost or repeated task leaves no partial file. Ids of ``end_id`` inside a text would end the document:
-    the files leave them out, and n_end_ids counts them. ``folder`` must be in a file system that all executors reach.
+    lost or repeated task leaves no partial file. ``end_id`` must be no id of the tokenizer; n_end_ids counts the ids
+    of its end marker that the text itself spells. ``folder`` must be in a file system that all executors reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,11 +52,9 @@ def write_token_files(docs: DataFrame, folder: str, text: str = "text", tokenize
         with system.open_output_stream(own) as out:
             for part in steps(batches, text):
                 ids, at = encoder.encode_flat(*flat(part.column(text)))
-                odd = np.flatnonzero(ids == end_id)
-                n_odd += np.diff(np.searchsorted(odd, at)).tolist()
-                if len(odd):
-                    at = at - np.searchsorted(odd, at)
-                    ids = np.delete(ids, odd)
+                if len(ids) and int(ids.max()) >= end_id:
+                    raise ValueError(f"the tokenizer has ids from {end_id} on, which end documents")
+                n_odd += np.diff(np.searchsorted(np.flatnonzero(ids == SPELLED_ID), at)).tolist()
                 out.write(np.insert(ids.astype("<u2"), at[1:], end_id).tobytes())
                 doc_ids += part.column("doc_id").to_pylist()
         if not doc_ids:
@@ -118,7 +118,7 @@ def separator_scan(files: DataFrame, folder: str, end_id: int = END_ID, block_by
 def token_counts(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_end_ids, file, ordinal, start of every document, by way of flat files in ``folder``.
 
-    n_tokens leaves out ids of the end that the text itself spells; n_end_ids counts those. A null or empty text has 0 tokens. Equal doc_ids each keep their row; an empty table gives none.
+    n_tokens counts every id of the text; n_end_ids those among them that the text gets by spelling the end marker. A null or empty text has 0 tokens. Equal doc_ids each keep their row; an empty table gives none.
     """
     names = write_token_files(docs, folder, text)
     counted = separator_scan(names.select("file").distinct().join(token_files(docs.sparkSession, folder), "file") if names.take(1) else docs.sparkSession.createDataFrame([], "file string, n_bytes long"), folder)

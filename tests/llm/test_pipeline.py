@@ -153,3 +153,17 @@ def test_op7_query_takes_the_best_path_of_every_word_and_decodes(spark, tmp_path
     rows = {x.doc_id: x for x in op7_sentencepiece(spark, str(tmp_path)).collect()}
     want = {x.doc_id: x for x in got}
     assert all(rows[i].n_pieces == len(want[i].ids) and rows[i].decoded_sha256 == hashlib.sha256(want[i].text.encode()).hexdigest() for i in want)
+
+
+def test_op7_long_text_without_cut_places_in_time(spark):
+    """200,000 letters in which pieces go across every place: the fold's work grows with their number."""
+    import time
+
+    rows = sentencepiece_lattice.vocabulary()
+    table, longest, lowest = {p: (i, s) for p, i, s in rows}, max(len(p) for p, _, _ in rows), min(s for _, _, s in rows)
+    texts = ["a" * 200_000, "e" * 3000 + "s" * 700, "a" * 513]
+    began = time.time()
+    got = {x.doc_id: x.ids for x in sentencepiece_lattice.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fold="viterbi").collect()}
+    assert time.time() - began < 60
+    for i, text in enumerate(texts):
+        assert got[i] == best_path(" " + text, table, longest, lowest)
