@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.operators.relational import grand_total, stack_counts
+from stratum.sources.scratch import written
 
 
 def pipeline_edges(models: DataFrame) -> DataFrame:
@@ -20,20 +22,27 @@ def pipeline_edges(models: DataFrame) -> DataFrame:
 def column_origin(lineage: DataFrame, hops: int = 10) -> DataFrame:
     """M2: model, column, origin_model, origin_column, hops, from direct steps (model, column, from_model, from_column).
 
-    Follows each column back to what no step explains; chains longer than ``hops`` end there.
+    Follows each column back to what no step explains; chains longer than ``hops`` (cycles among them)
+    end there. Pointers are doubled: ways of 1, 2, 4, 8 steps come from joining the last with
+    themselves, and those that add up to ``hops`` are joined, so that ten hops take four joins.
     """
-    step = lineage.select(F.col("model").alias("_m"), F.col("column").alias("_c"), F.col("from_model").alias("_fm"), F.col("from_column").alias("_fc")).distinct()
-    now = lineage.select("model", "column", F.col("from_model").alias("origin_model"), F.col("from_column").alias("origin_column"), F.lit(1).alias("hops")).distinct()
-    for hop in range(2, hops + 1):
-        joined = now.join(step, (F.col("origin_model") == F.col("_m")) & (F.col("origin_column") == F.col("_c")), "left")
-        more = F.col("_fm").isNotNull()
-        now = joined.select("model", "column", F.coalesce("_fm", "origin_model").alias("origin_model"), F.coalesce("_fc", "origin_column").alias("origin_column"), F.when(more, hop).otherwise(F.col("hops")).alias("hops")).distinct()
-        if not hop % 3:  # the plan must not grow with the depth
-            if now.sparkSession.sparkContext.getCheckpointDir():
-                now = now.checkpoint()
-            if now.agg(F.max("hops")).first()[0] != hop:
-                break
-    return now
+    at = ["origin_model", "origin_column"]
+    power = written(lineage.select("model", "column", F.col("from_model").alias(at[0]), F.col("from_column").alias(at[1]), F.lit(1).alias("hops")).distinct(), "steps")
+
+    def on(ways: DataFrame, more: DataFrame) -> DataFrame:
+        """Each way gone on; one that has come to its origin stays."""
+        next_ = more.select(F.col("model").alias(at[0]), F.col("column").alias(at[1]), F.col(at[0]).alias("_m"), F.col(at[1]).alias("_c"), F.col("hops").alias("_n"))
+        both = ways.join(next_, at, "left")
+        return written(both.select("model", "column", F.coalesce("_m", at[0]).alias(at[0]), F.coalesce("_c", at[1]).alias(at[1]), (F.col("hops") + F.coalesce("_n", F.lit(0))).alias("hops")).distinct(), "steps")
+
+    found: DataFrame | None = None
+    while True:
+        if hops & 1:
+            found = on(found, power) if found is not None else power
+        hops >>= 1
+        if not hops:
+            return found
+        power = on(power, power)
 
 
 def star_edges(origins: DataFrame, identities: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -56,22 +65,30 @@ def downstream(edges: DataFrame, model: str) -> DataFrame:
 
 
 def downstream_all(edges: DataFrame, model: str, hops: int = 10) -> DataFrame:
-    """M5: everything reachable from a model, with the fewest hops."""
-    step = edges.select("from_model", "to_model").distinct()
-    reached = step.filter(F.col("from_model") == model).select("to_model", F.lit(1).alias("hops"))
-    front = reached
-    for hop in range(2, hops + 1):
-        front = front.select(F.col("to_model").alias("from_model")).join(step, "from_model").select("to_model").distinct().join(reached, "to_model", "left_anti").withColumn("hops", F.lit(hop))
-        if front.isEmpty():
-            break
-        reached = reached.union(front)
-    return reached
-
-
-def archive_impact(owners: DataFrame, edges: DataFrame, term: str) -> DataFrame:
-    """M6: model, impact: models of the term that other terms own too (shared), and others' models that read its models (downstream)."""
+    """M5: everything reachable from a model within ``hops``, with the fewest hops; the model itself where a cycle leads back.
+
+    Only the models of the newest hop meet the edges, and each hop is a table of its own, so that no
+    plan holds the hops before it. Ends when a hop finds nothing new.
+    """
+    step = written(edges.select("from_model", "to_model").distinct(), "edges")
+    found = [written(step.filter(F.col("from_model") == model).select("to_model", F.lit(1).alias("hops")), "hop")]
+    while len(found) < hops and not found[-1].isEmpty():
+        front = found[-1].select(F.col("to_model").alias("from_model")).join(step, "from_model").select("to_model").distinct()
+        new = front.join(reduce(DataFrame.union, found).select("to_model"), "to_model", "left_anti")
+        found.append(written(new.withColumn("hops", F.lit(len(found) + 1)), "hop"))
+    return reduce(DataFrame.union, found)
+
+
+def archive_impact(owners: DataFrame, edges: DataFrame, term: str, terms: DataFrame | None = None) -> DataFrame:
+    """M6: model, impact: models of the term that other terms own too (shared), and others' models that read its models (downstream).
+
+    With ``terms`` (term_id, status) only terms that stand there own anything, and archived ones own nothing; a blank status is active.
+    """
     own = owners.filter(F.col("term_id") == term).select("model").distinct()
     others = owners.filter(F.col("term_id") != term)
+    if terms is not None:
+        live = terms.groupBy("term_id").agg(F.min(F.coalesce(F.trim("status"), F.lit(""))).alias("status")).filter("status <> 'archived'")
+        others = others.join(live.select("term_id"), "term_id", "left_semi")
     shared = own.join(others, "model", "left_semi").withColumn("impact", F.lit("shared"))
     reads = edges.join(own.select(F.col("model").alias("from_model")), "from_model", "left_semi").select(F.col("to_model").alias("model")).distinct()
     hit = reads.join(others, "model", "left_semi").join(own, "model", "left_anti").withColumn("impact", F.lit("downstream"))

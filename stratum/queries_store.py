@@ -158,9 +158,12 @@ def _(t):
     return lineage.downstream_all(_edges(t), "m1")
 
 
-@query("m_archive_impact", f"WITH e AS ({_EDGES_SQL}), own AS (SELECT DISTINCT concat('m', l_partkey) AS model FROM lineitem WHERE l_suppkey % 10 = 3), other AS (SELECT DISTINCT concat('m', l_partkey) AS model FROM lineitem WHERE l_suppkey % 10 <> 3) SELECT model, 'shared' AS impact FROM own WHERE model IN (FROM other) UNION ALL SELECT DISTINCT to_model, 'downstream' FROM e WHERE from_model IN (FROM own) AND to_model IN (FROM other) AND to_model NOT IN (FROM own)")
+@query("m_archive_impact", f"""WITH e AS ({_EDGES_SQL}), live AS (SELECT s_suppkey % 10 AS term FROM supplier GROUP BY 1 HAVING min(CASE WHEN s_suppkey % 10 IN (2, 7) THEN 'archived' ELSE '' END) <> 'archived'),
+  own AS (SELECT DISTINCT concat('m', l_partkey) AS model FROM lineitem WHERE l_suppkey % 10 = 3), other AS (SELECT DISTINCT concat('m', l_partkey) AS model FROM lineitem WHERE l_suppkey % 10 <> 3 AND l_suppkey % 10 IN (FROM live))
+  SELECT model, 'shared' AS impact FROM own WHERE model IN (FROM other) UNION ALL SELECT DISTINCT to_model, 'downstream' FROM e WHERE from_model IN (FROM own) AND to_model IN (FROM other) AND to_model NOT IN (FROM own)""")
 def _(t):
-    return lineage.archive_impact(t["lineitem"].selectExpr("l_suppkey % 10 AS term_id", "concat('m', l_partkey) AS model"), _edges(t), "3")
+    terms = t["supplier"].selectExpr("s_suppkey % 10 AS term_id", "CASE WHEN s_suppkey % 10 IN (2, 7) THEN 'archived' END AS status")
+    return lineage.archive_impact(t["lineitem"].selectExpr("l_suppkey % 10 AS term_id", "concat('m', l_partkey) AS model"), _edges(t), "3", terms)
 
 
 # --- J: discovery --------------------------------------------------------------------------------------

@@ -41,6 +41,27 @@ def test_lineage(spark):
     assert {(r.to_model, r.hops) for r in lineage.downstream_all(edges, "a").collect()} == {("b", 1), ("c", 2)}
 
 
+def test_lineage_with_cycles_and_diamonds(spark):
+    step = lambda *pairs: spark.createDataFrame([(a, "c", b, "c") for a, b in pairs], "model string, column string, from_model string, from_column string")
+    found = lambda df, n: sorted((r.model, r.origin_model, r.hops) for r in lineage.column_origin(df, n).collect())
+    # A diamond of ways of unlike length, and a cycle, which ends where the hops do.
+    diamond = step(("d", "b"), ("d", "c"), ("c", "b"), ("b", "a"))
+    assert found(diamond, 10) == [("b", "a", 1), ("c", "a", 2), ("d", "a", 2), ("d", "a", 3)]
+    assert found(step(("x", "y"), ("y", "x")), 5) == [("x", "y", 5), ("y", "x", 5)]
+    chain = step(*((f"m{i + 1:02}", f"m{i:02}") for i in range(14)))
+    assert all(n == min(int(m[1:]), 10) and int(o[1:]) == int(m[1:]) - n for m, o, n in found(chain, 10))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d"), ("d", "d")], "from_model string, to_model string")
+    assert {(r.to_model, r.hops) for r in lineage.downstream_all(edges, "a").collect()} == {("b", 1), ("c", 1), ("a", 2), ("d", 2)}
+    assert lineage.downstream_all(edges, "nowhere").count() == 0 and {r.hops for r in lineage.downstream_all(edges, "a", 1).collect()} == {1}
+
+
+def test_archived_terms_own_nothing(spark):
+    owners = spark.createDataFrame([("t1", "m"), ("t2", "m"), ("t3", "n"), ("t1", "o"), ("t4", "o")], "term_id string, model string")
+    edges = spark.createDataFrame([("m", "n")], "from_model string, to_model string")
+    terms = spark.createDataFrame([("t1", "active"), ("t2", "archived"), ("t3", None)], "term_id string, status string")
+    assert {tuple(r) for r in lineage.archive_impact(owners, edges, "t1", terms).collect()} == {("n", "downstream")}
+
+
 def test_journals_balance(spark):
     heads = spark.createDataFrame([(1, 10.0, 1.9, False), (2, 5.0, 0.95, True)], "document_id int, net double, tax double, cancelled boolean")
     lines = derive.journal_from_billing(heads)
