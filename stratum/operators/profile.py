@@ -265,33 +265,34 @@ def value_overlap(small: DataFrame, large: DataFrame, key_small: str, key_large:
     return out.withColumn("overlap", F.round(ratio("matched", "sampled"), 6)).withColumn("is_candidate", F.coalesce(F.col("overlap") >= 0.5, F.lit(False)))
 
 
-_MEASURES = ("sampled", "matched", "avg_fanout", "max_fanout", "stddev_fanout")
+# Fixed value: tables with fewer distinct keys are known whole, and say so.
+SAMPLE_FLOOR = 50
 
 
-def _fanout(sample: DataFrame, counts: DataFrame, keys: Sequence[str], asked: int) -> DataFrame:
+def _fanout(sample: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of sampled keys and pre-counted partners: the fan-out figures over all of them, those without partners counting 0."""
     n = F.coalesce(F.col("n"), F.lit(0))
     whole = lambda e: F.round(F.coalesce(e, F.lit(0.0)), 6)
     out = sample.join(counts, list(keys), "left").agg(
         F.count("*").alias("sampled"), F.count_if(n > 0).alias("matched"), whole(F.avg(n.cast("double"))).alias("avg_fanout"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_fanout"), whole(F.stddev_pop(n.cast("double"))).alias("stddev_fanout")
     )
-    return out.withColumn("sample_saturated", F.col("sampled") < asked)
+    return out.withColumn("sample_saturated", F.col("sampled").between(1, SAMPLE_FLOOR - 1))
 
 
 def measure_fanout(small: DataFrame, large: DataFrame, keys: Sequence[str], n: int = 500) -> DataFrame:
-    """Rows of ``large`` per sampled key of ``small``: sampled, matched, avg, max, stddev, and whether all keys were sampled.
+    """Rows of ``large`` per sampled key of ``small``: sampled, matched, avg, max, stddev, and whether there were so few keys (under 50) that all were sampled.
 
     Keys are counted once on the large side, so a hot key costs a partial count, not a join of its rows.
     """
     counts = large.filter(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
-    return _fanout(sample_keys(small, keys, n), counts, keys, n)
+    return _fanout(sample_keys(small, keys, n), counts, keys)
 
 
 def measure_bridge(t1: DataFrame, t3: DataFrame, t2: DataFrame, key1: str, key2: str, n: int = 500) -> DataFrame:
     """Rows of t2 per sampled key of t1 by way of t3, from counts of t2's keys."""
     far = t2.filter(F.col(key2).isNotNull()).groupBy(key2).agg(F.count("*").alias("m"))
     counts = t3.filter(F.col(key1).isNotNull()).groupBy(key1, key2).agg(F.count("*").alias("w")).join(far, key2, "left").groupBy(key1).agg(F.sum(F.col("w") * F.coalesce("m", F.lit(0))).alias("n"))
-    return _fanout(sample_keys(t1, [key1], n), counts, [key1], n)
+    return _fanout(sample_keys(t1, [key1], n), counts, [key1])
 
 
 def classify_fanout() -> Column:
@@ -309,12 +310,18 @@ def classify_fanout() -> Column:
 
 
 def join_cardinality(a: DataFrame, b: DataFrame, keys: Sequence[str], names: tuple[str, str] = ("a", "b"), n: int = 500) -> DataFrame:
-    """A row per direction with figures, class and safe_direction; is_top marks the smaller table's (ties: the first)."""
+    """A row per direction with figures and class; is_top marks the smaller table's (ties: the first).
+
+    safe_direction is the pair's: a direction of one record a key, the first of two; else one from header to detail; else null.
+    """
     rows = a.agg(F.count("*").alias("rows_a")).crossJoin(b.agg(F.count("*").alias("rows_b")))
     one = lambda x, y, label: measure_fanout(x, y, keys, n).withColumn("direction", F.lit(label)).withColumn("fanout_class", classify_fanout())
     out = one(a, b, f"{names[0]}->{names[1]}").union(one(b, a, f"{names[1]}->{names[0]}")).crossJoin(rows)
     first = F.col("direction") == f"{names[0]}->{names[1]}"
     safe = F.col("fanout_class").isin("per_record_key", "header_detail")
+    rank = F.when(safe, F.when(F.col("fanout_class") == "per_record_key", 0).otherwise(2) + F.when(first, 0).otherwise(1))
+    best = out.agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), "direction"))).alias("_best"))
+    out = out.crossJoin(F.broadcast(best)).withColumn("safe_direction", F.col("_best.direction")).drop("_best")
     return out.withColumn("is_safe", safe).withColumn("is_top", F.when(F.col("rows_a") <= F.col("rows_b"), first).otherwise(~first)).drop("rows_a", "rows_b")
 
 

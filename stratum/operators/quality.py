@@ -180,9 +180,9 @@ def freshness_gate(facts: DataFrame, log: DataFrame, live: DataFrame, green: int
 
 def payload_drift(pairs: DataFrame, old: str = "old_json", new: str = "new_json", most: float = 5.0) -> DataFrame:
     """``pairs`` with drift of the payloads' groups, JSON lists of {"group", "share"}: unparseable where either is not one,
-    else as :func:`classify_drift`."""
+    else as :func:`classify_drift`. An absent old payload, or an empty one, is an empty list."""
     kind = "array<struct<group:string,share:double>>"
-    a, b = F.from_json(old, kind), F.from_json(new, kind)
+    a, b = F.from_json(F.coalesce(F.nullif(F.col(old), F.lit("")), F.lit("[]")), kind), F.from_json(new, kind)
     groups = lambda x: F.transform(x, lambda y: y["group"])
     top = lambda x: F.array_max(F.transform(x, lambda y: y["share"]))
     same = F.sort_array(a) == F.sort_array(b)

@@ -10,6 +10,7 @@ _CODE = "CASE l_returnflag WHEN 'A' THEN '101' WHEN 'R' THEN '122' ELSE '201' EN
 _CATEGORY = "CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'A' ELSE 'V' END"
 _SIDE = "CASE l_returnflag WHEN 'A' THEN 'S' ELSE 'H' END"
 _PLAN = "CASE l_partkey % 5 WHEN 0 THEN 'SVC-FIB' WHEN 1 THEN 'SVC-TV' WHEN 2 THEN 'SVC-CBL' WHEN 3 THEN 'SVC-BIZ' ELSE 'SVC-NEW' END"
+_TERMS = "CASE s_suppkey % 3 WHEN 0 THEN 'NT30' WHEN 1 THEN 'NT60' END AS payment_terms"
 _PLACE = "concat(CASE WHEN p_brand LIKE '%1' THEN 'Main ' WHEN p_brand LIKE '%2' THEN 'Defective ' WHEN p_brand LIKE '%3' THEN 'Ready ' WHEN p_brand LIKE '%4' THEN 'Regional ' ELSE 'Yard ' END, p_brand)"
 
 
@@ -25,6 +26,7 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     billed = line.filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("po_number")).agg(F.sum("l_quantity").alias("quantity"))
     return {
         "vendors": t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("s_suppkey AS vendor_id", "s_name AS vendor_name", "n_name AS country_code"),
+        "vendor_terms": t["supplier"].selectExpr("s_suppkey AS vendor_id", _TERMS),
         "customers": t["customer"].selectExpr("c_custkey AS customer_id", "c_name AS customer_name", "c_mktsegment AS account_group"),
         "materials": part.selectExpr("p_partkey AS material_id", "p_type AS material_group"),
         "movement_types": line.selectExpr(f"{_CODE} AS movement_type", f"{_CATEGORY} AS movement_category", f"{_SIDE} AS debit_credit_indicator").distinct(),
@@ -43,8 +45,9 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "stock": part.selectExpr("p_partkey AS material_id", "cast(p_partkey % 5 AS int) AS plant", "p_brand AS location", "cast(greatest(p_size - 25, 0) AS double) AS unrestricted", "0.0D AS inspection", "CASE WHEN p_size % 7 = 0 THEN 1.0D ELSE 0.0D END AS blocked"),
         "invoices": orders.filter("o_orderstatus <> 'P'").selectExpr("o_orderkey AS invoice_id", "o_orderkey AS po_number", "o_totalprice AS amount", "cast(date_add(cast(o_orderdate AS date), 30) AS date) AS invoice_date").join(billed, "po_number", "left"),
         "device_events": t["events"].selectExpr("event_id", "user_id AS device_id", "CASE event_type WHEN 'signup' THEN 'AVLB' WHEN 'purchase' THEN 'INST' WHEN 'error' THEN 'RET' WHEN 'click' THEN 'DLFL' ELSE 'NONE' END AS status", "cast(ts AS date) AS status_date", "cast(user_id % 3 AS int) AS category"),
+        "equipment": t["events"].groupBy(F.col("user_id").alias("device_id")).agg(F.min("ts").cast("date").alias("received_on"), F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).cast("date").alias("started_on"), F.concat(F.lit("M"), F.min(F.col("user_id") % 4).cast("string")).alias("manufacturer")),
         "devices": t["events"].selectExpr("user_id AS device_id", "user_id % 40 + 1 AS material_id").distinct(),
-        "billing": line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(f"{_PLAN} AS service_plan_group", "l_orderkey AS billing_doc", "cast(trunc(o_orderdate, 'MM') AS date) AS start_month", "cast(trunc(l_shipdate, 'MM') AS date) AS bill_month", "l_extendedprice AS revenue", "CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(5,2)) AS cost", "o_custkey AS customer_id"),
+        "billing": line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(f"{_PLAN} AS service_plan_group", "l_orderkey AS billing_doc", "CASE WHEN o_orderkey % 7 > 0 THEN cast(o_orderdate AS date) END AS deployed_on", "cast(trunc(l_shipdate, 'MM') AS date) AS bill_month", "l_extendedprice AS revenue", "CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(5,2)) AS cost", "o_custkey AS customer_id"),
         "shop_orders": orders.join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).selectExpr("o_orderkey AS order_id", "o_custkey AS person_id", "CASE o_orderstatus WHEN 'P' THEN 'canceled' ELSE 'delivered' END AS status", "cast(o_orderdate AS date) AS purchased_at", "date_add(cast(o_orderdate AS date), cast(o_orderkey % 20 AS int)) AS delivered_at", "date_add(cast(o_orderdate AS date), 15) AS estimated_at", "c_nationkey AS group_id"),
         "shop_items": line.selectExpr("l_orderkey AS order_id", "l_linenumber AS item_id", "l_partkey AS product_id", "l_suppkey AS seller_id", "l_extendedprice AS price", "CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_tax AS DECIMAL(5,2)) AS freight"),
         "products": part.selectExpr("p_partkey AS product_id", "CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_type END AS category"),
@@ -55,6 +58,8 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 #: The same frames in DuckDB SQL, for the oracle.
 FRAMES_SQL = f"""WITH
 vendors AS (SELECT s_suppkey AS vendor_id, s_name AS vendor_name, n_name AS country_code FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+vendor_terms AS (SELECT s_suppkey AS vendor_id, {_TERMS} FROM supplier),
+equipment AS (SELECT user_id AS device_id, CAST(min(ts) AS DATE) AS received_on, CAST(min(ts) FILTER (event_type = 'purchase') AS DATE) AS started_on, concat('M', min(user_id % 4)) AS manufacturer FROM events GROUP BY 1),
 customers AS (SELECT c_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS account_group FROM customer),
 materials AS (SELECT p_partkey AS material_id, p_type AS material_group FROM part),
 movement_types AS (SELECT DISTINCT {_CODE} AS movement_type, {_CATEGORY} AS movement_category, {_SIDE} AS debit_credit_indicator FROM lineitem),
@@ -97,7 +102,7 @@ lifecycle AS (
          CASE status WHEN 'INST' THEN 'deployed' WHEN 'AVLB' THEN 'in_stock' WHEN 'RET' THEN 'returned' WHEN 'DLFL' THEN 'defective' ELSE 'unknown' END AS lifecycle_status
   FROM device_events),
 billing AS (
-  SELECT {_PLAN} AS service_plan_group, l_orderkey AS billing_doc, CAST(date_trunc('month', o_orderdate) AS DATE) AS start_month, CAST(date_trunc('month', l_shipdate) AS DATE) AS bill_month,
+  SELECT {_PLAN} AS service_plan_group, l_orderkey AS billing_doc, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS deployed_on, CAST(date_trunc('month', l_shipdate) AS DATE) AS bill_month,
          l_extendedprice AS revenue, CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(5,2)) AS cost, o_custkey AS customer_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 shop_orders AS (
   SELECT o_orderkey AS order_id, o_custkey AS person_id, CASE o_orderstatus WHEN 'P' THEN 'canceled' ELSE 'delivered' END AS status, CAST(o_orderdate AS DATE) AS purchased_at,

@@ -84,10 +84,12 @@ def dim_storage_location(frames: Frames) -> DataFrame:
 
 
 def dim_equipment(frames: Frames, as_of: str) -> DataFrame:
-    """Devices with their newest state and its age."""
+    """Devices with their newest state, its age, and the days since their receipt and deployment."""
     newest = Window.partitionBy("device_id").orderBy(F.desc("status_date"), F.desc("status"))
     now = frames["device_events"].withColumn("_r", F.row_number().over(newest)).filter("_r = 1")
-    return now.select("device_id", decode("status", DEVICE_STATES, "unknown").alias("lifecycle_status"), "status_date", age_days("status_date", as_of).alias("days_in_status"))
+    now = now.select("device_id", decode("status", DEVICE_STATES, "unknown").alias("lifecycle_status"), "status_date", age_days("status_date", as_of).alias("days_in_status"))
+    ages = {"days_since_receipt": age_days("received_on", as_of), "days_since_deployment": age_days("started_on", as_of)}
+    return now.join(frames["equipment"], "device_id", "left").withColumns(ages).drop("received_on", "started_on", "manufacturer")
 
 
 def purchase_orders(frames: Frames, tolerance_days: int = 2) -> DataFrame:
@@ -162,31 +164,41 @@ def three_way_match(frames: Frames, tolerance: float = 0.05) -> DataFrame:
     return out.withColumn("matched_pct", pct("_matched", "total_po_lines")).withColumn("open_exception_count", F.col("exception_count") - F.col("approved_exception_count")).drop("_matched")
 
 
-def equipment_lifecycle(frames: Frames) -> DataFrame:
-    """Device states in order, with their duration and whether they are the newest."""
+def equipment_lifecycle(frames: Frames, as_of: str) -> DataFrame:
+    """Device states in order, with the days spent in them (for the open one, until ``as_of``) and, for deployments, the days since receipt."""
+    e = _states(frames).join(frames["equipment"].select("device_id", "received_on"), "device_id", "left")
+    until = F.coalesce("next_date", F.lit(as_of).cast("date"))
+    return e.withColumn("days_in_status", days_between("status_date", until)).withColumn("days_receipt_to_deployment", F.when(F.col("status") == "INST", days_between("received_on", "status_date"))).drop("received_on")
+
+
+def _states(frames: Frames) -> DataFrame:
+    """Device states in order, and whether they are the newest."""
     up = Window.partitionBy("device_id").orderBy("status_date", "status")
     down = Window.partitionBy("device_id").orderBy(F.desc("status_date"), F.desc("status"))
     e = frames["device_events"].withColumn("next_date", F.lead("status_date").over(up)).withColumn("sequence_no", F.row_number().over(up)).withColumn("is_current", F.row_number().over(down) == 1)
-    return e.withColumn("lifecycle_status", decode("status", DEVICE_STATES, "unknown")).withColumn("days_in_status", days_between("status_date", "next_date"))
+    return e.withColumn("lifecycle_status", decode("status", DEVICE_STATES, "unknown"))
 
 
 def contribution_margin(frames: Frames, months: int = 24) -> DataFrame:
     """Revenue less cost per service plan, tenure band and month of billing.
 
-    Tenure counts from the customer's first billing; cost is charged within the first months of the deployment only.
+    Tenure counts from the customer's first billing. Cost is charged in the billing months from the deployment's date on (from
+    the first billing where it is unknown), for so many months.
     """
     b = frames["billing"]
-    first = b.groupBy("customer_id").agg(F.min("bill_month").alias("_first"))
-    window = (F.col("bill_month") >= F.col("start_month")) & (F.col("bill_month") < F.add_months("start_month", months))
-    b = b.join(first, "customer_id", "left").withColumn("_cost", F.when(window, F.col("cost")).otherwise(0))
+    b = b.join(b.groupBy("customer_id").agg(F.min("bill_month").alias("_first")), "customer_id", "left")
+    start = F.coalesce("deployed_on", "_first")
+    window = (F.col("bill_month") >= start) & (F.col("bill_month") < F.add_months(start, months))
+    b = b.withColumn("_cost", F.when(window, F.col("cost")).otherwise(0))
     tenure = band(month_diff("_first", "bill_month"), (12, 24, 48), ("0-12", "12-24", "24-48", "48+"), "unknown")
     out = b.groupBy(decode("service_plan_group", SERVICE_PLANS, "unknown").alias("service_plan"), tenure.alias("tenure_band"), F.col("bill_month").alias("billing_month")).agg(money("revenue").alias("revenue"), money("_cost").alias("cost"), F.countDistinct("customer_id").alias("customers"), F.countDistinct("billing_doc").alias("billing_docs"))
     return out.withColumn("margin", F.round(F.col("revenue") - F.col("cost"), 2))
 
 
 def wide_margin(frames: Frames) -> DataFrame:
-    """Margin rate and margin per customer."""
-    return contribution_margin(frames).withColumn("margin_pct", pct("margin", "revenue")).withColumn("margin_per_customer", F.round(ratio("margin", "customers"), 2))
+    """Margin rate (null unless there is revenue), margin per customer, whether there is one, and date parts."""
+    out = contribution_margin(frames).withColumn("margin_pct", F.when(F.col("revenue") > 0, pct("margin", "revenue"))).withColumn("margin_per_customer", ratio("margin", "customers"))
+    return out.withColumns({"is_margin_positive": F.col("margin") >= 0, "billing_year": F.year("billing_month"), "billing_month_num": F.month("billing_month")})
 
 
 def vendor_scorecard(frames: Frames, flag_above: float = 0.60) -> DataFrame:
@@ -204,6 +216,12 @@ def vendor_scorecard(frames: Frames, flag_above: float = 0.60) -> DataFrame:
     return out.withColumn("spend_share", F.round(share, 4)).withColumn("concentration_risk", share > flag_above).withColumn("fulfillment_rate", F.round(F.coalesce(ratio("received", "ordered"), F.lit(0.0)), 4)).drop("_quarter")
 
 
+def wide_scorecard(frames: Frames, regions: Mapping[str, list[str]]) -> DataFrame:
+    """The scorecard with the vendor's name, region and payment terms."""
+    vendors = dim_vendor(frames, regions).select("vendor_id", "vendor_name", "vendor_region").join(frames["vendor_terms"], "vendor_id", "left")
+    return vendor_scorecard(frames).join(vendors, "vendor_id")
+
+
 def procurement_health(frames: Frames) -> DataFrame:
     """One row of KPIs of orders, the most concentrated vendor and stock, with their states."""
     po = purchase_orders(frames)
@@ -229,7 +247,7 @@ def vendor_performance(frames: Frames) -> DataFrame:
 
 def lifecycle_metrics(frames: Frames) -> DataFrame:
     """Devices by state with rates of deployment and return, in one row; :func:`lifecycle_by_group` is N27."""
-    now = equipment_lifecycle(frames).filter("is_current")
+    now = _states(frames).filter("is_current")
     out = now.agg(F.count("*").alias("devices"), F.count_if(F.col("lifecycle_status") == "deployed").alias("deployed"), F.count_if(F.col("lifecycle_status") == "returned").alias("returned"))
     return out.withColumn("deployment_rate", pct("deployed", "devices")).withColumn("return_rate", pct("returned", "devices")).withColumn("return_state", health("return_rate", 5, 10, False))
 
@@ -262,7 +280,7 @@ def inventory_alerts(frames: Frames, excess: float = 5000) -> DataFrame:
 
 def active_devices(frames: Frames) -> DataFrame:
     """Devices whose newest state is deployed."""
-    return equipment_lifecycle(frames).filter("is_current and lifecycle_status = 'deployed'").agg(F.countDistinct("device_id").alias("active_devices"))
+    return _states(frames).filter("is_current and lifecycle_status = 'deployed'").agg(F.countDistinct("device_id").alias("active_devices"))
 
 
 def days_of_stock(frames: Frames, as_of: str, days: int = 30) -> DataFrame:
@@ -316,8 +334,8 @@ def delivery_status_dist(frames: Frames) -> DataFrame:
 
 
 def vendor_summary(frames: Frames) -> DataFrame:
-    """Spend, mean quarterly rate and mean share of every vendor."""
-    return vendor_scorecard(frames).groupBy("vendor_id").agg(money("total_spend").alias("spend"), F.round(F.avg("on_time_rate"), 4).alias("mean_on_time"), F.sum("total_po_items").alias("po_items"), F.round(F.avg("spend_share"), 4).alias("mean_share"))
+    """Spend, mean quarterly lead time and rate, and mean share of every vendor."""
+    return vendor_scorecard(frames).groupBy("vendor_id").agg(money("total_spend").alias("spend"), F.round(F.avg("avg_lead_time_days"), 6).alias("mean_lead_time"), F.round(F.avg("on_time_rate"), 4).alias("mean_on_time"), F.sum("total_po_items").alias("po_items"), F.round(F.avg("spend_share"), 4).alias("mean_share"))
 
 
 def concentration_by_quarter(frames: Frames, least: float = 0.01) -> DataFrame:
@@ -346,24 +364,53 @@ def movement_kpis(frames: Frames) -> DataFrame:
     return goods_movements(frames).groupBy(period("posting_date", "month").alias("month"), "direction").agg(F.count("*").alias("lines"), F.sum("quantity").alias("quantity"))
 
 
+def movements_by_category(frames: Frames) -> DataFrame:
+    """Lines and quantity per material group and direction."""
+    m = goods_movements(frames).join(frames["materials"], "material_id", "left")
+    return m.groupBy("material_group", "direction").agg(F.count("*").alias("lines"), F.sum("quantity").alias("quantity"))
+
+
+def recent_movements(frames: Frames, n: int = 50) -> DataFrame:
+    """The newest movements."""
+    m = goods_movements(frames).select("posting_date", "document_id", "movement_type", "direction", "material_id", "quantity", "plant")
+    m = m.orderBy(F.desc("posting_date"), "document_id").limit(n)
+    return m.join(frames["materials"], "material_id", "left")
+
+
 def lifecycle_activity(frames: Frames, start: str, end: str) -> DataFrame:
-    """In a window, devices received (first state), deployed and returned, and the net change."""
-    e = equipment_lifecycle(frames).filter((F.col("status_date") >= F.lit(start).cast("date")) & (F.col("status_date") <= F.lit(end).cast("date")))
-    out = e.agg(F.count_if(F.col("sequence_no") == 1).alias("received"), F.count_if(F.col("lifecycle_status") == "deployed").alias("deployed"), F.count_if(F.col("lifecycle_status") == "returned").alias("returned"))
-    return out.withColumn("net_change", F.col("deployed") - F.col("returned"))
+    """In a window, devices received (first state), deployed, returned and defective, and the net change of stock: received less deployed and defective."""
+    e = _states(frames).filter((F.col("status_date") >= F.lit(start).cast("date")) & (F.col("status_date") <= F.lit(end).cast("date")))
+    out = e.agg(F.count_if(F.col("sequence_no") == 1).alias("received"), F.count_if(F.col("lifecycle_status") == "deployed").alias("deployed"), F.count_if(F.col("lifecycle_status") == "returned").alias("returned"), F.count_if(F.col("lifecycle_status") == "defective").alias("defective"))
+    return out.withColumn("net_change", F.col("received") - F.col("deployed") - F.col("defective"))
 
 
 def lifecycle_trends(frames: Frames) -> DataFrame:
     """Per month, states entered and the share of returns."""
-    e = equipment_lifecycle(frames).groupBy(period("status_date", "month").alias("month")).agg(F.count("*").alias("events"), F.count_if(F.col("lifecycle_status") == "deployed").alias("deployed"), F.count_if(F.col("lifecycle_status") == "returned").alias("returned"))
+    e = _states(frames).groupBy(period("status_date", "month").alias("month")).agg(F.count("*").alias("events"), F.count_if(F.col("lifecycle_status") == "deployed").alias("deployed"), F.count_if(F.col("lifecycle_status") == "returned").alias("returned"))
     return e.withColumn("return_share_pct", pct("returned", "events"))
 
 
 def status_by_category(frames: Frames) -> DataFrame:
     """Newest states by category."""
+    return _now(frames).groupBy("category", "lifecycle_status").agg(F.count("*").alias("devices"))
+
+
+def _now(frames: Frames) -> DataFrame:
     w = Window.partitionBy("device_id").orderBy(F.desc("status_date"), F.desc("status"))
     now = frames["device_events"].withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    return now.groupBy("category", decode("status", DEVICE_STATES, "unknown").alias("lifecycle_status")).agg(F.count("*").alias("devices"))
+    return now.withColumn("lifecycle_status", decode("status", DEVICE_STATES, "unknown"))
+
+
+def status_by_manufacturer(frames: Frames) -> DataFrame:
+    """Newest states by manufacturer."""
+    return _now(frames).join(frames["equipment"].select("device_id", "manufacturer"), "device_id", "left").groupBy("manufacturer", "lifecycle_status").agg(F.count("*").alias("devices"))
+
+
+def rates_by_category(frames: Frames) -> DataFrame:
+    """Devices by category, with the shares that are defective and returned."""
+    state = lambda s: F.count_if(F.col("lifecycle_status") == s).alias(s)
+    out = _now(frames).groupBy("category").agg(F.count("*").alias("total"), state("defective"), state("returned"))
+    return out.withColumns({"defect_rate_pct": pct("defective", "total"), "return_rate_pct": pct("returned", "total")})
 
 
 def gmv_by_category(frames: Frames) -> DataFrame:
@@ -438,14 +485,14 @@ def wide_freight(frames: Frames) -> DataFrame:
 
 def days_to_deploy(frames: Frames) -> DataFrame:
     """Per month, deployments and the mean days from a device's first state to them."""
-    e = equipment_lifecycle(frames)
+    e = _states(frames)
     e = e.withColumn("_first", F.min("status_date").over(Window.partitionBy("device_id"))).filter("lifecycle_status = 'deployed'")
     return e.groupBy(period("status_date", "month").alias("month")).agg(F.count("*").alias("deployments"), F.round(F.avg(days_between("_first", "status_date").cast("double")), 1).alias("avg_days_to_deploy"))
 
 
 def defect_trend(frames: Frames) -> DataFrame:
     """Per month, states entered and the share of defects."""
-    e = equipment_lifecycle(frames).groupBy(period("status_date", "month").alias("month")).agg(F.count("*").alias("total_transitions"), F.count_if(F.col("lifecycle_status") == "defective").alias("defective_count"))
+    e = _states(frames).groupBy(period("status_date", "month").alias("month")).agg(F.count("*").alias("total_transitions"), F.count_if(F.col("lifecycle_status") == "defective").alias("defective_count"))
     return e.withColumn("defect_rate_pct", pct("defective_count", "total_transitions"))
 
 

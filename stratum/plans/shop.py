@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions.scalars import surrogate_key
@@ -22,6 +22,11 @@ STAGING = {
 }
 
 
+def place_hash(*cols: str) -> Column:
+    """The second source's change hash of places: MD5 of the columns, null as empty, joined by one pipe."""
+    return F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)))
+
+
 @dataclass
 class IncrementSpec:
     """A vault model that is loaded by high-water mark and merged on its key.
@@ -34,6 +39,7 @@ class IncrementSpec:
     keys: Mapping[str, list[str]]
     payload: list[str]
     diff: list[str] = field(default_factory=list)
+    diff_recipe: Callable[..., Column] = surrogate_key
     loaded: str | None = None
     where: str = "true"
 
@@ -44,11 +50,11 @@ VAULT = {
     "hub_seller": IncrementSpec("sellers", {"hk_seller": ["seller_id"]}, ["seller_id"], where="seller_id is not null"),
     "link_order_item": IncrementSpec("order_items", {"hk_order_item": ["order_id", "order_item_id"], "hk_order": ["order_id"], "hk_product": ["product_id"]}, ["order_id", "order_item_id", "product_id", "seller_id"], loaded="shipping_limit_date"),
     "sat_customer_identity": IncrementSpec("order_customers", {"hk_order": ["order_id"]}, ["customer_unique_id", "customer_id"], ["order_id", "customer_unique_id"]),
-    "sat_customer_location": IncrementSpec("order_customers", {"hk_order": ["order_id"]}, ["customer_state", "customer_city", "customer_zip_code_prefix"], ["customer_state", "customer_city", "customer_zip_code_prefix"]),
-    "sat_order_header": IncrementSpec("orders", {"hk_order": ["order_id"]}, ["order_status", "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"], ["order_status", "order_purchase_timestamp"], "order_purchase_timestamp"),
-    "sat_order_item_prices": IncrementSpec("order_items", {"hk_order_item": ["order_id", "order_item_id"]}, ["price", "freight_value"], ["price", "freight_value"], "shipping_limit_date"),
+    "sat_customer_location": IncrementSpec("order_customers", {"hk_order": ["order_id"]}, ["customer_state", "customer_city", "customer_zip_code_prefix"], ["customer_state", "customer_city", "customer_zip_code_prefix"], place_hash),
+    "sat_order_header": IncrementSpec("orders", {"hk_order": ["order_id"]}, ["order_status", "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"], ["order_status", "order_purchase_timestamp"], loaded="order_purchase_timestamp"),
+    "sat_order_item_prices": IncrementSpec("order_items", {"hk_order_item": ["order_id", "order_item_id"]}, ["price", "freight_value"], ["price", "freight_value"], loaded="shipping_limit_date"),
     "sat_product_category": IncrementSpec("product_categories", {"hk_product": ["product_id"]}, ["product_category_name", "product_category_english", "product_weight_g", "product_photos_qty"], ["product_category_name", "product_category_english"]),
-    "sat_seller_geo": IncrementSpec("sellers", {"hk_seller": ["seller_id"]}, ["seller_state", "seller_city", "seller_zip_code_prefix"], ["seller_state", "seller_city", "seller_zip_code_prefix"], where="seller_id is not null"),
+    "sat_seller_geo": IncrementSpec("sellers", {"hk_seller": ["seller_id"]}, ["seller_state", "seller_city", "seller_zip_code_prefix"], ["seller_state", "seller_city", "seller_zip_code_prefix"], place_hash, where="seller_id is not null"),
 }
 
 
@@ -64,14 +70,18 @@ def stage_shop(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def load_increment(staged: Mapping[str, DataFrame], spec: IncrementSpec, existing: DataFrame | None, load_ts: str) -> DataFrame:
-    """The model after the load: rows newer than the newest stored one take the place of those with the same key."""
+    """The model after the load: rows newer than the newest stored one take the place of those with the same key.
+
+    Of rows with equal keys the newest stays; of equally new ones that with the greatest values.
+    """
     rows = staged[spec.table].filter(spec.where)
     loaded = F.col(spec.loaded) if spec.loaded else F.lit(load_ts).cast("timestamp")
     keys = [surrogate_key(*columns).alias(k) for k, columns in spec.keys.items()]
-    change = [surrogate_key(*spec.diff).alias("hashdiff")] if spec.diff else []
+    change = [spec.diff_recipe(*spec.diff).alias("hashdiff")] if spec.diff else []
     rows = rows.select(*keys, *change, *spec.payload, loaded.alias("load_date"), F.lit(f"shop.{spec.table}").alias("record_source"))
     key = next(iter(spec.keys))
-    rows = rows.dropDuplicates([key])
+    rest = ["load_date", *(c for c in rows.columns if c not in (key, "load_date"))]
+    rows = rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(*(F.col(c) if c == key else F.col(f"_row.{c}") for c in rows.columns))
     return rows if existing is None else merge(existing, load_hwm(rows, existing, "load_date"), key)
 
 

@@ -58,7 +58,7 @@ ORACLES["purchase_orders"] = f"{FRAMES_SQL} SELECT {_PO} FROM purchase_orders"
 metric("dim_customer", "SELECT *, CASE account_group WHEN 'HOUSEHOLD' THEN 'private' WHEN 'MACHINERY' THEN 'industry' ELSE 'other' END AS segment FROM customers", segments={"HOUSEHOLD": "private", "MACHINERY": "industry"})
 metric("dim_vendor", "SELECT *, CASE WHEN country_code IN ('NATION_0', 'NATION_1') THEN 'near' WHEN country_code IN ('NATION_2', 'NATION_3') THEN 'far' ELSE 'other' END AS vendor_region FROM vendors", regions={"near": ["NATION_0", "NATION_1"], "far": ["NATION_2", "NATION_3"]})
 metric("dim_material", "SELECT *, CASE material_group WHEN 'ECONOMY' THEN 'cheap' WHEN 'PROMO' THEN 'promoted' ELSE 'other' END AS material_group_name FROM materials", groups={"ECONOMY": "cheap", "PROMO": "promoted"})
-metric("dim_equipment", "SELECT device_id, lifecycle_status, status_date, CAST(DATE '2025-01-01' - status_date AS INTEGER) AS days_in_status FROM lifecycle WHERE is_current", as_of="2025-01-01")
+metric("dim_equipment", "SELECT device_id, lifecycle_status, status_date, CAST(DATE '2025-01-01' - status_date AS INTEGER) AS days_in_status, CAST(DATE '2025-01-01' - received_on AS INTEGER) AS days_since_receipt, CAST(DATE '2025-01-01' - started_on AS INTEGER) AS days_since_deployment FROM lifecycle LEFT JOIN equipment USING (device_id) WHERE is_current", as_of="2025-01-01")
 metric("dim_movement_type", """SELECT *, CASE WHEN movement_category = 'X' THEN 'transfer' WHEN debit_credit_indicator = 'S' THEN 'inbound' WHEN debit_credit_indicator = 'H' THEN 'outbound' ELSE 'unknown' END AS direction,
   CASE movement_type WHEN '101' THEN 'goods_receipt' WHEN '122' THEN 'vendor_return' WHEN '201' THEN 'installation' ELSE 'other' END AS process_step,
   CAST(CASE WHEN movement_category = 'X' THEN 0 WHEN debit_credit_indicator = 'S' THEN 1 WHEN debit_credit_indicator = 'H' THEN -1 ELSE 0 END AS INTEGER) AS stock_impact_sign,
@@ -74,14 +74,14 @@ metric("invoices", "SELECT i.po_number, invoice_id, amount, invoice_date, quanti
 def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of a day that a device enters twice count once, so that their order is defined."""
     bound = frames(spark, sf_dir)
-    return metrics.equipment_lifecycle(bound | {"device_events": bound["device_events"].drop("event_id").distinct()})
+    return metrics.equipment_lifecycle(bound | {"device_events": bound["device_events"].drop("event_id").distinct()}, "2025-01-01")
 
 
 QUERIES["equipment_lifecycle"] = _lifecycle
-ORACLES["equipment_lifecycle"] = f"""{FRAMES_SQL} SELECT *, CAST(next_date - status_date AS INTEGER) AS days_in_status FROM (
+ORACLES["equipment_lifecycle"] = f"""{FRAMES_SQL} SELECT l.*, CAST(coalesce(next_date, DATE '2025-01-01') - status_date AS INTEGER) AS days_in_status, CASE WHEN status = 'INST' THEN CAST(status_date - received_on AS INTEGER) END AS days_receipt_to_deployment FROM (
   SELECT device_id, status, status_date, category, lead(status_date) OVER (PARTITION BY device_id ORDER BY status_date, status) AS next_date, CAST(row_number() OVER (PARTITION BY device_id ORDER BY status_date, status) AS INTEGER) AS sequence_no,
          row_number() OVER (PARTITION BY device_id ORDER BY status_date DESC, status DESC) = 1 AS is_current, CASE status WHEN 'INST' THEN 'deployed' WHEN 'AVLB' THEN 'in_stock' WHEN 'RET' THEN 'returned' WHEN 'DLFL' THEN 'defective' ELSE 'unknown' END AS lifecycle_status
-  FROM (SELECT DISTINCT device_id, status, status_date, category FROM device_events))"""
+  FROM (SELECT DISTINCT device_id, status, status_date, category FROM device_events)) l LEFT JOIN equipment USING (device_id)"""
 metric("receipt_accuracy", "SELECT *, round(100.0::DOUBLE * accurate_receipts / nullif(total_receipts, 0), 2) AS accuracy_percentage FROM (SELECT r.vendor_id, CAST(date_trunc('quarter', posting_date) AS DATE) AS quarter, count(*) AS total_receipts, count(*) FILTER (quantity = ordered_quantity) AS accurate_receipts, min(posting_date) AS first_receipt_date, max(posting_date) AS last_receipt_date FROM receipts r JOIN po_items USING (po_number, po_item, material_id) WHERE movement_type = '101' GROUP BY 1, 2)")
 metric("receipts_monthly", "SELECT CAST(date_trunc('month', posting_date) AS DATE) AS month, count(DISTINCT document_id) AS documents, count(*) AS lines, sum(quantity) AS quantity FROM receipts WHERE movement_type = '101' GROUP BY 1")
 metric("inventory", "SELECT * FROM inventory")
@@ -97,11 +97,12 @@ metric("three_way_match", """SELECT vendor_id, month, total_po_lines, round(100.
 _MARGIN = """SELECT *, round(revenue - cost, 2) AS margin FROM (
   SELECT CASE service_plan_group WHEN 'SVC-FIB' THEN 'fiber' WHEN 'SVC-TV' THEN 'TV' WHEN 'SVC-CBL' THEN 'cable' WHEN 'SVC-BIZ' THEN 'business' ELSE 'unknown' END AS service_plan,
          CASE WHEN t IS NULL THEN 'unknown' WHEN t < 12 THEN '0-12' WHEN t < 24 THEN '12-24' WHEN t < 48 THEN '24-48' ELSE '48+' END AS tenure_band, bill_month AS billing_month,
-         CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(sum(CAST(CASE WHEN bill_month >= start_month AND bill_month < start_month + INTERVAL 24 MONTH THEN cost ELSE 0 END AS DECIMAL(18,2))) AS DOUBLE) AS cost,
+         CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(sum(CAST(CASE WHEN bill_month >= coalesce(deployed_on, first_month) AND bill_month < coalesce(deployed_on, first_month) + INTERVAL 24 MONTH THEN cost ELSE 0 END AS DECIMAL(18,2))) AS DOUBLE) AS cost,
          count(DISTINCT customer_id) AS customers, count(DISTINCT billing_doc) AS billing_docs
   FROM (SELECT *, date_diff('month', first_month, bill_month) AS t FROM billing JOIN (SELECT customer_id, min(bill_month) AS first_month FROM billing GROUP BY 1) USING (customer_id)) GROUP BY 1, 2, 3)"""
 metric("contribution_margin", _MARGIN)
-metric("wide_margin", f"SELECT *, round(100.0::DOUBLE * margin / nullif(revenue, 0), 2) AS margin_pct, round(margin / nullif(customers, 0), 2) AS margin_per_customer FROM ({_MARGIN})")
+metric("wide_margin", f"SELECT *, CASE WHEN revenue > 0 THEN round(100.0::DOUBLE * margin / revenue, 2) END AS margin_pct, margin / nullif(customers, 0) AS margin_per_customer, margin >= 0 AS is_margin_positive, CAST(year(billing_month) AS INTEGER) AS billing_year, CAST(month(billing_month) AS INTEGER) AS billing_month_num FROM ({_MARGIN})")
+metric("wide_scorecard", "SELECT s.*, vendor_name, CASE WHEN country_code IN ('NATION_0', 'NATION_1') THEN 'near' WHEN country_code IN ('NATION_2', 'NATION_3') THEN 'far' ELSE 'other' END AS vendor_region, payment_terms FROM scorecard s JOIN vendors USING (vendor_id) LEFT JOIN vendor_terms USING (vendor_id)", regions={"near": ["NATION_0", "NATION_1"], "far": ["NATION_2", "NATION_3"]})
 metric("vendor_performance", """SELECT * EXCLUDE (rate), round(rate * 100, 1) AS otd_rate_pct, round(total_received_qty / nullif(total_ordered_qty, 0) * 100, 1) AS fulfillment_rate_pct,
   CASE WHEN rate >= 0.8 THEN 'A' WHEN rate >= 0.6 THEN 'B' WHEN rate >= 0.4 THEN 'C' ELSE 'D' END AS performance_grade, CASE WHEN rate >= 0.8 THEN 'GREEN' WHEN rate >= 0.6 THEN 'YELLOW' ELSE 'RED' END AS health_status
   FROM (SELECT vendor_id, vendor_name, country_code, count(DISTINCT po_number) AS total_pos, CAST(sum(net_value) AS DOUBLE) AS total_spend, round(avg(lead_time_days), 1) AS avg_lead_time_days, avg(CASE WHEN is_on_time THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate,
@@ -142,13 +143,17 @@ metric("returns_within_days", """SELECT *, round(100.0::DOUBLE * returned / null
 metric("po_volume", "SELECT CAST(date_trunc('month', po_date) AS DATE) AS month, count(DISTINCT po_number) AS orders, count(*) AS items, CAST(sum(net_value) AS DOUBLE) AS value FROM po_items JOIN po_headers USING (po_number) GROUP BY 1")
 metric("vendor_lead_otd", "SELECT vendor_id, round(avg(lead_time_days), 6) AS avg_lead_time, round(100 * avg(CAST(is_on_time AS INTEGER)), 6) AS on_time_pct FROM purchase_orders GROUP BY 1")
 metric("delivery_status_dist", "SELECT delivery_status, count(*) AS n FROM purchase_orders GROUP BY 1")
-metric("vendor_summary", "SELECT vendor_id, CAST(sum(CAST(total_spend AS DECIMAL(18,2))) AS DOUBLE) AS spend, round(avg(on_time_rate), 4) AS mean_on_time, CAST(sum(total_po_items) AS BIGINT) AS po_items, round(avg(spend_share), 4) AS mean_share FROM scorecard GROUP BY 1")
+metric("vendor_summary", "SELECT vendor_id, CAST(sum(CAST(total_spend AS DECIMAL(18,2))) AS DOUBLE) AS spend, round(avg(avg_lead_time_days), 6) AS mean_lead_time, round(avg(on_time_rate), 4) AS mean_on_time, CAST(sum(total_po_items) AS BIGINT) AS po_items, round(avg(spend_share), 4) AS mean_share FROM scorecard GROUP BY 1")
 metric("concentration_by_quarter", "SELECT year_quarter, count(*) FILTER (spend_share > 0.01) AS vendors, count(*) FILTER (concentration_risk) AS flagged, max(spend_share) AS top_share FROM scorecard GROUP BY 1")
 metric("otd_matrix", "SELECT vendor_id, max(on_time_rate) FILTER (year_quarter = '1996-Q1') AS \"1996-Q1\", max(on_time_rate) FILTER (year_quarter = '1996-Q2') AS \"1996-Q2\" FROM scorecard GROUP BY 1", quarters=["1996-Q1", "1996-Q2"])
 metric("inventory_kpis", "SELECT plant, sum(total_stock) AS total_stock, sum(blocked) AS blocked, count(*) FILTER (is_zero_stock) AS zero_locations FROM inventory GROUP BY 1")
 metric("stock_flow", "SELECT month, net, sum(net) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS cumulative FROM (SELECT CAST(date_trunc('month', posting_date) AS DATE) AS month, sum(signed_quantity) AS net FROM movements GROUP BY 1)")
 metric("movement_kpis", "SELECT CAST(date_trunc('month', posting_date) AS DATE) AS month, direction, count(*) AS lines, sum(quantity) AS quantity FROM movements GROUP BY 1, 2")
-metric("lifecycle_activity", "SELECT *, deployed - returned AS net_change FROM (SELECT count(*) FILTER (sequence_no = 1) AS received, count(*) FILTER (lifecycle_status = 'deployed') AS deployed, count(*) FILTER (lifecycle_status = 'returned') AS returned FROM lifecycle WHERE status_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-09')", start="2024-01-02", end="2024-01-09")
+metric("movements_by_category", "SELECT material_group, direction, count(*) AS lines, sum(quantity) AS quantity FROM movements LEFT JOIN materials USING (material_id) GROUP BY 1, 2")
+metric("recent_movements", "SELECT material_id, posting_date, document_id, movement_type, direction, quantity, plant, material_group FROM (SELECT * FROM movements ORDER BY posting_date DESC, document_id LIMIT 50) LEFT JOIN materials USING (material_id)")
+metric("status_by_manufacturer", "SELECT manufacturer, lifecycle_status, count(*) AS devices FROM lifecycle LEFT JOIN equipment USING (device_id) WHERE is_current GROUP BY 1, 2")
+metric("rates_by_category", "SELECT *, round(100.0::DOUBLE * defective / total, 2) AS defect_rate_pct, round(100.0::DOUBLE * returned / total, 2) AS return_rate_pct FROM (SELECT category, count(*) AS total, count(*) FILTER (lifecycle_status = 'defective') AS defective, count(*) FILTER (lifecycle_status = 'returned') AS returned FROM lifecycle WHERE is_current GROUP BY 1)")
+metric("lifecycle_activity", "SELECT *, received - deployed - defective AS net_change FROM (SELECT count(*) FILTER (sequence_no = 1) AS received, count(*) FILTER (lifecycle_status = 'deployed') AS deployed, count(*) FILTER (lifecycle_status = 'returned') AS returned, count(*) FILTER (lifecycle_status = 'defective') AS defective FROM lifecycle WHERE status_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-09')", start="2024-01-02", end="2024-01-09")
 metric("lifecycle_trends", "SELECT *, round(100.0::DOUBLE * returned / nullif(events, 0), 2) AS return_share_pct FROM (SELECT CAST(date_trunc('month', status_date) AS DATE) AS month, count(*) AS events, count(*) FILTER (lifecycle_status = 'deployed') AS deployed, count(*) FILTER (lifecycle_status = 'returned') AS returned FROM lifecycle GROUP BY 1)")
 metric("status_by_category", "SELECT category, lifecycle_status, count(*) AS devices FROM lifecycle WHERE is_current GROUP BY 1, 2")
 metric("gmv_by_category", "SELECT coalesce(category, 'uncategorized') AS category, CAST(date_trunc('month', purchased_at) AS DATE) AS month, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS gmv, count(DISTINCT order_id) AS orders, count(*) AS items FROM shop_items JOIN shop_orders USING (order_id) LEFT JOIN products USING (product_id) WHERE status <> 'canceled' GROUP BY 1, 2")
@@ -444,7 +449,7 @@ def _(t):
     return profile.relationship_shape(t["lineitem"], t["orders"], "l_orderkey", "o_orderkey")
 
 
-_FANOUT = """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(coalesce(avg(CAST(n AS DOUBLE)), 0), 6) AS avg_fanout, max(n) AS max_fanout, round(coalesce(stddev_pop(CAST(n AS DOUBLE)), 0), 6) AS stddev_fanout, count(*) < 500 AS sample_saturated
+_FANOUT = """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(coalesce(avg(CAST(n AS DOUBLE)), 0), 6) AS avg_fanout, max(n) AS max_fanout, round(coalesce(stddev_pop(CAST(n AS DOUBLE)), 0), 6) AS stddev_fanout, count(*) BETWEEN 1 AND 49 AS sample_saturated
 FROM (SELECT k, coalesce(n, 0) AS n FROM (SELECT DISTINCT o_orderkey AS k FROM orders ORDER BY md5(CAST(k AS VARCHAR)), k LIMIT 500) LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) USING (k))"""
 
 
@@ -564,7 +569,7 @@ def _(t):
     return profile.sum_match_exact(money(t["orders"], "o_orderkey", "o_totalprice"), money(t["lineitem"], "l_orderkey", "l_extendedprice"), "k", "m")
 
 
-@query("j_bridge_fanout", """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(coalesce(avg(CAST(n AS DOUBLE)), 0), 6) AS avg_fanout, CAST(max(n) AS BIGINT) AS max_fanout, round(coalesce(stddev_pop(CAST(n AS DOUBLE)), 0), 6) AS stddev_fanout, count(*) < 500 AS sample_saturated
+@query("j_bridge_fanout", """SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(coalesce(avg(CAST(n AS DOUBLE)), 0), 6) AS avg_fanout, CAST(max(n) AS BIGINT) AS max_fanout, round(coalesce(stddev_pop(CAST(n AS DOUBLE)), 0), 6) AS stddev_fanout, count(*) BETWEEN 1 AND 49 AS sample_saturated
 FROM (SELECT k, coalesce(n, 0) AS n FROM (SELECT DISTINCT c_custkey AS k FROM customer ORDER BY md5(CAST(k AS VARCHAR)), k LIMIT 500) LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) USING (k))""")
 def _(t):
     return profile.measure_bridge(t["customer"].withColumnRenamed("c_custkey", "k"), t["orders"].selectExpr("o_custkey AS k", "o_orderkey AS j"), t["lineitem"].withColumnRenamed("l_orderkey", "j"), "k", "j")

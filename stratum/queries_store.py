@@ -208,11 +208,11 @@ def _(t):
     return t["customer"].agg(F.count("*").alias("n")).select(F.explode(F.array(*map(F.lit, found))).alias("column_name"), "n")
 
 
-_SAMPLED = "SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(coalesce(avg(n), 0), 6) AS avg_fanout, coalesce(max(n), 0) AS max_fanout, round(coalesce(stddev_pop(n), 0), 6) AS stddev_fanout, count(*) < 500 AS sample_saturated FROM (SELECT k, coalesce(n, 0) AS n FROM (SELECT DISTINCT k FROM {0} ORDER BY md5(CAST(k AS VARCHAR)), k LIMIT 500) LEFT JOIN (SELECT k, count(*) AS n FROM {1} GROUP BY 1) USING (k))"
+_SAMPLED = "SELECT count(*) AS sampled, count(*) FILTER (n > 0) AS matched, round(coalesce(avg(n), 0), 6) AS avg_fanout, coalesce(max(n), 0) AS max_fanout, round(coalesce(stddev_pop(n), 0), 6) AS stddev_fanout, count(*) BETWEEN 1 AND 49 AS sample_saturated FROM (SELECT k, coalesce(n, 0) AS n FROM (SELECT DISTINCT k FROM {0} ORDER BY md5(CAST(k AS VARCHAR)), k LIMIT 500) LEFT JOIN (SELECT k, count(*) AS n FROM {1} GROUP BY 1) USING (k))"
 _CLASS = "CASE WHEN 1.0 * matched / sampled < 0.1 THEN 'no_signal' WHEN avg_fanout > 100 OR (stddev_fanout > avg_fanout AND avg_fanout > 1.1) THEN 'catastrophic_fanout' WHEN 1.0 * matched / sampled < 0.5 AND stddev_fanout > avg_fanout THEN 'no_signal' WHEN avg_fanout BETWEEN 1.5 AND 100 AND stddev_fanout / avg_fanout < 1 THEN 'header_detail' WHEN avg_fanout BETWEEN 0.9 AND 1.1 AND stddev_fanout < 0.5 AND 1.0 * matched / sampled > 0.8 THEN 'per_record_key' WHEN avg_fanout > 1.1 THEN 'header_detail' ELSE 'no_signal' END"
 
 
-@query("j_join_cardinality", f"WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0), l AS (SELECT l_orderkey AS k FROM lineitem) SELECT *, {_CLASS} AS fanout_class, {_CLASS} IN ('per_record_key', 'header_detail') AS is_safe, direction = 'orders->lineitem' AS is_top FROM (SELECT 'orders->lineitem' AS direction, * FROM ({_SAMPLED.format('o', 'l')}) UNION ALL SELECT 'lineitem->orders', * FROM ({_SAMPLED.format('l', 'o')}))")
+@query("j_join_cardinality", f"WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0), l AS (SELECT l_orderkey AS k FROM lineitem) SELECT *, first_value(CASE WHEN is_safe THEN direction END) OVER (ORDER BY CASE fanout_class WHEN 'per_record_key' THEN 0 WHEN 'header_detail' THEN 1 ELSE 2 END, direction <> 'orders->lineitem') AS safe_direction FROM (SELECT *, {_CLASS} AS fanout_class, {_CLASS} IN ('per_record_key', 'header_detail') AS is_safe, direction = 'orders->lineitem' AS is_top FROM (SELECT 'orders->lineitem' AS direction, * FROM ({_SAMPLED.format('o', 'l')}) UNION ALL SELECT 'lineitem->orders', * FROM ({_SAMPLED.format('l', 'o')})))")
 def _(t):
     return profile.join_cardinality(t["orders"].filter("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS k"), t["lineitem"].selectExpr("l_orderkey AS k"), ["k"], ("orders", "lineitem"))
 
@@ -244,10 +244,10 @@ def _(t):
     return out.withColumns({c: F.col(c).cast("date") for c in ("last_ingestion", "min_evidence_refreshed")})
 
 
-@query("k_payload_drift", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unparseable' WHEN p_size = 10 THEN 'no_drift' WHEN p_partkey % 7 = 0 OR abs(greatest(10, 50) - greatest(p_size, 50)) > 5 THEN 'material' ELSE 'noise' END AS drift FROM part")
+@query("k_payload_drift", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unparseable' WHEN p_partkey % 13 = 0 THEN 'material' WHEN p_size = 10 THEN 'no_drift' WHEN p_partkey % 7 = 0 OR abs(greatest(10, 50) - greatest(p_size, 50)) > 5 THEN 'material' ELSE 'noise' END AS drift FROM part")
 def _(t):
     item = lambda g, s: F.concat(F.lit(f'{{"group":"{g}","share":'), s.cast("string"), F.lit("}"))
-    old = F.when(F.col("p_partkey") % 5 == 0, "{broken").otherwise(F.concat(F.lit("["), item("a", F.lit(10)), F.lit(","), item("b", F.lit(50)), F.lit("]")))
+    old = F.when(F.col("p_partkey") % 5 == 0, "{broken").when(F.col("p_partkey") % 13 == 0, F.lit(None)).otherwise(F.concat(F.lit("["), item("a", F.lit(10)), F.lit(","), item("b", F.lit(50)), F.lit("]")))
     new = F.concat(F.lit("["), item("b", F.lit(50)), F.lit(","), item("a", F.col("p_size")), F.when((F.col("p_partkey") % 7 == 0) & (F.col("p_size") != 10), ',{"group":"c","share":1}').otherwise(""), F.lit("]"))
     return quality.payload_drift(t["part"].select("p_partkey", old.alias("old_json"), new.alias("new_json"))).select("p_partkey", "drift")
 
