@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratum.operators.scan import numbered
 from stratum.functions.lists import list_has, list_values
 
 #: Columns of a finding.
@@ -125,9 +126,9 @@ def skipped_row(spark: SparkSession, analysis_type: str, tables: Sequence[str],
 
 
 def with_ids(df: DataFrame, existing: DataFrame, order: Sequence[str | Column], prefix: str = "", column: str = "id") -> DataFrame:
-    """Ids that follow the largest stored one; for small evidence tables, as the numbering is one sequence."""
+    """Ids that follow the largest stored one, in one sequence that ranges of rows number side by side."""
     last = existing.agg(F.coalesce(F.max(F.regexp_extract(F.col(column), r"(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_last"))
-    out = df.withColumn("_n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(last))
+    out = numbered(df, order, "_n").crossJoin(F.broadcast(last))
     return out.withColumn(column, F.concat(F.lit(prefix), (F.col("_n") + F.col("_last")).cast("string"))).drop("_n", "_last")
 
 

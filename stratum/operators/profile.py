@@ -190,17 +190,6 @@ def foreign_key(a: DataFrame, b: DataFrame, key_a: str, key_b: str | None = None
     return out.withColumn("confidence", F.when(F.col("integrity") >= 0.95, "high").when(F.col("integrity") >= 0.80, "medium").otherwise("none"))
 
 
-def find_foreign_keys(frames: Mapping[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
-    """Every pair of tables with an equally named column of the same family, both directions, medium confidence or better."""
-    found = []
-    for x, y in itertools.permutations(sorted(frames), 2):
-        types = {f.name: family(f.dataType) for f in frames[y].schema.fields}
-        for f in frames[x].schema.fields:
-            if types.get(f.name) == family(f.dataType) and (columns is None or f.name in columns):
-                found.append(foreign_key(frames[x], frames[y], f.name).select(F.lit(x).alias("from_table"), F.lit(y).alias("to_table"), F.lit(f.name).alias("key"), "integrity", "confidence"))
-    return reduce(DataFrame.union, found).filter("confidence <> 'none'")
-
-
 def relationship_shape(a: DataFrame, b: DataFrame, key_a: str, key_b: str | None = None) -> DataFrame:
     """one_to_one, many_to_one, one_to_many or many_to_many, by true duplication (two or more, and over 0.1 %)."""
     side = lambda df, k, p: df.filter(F.col(k).isNotNull()).agg(F.count("*").alias(f"{p}_rows"), F.countDistinct(k).alias(f"{p}_keys"))
@@ -325,29 +314,41 @@ def join_cardinality(a: DataFrame, b: DataFrame, keys: Sequence[str], names: tup
     return out.withColumn("is_safe", safe).withColumn("is_top", F.when(F.col("rows_a") <= F.col("rows_b"), first).otherwise(~first)).drop("rows_a", "rows_b")
 
 
-def bridge_candidates(t1: DataFrame, t2: DataFrame, t3: DataFrame, roles3: Mapping[str, str]) -> list[tuple[str, str]]:
-    """Pairs of t3's key columns that t1 and t2 share with it, families alike."""
+def bridge_candidates(t1: DataFrame, t2: DataFrame, t3: DataFrame, roles3: Mapping[str, str], direct_classes: Sequence[str] = ()) -> list[tuple[str, str]]:
+    """Pairs of t3's key columns that t1 and t2 share with it, families alike; none if a direct join of t1 and t2 is one record a key."""
+    if "per_record_key" in direct_classes:
+        return []
     f1, f2, f3 = ({f.name: family(f.dataType) for f in t.schema.fields} for t in (t1, t2, t3))
     keys = [c for c in f3 if roles3.get(c) == "key"]
     return [(x, y) for x in keys for y in keys if x != y and f1.get(x) == f3[x] and f2.get(y) == f3[y]]
 
 
-def sweep_pairs(frames: Mapping[str, DataFrame], n: int = 500) -> DataFrame | None:
-    """Join cardinality of all pairs of tables with a shared key-like column; None if there are none."""
-    found = []
-    for x, y in pairs(list(frames)):
-        for c in sorted(set(key_columns(frames[x])) & set(frames[y].columns)):
-            found.append(join_cardinality(frames[x], frames[y], [c], (x, y), n).withColumn("key", F.lit(c)))
-    return reduce(DataFrame.union, found) if found else None
+#: Values of a filter column up to which its reachability is measured.
+MOST_VALUES = 1000
 
 
-def filter_reachability(a: DataFrame, b: DataFrame, key: str, c: str, most: int = 1000) -> DataFrame:
-    """Every distinct value of b's column with reachable_rows through a; is_reachable false where none. Skipped (no rows) over ``most`` values."""
-    values = b.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("total_rows"))
-    number = values.agg(F.count("*").alias("_n"))
-    reach = b.join(a.select(key).distinct(), key, "left_semi").groupBy(c).agg(F.count("*").alias("reachable_rows"))
-    out = values.join(reach, c, "left").withColumn("reachable_rows", F.coalesce("reachable_rows", F.lit(0))).withColumn("is_reachable", F.col("reachable_rows") > 0)
-    return out.crossJoin(F.broadcast(number)).filter(F.col("_n") <= most).drop("_n")
+def filter_reachability(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str], most: int = MOST_VALUES) -> DataFrame:
+    """column_name, value, total_rows, reachable_rows, is_reachable, status, reason: a row for every value of every filter column of ``b``.
+
+    reachable_rows are rows of ``a`` joined with ``b`` by the key; total_rows those of ``b``. a's keys are counted
+    and met by b once for all columns, whose values are then counted together. A column of more than ``most``
+    values has one row instead, skipped with its reason.
+    """
+    # Columns that are over it by far aren't counted at all: their estimate is off by a few hundredths.
+    rough = b.agg(*(F.approx_count_distinct(c, 0.02).alias(c) for c in columns)).first().asDict()
+    able = [c for c in columns if rough[c] <= 2 * most]
+    ways = a.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_ways"))
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in able))
+    counted = b.join(ways, key, "left").select(F.inline(cells), "_ways") if able else None
+    skipped = lambda df: df.select("column_name", F.lit(None).cast("string").alias("value"), *(F.lit(None).cast("long").alias(x) for x in ("total_rows", "reachable_rows")), F.lit(None).cast("boolean").alias("is_reachable"), F.lit("skipped").alias("status"), F.lit("high_cardinality").alias("reason"))
+    far = skipped(b.sparkSession.createDataFrame([(c,) for c in columns if c not in able], "column_name string"))
+    if counted is None:
+        return far
+    values = counted.filter("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("total_rows"), F.coalesce(F.sum("_ways"), F.lit(0)).alias("reachable_rows"))
+    number = values.groupBy("column_name").agg(F.count("*").alias("_values"))
+    found = values.join(F.broadcast(number), "column_name")
+    good = found.filter(F.col("_values") <= most).select("column_name", "value", "total_rows", "reachable_rows", (F.col("reachable_rows") > 0).alias("is_reachable"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("reason"))
+    return good.union(skipped(number.filter(F.col("_values") > most))).union(far)
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

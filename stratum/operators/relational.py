@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratum.operators import scan
 from stratum.functions.scalars import col, ratio
 from stratum.operators.vault import current_row
 
@@ -207,7 +208,9 @@ def sequence_numbers(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame
 
 
 def running_sum(df: DataFrame, order: Sequence[str], c: str, keys: Sequence[str] = (), name: str = "running") -> DataFrame:
-    """sum up to the row. Without keys, only for aggregates of few rows."""
+    """sum up to the row; by key where there are keys (for one that may hold a large share of all rows, see :mod:`stratum.operators.scan`)."""
+    if not keys:
+        return scan.running_sum(df, order, c, name=name)
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.sum(c).over(w))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.operators.scan import carried_last, numbered_by
 from stratum.functions.scalars import strip_prefix
 from stratum.operators.relational import month_schedule
 
@@ -12,9 +13,11 @@ from stratum.operators.relational import month_schedule
 def deployed_devices(items: DataFrame, headers: DataFrame, prefix: str = "SN:", deploy: str = "201", back: str = "202") -> DataFrame:
     """O1: device_id, material_id, deployed_on, returned_on (the first return after it, if any) from movement items whose text holds the serial."""
     m = items.join(headers, "document_id").withColumn("device_id", strip_prefix("item_text", prefix))
-    out = m.filter(F.col("movement_type") == deploy).groupBy("device_id", "material_id").agg(F.min("posting_date").alias("deployed_on"))
-    returned = m.filter(F.col("movement_type") == back).select("device_id", F.col("posting_date").alias("_back"))
-    return out.join(returned, (out.device_id == returned.device_id) & (returned._back > out.deployed_on), "left").groupBy(out.device_id, "material_id", "deployed_on").agg(F.min("_back").alias("returned_on"))
+    out = m.filter(F.col("movement_type") == deploy).groupBy("device_id", "material_id").agg(F.min("posting_date").alias("on")).withColumn("back", F.lit(None).cast("date"))
+    returned = m.filter(F.col("movement_type") == back).select("device_id", F.lit(None).cast(m.schema["material_id"].dataType).alias("material_id"), F.col("posting_date").alias("on"), F.col("posting_date").cast("date").alias("back")).distinct()
+    # Both kinds in one order from the latest on: a deployment meets the return that came last, if it is a later day's.
+    both = carried_last(out.unionByName(returned), [F.desc("on"), F.col("back").asc_nulls_first()], "back", ["device_id"], "returned_on")
+    return both.filter("back is null").select("device_id", "material_id", F.col("on").alias("deployed_on"), "returned_on")
 
 
 def billing_schedule(devices: DataFrame, months: int, horizon: str) -> DataFrame:
@@ -68,7 +71,7 @@ def unpivot_status(devices: DataFrame) -> DataFrame:
 
 def round_robin_pair(a: DataFrame, b: DataFrame, key: str, order_a: str, order_b: str) -> DataFrame:
     """Rows of a each with one row of b of the same key, in turn."""
-    x = a.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(order_a)) - 1)
-    y = b.withColumn("_j", F.row_number().over(Window.partitionBy(key).orderBy(order_b)) - 1)
+    x = numbered_by(a, [key], [order_a], "_i").withColumn("_i", F.col("_i") - 1)
+    y = numbered_by(b, [key], [order_b], "_j").withColumn("_j", F.col("_j") - 1)
     size = y.groupBy(key).agg(F.count("*").alias("_n"))
     return x.join(size, key).withColumn("_j", F.col("_i") % F.col("_n")).join(y, [key, "_j"]).drop("_i", "_j", "_n")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.scalars import age_days, band, date_parts, days_between, decode, decode_groups, decode_like, hash_key, health, is_present, month_diff, pct, period, ratio, signed_qty, within_days, within_pct
+from stratum.operators.scan import carried_last
 from stratum.operators.relational import calendar, cross_one_row, grand_total, running_sum, share_of_total
 
 Frames = Mapping[str, DataFrame]
@@ -308,11 +309,20 @@ def return_ratio(frames: Frames) -> DataFrame:
 
 
 def returns_within_days(frames: Frames, days: int = 90) -> DataFrame:
-    """Receipts followed by a return of the same material to the vendor (code 122) within the days, per material, vendor and quarter: an equi-join with a range."""
-    r = frames["receipts"].filter(F.col("movement_type") == RECEIPT).select("document_id", "vendor_id", "material_id", F.col("posting_date").alias("received_on"))
-    back = frames["movements"].filter(F.col("movement_type") == VENDOR_RETURN).select("material_id", "vendor_id", F.col("posting_date").alias("returned_on")).distinct()
-    hit = r.join(back, (r.material_id == back.material_id) & (r.vendor_id == back.vendor_id) & (back.returned_on >= r.received_on) & (back.returned_on <= F.date_add(r.received_on, days)), "left_semi").select("document_id").distinct().withColumn("_hit", F.lit(1))
-    out = r.join(hit, "document_id", "left").groupBy("material_id", "vendor_id", period("received_on", "quarter").alias("quarter")).agg(F.countDistinct("document_id").alias("receipts"), F.countDistinct(F.when(F.col("_hit") == 1, F.col("document_id"))).alias("returned"))
+    """Receipts followed by a return of the same material to the vendor (code 122) within the days, per material, vendor and quarter.
+
+    Both kinds stand in one order from the latest on, and each receipt meets the return that came last, the next one at or
+    after it: no pairs of receipts and returns are made, and a material of one vendor may hold any share of the rows.
+    """
+    pair = ["material_id", "vendor_id"]
+    r = frames["receipts"].filter(F.col("movement_type") == RECEIPT).select(*pair, "document_id", F.col("posting_date").alias("on"), F.lit(None).cast("date").alias("back"))
+    back = frames["movements"].filter(F.col("movement_type") == VENDOR_RETURN).select(*pair, F.lit(None).cast(r.schema["document_id"].dataType).alias("document_id"), F.col("posting_date").alias("on"), F.col("posting_date").cast("date").alias("back")).distinct()
+    # Missing materials or vendors match nothing.
+    both = carried_last(r.unionByName(back), [F.desc("on"), F.col("back").asc_nulls_last()], "back", pair, "_next").filter("back is null")
+    hit = (F.col("_next") <= F.date_add("on", days)) & F.col("material_id").isNotNull() & F.col("vendor_id").isNotNull()
+    # A document counts as returned wherever it stands if one of its receipts is.
+    docs = both.filter(hit).select("document_id").distinct().withColumn("_hit", F.lit(1))
+    out = both.join(docs, "document_id", "left").groupBy(*pair, period("on", "quarter").alias("quarter")).agg(F.countDistinct("document_id").alias("receipts"), F.countDistinct(F.when(F.col("_hit") == 1, F.col("document_id"))).alias("returned"))
     return out.withColumn("return_rate_pct", pct("returned", "receipts"))
 
 

@@ -463,9 +463,14 @@ def _(t):
     return profile.grain_relationship(t["orders"].withColumnRenamed("o_orderkey", "k"), t["lineitem"].withColumnRenamed("l_orderkey", "k"), "k", "o_totalprice", "l_extendedprice")
 
 
-@query("j_filter_reachability", "SELECT o_orderstatus, count(*) AS total_rows, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0)) AS reachable_rows, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0)) > 0 AS is_reachable FROM orders GROUP BY 1")
+_REACH = """SELECT '{0}' AS column_name, CAST({0} AS VARCHAR) AS value, count(*) AS total_rows, CAST(coalesce(sum(n), 0) AS BIGINT) AS reachable_rows, coalesce(sum(n), 0) > 0 AS is_reachable, 'success' AS status, NULL AS reason FROM w WHERE {0} IS NOT NULL AND (SELECT count(DISTINCT {0}) FROM orders) <= 700 GROUP BY 2
+UNION ALL SELECT '{0}', NULL, NULL, NULL, NULL, 'skipped', 'high_cardinality' WHERE (SELECT count(DISTINCT {0}) FROM orders) > 700"""
+_REACHED = ("o_orderstatus", "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("j_filter_reachability", "WITH w AS (SELECT o.*, n FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) ON l_orderkey = o_orderkey) " + " UNION ALL ".join(_REACH.format(c) for c in _REACHED))
 def _(t):
-    return profile.filter_reachability(t["lineitem"].filter("l_orderkey % 3 = 0").withColumnRenamed("l_orderkey", "o_orderkey"), t["orders"], "o_orderkey", "o_orderstatus")
+    return profile.filter_reachability(t["lineitem"].filter("l_orderkey % 3 = 0").withColumnRenamed("l_orderkey", "o_orderkey"), t["orders"], "o_orderkey", _REACHED, 700)
 
 
 @query("j_profile", "SELECT 'p_size' AS column_name, count(*) AS rows, count(p_size) AS non_null, count(DISTINCT p_size) AS distinct_count, CAST(min(p_size) AS VARCHAR) AS min_value, CAST(max(p_size) AS VARCHAR) AS max_value, round(avg(p_size), 6) AS avg, quantile_cont(CAST(p_size AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(p_size AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(p_size AS DOUBLE), 0.75) AS p75, CAST(100 AS DOUBLE) AS completeness_pct FROM part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators import evidence, lineage, profile, quality, relational, vault
+from stratum.operators import evidence, lineage, profile, quality, relational, value_index, vault
 from stratum.plans import shop, specs
 from stratum.queries import Tables, query
 from stratum.sources import tables
@@ -217,6 +217,68 @@ def _(t):
     return profile.join_cardinality(t["orders"].filter("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS k"), t["lineitem"].selectExpr("l_orderkey AS k"), ["k"], ("orders", "lineitem"))
 
 
+# The driver's tables under names that two tables share: the prefix of a column is its table's.
+_NAMED = {"region": "r", "nation": "n", "customer": "c", "supplier": "s", "part": "p", "orders": "o", "lineitem": "l"}
+_SHARED = {"custkey": ("customer", "orders"), "nationkey": ("nation", "customer", "supplier"), "regionkey": ("region", "nation"), "suppkey": ("supplier", "lineitem"), "partkey": ("part", "lineitem"), "orderkey": ("orders", "lineitem"), "name": ("region", "nation", "customer", "supplier", "part"), "acctbal": ("customer", "supplier")}
+_VALUES = " UNION ALL ".join(f"SELECT DISTINCT '{x}' AS t, '{c}' AS c, {_NAMED[x]}_{c} AS k FROM {x} WHERE {_NAMED[x]}_{c} IS NOT NULL" for c in ("custkey", "nationkey", "regionkey", "suppkey", "partkey", "orderkey") for x in _SHARED[c])
+_TEXTS = " UNION ALL ".join(f"SELECT DISTINCT '{x}' AS t, '{c}' AS c, {_NAMED[x]}_{c} AS k FROM {x} WHERE {_NAMED[x]}_{c} IS NOT NULL" for c in ("name",) for x in _SHARED[c])
+_MONEY = " UNION ALL ".join(f"SELECT DISTINCT '{x}' AS t, '{c}' AS c, {_NAMED[x]}_{c} AS k FROM {x} WHERE {_NAMED[x]}_{c} IS NOT NULL" for c in ("acctbal",) for x in _SHARED[c])
+_FOUND = "SELECT a.t AS from_table, b.t AS to_table, a.c AS key, count(*) AS matched FROM {0} a JOIN {0} b ON a.k = b.k AND a.c = b.c AND a.t <> b.t GROUP BY ALL"
+
+
+def _stripped(t: Tables) -> dict[str, DataFrame]:
+    return {n: t[n].toDF(*(c.removeprefix(f"{p}_") for c in t[n].columns)) for n, p in _NAMED.items()}
+
+
+@query("j_foreign_keys", f"""WITH v AS ({_VALUES}), x AS ({_TEXTS}), m AS ({_MONEY}), d AS (SELECT t, c, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT t, c, count(*) FROM x GROUP BY ALL UNION ALL SELECT t, c, count(*) FROM m GROUP BY ALL),
+  f AS ({_FOUND.format('v')} UNION ALL {_FOUND.format('x')} UNION ALL {_FOUND.format('m')})
+  SELECT from_table, to_table, key, round(1.0::DOUBLE * matched / n, 6) AS integrity, CASE WHEN round(1.0::DOUBLE * matched / n, 6) >= 0.95 THEN 'high' ELSE 'medium' END AS confidence FROM f JOIN d ON d.t = from_table AND d.c = key WHERE round(1.0::DOUBLE * matched / n, 6) >= 0.8""")
+def _(t):
+    return value_index.find_foreign_keys(_stripped(t))
+
+
+_KEYED = (("customer", "orders", "custkey"), ("customer", "nation", "nationkey"), ("customer", "supplier", "nationkey"), ("nation", "supplier", "nationkey"), ("nation", "region", "regionkey"), ("lineitem", "part", "partkey"), ("lineitem", "supplier", "suppkey"), ("lineitem", "orders", "orderkey"))
+_WAY = "SELECT '{0}->{1}' AS direction, '{2}' AS key, (SELECT count(*) FROM {0}) {3} (SELECT count(*) FROM {1}) AS is_top, * FROM ({4})"
+
+
+def _ways(x: str, y: str, c: str) -> str:
+    one = lambda a, b, sign: _WAY.format(a, b, c, sign, _SAMPLED.format(f"(SELECT {_NAMED[a]}_{c} AS k FROM {a})", f"(SELECT {_NAMED[b]}_{c} AS k FROM {b})"))
+    return f"SELECT *, first_value(CASE WHEN is_safe THEN direction END) OVER (ORDER BY CASE fanout_class WHEN 'per_record_key' THEN 0 WHEN 'header_detail' THEN 1 ELSE 2 END, direction <> '{x}->{y}') AS safe_direction FROM (SELECT *, {_CLASS} AS fanout_class, {_CLASS} IN ('per_record_key', 'header_detail') AS is_safe FROM ({one(x, y, '<=')} UNION ALL {one(y, x, '<')}))"
+
+
+@query("j_sweep_pairs", " UNION ALL ".join(f"({_ways(*x)})" for x in _KEYED))
+def _(t):
+    frames = _stripped(t)
+    return value_index.sweep_pairs({n: frames[n] for n in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")})
+
+
+@query("j_overlaps", """WITH v AS (SELECT DISTINCT 'customer' AS t, 'c_custkey' AS c, CAST(c_custkey AS VARCHAR) AS k FROM customer UNION ALL SELECT DISTINCT 'orders', 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders UNION ALL SELECT DISTINCT 'events', 'user_id', CAST(user_id AS VARCHAR) FROM events),
+  s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY t, c ORDER BY md5(k), k) <= 200)
+  SELECT * FROM (SELECT s.t AS from_table, s.c AS from_column, v.t AS to_table, v.c AS to_column, any_value(n) AS sampled, count(*) AS matched, round(1.0::DOUBLE * count(*) / any_value(n), 6) AS overlap FROM s JOIN v ON s.k = v.k AND s.t <> v.t JOIN (SELECT t, count(*) AS n FROM s GROUP BY 1) z ON z.t = s.t GROUP BY 1, 2, 3, 4) WHERE overlap >= 0.5""")
+def _(t):
+    return value_index.overlaps(value_index.value_index({n: t[n] for n in ("customer", "orders", "events")}, {"customer": ["c_custkey"], "orders": ["o_custkey"], "events": ["user_id"]}))
+
+
+@query("j_join_candidates", "SELECT c AS column_name, p AS partner, s AS source, (SELECT count(*) FROM lineitem) AS n FROM (SELECT 'orderkey' AS c, 'orderkey' AS p, 'shared_name' AS s UNION ALL SELECT 'custkey', 'suppkey', 'fk_evidence')")
+def _(t):
+    frames = _stripped(t)
+    found = profile.join_candidates(frames["orders"], frames["lineitem"], evidence=[("custkey", "suppkey")])
+    return t["lineitem"].agg(F.count("*").alias("n")).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("column_name", "partner", "source"), x, strict=True)), "n") for x in found))))
+
+
+@query("j_bridge_candidates", "SELECT 'customer' AS from_table, 'orders' AS bridge, 'lineitem' AS to_table, 'custkey' AS key1, 'orderkey' AS key2, count(*) AS n FROM orders")
+def _(t):
+    frames = _stripped(t)
+    found = profile.bridge_candidates(frames["customer"], frames["lineitem"], frames["orders"], profile.column_roles(frames["orders"]))
+    assert not profile.bridge_candidates(frames["customer"], frames["lineitem"], frames["orders"], profile.column_roles(frames["orders"]), ["per_record_key"])
+    return t["orders"].agg(F.count("*").alias("n")).select(F.inline(F.array(*(F.struct(F.lit("customer").alias("from_table"), F.lit("orders").alias("bridge"), F.lit("lineitem").alias("to_table"), F.lit(x).alias("key1"), F.lit(y).alias("key2"), "n") for x, y in found))))
+
+
+@query("q_shop_location", "SELECT md5(CAST(o_orderkey AS VARCHAR)) AS hk_order, md5(concat(c_nationkey, '|', c_mktsegment, '|', '0')) AS hashdiff FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(t):
+    return _shop(t)["sat_customer_location"].select("hk_order", "hashdiff")
+
+
 @query("j_catalog", "SELECT * FROM (SELECT 'region' AS table_name, count(*) AS row_count, 2 AS column_count, (SELECT count(*) FROM orders WHERE o_custkey % 2 = 0) AS evidence_rows FROM region UNION ALL SELECT 'nation', count(*), 3, (SELECT count(*) FROM orders WHERE o_custkey % 2 = 1) FROM nation UNION ALL SELECT 'supplier', count(*), (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE supplier)), 0 FROM supplier)")
 def _(t):
     known = t["orders"].selectExpr("CASE WHEN o_custkey % 2 = 0 THEN 'region' ELSE 'nation' END AS source_tables", "cast(NULL AS string) AS superseded_by")

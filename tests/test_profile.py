@@ -1,6 +1,6 @@
 import pytest
 
-from stratum.operators import profile, quality
+from stratum.operators import profile, quality, value_index
 
 
 def keys(spark, name, n, copies=1, other="X"):
@@ -35,15 +35,47 @@ def test_foreign_keys_and_shape(spark):
     child = spark.createDataFrame([(f"m{i}",) for i in range(10)] * 2, "MATNR string")
     assert profile.foreign_key(child, parent, "MATNR").first().confidence == "medium"
     assert profile.relationship_shape(child, parent, "MATNR").first().shape == "many_to_one"
-    found = profile.find_foreign_keys({"p": parent, "c": child}).collect()
+    found = value_index.find_foreign_keys({"p": parent, "c": child}).collect()
     assert {(r.from_table, r.to_table, r.confidence) for r in found} == {("p", "c", "high"), ("c", "p", "medium")}
 
 
 def test_filter_reachability(spark):
     seri = spark.createDataFrame([("1", "E1"), ("2", "E2")], "MBLNR string, EQUNR string")
     mseg = spark.createDataFrame([("1", "101"), ("2", "101"), ("3", "122"), ("4", "161")], "MBLNR string, BWART string")
-    rows = {r.BWART: r.is_reachable for r in profile.filter_reachability(seri, mseg, "MBLNR", "BWART").collect()}
-    assert rows == {"101": True, "122": False, "161": False}
+    found = profile.filter_reachability(seri, mseg, "MBLNR", ["BWART"])
+    assert {r.value: r.is_reachable for r in found.collect()} == {"101": True, "122": False, "161": False}
+    # Joined rows are counted; a column of too many values says that it was skipped, exactly or by far.
+    twice = seri.union(seri).union(seri.filter("EQUNR = 'E1'"))
+    assert {r.value: (r.total_rows, r.reachable_rows) for r in profile.filter_reachability(twice, mseg, "MBLNR", ["BWART"]).collect()}["101"] == (2, 5)
+    for most in (1, 2, 3):
+        rows = {(r.column_name, r.status, r.reason) for r in profile.filter_reachability(seri, mseg, "MBLNR", ["BWART", "MBLNR"], most).collect()}
+        assert rows == {("MBLNR", "skipped", "high_cardinality"), ("BWART", *(("success", None) if most == 3 else ("skipped", "high_cardinality")))}
+
+
+def test_one_join_measures_all_columns(spark):
+    a, b = spark.range(50).selectExpr("id % 7 AS k"), spark.range(90).selectExpr("id % 9 AS k", "id % 3 AS x", "id % 4 AS y", "cast(id % 5 AS string) AS z")
+    plan = profile.filter_reachability(a, b, "k", ["x", "y", "z"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+
+
+def test_value_index_equals_pairs(spark):
+    frames = {
+        "a": spark.range(60).selectExpr("id % 20 AS k", "concat('x', id) AS name", "cast(id AS double) AS amount"),
+        "b": spark.range(45).selectExpr("CASE WHEN id % 9 = 0 THEN NULL ELSE cast(id % 25 AS int) END AS k", "concat('x', id * 2) AS name", "id AS amount"),
+        "c": spark.range(5).selectExpr("cast(id AS string) AS k", "timestamp'2024-01-01' AS name"),
+    }
+    found = {(r.from_table, r.to_table, r.key): (r.integrity, r.confidence) for r in value_index.find_foreign_keys(frames).collect()}
+    pairs = {}
+    for x, y in (("a", "b"), ("b", "a")):
+        for key in ("k", "name", "amount"):
+            r = profile.foreign_key(frames[x], frames[y], key).first()
+            if r.confidence != "none":
+                pairs[x, y, key] = (r.integrity, r.confidence)
+    assert found == pairs and pairs
+    swept = {r.direction: r for r in value_index.sweep_pairs({n: df.withColumnRenamed("k", "orderkey") for n, df in frames.items() if n != "c"}, 15).collect()}
+    one = {r.direction: r for r in profile.join_cardinality(frames["a"], frames["b"], ["k"], ("a", "b"), 15).collect()}
+    assert swept.keys() == one.keys() and all({**swept[d].asDict(), "key": None} == {**one[d].asDict(), "key": None} for d in one)
+    assert value_index.sweep_pairs({"a": frames["a"].select("name")}) is None
 
 
 def test_candidates_and_keyish(spark):
