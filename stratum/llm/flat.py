@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,13 @@ pa.set_memory_pool(pa.system_memory_pool())
 STEP_BYTES = 1_000_000
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, where its allocator can: the next task may run in another worker beside this one."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each part holds about ``step_bytes`` of ``column``, or one row."""
     for batch in batches:
@@ -25,6 +33,7 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, step_bytes: int = STEP
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from stratum.llm.tables import components, free_name, gathered, grouped, only
 #: Signature values, those that bands may use, values compared at once, and the probability that verification may miss a true pair.
 HASHES, BANDED, BATCH, MISS = 384, 200, 32, 1e-4
 #: Members of a bucket that one task compares with as many others at once, and documents whose sets it holds.
-CHUNK, SETS = 1024, 2000
+CHUNK, SETS = 1024, 1000
 
 
 def bands(percent: int) -> tuple[int, int]:

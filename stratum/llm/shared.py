@@ -1,23 +1,12 @@
-"""The shared folder and lineage cuts."""
+"""The shared folder, lineage cuts and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from stratum.sources.scratch import new_folder, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="stratum-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+__all__ = ["bounded_batches", "cut", "new_folder", "shared_folder", "written"]
 
 #: Bytes of an Arrow batch at most: a Python worker holds one, and so does its executor for it.
 BATCH_BYTES = 16 << 20
@@ -31,18 +20,7 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from there: a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """As :func:`cut`, as a compressed table below the shared folder: for wide or many rows."""
-    df.write.parquet(path := new_folder(df.sparkSession, "table"))
-    return df.sparkSession.read.parquet(path)

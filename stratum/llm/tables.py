@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm.flat import give_back
 from stratum.llm.shared import cut
 
 #: Ids that are broadcast at most (8 bytes each, about 40 MB as a hash table); more are shuffled.
@@ -42,6 +43,8 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBa
         held = batch.slice(cuts[-1])
     if held is not None and held.num_rows:
         yield held
+    held = None
+    give_back()
 
 
 #: Rows of a small intermediate table that one task takes at least.
