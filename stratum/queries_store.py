@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators import evidence, lineage, profile, quality, relational, value_index, vault
+from stratum.operators import evidence, lineage, profile, quality, relational, rules, value_index, vault
 from stratum.plans import shop, specs
 from stratum.queries import Tables, query
 from stratum.sources import tables
@@ -398,22 +398,20 @@ UNION ALL SELECT 'monthly_receipt_count_within_limit', 'warn', count(*) FROM (SE
 UNION ALL SELECT 'vendor_has_po_per_quarter', 'warn', count(*) FROM (SELECT DISTINCT l_suppkey AS v FROM lineitem), (SELECT DISTINCT date_trunc('quarter', l_shipdate) AS q FROM lineitem) WHERE (v, q) NOT IN (SELECT (l_suppkey, date_trunc('quarter', l_shipdate)) FROM lineitem)
 UNION ALL SELECT 'at_most_one_open_turn', 'error', count(*) FROM (SELECT conv_id FROM conversations WHERE role = 'system' GROUP BY 1 HAVING count(*) > 1))""")
 def _(t):
-    line, orders, events = t["lineitem"], t["orders"], t["events"]
-    dated = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    quarters = line.select("l_suppkey", F.date_trunc("quarter", "l_shipdate").alias("q"))
-    monthly = line.groupBy(F.date_trunc("month", "l_shipdate").alias("m")).agg(F.countDistinct("l_orderkey").alias("n"))
-    defects = events.agg((100.0 * F.count_if(F.col("event_type") == "click") / F.count("*")).alias("pct"))
-    return quality.run_assertions({
-        "lead_time_not_negative": (quality.expression_true(dated, "cast(l_shipdate AS date) >= cast(o_orderdate AS date)"), "error"),
-        "no_negative_stock": (quality.expression_true(t["part"], "p_size >= 0"), "error"),
-        "po_has_vendor": (quality.not_null(line, "l_suppkey").select("l_suppkey").union(quality.relationships(line, "l_suppkey", t["supplier"], "s_suppkey").select("l_suppkey")), "error"),
-        "po_value_not_exceeding_50000": (quality.expression_true(line, "l_extendedprice <= 50000"), "warn"),
-        "invoice_has_po_reference": (quality.relationships(line, "l_orderkey", orders, "o_orderkey"), "error"),
-        "equipment_has_lifecycle": (events.groupBy("user_id").agg(F.count("event_type").alias("n")).filter("n = 0"), "error"),
-        "defect_rate_below_5pct": (quality.expression_true(defects, "pct <= 5"), "warn"),
-        "monthly_receipt_count_within_limit": (quality.expression_true(monthly, "n <= 100"), "warn"),
-        "vendor_has_po_per_quarter": (quality.grid_gaps(quarters, "l_suppkey", "q"), "warn"),
-        "at_most_one_open_turn": (quality.unique_where(t["conversations"], ["conv_id"], "role = 'system'"), "error"),
+    line = rules.with_partner(t["lineitem"], "l_orderkey", t["orders"], "o_orderkey", "has_order", ["o_orderdate"])
+    line = rules.with_partner(line, "l_suppkey", t["supplier"], "s_suppkey", "has_vendor").withColumn("q", F.date_trunc("quarter", "l_shipdate"))
+    return rules.run_rules({
+        "lineitem": (line, [
+            rules.RowRule("lead_time_not_negative", "cast(l_shipdate AS date) >= cast(o_orderdate AS date)"),
+            rules.RowRule("po_has_vendor", "has_vendor", null_too=True),
+            rules.RowRule("po_value_not_exceeding_50000", "l_extendedprice <= 50000", "warn"),
+            rules.RowRule("invoice_has_po_reference", "has_order", null_too=True),
+            rules.GroupRule("monthly_receipt_count_within_limit", [F.date_trunc("month", "l_shipdate")], "n_distinct <= 100", "warn", distinct="l_orderkey"),
+            rules.GridRule("vendor_has_po_per_quarter", "l_suppkey", "q", "warn"),
+        ]),
+        "part": (t["part"], [rules.RowRule("no_negative_stock", "p_size >= 0")]),
+        "events": (t["events"], [rules.GroupRule("equipment_has_lifecycle", ["user_id"], "hits > 0", hit="event_type is not null"), rules.GroupRule("defect_rate_below_5pct", [], "100.0 * hits / n <= 5", "warn", hit="event_type = 'click'")]),
+        "conversations": (t["conversations"], [rules.unique_rule("at_most_one_open_turn", ["conv_id"], where="role = 'system'")]),
     })
 
 
