@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.functions.scalars import ratio, sap_date
+from stratum.operators.quantile import quantile_rows
 from stratum.operators.relational import pairs, sample_keys, share_of_total, top_groups, top_values
 
 NUMERIC, INTEGRAL = (T.NumericType,), (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -107,15 +108,19 @@ def numeric_columns(df: DataFrame, excluded: Sequence[str] = ("MANDT", "mandt"))
 def baseline(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """N, min, max, avg, stddev_pop, p25 and p75 of numeric columns; those without values are left out."""
     d = lambda c: F.col(c).cast("double")
-    fields = {"n": lambda c: F.count(c), "min": lambda c: F.min(d(c)), "max": lambda c: F.max(d(c)), "avg": lambda c: F.avg(d(c)), "stddev_pop": lambda c: F.stddev_pop(d(c)), "p25": lambda c: F.percentile(d(c), F.lit(0.25)), "p75": lambda c: F.percentile(d(c), F.lit(0.75))}
-    return _one_pass(df, list(columns or numeric_columns(df)), fields).filter("n > 0")
+    fields = {"n": lambda c: F.count(c), "min": lambda c: F.min(d(c)), "max": lambda c: F.max(d(c)), "avg": lambda c: F.avg(d(c)), "stddev_pop": lambda c: F.stddev_pop(d(c))}
+    columns = list(columns or numeric_columns(df))
+    out = _one_pass(df, columns, fields).filter("n > 0")
+    return out.join(F.broadcast(quantile_rows(df, columns, {"p25": 0.25, "p75": 0.75})), "column_name")
 
 
 def segment_thresholds(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Quartiles of numeric columns; constant ones and those without values are left out."""
     d = lambda c: F.col(c).cast("double")
-    fields = {"n": lambda c: F.count(c), "stddev_pop": lambda c: F.stddev_pop(d(c)), **{f"p{p}": (lambda c, p=p: F.percentile(d(c), F.lit(p / 100))) for p in (25, 50, 75)}}
-    return _one_pass(df, list(columns or numeric_columns(df)), fields).filter("n > 0 and stddev_pop > 0").select("column_name", "p25", "p50", "p75")
+    fields = {"n": lambda c: F.count(c), "stddev_pop": lambda c: F.stddev_pop(d(c))}
+    columns = list(columns or numeric_columns(df))
+    out = _one_pass(df, columns, fields).filter("n > 0 and stddev_pop > 0").select("column_name")
+    return out.join(F.broadcast(quantile_rows(df, columns, {"p25": 0.25, "p50": 0.5, "p75": 0.75})), "column_name")
 
 
 def temporal_coverage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -363,9 +368,11 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         "min_value": lambda c: F.min(F.col(c)).cast("string"),
         "max_value": lambda c: F.max(F.col(c)).cast("string"),
         "avg": lambda c: num(c, F.round(F.avg(d(c)), 6)),
-        **{f"p{p}": (lambda c, p=p: num(c, F.round(F.percentile(d(c), F.lit(p / 100)), 6))) for p in (25, 50, 75)},
     }
-    out = _one_pass(df, list(cols or df.columns), fields)
+    cols = list(cols or df.columns)
+    quartiles = quantile_rows(df, [c for c in cols if types[c] == "numeric"], {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    rounded = quartiles.select("column_name", *(F.round(p, 6).alias(p) for p in ("p25", "p50", "p75")))
+    out = _one_pass(df, cols, fields).join(F.broadcast(rounded), "column_name", "left")
     return out.withColumn("completeness_pct", F.round(100 * ratio("non_null", "rows"), 2))
 
 

@@ -141,7 +141,7 @@ def any_match(df: DataFrame, key: str, cond: Column, name: str = "any_match") ->
 
 
 def quantiles(c: str | Column, ps: Sequence[float]) -> Column:
-    """Exact quantiles with linear interpolation."""
+    """Exact quantiles with linear interpolation, in a buffer of a group's distinct values; for whole columns see :mod:`stratum.operators.quantile`."""
     return F.percentile(col(c), F.array(*map(F.lit, ps)))
 
 
