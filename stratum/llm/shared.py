@@ -9,7 +9,7 @@ from stratum.sources.scratch import new_folder, shared_folder, written
 __all__ = ["bounded_batches", "cut", "new_folder", "shared_folder", "written"]
 
 #: Bytes of an Arrow batch at most: a Python worker holds one, and so does its executor for it.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
