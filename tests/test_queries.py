@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from stratum import queries_store  # noqa: F401
+from stratum import queries_more, queries_store  # noqa: F401  (these register their queries beside those of the warehouse)
 from stratum.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
