@@ -1,12 +1,12 @@
 """Exact top-k inner-product search over an impact-ordered index, score at a time.
 
 Vectors are quantised to integers and dealt into blocks by a hash of their id. A block's index is one
-posting list (vector, dimension, component), ordered by descending impact (absolute component) and
-cut into segments of equal quantised impact. A block of queries takes the segments in that order and
-adds each posting's product to its vector's score. What the segments still to come can change a
-score by is bounded by the norm of the vector's unseen components times the query's norm; the search
-stops only when that proves that few vectors can still be among the k best, and rescores exactly
-all that can.
+posting list (vector, dimension, component), ordered by descending impact (absolute component, in
+quantised levels) and cut between levels into segments. A block of queries takes the segments in that
+order and adds each posting's product to its vector's score. What the segments still to come can change
+a score by is bounded by the length of the vector's unseen components times the length of the query's
+components in the same dimensions; the search stops only when that proves that few vectors can still
+be among the k best, and rescores exactly all that can.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of an index block, queries of a query block and of one step, quantised impact levels.
-INDEX_BLOCK, QUERY_BLOCK, QUERY_STEP, LEVELS = 8192, 1024, 128, 5
+INDEX_BLOCK, QUERY_BLOCK, QUERY_STEP, LEVELS = 8192, 1024, 128, 128
+#: Shares of the postings after which a segment ends, at the end of a level.
+SEGMENTS = (0.8, 0.92, 1.0)
 #: A step stops when no query has more possible members than this many times k.
 POSSIBLE = 8
 
@@ -45,6 +47,15 @@ def _packed(rows: DataFrame, key: str, width: int) -> DataFrame:
     return rows.groupBy(key).applyInPandas(run, f"{key} long, ids binary, matrix binary")
 
 
+def impact_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The postings by descending quantised impact, and where each segment ends: at the end of the level that reaches its share."""
+    size = np.abs(values)
+    level = size * LEVELS // (size.max(initial=0) + 1)
+    upto = np.cumsum(np.bincount(level, minlength=LEVELS)[::-1])
+    ends = np.unique(upto[np.searchsorted(upto, np.array(SEGMENTS) * len(values))]) if len(values) else np.zeros(1, np.int64)
+    return np.argsort(-level, kind="stable"), ends
+
+
 def _indexed(blocks: DataFrame, width: int) -> DataFrame:
     """Each block with its postings by descending quantised impact and the segments' ends."""
 
@@ -52,10 +63,7 @@ def _indexed(blocks: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 values = np.frombuffer(row["matrix"], "<i8")
-                size = np.abs(values)
-                level = size * LEVELS // (size.max(initial=0) + 1)
-                order = np.argsort(-level, kind="stable")
-                ends = np.cumsum(np.bincount(level, minlength=LEVELS)[::-1])
+                order, ends = impact_order(values)
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["ids"]]), pa.array([row["matrix"]]), pa.array([order.astype("<i4").tobytes()]), pa.array([ends.astype("<i8").tobytes()])], ["block", "ids", "matrix", "postings", "ends"])
 
     return blocks.mapInArrow(run, "block long, ids binary, matrix binary, postings binary, ends binary")
@@ -67,25 +75,24 @@ def possible_members(matrix: np.ndarray, postings: np.ndarray, ends: np.ndarray,
     if n <= k:
         return [np.arange(n)] * len(queries)
     q = queries.astype(np.float64)
-    norms = np.sqrt((q * q).sum(1))
     scores = np.zeros((len(q), n))
-    unseen = matrix.astype(np.float64).ravel()
+    left, unseen = matrix.astype(np.float64).ravel(), np.ones(matrix.size, np.float64)
     start = 0
     for end in ends.tolist():
         segment = postings[start:end]
-        if len(segment):
-            added = np.zeros(matrix.size)
-            added[segment] = unseen[segment]
-            unseen[segment] = 0
-            scores += q @ added.reshape(matrix.shape).T
+        added = np.zeros(matrix.size)
+        added[segment] = left[segment]
+        left[segment] = unseen[segment] = 0
+        scores += q @ added.reshape(matrix.shape).T
         start = end
-        if end < 0.3 * len(postings):
-            continue  # nothing can be proved yet
-        rest = np.sqrt((unseen * unseen).reshape(matrix.shape).sum(1))
-        slack = norms[:, None] * rest[None, :] + 0.5
+        if end == len(postings):
+            slack = np.full(scores.shape, 0.5)
+        else:
+            rest = np.sqrt((left * left).reshape(matrix.shape).sum(1))
+            slack = np.sqrt((q * q) @ unseen.reshape(matrix.shape).T) * rest + 0.5
         floor = np.partition(scores - slack, n - k, axis=1)[:, n - k]
         able = scores + slack >= floor[:, None]
-        if end == len(postings) or able.sum(1).max() <= POSSIBLE * k:
+        if able.sum(1).max() <= POSSIBLE * k:
             break
     return [np.flatnonzero(x) for x in able]
 
@@ -126,8 +133,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
                         out.append((np.full(len(best), q_ids[a + j]), ids[rows][best], score[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    pairs = index.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long")))).join(blocks, "qblock")
-    spread = pairs.repartition(min(n_index * n_asked, 2000), "block", "qblock") if n_index * n_asked > 1 else pairs
+    # Query blocks, much the smaller, go to the index blocks; an index block is copied only where there are fewer of them than tasks.
+    copies = max(1, min(n_asked, -(-vectors.sparkSession.sparkContext.defaultParallelism // n_index)))
+    numbers = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    parts = min(n_index * copies, 2000)
+    sent = blocks.withColumn("block", numbers(n_index)).withColumn("copy", F.col("qblock") % copies).repartition(parts, "block", "copy")
+    spread = sent.join(index.withColumn("copy", numbers(copies)).repartition(parts, "block", "copy").hint("merge"), ["block", "copy"])
     found = spread.select("ids", "matrix", "postings", "ends", "q_ids", "q_matrix").mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -77,6 +77,33 @@ def test_op1_stops_early_only_with_proof():
         assert set(np.flatnonzero(s >= np.sort(s)[-5])) <= set(rows)
 
 
+def test_op1_stop_fires_on_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(topk.quantise("embedding").alias("v")).filter("v is not null").collect()
+    m = np.array([r.v for r in table], np.int64)
+    postings, ends = topk.impact_order(m.ravel())
+    assert len(ends) == 3 and ends[-1] == m.size
+    found = topk.possible_members(m, postings, ends, m[:50], 6)
+    assert max(map(len, found)) <= topk.POSSIBLE * 6
+    # The proof is there before the last segment: without it, the same rows are possible.
+    early = topk.possible_members(m, postings, np.array([ends[0], ends[1], m.size - 1]), m[:50], 6)
+    assert all((a == b).all() for a, b in zip(found, early, strict=True))
+    for q, rows in zip(m[:50], found, strict=True):
+        s = m @ q
+        assert set(np.flatnonzero(s >= np.sort(s)[-6])) <= set(rows)
+
+
+def test_op1_repeated_and_null_ids(spark):
+    r = np.random.default_rng(4)
+    rows = [(i if i % 9 else None, [float(x) for x in r.normal(0, 0.3, 6)], "x") for i in range(60)] + [(50, [0.2] * 6, "x"), (7, [9.0] * 6, "x"), (7, [9.0] * 6, "x")]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    q = [(i, np.floor(256 * np.array(e, np.float32).astype(float)).astype(int)) for i, e, _ in rows if i is not None]
+    got = sorted((x.query_id, x.vec_id, x.score) for x in topk.top_k(v, v.filter("vec_id = 50").limit(1)).collect())
+    first = next(e for i, e in q if i == 50)
+    # Which of the rows of one id is the query is open where there are several: either way its own rows are no candidates.
+    ways = [sorted((50, i, s) for s, i in sorted(((int(e @ w), i) for i, e in q if i != 50), key=lambda x: (-x[0], x[1]))[:5]) for w in (first, q[-3][1])]
+    assert got in ways
+
+
 def labelled(spark):
     rows = [(i, prose(i, 40) + (" you idiot loser" if i % 3 == 0 else " fine day")) for i in range(300)]
     junk = [(1000 + i, "$$$ !!! ### " * 20 + prose(i, 3)) for i in range(100)]
