@@ -340,8 +340,9 @@ class _Block:
 def _large_groups(index: DataFrame, large: DataFrame, gone: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """doc, line of the lines that are left in tokens that many lines hold and that are similar to an earlier one there.
 
-    A token's lines are dealt into blocks; a line that is left goes to each block of its token and stands for
-    itself there, so that a block tells as many lines at most as came to it.
+    A token's lines are dealt into blocks of lines of like lengths; a line that is left goes to each block of its token
+    whose lines may be as long as the threshold asks for and stands for itself there, so that a block tells as many
+    lines at most as came to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,13 +370,18 @@ def _large_groups(index: DataFrame, large: DataFrame, gone: DataFrame, own: Data
                     yield pa.RecordBatch.from_arrays([pa.array(doc[a:c][found]), pa.array(line[a:c][found])], ["doc", "line"])
                     a = c
 
+    # Bands grow by the threshold's ratio: lines of bands that aren't neighbours differ too much in length.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("band")
     left = cut(index.join(large.select("token"), "token", "left_semi").select("token", "doc", "line", "n").join(gone, ["doc", "line"], "left_anti"))
-    tokens = left.groupBy("token").agg(F.count("*").alias("late"))
-    blocks = index.join(tokens, "token", "left_semi").groupBy("token").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_LINES)).alias("blocks"))
-    blocks = cut(blocks)
-    cell = lambda block: F.xxhash64("token", block).alias("cell")
-    early = index.join(blocks, "token").select(cell(F.pmod(F.xxhash64("doc", "line"), F.col("blocks"))), F.lit(0).alias("side"), "doc", "line")
-    late = left.join(blocks, "token").select("token", "doc", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(cell(F.col("block")), F.lit(1).alias("side"), "doc", "line")
+    # Bands of a token that no line which is left can meet need no blocks.
+    wanted = left.select("token", F.explode(F.array(*(band + i for i in (-1, 0, 1)))).alias("band")).distinct()
+    all_ = index.join(large.select("token"), "token", "left_semi").select("token", "doc", "line", "n", band)
+    blocks = all_.groupBy("token", "band").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_LINES)).alias("blocks"))
+    blocks = cut(blocks.join(wanted, ["token", "band"], "left_semi"))
+    cell = lambda block: F.xxhash64("token", "band", block).alias("cell")
+    early = all_.join(blocks, ["token", "band"]).select(cell(F.pmod(F.xxhash64("doc", "line"), F.col("blocks"))), F.lit(0).alias("side"), "doc", "line")
+    near = left.select("token", "doc", "line", F.explode(F.array(*(band + i for i in (-1, 0, 1)))).alias("band"))
+    late = near.join(blocks, ["token", "band"]).select("token", "band", "doc", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(cell(F.col("block")), F.lit(1).alias("side"), "doc", "line")
     rows = early.union(late).join(own.select("doc", "line", "members"), ["doc", "line"])
     return rows.repartition("cell").sortWithinPartitions("cell", "side").select("cell", "side", "doc", "line", "members").mapInArrow(run, "doc long, line int").distinct()
 

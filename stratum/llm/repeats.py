@@ -8,8 +8,9 @@ of ``ANCHOR`` bytes), so strings whose sampled rank is unique can't repeat and a
 drop out. The positions that are left get ranks of half and the whole of the threshold, each from a
 pair of ranks; Spark deals the ranks out by their leading bits, every bucket sorts its ranks, and the
 marks of those that are not unique go back. Equal strings have equal ranks wherever they stand, as a
-rank is named by a hash of its pair: at least 96 bits with the bucket's in the last round, 48 in the
-round before it.
+rank is named by a hash of its pair. All ranks come from 64-bit hashes of ``ANCHOR`` bytes: strings
+that differ within one such block alone are told apart by 64 bits, others by more, with the bucket's
+bits 48 in the round before the last.
 """
 
 from __future__ import annotations
