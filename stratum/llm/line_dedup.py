@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm.cells import HASH_BITS, dealt, heads, pack, unpack
-from stratum.llm.flat import flat, mix, steps, word_hashes, words
+from stratum.llm.flat import flat, frugal, mix, steps, word_hashes, words
 from stratum.llm.shared import bounded_batches, cut, written
 from stratum.llm.tables import grouped, only
 
@@ -31,6 +31,8 @@ from stratum.llm.tables import grouped, only
 LINE_BITS = 64 - HASH_BITS
 #: Bytes of text of a chunk, and tokens of which a bucket holds about as many.
 CHUNK_BYTES, BUCKET_TOKENS = 2_000_000, 1 << 20
+#: Chunks that one task compares with the rarities of their tokens (each some 0.5 MB as it travels).
+TASK_CHUNKS = 4
 #: Classes that meet in a token all at once; tokens and lines of one side of a block where more do.
 SMALL_GROUP, BLOCK_TOKENS, BLOCK_LINES = 8, 1 << 16, 1 << 10
 #: Line numbers that are broadcast at most (4 bytes each).
@@ -145,6 +147,7 @@ def _chunks(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """One row per chunk: its texts (compressed), where each starts, their doc_ids and bases, which lines are the first of
     their class in it, and every line's class, doc and number."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for part in steps(batches, text, CHUNK_BYTES):
@@ -166,6 +169,7 @@ def _chunks(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 def _all_lines(chunks: DataFrame) -> DataFrame:
     """cls, doc, line of every line with words, and its chunk and number there."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -180,9 +184,10 @@ def _rarity(holders: np.ndarray) -> np.ndarray:
     return np.where(holders <= 64, holders - 1, np.minimum(255, 64 + 8 * np.log2(np.maximum(holders, 64) / 64))).astype(np.uint8)
 
 
-def _rarities(chunks: DataFrame, shingle: int, buckets: int) -> DataFrame:
-    """chunk, marks: for every bucket the rarity of each of the chunk's tokens there, in order."""
+def _rarities(chunks: DataFrame, shingle: int, buckets: int, parts: int) -> DataFrame:
+    """chunk, marks: for every bucket the rarity of each of the chunk's tokens there, in order; dealt by chunk to ``parts`` partitions."""
 
+    @frugal
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -192,6 +197,7 @@ def _rarities(chunks: DataFrame, shingle: int, buckets: int) -> DataFrame:
                 cells = [pack(rest[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(cells), row["chunk"])), pa.array(np.diff(cuts)), pa.array(cells, pa.binary())], ["bucket", "chunk", "n", "tokens"])
 
+    @frugal
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "bucket"):
             cells = [unpack(raw, n) for raw, n in zip(group.column("tokens").to_pylist(), group.column("n").to_pylist(), strict=True)]
@@ -203,8 +209,8 @@ def _rarities(chunks: DataFrame, shingle: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([group.column("chunk"), group.column("bucket"), pa.array(marks, pa.binary())], ["chunk", "bucket", "marks"])
 
     sent = chunks.mapInArrow(send, "bucket long, chunk long, n long, tokens binary")
-    back = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "chunk long, bucket long, marks binary")
-    return back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias("marks"))
+    back = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "chunk long, bucket long, marks binary")
+    return back.repartition(parts, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias("marks"))
 
 
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -218,6 +224,7 @@ def _likely(chunks: DataFrame, shingle: int, percent: int) -> DataFrame:
     members are all n tokens, the rarest first; the first ``alone`` of them occur nowhere else.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -244,6 +251,7 @@ def _likely(chunks: DataFrame, shingle: int, percent: int) -> DataFrame:
 def _prefix_tokens(own: DataFrame, percent: int) -> DataFrame:
     """token, doc, line, n, at: the prefix tokens that occur again, and how many such tokens stand before each."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -267,6 +275,7 @@ def _able(percent: int, again1, again2, n1, n2, a1, a2, least, greatest, ceil):
 def _small_groups(index: DataFrame, percent: int) -> DataFrame:
     """doc, line, other_doc, other_line: able pairs of tokens that few lines hold, the later line first."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("token", "doc", "line", "again", "n", "at")
         held = {c: np.zeros(0, np.int64) for c in names}
@@ -288,6 +297,7 @@ def _small_groups(index: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """doc, line of the pairs' first ends whose Jaccard similarity with the other end reaches the threshold."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -345,6 +355,7 @@ def _large_groups(index: DataFrame, large: DataFrame, gone: DataFrame, own: Data
     lines at most as came to it.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, early, block = None, [], None
         for batch in batches:
@@ -403,8 +414,9 @@ def _later(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "te
     bounded_batches(docs.sparkSession)
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     chunks = written(_chunks(docs, text, shingle))
-    n_tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // BUCKET_TOKENS))
+    n_chunks, n_tokens = chunks.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, parts = max(least, -(-n_tokens // BUCKET_TOKENS)), max(least, -(-n_chunks // TASK_CHUNKS))
     # Copies: all lines of a class but its first. Only classes of several lines are joined, and a large one can be split.
     lines = _all_lines(chunks)
     firsts = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("size")).filter("size > 1")
@@ -413,7 +425,7 @@ def _later(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "te
     later = copies.groupBy("chunk").agg(F.collect_list("k").alias("later"))
     few = copies.limit(WANTED + 1).count() <= WANTED  # a checked size: broadcast, else both sides are shuffled
     texts = chunks.select("chunk", "data", "offsets", "docs", "bases", "leads", "n_lines").join(F.broadcast(later) if few else later, "chunk", "left")
-    own = _likely(texts.join(_rarities(texts.drop("docs", "bases"), shingle, buckets), "chunk"), shingle, percent)
+    own = _likely(texts.repartition(parts, "chunk").join(_rarities(texts.drop("docs", "bases"), shingle, buckets, parts), "chunk"), shingle, percent)
     own = written(own.dropDuplicates(["doc", "line"]))  # rows may stand again
     index = written(_prefix_tokens(own, percent))
     groups = cut(index.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("doc", "line", "again", "n", "at")).alias("first")).filter("size > 1"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.flat import flat, mix, steps
+from stratum.llm.flat import flat, frugal, mix, steps
 from stratum.llm.shared import bounded_batches, cut, written
 from stratum.llm.shingles import shingle_sets
 from stratum.llm.tables import components, free_name, gathered, grouped, only
@@ -75,6 +75,7 @@ def _signatures(docs: DataFrame, text: str, shingle: int, percent: int) -> DataF
     """doc_id, n, d1 and d2 (a 128-bit digest of the set), band hashes and sketch of every document; null text is empty."""
     n_bands, rows = bands(percent)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(20_240_229)
         scale = random.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -105,6 +106,7 @@ def _signatures(docs: DataFrame, text: str, shingle: int, percent: int) -> DataF
 def _bucket_rows(reps: DataFrame) -> DataFrame:
     """key, id: a row for each band of each representative; the band is part of the key."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -123,6 +125,7 @@ def _matrix(column: pa.Array, width: int, dtype: type) -> np.ndarray:
 def _star(members: DataFrame, firsts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): every representative b with that smallest member a of its buckets which it shares most of them with, if the bound leaves the pair."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -172,6 +175,7 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
     spanning tree of the components that meet in a task's cell are told. A large bucket is dealt out as pairs of chunks, so that no task holds more than two chunks at once.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "cell"):
             label, ids, n = (group.column(c).to_numpy() for c in ("label", "id", "n"))
@@ -218,10 +222,12 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int
 def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
+    @frugal
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*flat(part.column(text)), shingle)], pa.binary())], ["a", "members"])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "cell"):
             first, second = group.column("a").to_pylist(), group.column("b").to_pylist()

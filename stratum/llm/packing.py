@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.flat import flat, steps
+from stratum.llm.flat import flat, frugal, steps
 from stratum.llm.shared import bounded_batches, cut
 from stratum.llm.tokens import WORD_TOKENIZER, word_encoder
 
@@ -65,6 +65,7 @@ def token_pieces(docs: DataFrame, text: str = "text", max_tokens: int = 2048, to
     Columns: doc_id, piece, start, length, ids_crc32 and the partition's own bin and place there.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         doc_ids, pieces, begins, lengths, sums = [], [], [], [], []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.cells import HASH_BITS, dealt, heads, pack, unpack
-from stratum.llm.flat import SPACE, flat, mix, powers, prefix_hash, steps, substring_hash
+from stratum.llm.flat import SPACE, flat, frugal, mix, powers, prefix_hash, steps, substring_hash
 from stratum.llm.shared import bounded_batches, cut
 from stratum.llm.tables import free_name, grouped, only
 
@@ -80,6 +80,7 @@ def _word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _bases(docs: DataFrame, text: str, length: int) -> DataFrame:
     """doc_id, t1, t2 (the text's 128-bit key), n_bytes, n_words, sha256, and the sampled names: each once, and those that the text repeats."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
             data, offsets = flat(part.column(text))
@@ -102,6 +103,7 @@ def _bases(docs: DataFrame, text: str, length: int) -> DataFrame:
 def _chunks(docs: DataFrame, text: str, length: int) -> DataFrame:
     """One row per chunk of candidate texts: their bytes end to end (compressed), where each starts, and the positions whose strings may repeat."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for part in steps(batches, text):
@@ -196,6 +198,7 @@ def _not_unique(chunks: DataFrame, length: int, last: bool, buckets: int, name:
     """One round: every chunk sends its distinct ranks by bucket; a bucket sorts them and sends back which came from several chunks."""
     second = "<u4" if last else "<u2"
 
+    @frugal
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -213,6 +216,7 @@ def _not_unique(chunks: DataFrame, length: int, last: bool, buckets: int, name:
                 columns = [pa.array(x, pa.binary()) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(out), row["chunk"])), *columns, pa.array(np.diff(cuts))], ["bucket", "chunk", "ranks", "more", "n"])
 
+    @frugal
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "bucket"):
             cells = []
@@ -244,6 +248,7 @@ def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
 def _cleaned(chunks: DataFrame, length: int, words: int) -> DataFrame:
     """t1, t2, n_removed, n_spans, kept_sha256, spans (start and end of the bytes that go) and passages of every candidate text."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -338,6 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", words
     t1, t2, spans = (free_name(docs, x) for x in ("t1", "t2", "spans"))
     found = repeat_spans(docs, length, text, words or 50, repeated_rows=False).select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.array_sort(gone).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([t1, t2])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
             out = []

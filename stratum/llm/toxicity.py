@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.flat import flat, steps
+from stratum.llm.flat import flat, frugal, steps
 from stratum.llm.labels import class_weights, sample_labelled
 from stratum.llm.shared import bounded_batches
 
@@ -58,6 +58,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None
 def _counts(sample: DataFrame, text: str) -> DataFrame:
     """id, p, q: documents of class 1 and of class 0 that hold the n-gram."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, 1 << BITS), np.int64)
         for part in steps(batches, text, STEP_BYTES):
@@ -113,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     place = np.zeros(1 << BITS, np.int32)
     place[ids] = np.arange(len(ids))
 
+    @frugal
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text, STEP_BYTES):
             rows, grams = ngrams(*flat(part.column(text)), keep)
@@ -133,6 +135,7 @@ def score(docs: DataFrame, model: LinearModel, text: str = "text", name: str = "
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercept = sent.value
         keep = weights != 0

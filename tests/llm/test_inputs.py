@@ -3,6 +3,7 @@
 import hashlib
 import math
 import struct
+import weakref
 import zlib
 from collections import Counter
 
@@ -189,3 +190,29 @@ def test_op8_and_op9_queries(spark, folder):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])) and r.feature.startswith("codec=raw ")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_minhash_near_dedup(spark, folder).collect()}
     assert got == brute_components([(i, t.decode()) for i, t in texts.items()], 3, 85)
+
+
+def test_a_task_gives_memory_back_when_its_variables_are_gone(monkeypatch):
+    """An idle worker stands beside those that work, so that it mustn't keep what its last task held."""
+    seen, left = [], []
+
+    @flat.frugal
+    def task(batches):
+        held = np.zeros(1 << 20)
+        left.append(weakref.ref(held))
+        yield from batches
+
+    monkeypatch.setattr(flat, "give_back", lambda: seen.append(left[0]() is None))
+    assert list(task(iter([1, 2]))) == [1, 2] and seen == [True]
+
+
+def test_op4_tasks_take_a_bounded_number_of_chunks(spark, monkeypatch):
+    """40 chunks go to more tasks than the session's four shuffle partitions."""
+    monkeypatch.setattr(line_dedup, "CHUNK_BYTES", 2000)
+    rows = [(i, prose(i % 30, 60) + f" number {i}\n" + prose(900 + i % 7, 12)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    chunks = line_dedup._chunks(df.withColumn("_base", F.lit(0)), "text", 5)
+    n = chunks.count()
+    parts = -(-n // line_dedup.TASK_CHUNKS)
+    assert n >= 40 and line_dedup._rarities(chunks.withColumn("later", F.array().cast("array<int>")), 5, 9, parts).rdd.getNumPartitions() == parts
+    assert {r.doc_id: r.removed for r in line_dedup.later_lines(df).collect()} == brute_lines(rows)
