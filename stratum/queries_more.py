@@ -64,14 +64,14 @@ def _(t):
 def _(t):
     """Estimates of sketches of three parts, united, against exact counts; and E13's own estimate."""
     line, columns = t["lineitem"], ["l_orderkey", "l_partkey", "l_shipdate"]
-    parts = {f"p{i}": f"l_linenumber % 3 = {i}" for i in range(3)}
+    parts = {f"p{i}": f"pmod(coalesce(l_linenumber, 0), 3) = {i}" for i in range(3)}
     empty = sketches.sketched(line.limit(0), "none", columns)
     found = sketches.united(sketches.refreshed(empty, line, "lineitem", columns, parts).filter("table_name = 'lineitem'"))
     exact = relational.profile_stack(line, {c: {"exact": F.countDistinct(c)} for c in columns})
     rough = relational.approx_distinct(line, columns).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("rough")) for c in columns))))
     exact = exact.join(rough, "column_name")
     near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.1 * F.col("exact") + 1
-    return found.join(exact, "column_name").select("column_name", (near("estimate") & near("rough")).alias("is_close"), "rows")
+    return found.join(exact, "column_name").select("column_name", (near("estimate") & near("rough") & (F.col("exact") > 0)).alias("is_close"), "rows")
 
 
 @query("j_sketch_keys", "SELECT 'customer' AS table_name, 'c_custkey' AS key WHERE (SELECT count(*) = count(DISTINCT c_custkey) FROM customer) UNION ALL SELECT 'customer', 'c_name' WHERE (SELECT count(*) = count(DISTINCT c_name) FROM customer) UNION ALL SELECT 'part', 'p_partkey' WHERE (SELECT count(*) = count(DISTINCT p_partkey) FROM part) UNION ALL SELECT 'lineitem', 'l_orderkey,l_linenumber' WHERE (SELECT count(*) = count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem)")
