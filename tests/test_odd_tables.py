@@ -86,3 +86,4 @@ def test_order_items_travel_once_by_order(spark, same, tmp_path):
         assert sorted(k for k in keys("wide_procurement") if not k.startswith(("n_", "s_"))) == ["_order", "l_orderkey", "material_id", "material_id", "po_number", "po_number", "po_number", "vendor_id", "vendor_id"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any("lineitem" in f for f in QUERIES["procurement_health"](spark, str(tmp_path)).inputFiles())  # from sums that one run over the lines has stored
